@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, packing
-from helixframe.llm.common import table
+from helixframe.llm import decontaminate, packing, pseudonyms, weak_supervision
+from helixframe.llm.common import tablefrom helixframe.llm.tokenizers import tokenizer_path
 
-#: Where the public tokenizer files are; see helixframe.llm.tokenizers.
-from helixframe.llm.tokenizers import tokenizer_path
+#: The key of the pseudonyms of these queries. A real run passes its own secret.
+PSEUDONYM_KEY = "an example key"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers and dates pseudonymised, and what was replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pseudonyms.pseudonymised(docs, PSEUDONYM_KEY)
+    return made.select("doc_id", "text", F.size("pii_kinds").cast("bigint").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
+def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, posterior quality and whether it is kept."""
+    judged = weak_supervision.judged(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +42,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_weak_supervision, op5_best_fit_packing, op6_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
