@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, packing, pseudonyms, weak_supervision
-from helixframe.llm.common import tablefrom helixframe.llm.tokenizers import tokenizer_path
+from helixframe.llm import decontaminate, language_id, packing, pseudonyms, secrets_scan, weak_supervision
+from helixframe.llm.common import table
+from helixframe.llm.tokenizers import tokenizer_path
 
 #: The key of the pseudonyms of these queries. A real run passes its own secret.
 PSEUDONYM_KEY = "an example key"
@@ -27,6 +28,25 @@ def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts and digest of the fixed forms, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets_scan.scanned(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("secret_spans", lambda s: s["kind"] != "token")
+    return found.select("doc_id", *map(count, secrets_scan.KINDS), F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("secret_spans")).alias("spans"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by cross-parsing; learnt from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    parser = language_id.learned(docs, ~held_out)
+    judged = language_id.identified(docs.select("doc_id", "text"), parser)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in sequences of 4096 tokens."""
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -42,7 +62,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_weak_supervision, op5_best_fit_packing, op6_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_weak_supervision, op3_secret_scan, op4_language_id, op5_best_fit_packing, op6_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,8 @@ el los las y del se con por su para al lo es""".split()
 
 #: A power of two: windows are hashed by doubling.
 WINDOW_WORDS = 8
+GOOD_START, GOOD_RANGE = 0.97, (0.9, 0.999)
+BAD_START, BAD_RANGE = 0.6, (0.4, 0.97)
 SYMBOLS = "[#*$%&|<>]"
 #: A word of letters with one usual mark after it at most.
 CLEAN_WORD = r"(?<![^\x20\x09-\x0D])[\p{L}'’-]++[.,;:?!]?(?![^\x20\x09-\x0D])"
@@ -140,10 +142,11 @@ def fitted(patterns: DataFrame, names: list[str], rounds: int = 12, strength: fl
     """Expectation-maximisation over a table of vote patterns with their counts n.
 
     model["rules"][name] is (chance that the rule, when it votes on a good document, votes
-    good; the same on a bad one), drawn towards 0.8 and 0.2 with the weight of strength
-    documents, and kept within 0.5 to 0.999 and 0.001 to 0.97.
+    good; the same on a bad one), drawn towards GOOD_START and BAD_START with the weight of
+    strength documents and kept within GOOD_RANGE and BAD_RANGE: a rule seldom votes bad on
+    a good document, while a bad document passes many rules that look at other faults.
     Without documents the model is its start."""
-    model = {"prior": 0.8, "rules": dict.fromkeys(names, (0.8, 0.2))}
+    model = {"prior": 0.8, "rules": dict.fromkeys(names, (GOOD_START, BAD_START))}
     votes = {c: F.col(c) for c in names}
     for _ in range(rounds):
         weight = patterns.withColumn("good_", F.col("n") * _sigmoid(log_odds(votes, model))).withColumn("bad_", F.col("n") - F.col("good_"))
@@ -157,7 +160,7 @@ def fitted(patterns: DataFrame, names: list[str], rounds: int = 12, strength: fl
         near = lambda side, k, towards, lo, hi: min(hi, max(lo, ((row[f"{side}1_{k}"] or 0.0) + towards * strength) / ((row[f"{side}n_{k}"] or 0.0) + strength)))
         model = {
             "prior": min(0.999, max(0.5, row["good"] / row["n"])),
-            "rules": {c: (near("good_", k, 0.8, 0.5, 0.999), near("bad_", k, 0.2, 0.001, 0.97)) for k, c in enumerate(names)},
+            "rules": {c: (near("good_", k, GOOD_START, *GOOD_RANGE), near("bad_", k, BAD_START, *BAD_RANGE)) for k, c in enumerate(names)},
         }
     return model
 
