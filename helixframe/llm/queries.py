@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate, language_id, packing, pseudonyms, secrets_scan, weak_supervision
+from helixframe.llm import chat_windows, decontaminate, html_wrapper, jaccard_join, language_id, packing, pseudonyms, quality_classifier, secrets_scan, weak_supervision
 from helixframe.llm.common import table
 from helixframe.llm.tokenizers import tokenizer_path
 
@@ -61,8 +61,48 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return judged.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component of links at a Jaccard similarity of 0.9 of 3-word shingles."""
+    return jaccard_join.joined(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+def op8_html_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_wrapper.extracted(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+def op9_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's digests, read back from its formatted windows; conversation -7 holds control strings."""
+    told = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat_windows.digests(chat_windows.windows(rows))
+
+
+def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; labels are learnt from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = quality_classifier.learned(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    found = quality_classifier.scored(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_weak_supervision, op3_secret_scan, op4_language_id, op5_best_fit_packing, op6_benchmark_decontamination)}
+    made = (
+        op1_feistel_pseudonyms,
+        op2_weak_supervision,
+        op3_secret_scan,
+        op4_language_id,
+        op5_best_fit_packing,
+        op6_benchmark_decontamination,
+        op7_ngram_jaccard_join,
+        op8_html_wrapper_extraction,
+        op9_budgeted_chat_windows,
+        op10_positive_unlabelled_quality,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
