@@ -13,6 +13,7 @@ block end closes a phrase in every language alike.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -28,12 +29,15 @@ from helixframe.llm.common import text_values
 #: A sample is at most so many documents and symbols a language; half as many more documents are held back to normalise.
 SAMPLE_DOCUMENTS = 96
 SAMPLE_SYMBOLS = 60_000
+#: All samples together, which bounds the automata at some 300 MB.
+ALL_SYMBOLS = 480_000
 #: Lengths in characters of the documents that a sample may take.
 SAMPLE_LENGTHS = (200, 10_000)
 SYMBOLS = 96
 BLOCK = 256
 UNKNOWN = "und"
 
+_CODES: dict[bytes, np.ndarray] = {}
 _LETTER = np.zeros(0x110000, bool)
 
 
@@ -93,33 +97,57 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
     return table.ravel()
 
 
+#: Automata by the digest of what they were built from; a Python worker builds them once.
+_BUILT: dict[str, list[np.ndarray]] = {}
+
+
 class CrossParser:
-    """Suffix automata of all languages over one alphabet of the most frequent symbols."""
+    """Suffix automata of all languages over one alphabet of the most frequent symbols.
+
+    What travels to the tasks is the samples; the automata, a hundred times as large, are
+    built where they are used."""
 
     def __init__(self, samples: dict[str, list[np.ndarray]], held: dict[str, list[np.ndarray]]):
         self.languages = sorted(samples)
         joined = [np.concatenate([x for s in samples[k] for x in (s, np.array([0x20], np.uint32))]) for k in self.languages]
-        size = min([SAMPLE_SYMBOLS, *map(len, joined)])
+        size = min([SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(joined)), *map(len, joined)])
         counts = np.bincount(np.concatenate([*joined, np.zeros(0, np.uint32)]).astype(np.int64), minlength=0x110000)
         frequent = np.argsort(-counts, kind="stable")[: SYMBOLS - 1]
-        self.code = np.zeros(0x110000, np.uint8)  # 0: a symbol that no sample may hold
-        self.code[frequent[counts[frequent] > 0]] = np.arange(1, 1 + int((counts[frequent] > 0).sum()), dtype=np.uint8)
-        self.steps = []
-        for text in joined:
-            table = suffix_automaton(self.code[text[:size]].tolist(), SYMBOLS)
-            table.reshape(-1, SYMBOLS)[:, 0] = -1
-            start = np.maximum(table[:SYMBOLS], 0)
-            fails = table < 0
-            restart = np.tile(start, len(table) // SYMBOLS)
-            self.steps.append((np.where(fails, restart, table) * 2 + fails).astype(np.int32))
+        self.alphabet = frequent[counts[frequent] > 0].astype(np.uint32)
+        self.texts = [self.codes(text[:size]) for text in joined]
         self.bits = math.log2(max(2, size))
         self.base = np.ones(len(self.languages))
         self.base = np.array([np.mean([r[0][k] for r in self.rates(held.get(name) or samples[name][-8:])] or [1.0]) for k, name in enumerate(self.languages)])
 
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """Symbols of code points; 0 is one that no sample has among its frequent ones."""
+        if len(_CODES) > 4:
+            _CODES.clear()
+        key = self.alphabet.tobytes()
+        if key not in _CODES:
+            _CODES[key] = np.zeros(0x110000, np.uint8)
+            _CODES[key][self.alphabet] = np.arange(1, len(self.alphabet) + 1, dtype=np.uint8)
+        return _CODES[key][points]
+
+    def steps(self) -> list[np.ndarray]:
+        """For each language [state * SYMBOLS + symbol]: twice the next state, plus 1 where a phrase ends before the symbol."""
+        digest = hashlib.sha256(b"|".join(t.tobytes() for t in self.texts)).hexdigest()
+        if digest not in _BUILT:
+            _BUILT.clear()
+            made = []
+            for text in self.texts:
+                table = suffix_automaton(text.tolist(), SYMBOLS)
+                table.reshape(-1, SYMBOLS)[:, 0] = -1
+                fails = table < 0
+                table = np.where(fails, np.tile(np.maximum(table[:SYMBOLS], 0), len(table) // SYMBOLS), table)
+                made.append((table * 2 + fails).astype(np.int32))
+            _BUILT[digest] = made
+        return _BUILT[digest]
+
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
         """Phrases for each language (row) and block (column); blocks is [BLOCK, n], padded with 255."""
         counts = np.zeros((len(self.languages), blocks.shape[1]), np.int64)
-        for k, step in enumerate(self.steps):
+        for k, step in enumerate(self.steps()):
             state = np.zeros(blocks.shape[1], np.int64)
             for row in blocks:
                 live = row != 255
@@ -140,7 +168,7 @@ class CrossParser:
         ends = np.cumsum(tall)
         flat = np.full(int(ends[-1]) * BLOCK if len(ends) else 0, 255, np.uint8)
         for text, end, n in zip(texts, ends.tolist(), tall.tolist(), strict=True):
-            flat[(end - n) * BLOCK : (end - n) * BLOCK + len(text)] = self.code[text]
+            flat[(end - n) * BLOCK : (end - n) * BLOCK + len(text)] = self.codes(text)
         counts = self.phrases(np.ascontiguousarray(flat.reshape(-1, BLOCK).T)) if len(flat) else np.zeros((len(self.languages), 0))
         sums = np.concatenate([np.zeros((len(self.languages), 1)), np.cumsum(counts, axis=1)], axis=1)
         for end, n, size in zip(ends.tolist(), tall.tolist(), sizes.tolist(), strict=True):
