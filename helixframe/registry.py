@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.queries import interval_queries, sequence_queries
+from helixframe.queries import interval_queries, plan_queries, sequence_queries, statistic_queries
 
-MODULES = (interval_queries, sequence_queries)
+MODULES = (interval_queries, sequence_queries, statistic_queries, plan_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
