@@ -48,7 +48,8 @@ def grid(spark, samples: int, repeats: int, levels: list[float], models: list[st
 
 def pending(plan: DataFrame, done: DataFrame) -> DataFrame:
     """The tasks of plan without a result in done (run_id, status complete); fails where a result has another seed."""
-    finished = done.where("status = 'complete'")
-    fine = F.assert_true(F.col("d.meme_seed").isNull() | (F.col("d.meme_seed") == F.col("p.meme_seed")), F.concat(F.lit("a result of another protocol: "), F.col("p.run_id")))
-    joined = plan.alias("p").join(finished.alias("d"), F.col("p.run_id") == F.col("d.run_id"), "left")
-    return joined.where(fine.isNull()).where("d.run_id is null").select("p.*")
+    finished = done.where("status = 'complete'").select("run_id", F.col("meme_seed").alias("done_seed"))
+    other = plan.join(finished, "run_id").where("meme_seed <> done_seed").select("run_id").take(1)
+    if other:
+        raise RuntimeError(f"a result of another protocol: {other[0]['run_id']}")
+    return plan.join(finished, "run_id", "left_anti").select(plan.columns)

@@ -169,4 +169,4 @@ def motif_distances(pairs: DataFrame, metric: str = "jsd", fraction: float = 0.8
     score = (columns + unmatched) / (F.col("overlap") + unmatched)
     best = placed.withColumn("score", score).groupBy("pair_").agg(F.min(F.struct("score", "strand", "shift", "overlap")).alias("best"))
     joined = keyed.join(best, "pair_", "left").drop("pair_")
-    return joined.select(*pairs.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("best.score"))).alias("distance"), "best.shift", "best.strand", "best.overlap")
+    return joined.select(*pairs.columns, F.when(F.col("best").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("best.score")))).alias("distance"), "best.shift", "best.strand", "best.overlap")
