@@ -27,12 +27,12 @@ ROUNDS = 8
 #: What the kinds look like, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: \d{4}){1,6}(?: \d{1,3})?)(?![\p{L}\p{N}])",
     "ipv4": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
     "date": r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\p{L}\p{N}]|[./-]\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]\d{4}|\+\d{8,15}|\+\d{1,3} \d(?: \d{2}){4}|\+\d{1,3}(?: \d{2,4}){2,3}|\+\d{1,3}(?:-\d{2,4}){2,3}|\+\d{1,3}(?:\.\d{2,4}){2,3}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
-    "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\p{L}\p{N}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([./])\d{1,2}\1\d{4}", r"(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}")
 PATTERNS["date"] = PATTERNS["date"].replace(r"([./])\d{1,2}\1\d{4}", r"(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}")
