@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import byte_pieces
+from helixframe.llm.common import byte_pieces, small_batches
 from helixframe.llm.wordhash import hashed_words
 
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 16_000
-HIDDEN, STEPS, RATE, DECAY = 16, 400, 0.02, 1e-3
+HIDDEN, STEPS, RATE, DECAY = 8, 300, 0.02, 1e-2
 #: Classes of bytes that are counted.
 BYTE_CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&|<>", "stop": b".?", "pause": b",;:", "shout": b"!", "bracket": b"()[]{}\"'_=+/\\~^@`", "line": b"\n", "space": b" \t"}
 _CLASS = np.full(256, len(BYTE_CLASSES), np.uint8)
@@ -154,6 +154,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from docs (unlabelled; doc_id, text) and labels (doc_id, quality), of which only quality 1 is trusted.
 
     Labels of null or of other values, and labels without a document, teach nothing."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     return fitted(_sampled(texts, labels.where("quality = 1"), MOST_POSITIVE), _sampled(texts, texts, MOST_UNLABELLED))
 
@@ -164,6 +165,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     A null text counts as an empty one, which has a score like any other. Without a model every
     score is 0.5. Other columns and repeated rows are kept as they are; a column named
     quality_score is replaced."""
+    small_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name != "quality_score"]
     at = [f.name for f in own].index("text")
 

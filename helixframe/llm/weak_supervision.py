@@ -138,7 +138,7 @@ def log_odds(votes: dict[str, Column], model: dict) -> Column:
     return total
 
 
-def fitted(patterns: DataFrame, names: list[str], rounds: int = 12, strength: float = 2.0) -> dict:
+def fitted(patterns: DataFrame, names: list[str], rounds: int = 12, strength: float = 50.0) -> dict:
     """Expectation-maximisation over a table of vote patterns with their counts n.
 
     model["rules"][name] is (chance that the rule, when it votes on a good document, votes
