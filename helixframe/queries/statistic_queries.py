@@ -155,7 +155,7 @@ _AP = """counts AS (SELECT {k}, score, sum(label) AS p, sum(1 - label) AS n FROM
  ap AS (SELECT {k}, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p * tp / (tp + fp)) / sum(p), 9) END AS ap FROM run GROUP BY {k}),
  up AS (SELECT *, sum(n) OVER (PARTITION BY {k} ORDER BY score ROWS UNBOUNDED PRECEDING) - n AS below FROM counts),
  auc AS (SELECT {k}, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 9) END AS auroc FROM up GROUP BY {k})"""
-_DIFF = """d AS (SELECT c_mktsegment, k, round(even - odd, 6) AS d FROM (SELECT c_mktsegment, c_nationkey % 9 AS k, avg(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END) AS even,
+_DIFF = """d AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY k) - 1 AS k, round(even - odd, 6) AS d FROM (SELECT c_mktsegment, c_nationkey % 9 AS k, avg(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END) AS even,
   avg(CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END) AS odd FROM customer GROUP BY ALL) WHERE even IS NOT NULL AND odd IS NOT NULL)"""
 
 
