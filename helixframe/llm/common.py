@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Texts are turned into numpy arrays in pieces of about this many bytes, so that the
 #: arrays of one piece (some 30 bytes for each byte of text) stay small whatever the batch.
 PIECE_BYTES = 1 << 20
+ROWS_A_BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most ROWS_A_BATCH rows: texts are long, and a task holds its batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_A_BATCH:
+        spark.conf.set(name, ROWS_A_BATCH)
+
+
 def binary_values(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8, nulls as empty."""
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import binary_values
+from helixframe.llm.common import binary_values, small_batches
 
 WINDOW_WORDS = 13
 BLOCK_WORDS = 3
@@ -121,6 +121,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "hit_items": F.lit(None).cast("array<bigint>"),
         }
     )
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_FOUND).fields])
     context = docs.sparkSession.sparkContext
     text_at = docs.columns.index("text")

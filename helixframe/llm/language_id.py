@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import text_values
+from helixframe.llm.common import small_batches, text_values
 
 #: A sample is at most so many documents and symbols a language; half as many more documents are held back to normalise.
 SAMPLE_DOCUMENTS = 96
@@ -213,6 +213,7 @@ def identified(docs: DataFrame, parser: CrossParser) -> DataFrame:
     A null text, one without a letter, and any text when nothing was learnt, is "und" with
     score 0; equal counts go to the language first by name. Other columns and repeated rows
     are kept as they are; columns named lang_pred and lang_score are replaced."""
+    small_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
     at = [f.name for f in own].index("text")
     held = docs.sparkSession.sparkContext.broadcast(parser)

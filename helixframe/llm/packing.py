@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import PIECE_BYTES, binary_values, checkpointed
+from helixframe.llm.common import PIECE_BYTES, binary_values, checkpointed, small_batches
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 SHARD_PIECES = 40_000
-#: The memo of token ids by word starts anew at this many words, to bound a task's memory.
-MEMO_WORDS = 800_000
+#: The memo of token ids by word is thinned out beyond this many words, to bound a task's memory.
+MEMO_WORDS = 400_000
 
 PIECES = "doc_row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -57,10 +57,11 @@ class WordTokens:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text in UTF-8 as little-endian unsigned 32-bit numbers."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
         parts = [text.translate(_LOWER).split() for text in texts]
-        self._learn(set(chain.from_iterable(parts)).difference(self.memo))
+        seen = set(chain.from_iterable(parts))
+        if len(self.memo) > MEMO_WORDS:  # of the words, those of this group stay, among them all frequent ones
+            self.memo = {w: self.memo[w] for w in seen.intersection(self.memo)}
+        self._learn(seen.difference(self.memo))
         get = self.memo.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
@@ -133,6 +134,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_TO
             names = ["doc_row", "doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
+    small_batches(docs.sparkSession)
     numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), "text")
     return numbered.mapInArrow(cut, PIECES)
 
