@@ -7,9 +7,10 @@ is cut into fragments. Classes can only be similar if they share an n-gram among
 first few in that order (the prefix), so these give the candidates. For candidates, the
 overlap is counted separately in each fragment and summed per pair; the sum decides exactly.
 
-Before any set is fetched, a pair must pass two exact bounds: on the sizes, and on the
+Before any set is fetched, a pair must pass three exact bounds: on the sizes; on the
 difference of the sets, which is at least the Hamming distance of the parities of their
-n-grams over 1024 bits.
+n-grams over 512 bits; and on what their prefixes share, to which the rest of the smaller
+prefix's set can only add its size.
 
 A common n-gram may stand in many classes. First each is compared with one centre of the
 n-gram only, which takes as many pairs as there are rows; classes found linked then share a
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import checkpointed
+from helixframe.llm.common import checkpointed, small_batches
 from helixframe.llm.components import components
 from helixframe.llm.wordhash import mixed, shingle_sets
 
@@ -36,8 +37,8 @@ from helixframe.llm.wordhash import mixed, shingle_sets
 SKETCH_BITS = 18
 SKETCH_PART = 4096
 FRAGMENTS = 8
-PARITY_LONGS = 16
-#: Size limits of the filter by which tasks know the documents whose sets are asked for.
+PARITY_LONGS = 8
+#: Tasks know what is asked for by filters of 2 to these powers of bits; what passes by chance falls out in a join.
 FILTER_BITS = (20, 27)
 
 
@@ -99,16 +100,19 @@ def _summed(parts: DataFrame) -> np.ndarray:
     return sketch.ravel()
 
 
-def _prefixes(docs: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
-    """(doc_id, key, n, prefix, b0 ...): the first n-grams in the global order and the parities."""
+def _prefixes(docs: DataFrame, reps: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
+    """(key, n, prefix, b0 ...): the first n-grams in the global order and the parities, of the documents in reps.
+
+    A class whose copies pass the filter by chance may come more than once."""
     bits = [f"b{k}" for k in range(PARITY_LONGS)]
+    spotted, asked = _spotted(docs, reps)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         width = 64 * PARITY_LONGS
         for batch in batches:
-            ids, keys, sizes, heads, parity = [], [], [], [], []
-            for doc_id, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
+            keys, sizes, heads, parity = [], [], [], []
+            for hashes in shingle_sets(asked(batch).column(1), size):
                 n = len(hashes)
                 if not n:
                     continue
@@ -116,18 +120,38 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, sketch) -> DataFra
                 heads.append(hashes[order[: n + (-num * n) // den + 1]])
                 odd = np.bincount(((hashes >> np.uint64(5)) % np.uint64(width)).astype(np.int64), minlength=width) & 1
                 parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                ids.append(doc_id)
                 keys.append(_key(hashes))
                 sizes.append(n)
             offsets = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             values = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             matrix = np.array(parity, np.int64).reshape(-1, PARITY_LONGS)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(matrix[:, k]) for k in range(PARITY_LONGS))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "prefix", *bits])
+            columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists, *(pa.array(matrix[:, k]) for k in range(PARITY_LONGS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "prefix", *bits])
+
+    schema = "key bigint, n bigint, prefix array<bigint>, " + ", ".join(f"{b} bigint" for b in bits)
+    return spotted.mapInArrow(prefix, schema)
+
+
+def _shared_grams(made: DataFrame) -> DataFrame:
+    """(gram, key) for prefix n-grams that occur in more than one row of made, of which most occur in one."""
+    grams = made.select(F.explode("prefix").alias("gram"))
+    shared = checkpointed(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram"))
+    words, bits = _filter(shared, lambda bits: F.col("gram").bitwiseAND(F.lit((1 << bits) - 1)))
+    held = made.sparkSession.sparkContext.broadcast(words)
 
-    schema = "doc_id bigint, key bigint, n bigint, prefix array<bigint>, " + ", ".join(f"{b} bigint" for b in bits)
-    return docs.select("doc_id", "text").mapInArrow(prefix, schema)
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            grams = lists.flatten().to_numpy()
+            spot = grams & ((1 << bits) - 1)
+            some = (held.value[spot >> 6] >> (spot & 63)) & 1 == 1
+            keys = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[some]), pa.array(keys[some])], names=["gram", "key"])
+
+    likely = made.select("key", "prefix").mapInArrow(pick, "gram bigint, key bigint")
+    return likely.join(shared, "gram").distinct()
 
 
 def _bounds(num: int, den: int) -> Column:
@@ -137,59 +161,76 @@ def _bounds(num: int, den: int) -> Column:
     return sizes & (apart * (den + num) <= (den - num) * (F.col("l.n") + F.col("r.n")))
 
 
-def _filter(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit set of hashed ids, of 16 bits an id within FILTER_BITS; its words, not the ids, come to the driver."""
-    count = ids.count()
-    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * count).bit_length()))
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    words = ids.select((spot / 64).cast("bigint").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << bits}) % 64 as int))").alias("bit"))
+def _filter(rows: DataFrame, spot) -> tuple[np.ndarray, int]:
+    """A bit set of spots, 16 bits a row within FILTER_BITS; its words, not the rows, come to the driver."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * rows.count()).bit_length()))
+    one = F.expr("shiftleft(1L, cast(spot % 64 as int))")
+    words = rows.select(spot(bits).alias("spot")).select(F.floor(F.col("spot") / 64).alias("word"), one.alias("bit"))
     held = np.zeros((1 << bits) // 64, np.int64)
     for word, bit in words.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
         held[word] = bit
     return held, bits
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int, sketch) -> DataFrame:
-    """(key, fragment, grams) of the wanted (doc_id, key): each class's set, cut along the global order."""
-    words, bits = _filter(wanted)
+def _spotted(docs: DataFrame, ids: DataFrame):
+    """(doc_id, text, spot) and a function that keeps of its batches the rows whose doc_id may be among ids."""
+    spot = lambda bits: F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    words, bits = _filter(ids.select("doc_id").where("doc_id is not null"), spot)
     held = docs.sparkSession.sparkContext.broadcast(words)
 
+    def asked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.column(2).to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array((held.value[at >> 6] >> (at & 63)) & 1 == 1))
+
+    return docs.where("doc_id is not null").select("doc_id", "text", spot(bits).alias("spot")), asked
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, size: int, sketch) -> DataFrame:
+    """(key, fragment, grams): the sets of the wanted doc_ids, cut along the global order; some others pass by chance."""
+    spotted, asked = _spotted(docs, wanted)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         pivots = np.quantile(counts, np.arange(1, FRAGMENTS) / FRAGMENTS)
         for batch in batches:
-            spot = batch.column(2).to_numpy(zero_copy_only=False)
-            asked = (held.value[spot // 64] >> (spot % 64)) & 1 == 1
-            batch = batch.filter(pa.array(asked))
-            ids, keys, fragments, grams = [], [], [], []
-            for doc_id, hashes in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
+            keys, fragments, grams = [], [], []
+            for hashes in shingle_sets(asked(batch).column(1), size):
                 if not len(hashes):
                     continue
                 key, at = _key(hashes), np.searchsorted(pivots, counts[_place(hashes)], "left")
                 for fragment in np.unique(at).tolist():
-                    ids.append(doc_id)
                     keys.append(key)
                     fragments.append(fragment)
                     grams.append(hashes[at == fragment].view(np.int64))
             offsets = np.cumsum([0, *map(len, grams)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*grams, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), lists], names=["doc_id", "key", "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), lists], names=["key", "fragment", "grams"])
 
-    spotted = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)).alias("spot"))
-    made = spotted.mapInArrow(cut, "doc_id bigint, key bigint, fragment int, grams array<bigint>")
-    return made.join(wanted, ["doc_id", "key"], "left_semi").dropDuplicates(["key", "fragment"]).drop("doc_id")
+    return spotted.mapInArrow(cut, "key bigint, fragment int, grams array<bigint>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
+def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose prefixes share enough: the rest of a set, after its prefix, can add so much and no more."""
+    head = lambda side: facts.select(F.col("key").alias(side), F.col("prefix").alias(f"h{side}"))
+    both = pairs.join(head("a"), "a").join(head("b"), "b")
+    rest = F.greatest(F.col("na") - F.size("ha"), F.col("nb") - F.size("hb"))
+    most = F.size(F.array_intersect("ha", "hb")) + rest
+    return both.where((num + den) * most >= num * (F.col("na") + F.col("nb"))).select(pairs.columns)
+
+
+def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
     """The pairs (a, b, na, nb) of class keys whose overlaps, summed over fragments, reach the threshold."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = checkpointed(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id"), "key"))
+    pairs = checkpointed(_promising(pairs, facts, num, den))
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = checkpointed(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")))
     sets = checkpointed(_sets(docs, wanted, size, sketch))
     left = sets.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = sets.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("common"))
-    common = F.sum("common")
-    summed = partial.groupBy("a", "b").agg(common.alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
+    common = F.size(F.array_intersect("ga", "gb")).alias("common")
+    # a class that came twice has the same overlap twice, hence the maximum within a fragment
+    each = partial.select("a", "b", "na", "nb", "fragment", common).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("common").alias("common"))
+    summed = each.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return summed.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -201,39 +242,40 @@ def joined(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Da
     n-gram. Repeated rows come out as often as they went in, in one component; rows that share
     an id but not a text are each reported. A row with a null id takes part by its text and
     has the component of its class. No documents, no rows. Other columns are not read."""
+    small_batches(docs.sparkSession)
     digests = checkpointed(_digests(docs, words))
     rows = digests.where("part is null").select("doc_id", "n", "key")
     sketch = docs.sparkSession.sparkContext.broadcast(_summed(digests.where("part is not null").select("part", "counts")))
     classes = checkpointed(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
 
-    made = checkpointed(_prefixes(docs, words, num, den, sketch))
-    chosen = classes.select(F.col("rep").alias("doc_id"), "key")
-    own = made.join(chosen, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    grams = own.select("key", F.explode("prefix").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram")
-    spots = checkpointed(grams.join(shared, "gram"))
+    made = checkpointed(_prefixes(docs, classes.select(F.col("rep").alias("doc_id")), words, num, den, sketch))
+    spots = checkpointed(_shared_grams(made))
     degree = spots.groupBy("key").agg(F.count("*").alias("degree"))
-    facts = checkpointed(own.drop("prefix", "doc_id").join(degree, "key"))
-    found = spots.join(facts, "key")
-
-    centres = found.groupBy("gram").agg(F.max(F.struct("degree", "key")).alias("top")).select("gram", F.col("top.key").alias("key"))
-    centres = centres.join(facts, "key")
+    facts = checkpointed(made.join(degree, "key").dropDuplicates(["key"]))
+    plain = facts.drop("prefix")
     allowed = _bounds(num, den)
-    near = found.alias("l").join(centres.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.key") != F.col("r.key")) & allowed)
     pair = [F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b")]
-    size_of = lambda side: F.when(F.col("l.key") < F.col("r.key"), F.col(f"{side[0]}.n")).otherwise(F.col(f"{side[1]}.n"))
-    columns = [*pair, size_of("lr").alias("na"), size_of("rl").alias("nb")]
-    stars = checkpointed(near.select(*columns).distinct())
-    first = checkpointed(_verified(stars, docs, classes, words, num, den, sketch))
+    size_of = lambda one, two: F.when(F.col("l.key") < F.col("r.key"), F.col(f"{one}.n")).otherwise(F.col(f"{two}.n"))
+    columns = [*pair, size_of("l", "r").alias("na"), size_of("r", "l").alias("nb")]
+
+    ranked = spots.join(facts.select("key", "degree"), "key")
+    centres = ranked.groupBy("gram").agg(F.max(F.struct("degree", "key"))["key"].alias("centre"))
+    near = spots.join(centres, "gram").where("key <> centre").select("key", "centre").distinct()
+    near = near.join(plain.alias("l"), F.col("l.key") == near["key"]).join(plain.alias("r"), F.col("r.key") == F.col("centre"))
+    stars = checkpointed(near.where(allowed).select(*columns).distinct())
+    first = checkpointed(_verified(stars, facts, docs, classes, words, num, den, sketch))
 
     ends = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hub = ends.join(degree.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.max(F.struct("degree", "b")).alias("top"))
-    hub = hub.join(degree.withColumnRenamed("key", "a"), "a").select(F.col("a").alias("key"), F.when(F.struct("degree", "a") > F.struct("top.degree", "top.b"), F.col("a")).otherwise(F.col("top.b")).alias("label"))
-    labelled = checkpointed(spots.join(facts.join(hub, "key", "left").withColumn("label", F.coalesce("label", "key")), "key"))
+    known = facts.select("key", "degree")
+    hub = ends.join(known.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.max(F.struct("degree", F.col("b").alias("key"))).alias("top"))
+    own = F.struct("degree", "key")
+    label = F.when(F.col("top") > own, F.col("top.key")).otherwise(F.col("key"))
+    labelled = plain.join(hub, "key", "left").withColumn("label", label).drop("top", "degree")
+    spread = checkpointed(spots.join(labelled, "key"))
     apart = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & allowed
-    others = labelled.alias("l").join(labelled.alias("r"), apart).select(*columns).distinct()
-    rest = checkpointed(others.join(stars, ["a", "b"], "left_anti"))
-    links = first.union(_verified(rest, docs, classes, words, num, den, sketch))
+    others = spread.alias("l").join(spread.alias("r"), apart).select(*columns).distinct()
+    rest = others.join(stars, ["a", "b"], "left_anti")
+    links = first.union(_verified(rest, facts, docs, classes, words, num, den, sketch))
 
     name = lambda side: classes.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_id"))
     named = links.join(name("a"), "a").join(name("b"), "b").where("a_id is not null and b_id is not null")
