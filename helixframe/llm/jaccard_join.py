@@ -12,8 +12,8 @@ difference of the sets, which is at least the Hamming distance of the parities o
 n-grams over 512 bits; and on what their prefixes share, to which the rest of the smaller
 prefix's set can only add its size.
 
-A common n-gram may stand in many classes. First each is compared with one centre of the
-n-gram only, which takes as many pairs as there are rows; classes found linked then share a
+A common n-gram may stand in many classes. First each class is compared with one other only,
+the one that is the centre of most of its n-grams; classes found linked then share a
 label, and the rest of the search passes over pairs with the same label and over pairs that
 fail the bounds, inside the join. So what is emitted follows the number of links between
 classes, not the square of a group.
@@ -167,8 +167,8 @@ def _filter(rows: DataFrame, spot) -> tuple[np.ndarray, int]:
     one = F.expr("shiftleft(1L, cast(spot % 64 as int))")
     words = rows.select(spot(bits).alias("spot")).select(F.floor(F.col("spot") / 64).alias("word"), one.alias("bit"))
     held = np.zeros((1 << bits) // 64, np.int64)
-    for word, bit in words.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
-        held[word] = bit
+    made = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # 16 bytes for each 64 bits of the filter
+    held[made["word"].to_numpy()] = made["bit"].to_numpy()
     return held, bits
 
 
@@ -218,9 +218,9 @@ def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFr
     return both.where((num + den) * most >= num * (F.col("na") + F.col("nb"))).select(pairs.columns)
 
 
-def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
     """The pairs (a, b, na, nb) of class keys whose overlaps, summed over fragments, reach the threshold."""
-    pairs = checkpointed(_promising(pairs, facts, num, den))
+    pairs = checkpointed(pairs)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = checkpointed(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("doc_id")))
     sets = checkpointed(_sets(docs, wanted, size, sketch))
@@ -260,10 +260,11 @@ def joined(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Da
 
     ranked = spots.join(facts.select("key", "degree"), "key")
     centres = ranked.groupBy("gram").agg(F.max(F.struct("degree", "key"))["key"].alias("centre"))
-    near = spots.join(centres, "gram").where("key <> centre").select("key", "centre").distinct()
+    often = spots.join(centres, "gram").where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("times"))
+    near = often.groupBy("key").agg(F.max(F.struct("times", "centre"))["centre"].alias("centre"))
     near = near.join(plain.alias("l"), F.col("l.key") == near["key"]).join(plain.alias("r"), F.col("r.key") == F.col("centre"))
     stars = checkpointed(near.where(allowed).select(*columns).distinct())
-    first = checkpointed(_verified(stars, facts, docs, classes, words, num, den, sketch))
+    first = checkpointed(_verified(_promising(stars, facts, num, den), docs, classes, words, num, den, sketch))
 
     ends = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     known = facts.select("key", "degree")
@@ -273,9 +274,11 @@ def joined(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Da
     labelled = plain.join(hub, "key", "left").withColumn("label", label).drop("top", "degree")
     spread = checkpointed(spots.join(labelled, "key"))
     apart = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & allowed
-    others = spread.alias("l").join(spread.alias("r"), apart).select(*columns).distinct()
-    rest = others.join(stars, ["a", "b"], "left_anti")
-    links = first.union(_verified(rest, facts, docs, classes, words, num, den, sketch))
+    others = spread.alias("l").join(spread.alias("r"), apart).select(*columns).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    beyond = lambda n: F.ceil(num * F.col(n) / den) - 1  # noqa: E731  a set's size without its prefix
+    enough = (num + den) * (F.col("shared") + F.greatest(beyond("na"), beyond("nb"))) >= num * (F.col("na") + F.col("nb"))
+    rest = others.where(enough).drop("shared").join(stars, ["a", "b"], "left_anti")
+    links = first.union(_verified(rest, docs, classes, words, num, den, sketch))
 
     name = lambda side: classes.select(F.col("key").alias(side), F.col("rep").alias(f"{side}_id"))
     named = links.join(name("a"), "a").join(name("b"), "b").where("a_id is not null and b_id is not null")
