@@ -24,18 +24,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: What the kinds look like, in the order in which they are tried at a place.
+#: Characters of an account number by country, and digits after the country code where a country has one length.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+PHONE_DIGITS = {8: "45|47|65|852", 9: "27|31|33|34|41|48|61|351|380|420", 10: "1|7|52|57|90|91"}
+_END = r"(?![\p{L}\p{N}])"
+_IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
+_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4})(?![\p{L}\p{N}]|[./-]\d)"
+_SSN = r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"
+_LOCAL = r"(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})"
+_CARD = r"(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})"
+#: A group of digits that goes on a number is not the beginning of another one.
+_SAME = rf"(?!{_IPV4}|{_DATE}|{_SSN}|{_LOCAL}{_END}|{_CARD}{_END})"
+_BREAK = r"(?: ?\(|\) ?|[ .-])"
+_FIXED_IBAN = "|".join(rf"(?:{codes})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}{_END}" for n, codes in IBAN_CHARS.items())
+_FIXED_PHONE = "|".join(rf"\+(?:{codes})(?:{_BREAK}?\d){{{n}}}{_END}" for n, codes in PHONE_DIGITS.items())
+#: What the kinds may look like, in the order in which they are tried at a place. Shapes are as wide as validation allows:
+#: an account number ends where its country says, a telephone number at the last group within 15 digits, a card at one of
+#: the ends that _card tries.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: \d{4}){1,6}(?: \d{1,3})?)(?![\p{L}\p{N}])",
-    "ipv4": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
-    "date": r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?![\p{L}\p{N}]|[./-]\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\) ?\d{3,4}[ .-]\d{4}|\+\d{8,15}|\+\d{1,3} \d(?: \d{2}){4}|\+\d{1,3}(?: \d{2,4}){2,3}|\+\d{1,3}(?:-\d{2,4}){2,3}|\+\d{1,3}(?:\.\d{2,4}){2,3}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
-    "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\p{L}\p{N}])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?:{_FIXED_IBAN}|[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}| [A-Z0-9]{{4}}(?: \d{{4}}){{1,6}}(?: \d{{1,3}})?){_END})",
+    "ipv4": rf"(?<![\p{{L}}\p{{N}}.]){_IPV4}",
+    "date": rf"(?<![\p{{L}}\p{{N}}./-]){_DATE}",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:{_FIXED_PHONE}|(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\) ?\d{{3,4}}[ .-]\d{{4}}{_END}|\+\d(?:{_BREAK}?\d){{7}}(?:(?:{_BREAK}{_SAME})?\d){{0,7}}{_END}|{_LOCAL}{_END})",
+    "ssn": rf"(?<![\p{{L}}\p{{N}}-]){_SSN}",
+    "card": rf"(?<![\p{{L}}\p{{N}}])(?:\d{{4}}(?: \d{{4}}){{3}} {_SAME}\d{{1,3}}|\d{{4}}(?:-\d{{4}}){{3}}-{_SAME}\d{{1,3}}|{_CARD}|\d(?:(?:[ -]{_SAME})?\d){{12,18}}){_END}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([./])\d{1,2}\1\d{4}", r"(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}")
-PATTERNS["date"] = PATTERNS["date"].replace(r"([./])\d{1,2}\1\d{4}", r"(?:\.\d{1,2}\.|/\d{1,2}/)\d{4}")
+
+
+def _any(kinds) -> str:
+    return "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
 
 
 def _let(value: Column, body) -> Column:
@@ -106,12 +129,22 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def _card(key: str, m: Column) -> Column:
+    """Of the ends of groups within m the last at which 13 to 19 digits pass Luhn; what stands behind it stays."""
+
     def body(d: Column) -> Column:
         made = permuted_digits(key, "card", d.substr(F.lit(1), F.length(d) - 1))
-        whole = _let(made, lambda p: F.concat(p, ((10 - luhn_sum(p, 0) % 10) % 10).cast("string")))
-        return F.when((luhn_sum(d, 1) % 10 == 0) & F.length(d).between(13, 19), refilled(m, whole))
+        return _let(made, lambda p: F.concat(p, ((10 - luhn_sum(p, 0) % 10) % 10).cast("string")))
+
+    def passes(end: Column) -> Column:
+        whole = ~m.substr(end + 1, F.lit(1)).between("0", "9")
+        return whole & _let(_digits(m.substr(F.lit(1), end)), lambda d: F.length(d).between(13, 19) & (luhn_sum(d, 1) % 10 == 0))
 
-    return _let(_digits(m), body)
+    def ended(end: Column) -> Column:
+        shape = m.substr(F.lit(1), end)
+        return F.when(end.isNotNull(), F.concat(refilled(shape, _let(_digits(shape), body)), m.substr(end + 1, F.length(m))))
+
+    ends = F.sequence(F.length(m), F.least(F.lit(13), F.length(m)), F.lit(-1))
+    return _let(F.get(F.filter(ends, passes), 0), ended)
 
 
 def _rest97(text: Column) -> Column:
@@ -209,35 +242,45 @@ def _email(key: str, m: Column) -> Column:
 _MAKERS = {"email": _email, "iban": _iban, "ipv4": _ipv4, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
-def _chosen(fields, kind: str, rest: Column):
-    return lambda v: F.when(v.isNotNull(), fields(F.lit(kind), v)).otherwise(rest)
+def replacement(key: str, m: Column, kinds=tuple(_MAKERS)) -> Column:
+    """A struct (kind, value) for one match: of the first of kinds whose shape and validation hold, else (null, m)."""
+
+    def tried(kind: str) -> Column:
+        valid = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _MAKERS[kind](key, m))
+        return _let(valid, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
+
+    return F.coalesce(*map(tried, kinds), F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
 
 
-def replacement(key: str, m: Column) -> Column:
-    """A struct (kind, value) for one match: of the first kind whose shape and validation hold, else (null, m)."""
-    fields = lambda kind, value: F.struct(kind.cast("string").alias("kind"), value.alias("value"))
-    made = fields(F.lit(None), m)
-    for kind, maker in reversed(_MAKERS.items()):
-        valid = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), maker(key, m))
-        made = _let(valid, _chosen(fields, kind, made))
-    return made
+def _joined(text: Column, kinds, values: Column) -> Column:
+    """text with values in place of its matches."""
+    between = F.split(text, _any(kinds), -1)
+    return F.array_join(F.zip_with(between, F.array_append(values, F.lit("")), lambda a, b: F.concat(a, b)), "")
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with text pseudonymised and pii_kinds, the kinds replaced in order of place.
 
     A null text stays null and an empty one empty, with no kinds; a text without anything
-    that validates comes out as it went in. Other columns and repeated rows are kept; a
-    column named pii_kinds is replaced."""
+    that validates comes out as it went in. What looks like an account number and is none
+    may still hold other numbers. Other columns and repeated rows are kept; a column named
+    pii_kinds is replaced."""
     text = F.col("text")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    outer, inner = tuple(_MAKERS), tuple(k for k in _MAKERS if k not in ("email", "iban"))
+    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_any(outer)), F.lit(0)))
     spotted = docs.withColumn("pii_found_", found)
-    made = F.when(F.size("pii_found_") > 0, F.transform("pii_found_", lambda m: replacement(key, m)))
-    mapped = spotted.withColumn("pii_made_", made)
-    between = F.split(text, ANY, -1)
-    values = F.array_append(F.transform("pii_made_", lambda r: r["value"]), F.lit(""))
-    joined = F.array_join(F.zip_with(between, values, lambda a, b: F.concat(a, b)), "")
-    kinds = F.filter(F.transform("pii_made_", lambda r: r["kind"]), lambda k: k.isNotNull())
-    changed = mapped.withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
+    mapped = spotted.withColumn("pii_made_", F.when(F.size("pii_found_") > 0, F.transform("pii_found_", lambda m: replacement(key, m))))
+
+    def second(r: Column) -> Column:
+        held = F.when(r["kind"].isNull() & r["value"].rlike(r"^[A-Z]{2}\d{2}"), F.regexp_extract_all(r["value"], F.lit(_any(inner)), F.lit(0)))
+        made = F.transform(held, lambda m: replacement(key, m, inner))
+        within = lambda x: F.struct(F.transform(x, lambda y: y["kind"]).alias("kinds"), _joined(r["value"], inner, F.transform(x, lambda y: y["value"])).alias("value"))
+        once = F.struct(F.array(r["kind"]).alias("kinds"), r["value"].alias("value"))
+        return F.when(F.size(held) > 0, _let(made, within)).otherwise(once)
+
+    again = mapped.withColumn("pii_made_", F.transform("pii_made_", second))
+    joined = _joined(text, outer, F.transform("pii_made_", lambda r: r["value"]))
+    kinds = F.filter(F.flatten(F.transform("pii_made_", lambda r: r["kinds"])), lambda k: k.isNotNull())
+    changed = again.withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
     new = F.when(F.size("pii_kinds") > 0, joined).otherwise(text)
     return changed.withColumn("text", new).drop("pii_found_", "pii_made_")

@@ -90,6 +90,32 @@ def test_pseudonyms_link_and_keep_format(spark):
     assert other.text != one.text
 
 
+def test_pseudonyms_take_every_valid_shape(spark):
+    """Letters in any group of an account number, telephone groups of any length, cards of 14 and 19 digits; and neighbours stay apart."""
+    whole = [
+        "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "GB29NWBK60161331926819", "+44 7911 123456", "+49 30 1234567", "+41 44 668 18 00",
+        "+44 (0)20 7946 0958", "+1 555-123-4567", "3056 930902 5904", "4000 0000 0000 0000 006", "4111-1111-1111-1111", "6200000 000000000000",
+    ]
+    pairs = [
+        ("FR14 2004 1010 0505 0001 3M02 606", "4111 1111 1111 1111"), ("+41 44 668 18 00", "4111 1111 1111 1111"), ("+49 30 1234567", "4111 1111 1111 1111"),
+        ("4111 1111 1111 1111", "4012 8888 8888 1881"), ("+49 30 1234567", "2021-02-28"), ("4111 1111 1111 1111", "13.05.1999"), ("4111 1111 1111 1111", "123-45-6789"), ("+41 44 668 18 00", "+41 44 668 18 01"),
+    ]
+    texts = whole + [f"{a} {b}" for a, b in pairs] + ["4111 1111 1111 1111 123", "order 12345 4111 1111 1111 1111", "XX12 4111 1111 1111 1111", "+41-44-668-18-00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {texts[r.doc_id]: r for r in pseudonyms.pseudonymised(df, "key").collect()}
+    for text in whole:
+        assert len(got[text].pii_kinds) == 1 and got[text].text != text and [c.isdigit() for c in got[text].text] == [c.isdigit() for c in text], text
+    alone = {x for pair in pairs for x in pair}
+    single = {r.text: r.made for r in pseudonyms.pseudonymised(spark.createDataFrame([(x, x) for x in alone], "text string, made string"), "key").select(F.col("made").alias("text"), F.col("text").alias("made")).collect()}
+    for a, b in pairs:
+        assert got[f"{a} {b}"].text == f"{single[a]} {single[b]}", (a, b)
+    card = single["4111 1111 1111 1111"]
+    assert got["4111 1111 1111 1111 123"].text == f"{card} 123"
+    assert got["order 12345 4111 1111 1111 1111"].text == f"order 12345 {card}"
+    assert got["XX12 4111 1111 1111 1111"].text == f"XX12 {card}"
+    assert got["+41-44-668-18-00"].text.replace("-", " ") == single["+41 44 668 18 00"]
+
+
 def test_pseudonyms_edges(odd, none):
     rows = pseudonyms.pseudonymised(odd.withColumn("pii_kinds", F.lit(1)), "k").collect()
     assert len(rows) == len(ODD)
