@@ -4,7 +4,7 @@ For each language the suffix automaton of a sample of its labelled text accepts
 substrings of the sample. A text is parsed from left to right into longest phrases that the
 sample holds; the language that needs the fewest phrases, normalised by how many its own
 held-back text needs, wins. The count of phrases a symbol, times the logarithm of the sample's
-length, estimates the cross entropy.
+length, estimates the cross entropy, so samples of different lengths can be compared.
 
 Texts are read as letters in lower case with single spaces for all else. For speed a text is
 parsed in blocks of BLOCK symbols that advance side by side through the transition table; a
@@ -31,7 +31,7 @@ SAMPLE_DOCUMENTS = 96
 SAMPLE_SYMBOLS = 60_000
 #: All samples together, which bounds the automata at some 300 MB.
 ALL_SYMBOLS = 480_000
-#: Lengths in characters of the documents that a sample may take.
+#: Lengths in characters of the documents that a sample takes first; others follow where a language has too few, the longer ones with their first part.
 SAMPLE_LENGTHS = (200, 10_000)
 SYMBOLS = 96
 BLOCK = 256
@@ -110,14 +110,22 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[np.ndarray]], held: dict[str, list[np.ndarray]]):
         self.languages = sorted(samples)
         joined = [np.concatenate([x for s in samples[k] for x in (s, np.array([0x20], np.uint32))]) for k in self.languages]
-        size = min([SAMPLE_SYMBOLS, ALL_SYMBOLS // max(1, len(joined)), *map(len, joined)])
+        size, room = SAMPLE_SYMBOLS, ALL_SYMBOLS
+        for k, n in enumerate(sorted(map(len, joined))):  # what short samples leave is for the others
+            size = min(SAMPLE_SYMBOLS, room // (len(joined) - k))
+            room -= min(n, size)
         counts = np.bincount(np.concatenate([*joined, np.zeros(0, np.uint32)]).astype(np.int64), minlength=0x110000)
         frequent = np.argsort(-counts, kind="stable")[: SYMBOLS - 1]
         self.alphabet = frequent[counts[frequent] > 0].astype(np.uint32)
         self.texts = [self.codes(text[:size]) for text in joined]
-        self.bits = math.log2(max(2, size))
+        sizes = np.array([len(text) for text in self.texts], np.int64)
+        self.bits = np.log2(np.maximum(2, sizes))
         self.base = np.ones(len(self.languages))
-        self.base = np.array([np.mean([r[0][k] for r in self.rates(held.get(name) or samples[name][-8:])] or [1.0]) for k, name in enumerate(self.languages)])
+        own = [np.mean([r[0][k] for r in self.rates(held.get(name) or samples[name][-8:])] or [1.0]) for k, name in enumerate(self.languages)]
+        needs = np.array(own) * self.bits
+        # A small sample needs many bits for its own text too; to divide by them would hide how badly it fits others.
+        if len(sizes):
+            self.base = np.minimum(needs, needs[2 * sizes >= sizes.max()].max()) / self.bits
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         """Symbols of code points; 0 is one that no sample has among its frequent ones."""
@@ -181,29 +189,35 @@ class CrossParser:
                 yield UNKNOWN, 0.0
                 continue
             best = int(np.argmin(rate))
-            weights = np.exp2(-(rate - rate[best]) * self.base[best] * self.bits * min(size, 40))
+            weights = np.exp2(-(rate - rate[best]) * self.base[best] * self.bits[best] * min(size, 40))
             yield self.languages[best], float(1 / weights.sum())
 
 
 def learned(docs: DataFrame, training: Column) -> CrossParser:
     """The parser learnt from labelled documents where training holds; at most 1.5 * SAMPLE_DOCUMENTS rows a language reach the driver.
 
-    The rows of a language are ranked by a hash of their text, so copies stand together and
-    count once."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "doc_id")
+    Copies count once: Spark ranks the distinct hashes of a language's texts, and only the
+    texts of the first ones are fetched. A language with a single text holds back its end."""
+    rank = Window.partitionBy("lang").orderBy("odd_", "hash_")
     keep = SAMPLE_DOCUMENTS + SAMPLE_DOCUMENTS // 2
-    fit = F.length("text").between(*SAMPLE_LENGTHS)
-    known = docs.where(training).where(F.col("lang").isNotNull() & fit).select("doc_id", "lang", "text")
-    rows = known.withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= keep).select("lang", "text", "rank_").collect()
+    known = docs.where(training).where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("hash_"))
+    odd = (~F.length("text").between(*SAMPLE_LENGTHS)).cast("int").alias("odd_")
+    keys = known.select("lang", "hash_", odd).distinct().withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= keep)
+    picked = known.join(F.broadcast(keys), ["lang", "hash_"])
+    rows = picked.groupBy("lang", "rank_").agg(F.min(F.substring("text", 1, SAMPLE_LENGTHS[1])).alias("text")).collect()
     samples: dict[str, list] = {}
     held: dict[str, list] = {}
-    seen = set()
-    for row in sorted(rows, key=lambda r: (r["lang"], r["rank_"])):
-        if (row["lang"], row["text"]) in seen:
-            continue
-        seen.add((row["lang"], row["text"]))
-        part = samples if len(samples.get(row["lang"], [])) < SAMPLE_DOCUMENTS and (len(seen) % 3 or row["lang"] not in samples) else held
-        part.setdefault(row["lang"], []).append(folded(row["text"]))
+    for at, row in enumerate(sorted(rows, key=lambda r: (r["lang"], r["rank_"])), 1):
+        text = folded(row["text"])
+        if len(text):
+            part = samples if len(samples.get(row["lang"], [])) < SAMPLE_DOCUMENTS and (at % 3 or row["lang"] not in samples) else held
+            part.setdefault(row["lang"], []).append(text)
+    for name, parts in samples.items():
+        if name not in held and len(parts) > 1:
+            held[name] = [parts.pop()]
+        elif name not in held and len(parts[0]) > 2:
+            end = len(parts[0]) * 2 // 3
+            parts[0], held[name] = parts[0][:end], [parts[0][end:]]
     return CrossParser(samples, held)
 
 

@@ -207,6 +207,24 @@ def test_language_id(spark, odd, none):
     assert {(r.lang_pred, r.lang_score) for r in language_id.identified(odd, empty).collect()} == {("und", 0.0)}
 
 
+def test_language_id_with_rare_labels_and_copies(spark):
+    """A label with one short text, a language of short texts only, and many copies of one text leave the others' samples whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    copied = docs.where(~held & (F.length("text").between(200, 400))).groupBy("lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    copies = copied.crossJoin(spark.range(400)).select(F.lit(-1).cast("bigint").alias("doc_id"), "lang", "text")
+    rare = spark.createDataFrame([(-2, "xx", "zwq vrk ptl " * 17)] + [(-3, "yy", f"plouk{'abcde'[k % 5]} trizb groum{'aeiou'[k % 5]} vlaxk dwont{'xyz'[k % 3]}") for k in range(60)], "doc_id bigint, lang string, text string")
+    training = docs.where(~held).unionByName(copies).unionByName(rare)
+    parser = language_id.learned(training, F.lit(True))
+    assert {"xx", "yy"} <= set(parser.languages)
+    sizes = dict(zip(parser.languages, map(len, parser.texts), strict=True))
+    assert all(n > 20_000 for k, n in sizes.items() if k not in ("xx", "yy")), sizes
+    rows = language_id.identified(docs.where(held), parser).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+    new = spark.createDataFrame([("trizb plouka vlaxk groume dwontx trizb vlaxk",)], "text string")
+    assert language_id.identified(new, parser).first().lang_pred == "yy"
+
+
 def test_decontamination(spark, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     item = bench.first()
