@@ -3,7 +3,8 @@
 The fixed forms are assignments to names such as password or token, access keys, and long
 runs of lower-case hexadecimal digits. Beyond them, a run of token characters that a byte-pair
 vocabulary of natural text encodes with few characters a token is random: words are what
-such a vocabulary compresses. Known digests and identifiers are left out of that test.
+such a vocabulary compresses. Left out of that test are UUIDs, digests of known length, numbers,
+and names and paths all of whose parts are words by the vocabulary.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_CHARS = 8
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "token")
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9+/_=-]+"  # numbers, rulers
-    r"|/?(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4})(?:[+/_=-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}))*/?"  # names of words, paths
-    r"|[A-Za-z]+[0-9]{0,4}"
 )
+SEPARATORS = re.compile(r"[+/_=-]+")
+PART = re.compile(r"([A-Za-z]*)[0-9]{0,4}")
 #: A run of fewer characters a token than this is random.
 CHARS_A_TOKEN = 2.4
 
@@ -48,11 +49,22 @@ class TokenEfficiency:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def word(self, part: str) -> bool:
+        """A part of a name or path: a number of up to four digits, or a word that the vocabulary holds or compresses, with such a number."""
+        m = PART.fullmatch(part)
+        if not m:
+            return False
+        letters = m.group(1).lower() if m.group(1).isupper() or m.group(1).istitle() else m.group(1)
+        n = len(self.encode(letters))
+        return n <= 1 or len(letters) >= CHARS_A_TOKEN * n
+
     def random(self, run: str) -> bool:
         if len(run) in DIGEST_CHARS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
             return False
         if IDENTIFIER.fullmatch(run):
             return False
+        if all(map(self.word, filter(None, SEPARATORS.split(run)))):
+            return False
         return len(run) < CHARS_A_TOKEN * len(self.encode(run))
 
 

@@ -195,6 +195,21 @@ def test_secret_scan_edges(odd, none):
     assert secrets_scan.scanned(none, file).count() == 0
 
 
+def test_secret_scan_tells_letter_keys_from_words(spark):
+    """Random letters are found with and without digits or separators, from 16 characters; words, names and paths are not."""
+    keys = ["xKqWzRtYpLmNbVcXzAsDqPwE", "qzxvkjwpfhgtbmxqzvkw", "xKqWzRtYpLmNbVcXzAsD42", "xKqWzRtYpL/mNbVcXzAsDqPwE", "xKq9WzR7tYpL2mNb"]
+    plain = [
+        "internationalization", "INTERNATIONALIZATION", "getElementsByTagNameAndClass", "src/main/python/operators", "long_variable_name_with_words", "/usr/local/share/applications/",
+        "Commission2000-Report-2004", "123e4567-e89b-12d3-a456-426614174000", "0000-1111-2222-3333", "====================",
+    ]
+    df = spark.createDataFrame([(x, f"see {x} here") for x in keys + plain], "x string, text string")
+    got = {r.x: r.secret_spans for r in secrets_scan.scanned(df, tokenizer_path("byte_bpe_50k.tiktoken")).collect()}
+    for x in keys:
+        assert [(s.kind, s.start, s.end) for s in got[x]] == [("token", 4, 4 + len(x))], x
+    for x in plain:
+        assert got[x] == [], x
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
