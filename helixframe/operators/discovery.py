@@ -1,17 +1,21 @@
-"""Motif discovery by expectation-maximisation, one task a sequence set, and motif comparison.
+"""Motif discovery by expectation-maximisation in Spark rounds over whole sequence sets, and motif comparison.
 
 This is the published mixture model in its two forms, one motif a sequence or at most one.
 It gives matrices and site counts; significance values of external programs are not imitated."""
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A set takes part with at most so many sequences in one task; a larger set is worked on by its keyed sample of that size.
-MOST_SEQUENCES = 2000
+#: Expectation-maximisation starts from so many sequences of a set and runs at most so many rounds.
+SEEDS, ROUNDS = 8, 40
+#: Words of at most so many letters are looked up at once; rows that a task holds as arrays at once.
+WORD, ROWS = 8, 512
 
 
 def _encoded(seqs: list[str]) -> np.ndarray:
@@ -60,19 +64,133 @@ def expectation_maximisation(codes: np.ndarray, width: int, model: str, rounds:
     return best
 
 
-def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
-    """task, pwm, sites, score and n for the sequence sets (task, doc_id, seq of one length); the sets run side by side."""
-    from pyspark.sql import Window
+def _words(codes: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each piece of at most WORD columns of the windows the number of its word; 4 ** columns where a letter of the window is unknown."""
+    last = codes.shape[1] - width + 1
+    usable = np.ones((len(codes), last), bool)
+    for j in range(width):
+        usable &= codes[:, j : j + last] < 4
+    pieces = []
+    for lo in range(0, width, WORD):
+        n = min(WORD, width - lo)
+        word = np.zeros((len(codes), last), np.int32)
+        for j in range(lo, lo + n):
+            word = word * 4 + codes[:, j : j + last]
+        pieces.append(np.where(usable, word, 4**n))
+    return pieces
+
+
+def _tables(ratio: np.ndarray) -> list[np.ndarray]:
+    """For each piece the product of the columns' ratios by word, and 0 for a word with an unknown letter."""
+    tables = []
+    for lo in range(0, len(ratio), WORD):
+        made = np.ones(1)
+        for row in ratio[lo : lo + WORD]:
+            made = (made[:, None] * row[None, :]).ravel()
+        tables.append(np.append(made, 0.0))
+    return tables
+
+
+def _letters(sums: np.ndarray, columns: int) -> np.ndarray:
+    """Counts [columns, 4] from the sums by word."""
+    cube = sums[:-1].reshape((4,) * columns)
+    return np.stack([cube.sum(tuple(x for x in range(columns) if x != j)) for j in range(columns)])
+
+
+def _expected(codes: np.ndarray, width: int, model: str, states: list[tuple[int, np.ndarray, float]]) -> dict[int, np.ndarray]:
+    """For each start (number, ratios of matrix and background, share): log likelihood ratio, sequences with a site, sites and counts."""
+    last = codes.shape[1] - width + 1
+    words = _words(codes, width)
+    out = {}
+    for seed, ratio, share in states:
+        weight = np.ones((len(codes), last))
+        for word, by_word in zip(words, _tables(ratio), strict=True):
+            weight *= by_word[word]
+        total = weight.sum(1)
+        mass = total / last
+        if model == "zoops":
+            has, now = share * mass / (share * mass + (1 - share)), np.log(share * mass + (1 - share))
+        else:
+            has, now = (mass > 0).astype(float), np.log(np.maximum(mass, 1e-300))
+        place = weight * (has / np.maximum(total, 1e-300))[:, None]
+        counts = []
+        for k, word in enumerate(words):
+            n = min(WORD, width - k * WORD)
+            counts.append(_letters(np.bincount(word.ravel(), place.ravel(), 4**n + 1), n))
+        out[seed] = np.concatenate([[now.sum(), has.sum(), place.sum()], np.concatenate(counts).ravel()])
+    return out
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once, in the folder that spark.checkpoint.dir names or, where none is set (local tests), a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
 
-    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    bounded = tasks.withColumn("rank_", rank).where(F.col("rank_") <= MOST_SEQUENCES)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        pwm, sites, score = expectation_maximisation(_encoded(rows["seq"].tolist()), width, model)
-        return pd.DataFrame({"task": [rows["task"].iloc[0]], "pwm": [[list(r) for r in pwm]], "sites": [sites], "score": [score], "n": [len(rows)]})
+def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
+    """task, pwm, sites, score and n for the sequence sets (task, doc_id, seq of one length in a set).
 
-    return bounded.select("task", "doc_id", "seq").groupBy("task").applyInPandas(run, "task string, pwm array<array<double>>, sites double, score double, n bigint")
+    All sequences take part: in each round the tasks sum the expected counts of their rows
+    under the matrices so far, Spark adds them up by set and start, and the driver, which
+    holds SEEDS matrices a set, makes the next matrices. The starts are the sequences with
+    the smallest hashes of doc_id."""
+    from pyspark.sql import Window
+
+    spark = tasks.sparkSession
+    rows = _checkpointed(tasks.select("task", "doc_id", "seq"))
+    letter = lambda c: F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))).alias(c)
+    sets = {r["task"]: r for r in rows.groupBy("task").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("size"), *map(letter, "ACGT")).collect()}
+    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.xxhash64("doc_id"), "doc_id", "seq"))
+    starts: dict = {}
+    for r in sorted(rows.withColumn("rank_", rank).where(F.col("rank_") <= SEEDS).select("task", "seq", "rank_").collect(), key=lambda r: r["rank_"]):
+        starts.setdefault(r["task"], []).append(r["seq"])
+    back, state = {}, {}
+    for task, row in sets.items():
+        known = np.array([row[c] for c in "ACGT"], float)
+        back[task] = (known + 1) / (known.sum() + 4)
+        codes = _encoded(starts[task])
+        for seed in range(SEEDS):
+            at = seed * 104729 % (row["size"] - width + 1)
+            seen = codes[seed % len(codes), at : at + width]
+            state[task, seed] = {"pwm": 0.6 * np.eye(4)[np.where(seen < 4, seen, 0)] + 0.4 * back[task], "share": 0.5, "ratio": -np.inf, "sites": 0.0, "live": True}
+    for _ in range(ROUNDS):
+        sent: dict = {}
+        for (task, seed), x in state.items():
+            if x["live"]:
+                sent.setdefault(task, []).append((seed, x["pwm"] / back[task], x["share"]))
+        if not sent:
+            break
+
+        def summed(batches, sent=sent):
+            sums: dict = {}
+            for batch in batches:
+                for task, group in batch.groupby("task", dropna=False):
+                    task = None if pd.isna(task) else task
+                    for lo in range(0, len(group) if task in sent else 0, ROWS):
+                        for seed, made in _expected(_encoded(group["seq"].iloc[lo : lo + ROWS].tolist()), width, model, sent[task]).items():
+                            sums[task, seed] = sums.get((task, seed), 0) + made
+            for (task, seed), made in sums.items():
+                yield pd.DataFrame({"task": pd.Series([task] * len(made), dtype=object), "seed": seed, "k": range(len(made)), "value": made})
+
+        kind = rows.schema["task"].dataType.simpleString()
+        parts = rows.select("task", "seq").mapInPandas(summed, f"task {kind}, seed int, k int, value double")
+        found: dict = {}
+        for r in parts.groupBy("task", "seed", "k").agg(F.sum("value").alias("value")).collect():
+            found.setdefault((r["task"], r["seed"]), np.zeros(3 + 4 * width))[r["k"]] = r["value"]
+        for at, made in found.items():
+            x, counts = state[at], made[3:].reshape(width, 4)
+            if model == "zoops":
+                x["share"] = float(np.clip(made[1] / sets[at[0]]["n"], 1e-3, 1 - 1e-3))
+            x["pwm"], x["sites"] = (counts + 0.25) / (counts.sum(1, keepdims=True) + 1), float(made[2])
+            x["live"] = made[0] - x["ratio"] >= 1e-4
+            x["ratio"] = float(made[0]) if x["live"] else x["ratio"]
+    out = []
+    for task, row in sets.items():
+        best = max((state[task, seed] for seed in range(SEEDS)), key=lambda x: x["ratio"])
+        out.append((task, best["pwm"].tolist(), best["sites"], best["ratio"], row["n"]))
+    return spark.createDataFrame(out, f"task {rows.schema['task'].dataType.simpleString()}, pwm array<array<double>>, sites double, score double, n bigint")
 
 
 def compared(queries: DataFrame, targets: DataFrame, overlap: int) -> DataFrame:
