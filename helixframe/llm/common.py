@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is
-    set (local tests) does this take a temporary one."""
+    The folder is the one the session names in spark.checkpoint.dir. Only a local master may
+    go without (tests) and takes a temporary one; on a cluster, whose machines do not share
+    such a folder, this fails."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

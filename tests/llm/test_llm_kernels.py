@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from helixframe.llm import decontaminate, html_wrapper, language_id, packing, quality_classifier, secrets_scan
+from helixframe.llm import decontaminate, language_id, packing, quality_classifier, secrets_scan
 from helixframe.llm.tokenizers import tokenizer_path
 from helixframe.llm.wordhash import shingle_sets
 
@@ -161,29 +161,6 @@ def test_secret_spans_against_the_patterns():
         assert [s for s in secrets_scan.spans(t, efficiency) if s[1] < 3] == sorted(want)
 
 
-def test_wrapper_finds_the_place_of_unmarked_pages():
-    page = "<html><body><div id=top>Site</div><div class=menu><a>x</a></div><div id=c><h2>{0} title</h2><div>{0} one &amp; more</div><div>two\n {0}</div></div><section class='comments'><p>hi {0}</p></section><div>Copyright</div></body></html>"
-    pages = [page.format(w) for w in ("alpha", "beta", "gamma")]
-    known = html_wrapper.inferred(pages)
-    assert html_wrapper.main_text(pages[1], known) == "beta title\nbeta one & more\ntwo beta"
-    assert "Site" in known["template"] and "Copyright" in known["template"]
-
-
-def test_wrapper_groups():
-    page = lambda n, extra: "<ul>" + "".join(f"<li>item {k}</li>" for k in range(n)) + "</ul>" + extra + "<p>end</p>"
-    w = html_wrapper.inferred([page(3, ""), page(5, "<hr><i>ad</i>")])["wrapper"]
-    kinds = [x[0] for x in w]
-    assert kinds.count("+") == 1 and kinds.count("?") == 1
-    assert ["text", "end"] in w
-
-
-def test_marked_articles():
-    page = "<body><header>H</header><nav>n</nav><article><header><h1>T</h1></header><p>one<script>x</script> two<p><b>three<br>four<form>f</form><aside>s</aside><div class='share-bar'>sh</div></article><div id='comments'><article>c</article></div><footer>f</footer>"
-    assert html_wrapper.main_text(page, None) == "T\none two\nthree four"
-    assert html_wrapper.main_text("", None) == "" and html_wrapper.main_text("plain", None) == "plain"
-    assert html_wrapper.main_text("<p>a<!-- <p>no --> b <textarea>q", None) == "a b"
-
-
 def test_positive_unlabelled_fit():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (3000, quality_classifier.FEATURES)), rng.normal(-1, 1, (3000, quality_classifier.FEATURES))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_windows, components, decontaminate, html_wrapper, jaccard_join, language_id, packing, pseudonyms, quality_classifier, queries, secrets_scan, weak_supervision
+from helixframe.llm import chat_windows, components, decontaminate, jaccard_join, language_id, packing, pseudonyms, quality_classifier, queries, secrets_scan, weak_supervision
 from helixframe.llm.tokenizers import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -370,16 +370,7 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-# pages and chat
-
-
-def test_pages(spark):
-    page = "<html><body><nav>n</nav><article><h1>T&amp;é</h1><p>a  b\n c</p></article><footer>f</footer></body></html>"
-    rows = [(1, "http://a.example/x", page), (2, None, None), (3, "no url", ""), (4, "http://A.example/y", page), (4, "http://A.example/y", page), (5, "", "<p>only")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit(1))
-    got = html_wrapper.extracted(df).collect()
-    assert Counter((r.page_id, r.main_text) for r in got) == Counter({(1, "T&é\na b c"): 1, (2, ""): 1, (3, ""): 1, (4, "T&é\na b c"): 2, (5, "only"): 1})
-    assert html_wrapper.extracted(df.limit(0)).count() == 0
+# chat
 
 
 @pytest.mark.parametrize(("budget", "history"), [(1024, 2), (40, 0), (60, 3)])
