@@ -62,3 +62,17 @@ def byte_pieces(column: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tu
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + piece_bytes, "right")) - 1)
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """wanted, with underscores behind until none of them is a column already (names count alike in either case)."""
+    taken = {c.lower() for c in columns}
+    while taken & {w.lower() for w in wanted}:
+        wanted = tuple(w + "_" for w in wanted)
+    return list(wanted)
+
+
+def other_columns(df: DataFrame, *replaced: str) -> list[str]:
+    """The columns of df but those that are to be replaced."""
+    gone = {r.lower() for r in replaced}
+    return [c for c in df.columns if c.lower() not in gone]

@@ -17,15 +17,17 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import binary_values, small_batches
+from helixframe.llm.common import binary_values, checkpointed, free_names, other_columns, small_batches
 
 WINDOW_WORDS = 13
 BLOCK_WORDS = 3
 PATTERN_BYTES = 16 << 20
+#: What has been found is written down after so many passes, so that no plan grows with the benchmark.
+PASSES = 8
 
 #: Bytes of UTF-8 to what stands for them: letters in lower case, digits and all bytes
 #: beyond ASCII stay; all else separates words.
@@ -103,28 +105,16 @@ def item_blocks(benchmark: DataFrame, limit: int = PATTERN_BYTES) -> Iterator[li
         yield held
 
 
-_FOUND = "hit_n_words bigint, hit_spans array<struct<lo: bigint, hi: bigint>>, hit_items array<bigint>"
+_KINDS = ("bigint", "array<struct<lo: bigint, hi: bigint>>", "array<bigint>")
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with hit_n_words, hit_spans (disjoint word ranges) and hit_items (sorted ids).
-
-    Every row of docs is kept as it is, repeated rows and clashing names of other columns
-    included. A null or wordless text has no words and no hits; so has every document when
-    the benchmark is empty. Items with null id or text or without words have no windows; an
-    id that occurs twice owns the windows of both texts.
-    """
-    found = docs.withColumns(
-        {
-            "hit_n_words": F.lit(None).cast("bigint"),
-            "hit_spans": F.lit(None).cast("array<struct<lo: bigint, hi: bigint>>"),
-            "hit_items": F.lit(None).cast("array<bigint>"),
-        }
-    )
+def _searched(docs: DataFrame, benchmark: DataFrame, names: list[str]) -> DataFrame:
+    """docs with three more columns of free names: count of words, disjoint word ranges that are hit, and sorted ids of items."""
+    found = docs.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in zip(names, _KINDS, strict=True)])
     small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_FOUND).fields])
+    schema = T.StructType([*docs.schema.fields, *found.schema.fields[-3:]])
     context = docs.sparkSession.sparkContext
-    text_at = docs.columns.index("text")
+    text_at = [c.lower() for c in docs.columns].index("text")
     width = len(docs.columns)
 
     def search(held):
@@ -150,28 +140,47 @@ def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return scan
 
-    empty = True
+    passes = 0
     for block in item_blocks(benchmark):
-        empty = False
+        if passes and passes % PASSES == 0:
+            found = checkpointed(found)
         found = found.mapInArrow(search(context.broadcast(block)), schema)
-    return found.mapInArrow(search(context.broadcast([])), schema) if empty else found
+        passes += 1
+    return found if passes else found.mapInArrow(search(context.broadcast([])), schema)
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs with hit_n_words, hit_spans (disjoint word ranges) and hit_items (sorted ids).
+
+    Every row of docs is kept as it is, repeated rows included; columns with these names are
+    replaced. A null or wordless text has no words and no hits; so has every document when
+    the benchmark is empty. Items with null id or text or without words have no windows; an
+    id that occurs twice owns the windows of both texts.
+    """
+    names = ["hit_n_words", "hit_spans", "hit_items"]
+    return _searched(docs.select(other_columns(docs, *names)), benchmark, names)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, list[str], Column]:
+    """docs with three columns of free names, these names, and whether a document is contaminated."""
+    names = free_names(docs.columns, "hit_n_words", "hit_spans", "hit_items")
+    n_hit = F.aggregate(names[1], F.lit(0).cast("bigint"), lambda total, s: total + s["hi"] - s["lo"])
+    return _searched(docs, benchmark, names), [*names, n_hit], (n_hit > 0) & (20 * n_hit >= F.col(names[0]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted as strings) and contaminated, by their hits.
 
     A document is contaminated when it has hit words and they are at least a twentieth of
-    its words. Columns of docs with these names are replaced."""
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")]
-    hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda total, s: total + s["hi"] - s["lo"])
-    return (
-        find_windows(docs.select(own), benchmark)
-        .withColumns({"n_words": F.col("hit_n_words"), "n_hit": hit, "n_items": F.size("hit_items").cast("bigint"), "items": F.array_sort(F.transform("hit_items", lambda x: x.cast("string")))})
-        .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
-        .drop("hit_n_words", "hit_spans", "hit_items")
-    )
+    its words. Columns of docs with these names are replaced, others are kept, whatever
+    they are called."""
+    own = other_columns(docs, "n_words", "n_hit", "n_items", "items", "contaminated")
+    found, (n_words, _, ids, n_hit), contaminated = _judged(docs.select(own), benchmark)
+    items = F.array_sort(F.transform(ids, lambda x: x.cast("string")))
+    return found.select(*own, F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("bigint").alias("n_items"), items.alias("items"), contaminated.alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs."""
-    return contamination(docs, benchmark).where("not contaminated").select(docs.columns)
+    """The rows of docs that are not contaminated, with the columns of docs as they were."""
+    found, _, contaminated = _judged(docs, benchmark)
+    return found.where(~contaminated).select(docs.columns)

@@ -255,12 +255,23 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contamination(none, bench).count() == 0
 
 
+def test_decontamination_with_clashing_names(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x a b c", 7, "mine", "s", "w"), (2, "y", 8, "mine", "s", "w")], "doc_id bigint, text string, hit_items bigint, Hit_Spans string, hit_n_words string, n_words string")
+    kept = decontaminate.decontaminated(docs, bench)
+    assert [tuple(r) for r in kept.collect()] == [(2, "y", 8, "mine", "s", "w")] and kept.columns == docs.columns
+    rows = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert rows[1].hit_items == 7 and rows[1].n_words == 4 and rows[1]["items"] == ["1"] and rows[1].contaminated
+    assert [r.hit_items for r in decontaminate.find_windows(docs, bench).orderBy("doc_id").collect()] == [[1], []]
+
+
 def test_item_blocks_add_up(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"p{k} q{k} r{k}") for k in range(9)] + [(None, "x"), (10, None)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "p0 q0 r0 p8 q8 r8 z"), (2, "p0 q0")], "doc_id bigint, text string")
     whole = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
     plain = decontaminate.item_blocks
     monkeypatch.setattr(decontaminate, "item_blocks", lambda b: plain(b, 20))
+    monkeypatch.setattr(decontaminate, "PASSES", 2)
     assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == whole
     assert "n_hit=6" in whole[0]
 
