@@ -38,18 +38,28 @@ _LOWER = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MARKS = b".,;:!?&%$*#|"
 
 
+#: What the tokenizer's control strings begin with; they are told by case, so texts with them are not put in lower case.
+_CONTROL = b"<|"
+
+
+def _latin(word: bytes) -> bool:
+    """Whether a word holds Latin letters only and does so in lower case too (the dotted I falls apart there)."""
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
+
+
 class WordTokens:
     """Token ids of whole texts through a memo by word.
 
     It serves tokenizers that work in lower case, mark word ends, drop white space and never
     join across it nor between a letter and the marks in _MARKS; then the ids of a text are
-    those of its words, one after another."""
+    those of its words, one after another. Control strings in a text are what the tokenizer
+    makes of them. Words of other letters than Latin ones are encoded one by one."""
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
@@ -57,7 +67,7 @@ class WordTokens:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text in UTF-8 as little-endian unsigned 32-bit numbers."""
-        parts = [text.translate(_LOWER).split() for text in texts]
+        parts = [(text if _CONTROL in text else text.translate(_LOWER)).split() for text in texts]
         seen = set(chain.from_iterable(parts))
         if len(self.memo) > MEMO_WORDS:  # of the words, those of this group stay, among them all frequent ones
             self.memo = {w: self.memo[w] for w in seen.intersection(self.memo)}
@@ -69,7 +79,7 @@ class WordTokens:
         memo, plain, marked, odd = self.memo, set(), [], set()
         for word in new:
             stem = word.rstrip(_MARKS)
-            if not stem.decode().isalpha():
+            if not (stem.isalpha() or _latin(stem)):
                 odd.add(word)
                 continue
             if len(stem) < len(word):

@@ -89,7 +89,6 @@ def test_memo_gives_the_tokenizer_s_ids():
 
     path = tokenizer_path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = ["", " ", "Hello, WORLD!! it's a b2b été İx \x0b tab\tend.", "x" * 300, "a b  c", "don't. 'll 'S ... 12,5 ñandú"]
     tokens = packing.WordTokens(path)
     for _ in range(2):
@@ -97,6 +96,21 @@ def test_memo_gives_the_tokenizer_s_ids():
             assert got == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_memo_on_random_strings():
+    """10,000 strings of letters that change in lower case, marks, digits, scripts and control strings."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    plain, tokens = Tokenizer.from_file(path), packing.WordTokens(path)
+    rng = random.Random(6)
+    bits = [*"aBéÉİıǅǆßẞſΣςσЖжÅΩ中あ가ª²½\u0301\u0307\u0308\u200d\u00a0\u3000\x1c\x85", "'s", "'LL", *".,;:!?&%$*#|<>'\"", *"0123", " ", " ", "\t", "\n", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "hello", "WORLD"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(10_000)]
+    got = tokens.ids([t.encode() for t in texts])
+    wrong = [t for t, g, m in zip(texts, got, plain.encode_batch(texts, add_special_tokens=False), strict=True) if g != np.array(m.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:5]
+    assert np.frombuffer(tokens.ids([b"a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
+
+
 def test_suffix_automaton_holds_all_substrings_and_no_other():
     rng = random.Random(3)
     text = [rng.randint(1, 3) for _ in range(60)]

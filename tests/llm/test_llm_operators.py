@@ -284,7 +284,6 @@ def test_packing(spark, odd, none):
 
     path = tokenizer_path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     docs = odd.union(documents(spark).select("doc_id", "text", "lang", "source", "n_chars"))
     rows = packing.pack(packing.cut_pieces(docs, path), shard_pieces=50).collect()
     by = defaultdict(list)
