@@ -3,8 +3,9 @@
 Each rule looks at a document's counts and votes 1 (good), 0 (bad) or abstains (null).
 Expectation-maximisation over the table of vote patterns (at most 3 ** rules rows, however
 many documents) estimates each rule's accuracy in both classes and the share of good
-documents; the posterior probability of being good then decides, in place of a demand that
-a document pass every rule.
+documents, freely and from several starts, of which the likeliest end is taken; the class
+whose documents the rules more often call good is the good one. The posterior probability of
+being good then decides, in place of a demand that a document pass every rule.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ el los las y del se con por su para al lo es""".split()
 
 #: A power of two: windows are hashed by doubling.
 WINDOW_WORDS = 8
-GOOD_START, GOOD_RANGE = 0.97, (0.9, 0.999)
-BAD_START, BAD_RANGE = 0.6, (0.4, 0.97)
+#: Where expectation-maximisation begins: the share of good documents, and the chance of a good vote on good and on bad ones.
+STARTS = ((0.5, 0.97, 0.6), (0.9, 0.9, 0.4), (0.1, 0.9, 0.4), (0.5, 0.8, 0.2))
 SYMBOLS = "[#*$%&|<>]"
 #: A word of letters with one usual mark after it at most.
 CLEAN_WORD = r"(?<![^\x20\x09-\x0D])[\p{L}'’-]++[.,;:?!]?(?![^\x20\x09-\x0D])"
@@ -119,7 +120,8 @@ def rules() -> dict[str, Column]:
         "capitals": vote(upper <= 0.1, upper > 0.3),
         "exclamations": vote(bangs <= 0.05, bangs > 0.25),
         "sentences": vote((stops >= 0.01) & (stops <= 0.35), (F.col("n_words") >= 40) & (stops < 0.002)),
-        "function_words": vote(F.col("n_known_") >= 3, (F.col("n_words") >= 30) & (F.col("n_known_") == 0)),
+        # without any of these words the text is in another language, or none: no vote
+        "function_words": vote(F.col("n_known_") >= 3, (F.col("n_words") >= 60) & F.col("n_known_").between(1, 2)),
         "repetition": vote((repeated <= 0.05) & (F.col("n_words") >= 20), repeated > 0.3),
         "copied_lines": vote((copied == 0) & (F.col("n_lines_") >= 2), copied > 0.4),
     }
@@ -138,31 +140,50 @@ def log_odds(votes: dict[str, Column], model: dict) -> Column:
     return total
 
 
-def fitted(patterns: DataFrame, names: list[str], rounds: int = 12, strength: float = 50.0) -> dict:
+def _array(rows: list[list[float]]) -> str:
+    return "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in row) + ")" for row in rows) + ")"
+
+
+def _log_chance(models: list, side: int) -> str:
+    """SQL for the log of the chance of the votes v and of the class (1 good, 2 bad), under model s."""
+    shares = _array([[math.log(m[0] if side == 1 else 1 - m[0])] for m in models])
+    up, down = _array([list(map(math.log, m[side])) for m in models]), _array([[math.log1p(-x) for x in m[side]] for m in models])
+    votes = f"transform(v, (x, i) -> case when x = 1 then {up}[s][i] when x = 0 then {down}[s][i] else 0.0D end)"
+    return f"aggregate({votes}, {shares}[s][0], (total, x) -> total + x)"
+
+
+def fitted(patterns: DataFrame, names: list[str], rounds: int = 60, tolerance: float = 1e-7, starts=STARTS) -> dict:
     """Expectation-maximisation over a table of vote patterns with their counts n.
 
     model["rules"][name] is (chance that the rule, when it votes on a good document, votes
-    good; the same on a bad one), drawn towards GOOD_START and BAD_START with the weight of
-    strength documents and kept within GOOD_RANGE and BAD_RANGE: a rule seldom votes bad on
-    a good document, while a bad document passes many rules that look at other faults.
-    Without documents the model is its start."""
-    model = {"prior": 0.8, "rules": dict.fromkeys(names, (GOOD_START, BAD_START))}
-    votes = {c: F.col(c) for c in names}
+    good; the same on a bad one); model["log_likelihood"] is that of the table. All starts
+    run side by side, one Spark job a round, until none gains more than tolerance of its
+    likelihood; half a document of each vote keeps the chances away from 0 and 1. Without
+    documents the model is the first start."""
+    count = len(names)
+    models = [(prior, [good] * count, [bad] * count) for prior, good, bad in starts]
+    # at most 3 ** rules rows: one partition, so that a round needs no shuffle
+    rows = patterns.coalesce(1).select(F.array(*names).alias("v"), "n", F.explode(F.sequence(F.lit(0), F.lit(len(models) - 1))).alias("s"))
+    likelihood = [-math.inf] * len(models)
     for _ in range(rounds):
-        weight = patterns.withColumn("good_", F.col("n") * _sigmoid(log_odds(votes, model))).withColumn("bad_", F.col("n") - F.col("good_"))
-        sums = [F.sum("good_").alias("good"), F.sum("n").alias("n")]
-        for k, c in enumerate(names):
-            for side in ("good_", "bad_"):
-                sums += [F.sum(F.when(F.col(c) == 1, F.col(side))).alias(f"{side}1_{k}"), F.sum(F.when(F.col(c).isNotNull(), F.col(side))).alias(f"{side}n_{k}")]
-        row = weight.agg(*sums).first()
-        if not row["n"]:
+        told = rows.selectExpr("v", "n", "s", f"{_log_chance(models, 1)} as g", f"{_log_chance(models, 2)} as b")
+        told = told.selectExpr("v", "n", "s", "n / (1 + exp(b - g)) as p", "greatest(g, b) + log1p(exp(-abs(g - b))) as l").selectExpr("*", "n - p as q")
+        each = [f"sum(if(v[{k}] {what}, {side}, 0)) as {side}{name}_{k}" for k in range(count) for side in "pq" for name, what in (("1", "= 1"), ("n", "is not null"))]
+        sums = [F.expr(x) for x in ["sum(p) as p", "sum(n * l) as l", "sum(n) as n", *each]]
+        found = {r["s"]: r for r in told.groupBy("s").agg(*sums).collect()}  # one row a start
+        if not found or not found[0]["n"]:
             break
-        near = lambda side, k, towards, lo, hi: min(hi, max(lo, ((row[f"{side}1_{k}"] or 0.0) + towards * strength) / ((row[f"{side}n_{k}"] or 0.0) + strength)))
-        model = {
-            "prior": min(0.999, max(0.5, row["good"] / row["n"])),
-            "rules": {c: (near("good_", k, GOOD_START, *GOOD_RANGE), near("bad_", k, BAD_START, *BAD_RANGE)) for k, c in enumerate(names)},
-        }
-    return model
+        chance = lambda r, side: [(r[f"{side}1_{k}"] + 0.5) / (r[f"{side}n_{k}"] + 1) for k in range(count)]
+        models = [((found[s]["p"] + 0.5) / (found[s]["n"] + 1), chance(found[s], "p"), chance(found[s], "q")) for s in range(len(models))]
+        gained = max(found[s]["l"] - likelihood[s] - tolerance * abs(found[s]["l"]) for s in range(len(models)))
+        likelihood = [found[s]["l"] for s in range(len(models))]
+        if gained <= 0:
+            break
+    best = max(range(len(models)), key=lambda s: likelihood[s])
+    prior, good, bad = models[best]
+    if sum(good) < sum(bad):
+        prior, good, bad = 1 - prior, bad, good
+    return {"prior": prior, "rules": dict(zip(names, zip(good, bad, strict=True), strict=True)), "log_likelihood": likelihood[best]}
 
 
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import chat_windows, components, decontaminate, jaccard_join, language_id, packing, pseudonyms, quality_classifier, queries, secrets_scan, weak_supervision
+from helixframe.llm.common import checkpointed
 from helixframe.llm.tokenizers import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -156,34 +157,58 @@ def test_weak_supervision(spark, odd, none):
     assert weak_supervision.judged(none).count() == 0
 
 
-def test_em_against_a_plain_loop(spark):
-    names = ["a", "b", "c"]
-    rng = random.Random(2)
-    votes = [(None if rng.random() < 0.2 else int(rng.random() < (0.95 if k % 4 else 0.6)), int(rng.random() < (0.97 if k % 4 else 0.5)), int(rng.random() < (0.9 if k % 4 else 0.7))) for k in range(400)]
-    counts = Counter(votes)
-    df = spark.createDataFrame([(*v, float(n)) for v, n in counts.items()], "a int, b int, c int, n double")
-    model = weak_supervision.fitted(df, names, rounds=6, strength=2.0)
-    prior, p = 0.8, {c: (weak_supervision.GOOD_START, weak_supervision.BAD_START) for c in names}
-    for _ in range(6):
-        good = {}
-        for v in counts:
-            odds = prior / (1 - prior)
-            for c, x in zip(names, v, strict=True):
+def planted_votes(rng, prior, many, good=(0.95, 0.9, 0.97, 0.85, 0.92), bad=(0.4, 0.3, 0.5, 0.2, 0.6)):
+    counts = Counter()
+    for _ in range(many):
+        side = good if rng.random() < prior else bad
+        counts[tuple(None if rng.random() < 0.1 else int(rng.random() < p) for p in side)] += 1
+    return counts
+
+
+def em_by_hand(counts, prior, good, bad, rounds):
+    """(log likelihood, prior, good, bad) of one start, in plain Python."""
+    total = None
+    for _ in range(rounds):
+        weight, total = {}, 0.0
+        for v, n in counts.items():
+            g, b = prior, 1 - prior
+            for x, p, q in zip(v, good, bad, strict=True):
                 if x is not None:
-                    odds *= p[c][0] / p[c][1] if x else (1 - p[c][0]) / (1 - p[c][1])
-            good[v] = odds / (1 + odds)
-        new = {}
-        for k, c in enumerate(names):
-            pair = []
-            for side, start, (lo, hi) in ((lambda v: good[v], weak_supervision.GOOD_START, weak_supervision.GOOD_RANGE), (lambda v: 1 - good[v], weak_supervision.BAD_START, weak_supervision.BAD_RANGE)):
-                up = sum(n * side(v) for v, n in counts.items() if v[k] == 1)
-                all_ = sum(n * side(v) for v, n in counts.items() if v[k] is not None)
-                pair.append(min(hi, max(lo, (up + start * 2) / (all_ + 2))))
-            new[c] = tuple(pair)
-        p, prior = new, min(0.999, max(0.5, sum(n * good[v] for v, n in counts.items()) / 400))
-    assert model["prior"] == pytest.approx(prior)
-    for c in names:
-        assert model["rules"][c] == pytest.approx(p[c])
+                    g, b = g * (p if x else 1 - p), b * (q if x else 1 - q)
+            weight[v], total = g / (g + b), total + n * np.log(g + b)
+        some = sum(counts.values())
+        up = lambda side, k: (sum(n * side(v) for v, n in counts.items() if v[k] == 1) + 0.5) / (sum(n * side(v) for v, n in counts.items() if v[k] is not None) + 1)  # noqa: E731, B023
+        good, bad = [up(lambda v: weight[v], k) for k in range(len(good))], [up(lambda v: 1 - weight[v], k) for k in range(len(good))]  # noqa: B023
+        prior = (sum(n * weight[v] for v, n in counts.items()) + 0.5) / (some + 1)
+    return total, prior, good, bad
+
+
+def test_em_against_a_plain_loop(spark):
+    names = list("abcde")
+    counts = planted_votes(random.Random(2), 0.7, 400)
+    df = checkpointed(spark.createDataFrame([(*v, float(n)) for v, n in counts.items()], "a int, b int, c int, d int, e int, n double"))
+    model = weak_supervision.fitted(df, names, rounds=6, tolerance=0.0)
+    total, prior, good, bad = max(em_by_hand(counts, p, [g] * 5, [b] * 5, 6) for p, g, b in weak_supervision.STARTS)
+    assert model["log_likelihood"] == pytest.approx(total) and model["prior"] == pytest.approx(prior)
+    for k, c in enumerate(names):
+        assert model["rules"][c] == pytest.approx((good[k], bad[k]))
+    assert weak_supervision.fitted(df.limit(0), names)["prior"] == weak_supervision.STARTS[0][0]
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.9])
+def test_em_recovers_planted_shares(spark, prior):
+    counts = planted_votes(random.Random(3), prior, 30_000)
+    df = checkpointed(spark.createDataFrame([(*v, float(n)) for v, n in counts.items()], "a int, b int, c int, d int, e int, n double"))
+    model = weak_supervision.fitted(df, list("abcde"))
+    assert abs(model["prior"] - prior) < 0.05
+    for c, p, q in zip("abcde", (0.95, 0.9, 0.97, 0.85, 0.92), (0.4, 0.3, 0.5, 0.2, 0.6), strict=True):
+        assert abs(model["rules"][c][0] - p) < 0.06 and abs(model["rules"][c][1] - q) < 0.06
+
+
+def test_function_words_abstain_elsewhere(spark):
+    df = spark.createDataFrame([(1, "слово другое " * 40), (2, "the of and " * 20), (3, "the " + "zq " * 80)], "doc_id bigint, text string")
+    rows = weak_supervision.measured(df).select("doc_id", weak_supervision.rules()["function_words"].alias("v")).collect()
+    assert {r.doc_id: r.v for r in rows} == {1: None, 2: 1, 3: 0}
 
 
 # secrets, languages, decontamination
