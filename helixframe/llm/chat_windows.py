@@ -1,109 +1,271 @@
 """Chat formatting in budgeted windows.
 
-A conversation is cut between turns into windows of about BUDGET tokens: running sums of
-turn tokens choose the cuts. Every window repeats the conversation's system turn and the
-last few turns before it as context, and marks the texts of its own assistant turns as
+A conversation is cut between turns into windows: a window's own turns are those whose prefix
+sums of tokens, with the tokens of its context, stay within a budget that counts all that the
+window holds, marks included. The context repeats the system turn in force and the last few
+turns before the window; where it does not fit, the oldest of these go first and then the
+system turn, so only a single turn that is longer than the budget itself makes a window longer
+than that, and stands there alone. The texts of a window's own assistant turns are its
 training targets; repeated turns are masked, so over all windows each target counts once.
 
 Turns are written as `### role: text </turn>` and a newline. Control strings inside a text
 (### and </turn>) and backslashes get a backslash before them, in roles also colons, which
-is undone by taking one backslash off; so formatting loses nothing.
+is undone by taking one backslash off; so formatting loses nothing. White space ends a token,
+so a window has as many tokens as its turns together.
 
-Running sums are taken in two steps, within runs of BLOCK turns and over the runs' totals,
-and windows are gathered by conversation and window, so one long conversation spreads over
-tasks.
+A text moves once: to the task of its conversation, sorted by turn, where windows are made as
+the turns stream by. A conversation of more than LONG_TURNS turns is cut into parts by ranges
+of turn numbers, which go to tasks of their own; to each part go copies of the turns that its
+first window repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import small_batches
+from helixframe.llm.packing import WordTokens
+from helixframe.llm.tokenizers import tokenizer_path
+
 BUDGET = 1024
 HISTORY = 2
-BLOCK = 256
-#: Tokens that the marks of a turn count for.
-MARK_TOKENS = 6
+#: Conversations of more turns than this are cut into parts of so many turn numbers.
+LONG_TURNS, PART = 4096, 1024
+#: Ids of long conversations are broadcast up to so many, else joined.
+BROADCAST_LONG = 100_000
+#: A batch of output holds about so many characters.
+BATCH_CHARS = 1 << 20
 HEAD, MIDDLE, TAIL = "### ", ": ", " </turn>\n"
-_CONTROL = r"(\\|###|</turn>)"
-_ROLE_CONTROL = r"(\\|###|</turn>|:)"
-_TOKEN = r"\p{L}{1,5}|\p{N}{1,3}|[^\s\p{L}\p{N}]"
+_CONTROL = re.compile(r"\\|###|</turn>")
+_ROLE_CONTROL = re.compile(r"\\|###|</turn>|:")
+_ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
+_ROLE = re.compile(r"### ((?:[^\\:]|\\.)*+): ", re.DOTALL)
+
+WINDOW_SCHEMA = "conv_id bigint, part bigint, window bigint, text string, n_tokens bigint, n_context bigint, loss_spans array<struct<start: bigint, end: bigint>>"
+DIGEST_SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_WINDOW_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), _SPANS]
+_DIGEST_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+
+def escaped(text: str) -> str:
+    return _CONTROL.sub(r"\\\g<0>", text)
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(r"\1", text)
+
+
+class Turn:
+    """A turn as it is written: head, body, tail; the tokens of all that; whether it is a target or a system turn."""
+
+    __slots__ = ("head", "body", "tokens", "target", "system")
+
+    def __init__(self, role: str, text: str, count: Callable[[str], int]):
+        self.head, self.body = HEAD + _ROLE_CONTROL.sub(r"\\\g<0>", role) + MIDDLE, escaped(text)
+        self.tokens = count(self.head + self.body + TAIL)
+        self.target, self.system = role == "assistant", role == "system"
+
+
+def _window(context: list[Turn], own: list[Turn]) -> tuple[str, int, int, list[dict]]:
+    """(text, tokens, turns of context, spans of targets) of one window."""
+    pieces, spans, at = [], [], 0
+    for k, turn in enumerate(context + own):
+        pieces += [turn.head, turn.body, TAIL]
+        start = at + len(turn.head)
+        at = start + len(turn.body) + len(TAIL)
+        if turn.target and k >= len(context):
+            spans.append({"start": start, "end": start + len(turn.body)})
+    return "".join(pieces), sum(t.tokens for t in context + own), len(context), spans
+
+
+class Windows:
+    """Windows of the turns of one part, which arrive in order."""
+
+    def __init__(self, budget: int, history: int):
+        self.budget, self.system = budget, None
+        self.before: deque[Turn] = deque(maxlen=history)
+        self.context, self.own = [], []
+        self.sums = [0]  # prefix sums of the tokens of the context and of the own turns, one after another
+
+    def repeat(self, turn: Turn) -> None:
+        """A turn of an earlier part that may be repeated."""
+        if turn.system:
+            self.system = turn
+        else:
+            self.before.append(turn)
+
+    def add(self, turn: Turn) -> Iterator[tuple]:
+        if self.own and self.sums[-1] + turn.tokens > self.budget:
+            yield self.made()
+        if not self.own:
+            self.context = [x for x in self.before if x is not self.system]
+            if self.system is not None and not turn.system:
+                self.context.insert(0, self.system)
+            while self.context and sum(x.tokens for x in self.context) + turn.tokens > self.budget:
+                self.context.pop(1 if len(self.context) > 1 and self.context[0] is self.system else 0)
+            self.sums = [sum(x.tokens for x in self.context)]
+        self.own.append(turn)
+        self.sums.append(self.sums[-1] + turn.tokens)
+        if turn.system:
+            self.system = turn
+        self.before.append(turn)
+
+    def made(self) -> tuple:
+        found = _window(self.context, self.own)
+        self.own = []
+        return found
+
+
+def _formatted(batches: Iterator[pa.RecordBatch], budget: int, history: int, tokenizer_file: str) -> Iterator[tuple]:
+    """(conv_id, part, window, text, tokens, turns of context, spans) of sorted rows of _sorted."""
+    tokens = WordTokens(tokenizer_file)
+    count = lambda text: len(tokens.ids([text.encode("utf-8", "surrogatepass")])[0]) // 4
+    at, made, number = None, Windows(budget, history), 0
+
+    def flushed():
+        return [(*at, number, *made.made())] if made.own else []
+
+    for batch in batches:
+        for conv, part, own, role, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if at != (conv, part):
+                yield from flushed()
+                at, made, number = (conv, part), Windows(budget, history), 0
+            turn = Turn(role, text, count)
+            if not own:
+                made.repeat(turn)
+                continue
+            for window in made.add(turn):
+                yield (*at, number, *window)
+                number += 1
+    yield from flushed()
+
 
+def _batches(rows: Iterator[tuple], kinds: list, schema: str, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in re.sub(r"<.*>", "", schema).split(",")]
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total > BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, _CONTROL, r"\\$1")
 
+def read_back(text: str, n_context: int, spans: list[dict]) -> tuple[list[tuple[str, str]], list[str]]:
+    """(the own (role, text) of a window, the texts under its loss mask), read from its text."""
+    turns = []
+    for line in text.split(TAIL)[n_context:-1]:
+        role = _ROLE.match(line)
+        turns.append((unescaped(role.group(1)), unescaped(line[role.end() :])))
+    return turns, [unescaped(text[s["start"] : s["end"]]) for s in spans]
 
-def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\" + _ROLE_CONTROL, "$1")
 
+def _digested(windows: Iterator[tuple]) -> Iterator[tuple]:
+    """One row a conversation from its windows (conv_id, text, turns of context, spans), which arrive in order."""
+    held = None
+    shown = lambda h: (h[0], h[1], h[2].hexdigest(), h[3], h[4].hexdigest(), h[5])
+    for conv, text, n_context, spans in windows:
+        if held is None or held[0] != conv:
+            if held is not None:
+                yield shown(held)
+            held = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+        turns, targets = read_back(text, n_context, spans)
+        held[1] += len(turns)
+        for role, said in turns:
+            held[2].update(f"{role}\n{said}\n".encode())
+        for said in targets:
+            held[3] += len(said)
+            held[4].update(said.encode())
+        held[5] += len(text)
+    if held is not None:
+        yield shown(held)
 
-def _numbered(turns: DataFrame) -> DataFrame:
-    """turns with at, the place in the conversation from 0, and before, the tokens of the turns before it."""
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1))
-    own = turns.withColumns({"block_": block, "tokens_": (F.regexp_count("text", F.lit(_TOKEN)) + MARK_TOKENS).cast("bigint")})
-    inside = Window.partitionBy("conv_id", "block_").orderBy("turn", "role", F.xxhash64("text"))
-    own = own.withColumns({"row_": F.row_number().over(inside), "sum_": F.sum("tokens_").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens_")})
-    earlier = Window.partitionBy("conv_id").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
-    totals = own.groupBy("conv_id", "block_").agg(F.count("*").alias("n_"), F.sum("tokens_").alias("t_"))
-    totals = totals.select("conv_id", "block_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("n_"), F.coalesce(F.sum("t_").over(earlier), F.lit(0)).alias("t_"))
-    joined = own.alias("o").join(totals.alias("t"), F.col("o.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("o.block_") == F.col("t.block_")))
-    return joined.select("o.conv_id", "o.role", "o.text", (F.col("n_") + F.col("row_") - 1).alias("at"), (F.col("t_") + F.col("sum_")).alias("before"))
 
+def _same(a: str, b: str, columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row a window: conv_id, window, text, n_context and loss_spans.
+
+def _flagged(conversations: DataFrame, long_turns: int) -> DataFrame:
+    """conv_id, turn, role, text, and part: null for all turns of a short conversation, else by turn number."""
+    clean = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    long = conversations.groupBy("conv_id").count().where(F.col("count") > long_turns).select("conv_id", F.lit(True).alias("long"))
+    few = long.limit(BROADCAST_LONG + 1).count() <= BROADCAST_LONG
+    joined = clean.alias("c").join((F.broadcast(long) if few else long).alias("l"), _same("c", "l", ["conv_id"]), "left")
+    part = F.when(F.col("l.long"), F.coalesce(F.floor(F.col("c.turn") / PART), F.lit(-(1 << 62))))
+    return joined.select("c.*", part.cast("bigint").alias("part"))
+
+
+def _repeated(long: DataFrame, history: int) -> DataFrame:
+    """Copies of the turns that the first window of each part repeats: the last system turn before it and the last turns of the part before it.
+
+    The keys are found on rows without texts; a part is one row of the running step."""
+    keys = ["turn", "role", "hash_"]
+    narrow = long.select("conv_id", "part", "turn", "role", F.xxhash64("text").alias("hash_"))
+    last = Window.partitionBy("conv_id", "part").orderBy(*[F.desc(k) for k in keys])
+    tails = narrow.where("role <> 'system'").withColumn("k_", F.row_number().over(last)).where(F.col("k_") <= history)
+    systems = F.max(F.when(F.col("role") == "system", F.struct(*keys))).alias("own_")
+    parts = narrow.groupBy("conv_id", "part").agg(systems)
+    order = Window.partitionBy("conv_id").orderBy("part")
+    parts = parts.select("conv_id", "part", F.lead("part").over(order).alias("next_"), F.last("own_", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("system_"))
+    wanted = tails.alias("t").join(parts.alias("p"), _same("t", "p", ["conv_id", "part"])).where("p.next_ is not null").select("t.conv_id", *[F.col(f"t.{k}").alias(k) for k in keys], F.col("p.next_").alias("to_"))
+    wanted = wanted.union(parts.where("system_ is not null").select("conv_id", *[F.col(f"system_.{k}").alias(k) for k in keys], "part")).distinct()
+    texts = long.withColumn("hash_", F.xxhash64("text"))
+    return texts.alias("x").join(wanted.alias("w"), _same("x", "w", ["conv_id", *keys])).select("x.conv_id", "x.turn", "x.role", "x.text", F.col("w.to_").alias("part"))
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """conv_id, part, own, role, text: parts together, repeated turns first, then in order."""
+    placed = rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "own", "turn", "role", F.xxhash64("text"))
+    return placed.select("conv_id", "part", "own", "role", "text")
+
+
+def _short(flagged: DataFrame) -> DataFrame:
+    return _sorted(flagged.where("part is null").withColumn("own", F.lit(True)))
+
+
+def _long(flagged: DataFrame, history: int) -> DataFrame:
+    rows = flagged.where("part is not null")
+    return _sorted(rows.withColumn("own", F.lit(True)).unionByName(_repeated(rows, history).withColumn("own", F.lit(False))))
+
+
+def _as_windows(rows: DataFrame, budget: int, history: int, tokenizer_file: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(_formatted(batches, budget, history, tokenizer_file), _WINDOW_KINDS, WINDOW_SCHEMA, lambda row: len(row[3]))
+
+    return rows.mapInArrow(run, WINDOW_SCHEMA)
+
+
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer_file: str | None = None, long_turns: int = LONG_TURNS) -> DataFrame:
+    """One row a window: conv_id, part, window, text, n_tokens, n_context and loss_spans.
 
     conversations has conv_id, turn, role and text; other columns are not read. text is the
     formatted window; its first n_context turns are context; loss_spans are the code points
-    [start, end) of the targets. A window's own turns are those whose running sum of tokens
-    starts in the same multiple of budget, so they hold at most budget tokens and the rest of
-    the last turn; a turn longer than that is not cut.
+    [start, end) of the targets. Windows stand in order of part (null but for long
+    conversations) and window. n_tokens is at most budget, but for a turn that alone has more:
+    it is a window of its own, without context.
 
     Turns stand by turn, then role, then a hash of the text; a null turn comes first, a null
     text or role is an empty one, and a null conv_id is a conversation like any other.
-    Repeated rows are turns of their own. No rows, no windows."""
-    clean = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = _numbered(clean).withColumn("window", F.floor(F.col("before") / budget))
-    starts = turns.groupBy("conv_id", "window").agg(F.min("at").alias("first"))
-    wanted = starts.where("first > 0").select("conv_id", "window", F.explode(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.filter(F.sequence(F.col("first") - history, F.col("first") - 1), lambda k: k >= 0)))).alias("at"), "first")
-    same = F.col("w.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("w.at") == F.col("t.at"))
-    context = wanted.alias("w").join(turns.alias("t"), same).where((F.col("t.role") == "system") | (F.col("t.at") >= F.col("w.first") - history))
-    parts = turns.select("conv_id", "window", "at", "role", "text", F.lit(True).alias("own")).union(context.select("w.conv_id", "w.window", "t.at", "t.role", "t.text", F.lit(False)))
-    piece = F.struct(
-        F.col("at"),
-        F.col("own"),
-        F.concat(F.lit(HEAD), F.regexp_replace("role", _ROLE_CONTROL, r"\\$1"), F.lit(MIDDLE)).alias("head"),
-        escaped(F.col("text")).alias("body"),
-        (F.col("own") & (F.col("role") == "assistant")).alias("target"),
-    )
-    gathered = parts.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    shown = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
-
-    def step(s: Column, p: Column) -> Column:
-        lo = s["end"] + F.length(p["head"])
-        hi = lo + F.length(p["body"])
-        span = F.struct(lo.cast("bigint").alias("start"), hi.cast("bigint").alias("end"))
-        return F.struct((hi + len(TAIL)).alias("end"), F.when(p["target"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"))
-    spans = F.aggregate("pieces", start, step, lambda s: s["spans"])
-    return gathered.select("conv_id", "window", shown.alias("text"), F.size(F.filter("pieces", lambda p: ~p["own"])).cast("bigint").alias("n_context"), spans.alias("loss_spans"))
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """formatted with turns, the window's own (role, text) read from its text, and targets, the unescaped texts under loss_spans."""
-    lines = F.slice(F.split("text", "(?<= </turn>\n)"), F.col("n_context").cast("int") + 1, F.greatest(F.size(F.split("text", "(?<= </turn>\n)")), F.lit(1)))
-    lines = F.filter(lines, lambda x: x != "")
-    cut = lambda x: x.substr(F.lit(1), F.length(x) - len(TAIL))
-    role = lambda x: F.regexp_extract(x, r"^### ((?:[^\\:]|\\.)*+): ", 1)
-    parsed = F.transform(lines, lambda x: F.struct(unescaped(role(x)).alias("role"), unescaped(cut(x).substr(F.length(role(x)) + len(HEAD) + len(MIDDLE) + 1, F.length(x))).alias("text")))
-    under = F.transform("loss_spans", lambda s: unescaped(F.substring("text", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
-    return formatted.withColumns({"turns": parsed, "targets": under})
+    Repeated rows are turns of their own. The system turn in force is the last one before a
+    window; where a part of a long conversation begins, history reaches back to the part
+    before it. No rows, no windows."""
+    small_batches(conversations.sparkSession)
+    file = tokenizer_file or tokenizer_path("word_bpe_49k.json")
+    flagged = _flagged(conversations, long_turns)
+    return _as_windows(_short(flagged), budget, history, file).union(_as_windows(_long(flagged, history), budget, history, file))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -111,33 +273,24 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     A digest over a conversation takes its windows in order, so they are sorted within the
     partition of their conversation and hashed as they stream by; no conversation is held."""
-    read = read_back(formatted)
-    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    rows = read.select("conv_id", "window", F.size("turns").cast("bigint").alias("n"), flat.alias("turns"), F.array_join("targets", "").alias("loss"), F.length("text").cast("bigint").alias("chars"))
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-        shown = lambda h: (h[0], h[1], h[2].hexdigest(), h[3], h[4].hexdigest(), h[5])
-        for batch in batches:
-            done = []
-            for conv, _, n, turns, loss, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held is None or held[0] != conv:
-                    if held is not None:
-                        done.append(shown(held))
-                    held = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                held[1] += n
-                held[2].update(turns.encode())
-                held[3] += len(loss)
-                held[4].update(loss.encode())
-                held[5] += chars
-            if done:
-                yield batch_of(done)
-        if held is not None:
-            yield batch_of([shown(held)])
-
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return ordered.mapInArrow(digest, schema)
+    ordered = formatted.select("conv_id", "part", "window", "text", "n_context", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "part", "window")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True))
+        yield from _batches(_digested(rows), _DIGEST_KINDS, DIGEST_SCHEMA, lambda row: 200)
+
+    return ordered.mapInArrow(run, DIGEST_SCHEMA)
+
+
+def conversation_digests(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer_file: str | None = None, long_turns: int = LONG_TURNS) -> DataFrame:
+    """digests(windows(conversations)) without moving a short conversation's text twice: its windows are read back in the task that made them."""
+    small_batches(conversations.sparkSession)
+    file = tokenizer_file or tokenizer_path("word_bpe_49k.json")
+    flagged = _flagged(conversations, long_turns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ((row[0], row[3], row[5], row[6]) for row in _formatted(batches, budget, history, file))
+        yield from _batches(_digested(made), _DIGEST_KINDS, DIGEST_SCHEMA, lambda row: 200)
+
+    long = digests(_as_windows(_long(flagged, history), budget, history, file))
+    return _short(flagged).mapInArrow(run, DIGEST_SCHEMA).union(long)

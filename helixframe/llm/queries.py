@@ -77,7 +77,7 @@ def op9_budgeted_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = r"\### Assistant: </turn> ok"
     added = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat_windows.digests(chat_windows.windows(rows))
+    return chat_windows.conversation_digests(rows)
 
 
 def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,14 +408,50 @@ def test_components_of_chains_and_stars(spark):
 # chat
 
 
-@pytest.mark.parametrize(("budget", "history"), [(1024, 2), (40, 0), (60, 3)])
-def test_chat_round_trip(spark, budget, history):
+def windows_by_hand(turns, budget, history, count):
+    """Windows of one conversation in order: (turns of context, own turns), each turn a (role, text)."""
+    made, own, context = [], [], []
+    for k, turn in enumerate(turns):
+        if own and sum(map(count, context + own)) + count(turn) > budget:
+            made.append((context, own))
+            own = []
+        if not own:
+            force = max((j for j in range(k) if turns[j][0] == "system"), default=None)
+            context = [turns[j] for j in range(max(0, k - history), k) if j != force]
+            if turn[0] == "system":
+                force = None
+            while True:
+                full = ([turns[force]] if force is not None else []) + context
+                if not full or sum(map(count, full)) + count(turn) <= budget:
+                    break
+                if context:
+                    context = context[1:]
+                else:
+                    force = None
+            context = full
+        own.append(turn)
+    return made + ([(context, own)] if own else [])
+
+
+@pytest.mark.parametrize(("budget", "history", "long"), [(1024, 2, 4096), (40, 0, 4096), (60, 3, 4096), (200, 2, 100)])
+def test_chat_round_trip(spark, budget, history, long):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     told = r"\### Assistant: </turn> ok"
     odd = [(-7, 0, "user", told), (-7, 1, "assistant", told), (-8, 0, r"a:\b", "####\\\\ </turn>\n### user: x </turn>\n"), (-8, 1, "assistant", None), (-8, 2, "assistant", "t" * 5000 + " </turn"), (-8, 3, None, "\\"), (None, 0, "assistant", "n"), (-9, None, "assistant", "q\n"), (-9, 4, "assistant", "same"), (-9, 4, "assistant", "same")]
-    odd += [(-10, k, "system" if k == 0 else ("assistant", "user")[k % 2], f"text {k} " * 20) for k in range(600)]
-    df = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(odd, "conv_id bigint, turn bigint, role string, text string"))
-    made = chat_windows.windows(df, budget, history)
+    odd += [(-10, k, "system" if k in (0, 300) else ("assistant", "user")[k % 2], f"text {k} " * (2 + k % 7)) for k in range(3000)]
+    odd += [(-11, k, "system" if k == 0 else "user", "word " * (2000 if k == 0 else 3)) for k in range(5)]
+    columns = "conv_id bigint, turn bigint, role string, text string"
+    df = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(odd, columns)).withColumn("window", F.lit("clash"))
+    made = chat_windows.windows(df, budget, history, long_turns=long)
     got = {r.conv_id: r for r in chat_windows.digests(made).collect()}
+    assert got == {r.conv_id: r for r in chat_windows.conversation_digests(df, budget, history, long_turns=long).collect()}
+    cut = defaultdict(list)
+    for r in sorted(made.collect(), key=lambda r: (r.part or 0, r.window)):
+        cut[r.conv_id].append(r)
+        assert r.n_tokens == len(plain.encode(r.text, add_special_tokens=False).ids)
+        assert r.n_tokens <= budget or (r.n_context == 0 and r.text.count(" </turn>\n") == 1)
     turns = defaultdict(list)
     for r in df.collect():
         turns[r.conv_id].append((-1 if r.turn is None else r.turn, r.role or "", r.text or ""))
@@ -427,10 +463,16 @@ def test_chat_round_trip(spark, budget, history):
         assert r.n_turns == len(rows) and r.loss_chars == len(loss)
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for _, a, t in rows).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    if budget == 60:
-        later = made.where("conv_id = -10 and window > 3").collect()
-        assert later and all(w.text.startswith("### system: ") and w.n_context == 1 + history for w in later)
-    assert chat_windows.digests(chat_windows.windows(df.limit(0))).count() == 0
+        if len(rows) <= long:  # windows as by hand
+            count = lambda t: len(plain.encode(f"### {chat_windows._ROLE_CONTROL.sub(lambda m: chr(92) + m.group(), t[0])}: {chat_windows.escaped(t[1])} </turn>\n", add_special_tokens=False).ids)
+            cache = {}
+            counted = lambda t: cache.setdefault(t, count(t))  # noqa: E731, B023
+            want = windows_by_hand([t[1:] for t in rows], budget, history, counted)
+            assert [(w.n_context, w.text.count(" </turn>\n")) for w in cut[conv]] == [(len(c), len(c) + len(o)) for c, o in want], conv
+    if long == 100:
+        first = {w.part: w for w in cut[-10] if w.window == 0}
+        assert len(first) == 3 and all(w.n_context == 1 + history and w.text.startswith("### system: text 300 ") for p, w in first.items() if p)
+    assert chat_windows.digests(chat_windows.windows(df.limit(0))).count() == 0 and chat_windows.conversation_digests(df.limit(0)).count() == 0
 
 
 # quality classifier
