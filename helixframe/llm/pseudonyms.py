@@ -14,6 +14,7 @@ undone, so the whole is a permutation of the ma * mb pairs. Domains:
 - n digits: ma = 10 ** ceil(n / 2), mb = 10 ** floor(n / 2);
 - IPv4: 65536 * 65536;
 - social security numbers: (898 areas * 99 groups) * 9999 serials;
+- telephone numbers: the digits after the country code;
 - dates: the days of the date's own century, 92 * 397 = 36524, or 75 * 487 = 36525 where
   the century starts with a leap year.
 """
@@ -23,7 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import free_names, other_columns
+
 ROUNDS = 8
+#: Steps after which a walk to a date of the same kind, of which two in three steps end, is over.
+WALK = 100
 #: Characters of an account number by country, and digits after the country code where a country has one length.
 IBAN_CHARS = {
     15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
@@ -32,6 +37,7 @@ IBAN_CHARS = {
     31: "MT|SC", 32: "LC", 33: "RU",
 }
 PHONE_DIGITS = {8: "45|47|65|852", 9: "27|31|33|34|41|48|61|351|380|420", 10: "1|7|52|57|90|91"}
+COUNTRY_CODE = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 _END = r"(?![\p{L}\p{N}])"
 _IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)"
 _DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}(?:\.\d{1,2}\.|/\d{1,2}/)\d{4})(?![\p{L}\p{N}]|[./-]\d)"
@@ -202,15 +208,31 @@ def _ssn(key: str, m: Column) -> Column:
     return _let(F.split(m, "-"), body)
 
 
+def _until(m: Column, n: int) -> Column:
+    """How many characters of m there are up to its n-th digit."""
+    return F.length(F.regexp_extract(m, rf"^(?:[^0-9]*[0-9]){{{n}}}", 0))
+
+
 def _phone(key: str, m: Column) -> Column:
-    """A country code after + stays; the other digits are permuted."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = m.substr(F.length(code) + 1, F.length(m))
-    return F.when(F.length(_digits(m)).between(8, 15), F.concat(code, refilled(rest, permuted_digits(key, "phone", _digits(rest)))))
+    """The country code after + and a trunk zero in brackets stay; the other digits are permuted, so all spellings of a number stay linked."""
+    digits = _digits(m)
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, f"^(?:{COUNTRY_CODE})", 0)).otherwise("")
+
+    def body(c: Column) -> Column:
+        taken = F.when(F.length(c) == 0, F.lit(0)).when(F.length(c) == 1, _until(m, 1)).when(F.length(c) == 2, _until(m, 2)).otherwise(_until(m, 3))
+        kept = F.when(c == "", F.lit("")).otherwise(m.substr(F.lit(1), taken))
+        rest = F.replace(m.substr(taken + 1, F.length(m)), F.lit("(0)"), F.lit("(\x00)"))
+        made = refilled(rest, permuted_digits(key, "phone", _digits(rest)))
+        return F.concat(kept, F.replace(made, F.lit("\x00"), F.lit("0")))
+
+    return F.when(F.length(digits).between(8, 15), _let(code, body))
 
 
 def _date(key: str, m: Column) -> Column:
-    """Year-month-day, day.month.year, and month/day/year or else day/month/year; years 100 to 9999."""
+    """Year-month-day, day.month.year, and month/day/year or, where only that is a date, day/month/year; years 100 to 9999.
+
+    Dates that only read as day/month go to dates of their kind, with days beyond the 12th: the
+    permutation is applied again until it leads to one. So no two dates get one pseudonym."""
     shapes = ["yyyy-MM-dd", "d.M.yyyy", "M/d/yyyy", "d/M/yyyy"]
     tests = [m.contains("-"), m.contains("."), m.contains("/"), m.contains("/")]
     parsed = [F.when(t, F.try_to_timestamp(m, F.lit(s)).cast("date")) for t, s in zip(tests, shapes, strict=True)]
@@ -223,8 +245,17 @@ def _date(key: str, m: Column) -> Column:
         left, right = F.when(leap, 75).otherwise(92), F.when(leap, 487).otherwise(397)
         first = F.make_date(base, F.lit(1), F.lit(1))
         at = F.datediff(day, first)
-        mixed = feistel(key, F.concat(F.lit("date:"), base.cast("string")), F.floor(at / right), at % right, left, right)
-        moved = _let(mixed, lambda s: F.date_add(first, (s["l"] * right + s["r"]).cast("int")))
+        tweak = F.concat(F.lit("date:"), base.cast("string"))
+        late = parsed[3].isNotNull() & parsed[2].isNull()
+        far = lambda at: F.dayofmonth(F.date_add(first, at.cast("int"))) > 12
+
+        def step(s: Column, _: Column) -> Column:
+            mixed = feistel(key, tweak, F.floor(s["at"] / right), s["at"] % right, left, right)
+            onward = _let(mixed, lambda p: F.struct((p["l"] * right + p["r"]).cast("bigint").alias("at"), (~late | far(p["l"] * right + p["r"])).alias("done")))
+            return F.when(s["done"], s).otherwise(onward)
+
+        start = F.struct(at.cast("bigint").alias("at"), F.lit(False).alias("done"))
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step, lambda s: F.date_add(first, s["at"].cast("int")))
         text = F.lit(None).cast("string")
         for p, s in reversed(list(zip(parsed, shapes, strict=True))):
             wide, narrow = out[s]
@@ -263,13 +294,15 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
 
     A null text stays null and an empty one empty, with no kinds; a text without anything
     that validates comes out as it went in. What looks like an account number and is none
-    may still hold other numbers. Other columns and repeated rows are kept; a column named
-    pii_kinds is replaced."""
+    may still hold other numbers. Other columns, whatever they are called, and repeated rows
+    are kept; a column named pii_kinds is replaced."""
     text = F.col("text")
+    docs = docs.select(other_columns(docs, "pii_kinds"))
+    seen, made_ = free_names(docs.columns, "pii_found_", "pii_made_")
     outer, inner = tuple(_MAKERS), tuple(k for k in _MAKERS if k not in ("email", "iban"))
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(_any(outer)), F.lit(0)))
-    spotted = docs.withColumn("pii_found_", found)
-    mapped = spotted.withColumn("pii_made_", F.when(F.size("pii_found_") > 0, F.transform("pii_found_", lambda m: replacement(key, m))))
+    spotted = docs.withColumn(seen, found)
+    mapped = spotted.withColumn(made_, F.when(F.size(seen) > 0, F.transform(seen, lambda m: replacement(key, m))))
 
     def second(r: Column) -> Column:
         held = F.when(r["kind"].isNull() & r["value"].rlike(r"^[A-Z]{2}\d{2}"), F.regexp_extract_all(r["value"], F.lit(_any(inner)), F.lit(0)))
@@ -278,9 +311,9 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         once = F.struct(F.array(r["kind"]).alias("kinds"), r["value"].alias("value"))
         return F.when(F.size(held) > 0, _let(made, within)).otherwise(once)
 
-    again = mapped.withColumn("pii_made_", F.transform("pii_made_", second))
-    joined = _joined(text, outer, F.transform("pii_made_", lambda r: r["value"]))
-    kinds = F.filter(F.flatten(F.transform("pii_made_", lambda r: r["kinds"])), lambda k: k.isNotNull())
+    again = mapped.withColumn(made_, F.transform(made_, second))
+    joined = _joined(text, outer, F.transform(made_, lambda r: r["value"]))
+    kinds = F.filter(F.flatten(F.transform(made_, lambda r: r["kinds"])), lambda k: k.isNotNull())
     changed = again.withColumn("pii_kinds", F.coalesce(kinds, F.array().cast("array<string>")))
     new = F.when(F.size("pii_kinds") > 0, joined).otherwise(text)
-    return changed.withColumn("text", new).drop("pii_found_", "pii_made_")
+    return changed.withColumn("text", new).drop(seen, made_)

@@ -117,6 +117,83 @@ def test_pseudonyms_take_every_valid_shape(spark):
     assert got["+41-44-668-18-00"].text.replace("-", " ") == single["+41 44 668 18 00"]
 
 
+def draw(key, tweak, turn, value):
+    return int(hashlib.sha256(f"{key}|{tweak}|{turn}|{value}".encode()).hexdigest()[:15], 16)
+
+
+def feistel_by_hand(key, tweak, left, right, left_size, right_size):
+    for turn in range(pseudonyms.ROUNDS):
+        if turn % 2 == 0:
+            left = (left + draw(key, tweak, turn, right)) % left_size
+        else:
+            right = (right + draw(key, tweak, turn, left)) % right_size
+    return left, right
+
+
+def date_by_hand(key, text):
+    import datetime
+
+    slash = text.split("/")
+    late = len(slash) == 3 and int(slash[0]) > 12
+    if len(slash) == 3:
+        month, day = (int(slash[1]), int(slash[0])) if late else (int(slash[0]), int(slash[1]))
+        when = datetime.date(int(slash[2]), month, day)
+    elif "." in text:
+        d, m, y = map(int, text.split("."))
+        when = datetime.date(y, m, d)
+    else:
+        when = datetime.date.fromisoformat(text)
+    base = when.year // 100 * 100
+    first = datetime.date(base, 1, 1)
+    sizes = (75, 487) if base % 400 == 0 else (92, 397)
+    at = (when - first).days
+    while True:
+        left, right = feistel_by_hand(key, f"date:{base}", at // sizes[1], at % sizes[1], *sizes)
+        at = left * sizes[1] + right
+        new = first + datetime.timedelta(at)
+        if not late or new.day > 12:
+            break
+    wide = len(text) == 10
+    show = lambda *parts: [f"{p:02d}" if wide else str(p) for p in parts]
+    if "-" in text:
+        return new.isoformat()
+    if "." in text:
+        return ".".join([*show(new.day, new.month), f"{new.year}"])
+    return "/".join([*(show(new.day, new.month) if late else show(new.month, new.day)), f"{new.year}"])
+
+
+def test_dates_of_forty_years_stay_apart(spark):
+    """All days of 1980 to 2019 in four spellings: as by hand, and no two strings of different dates get one pseudonym."""
+    days = spark.range(14_610).select(F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = days.select(F.explode(F.array(*[F.date_format("d", s) for s in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")])).alias("text")).distinct()
+    got = {r.was: r.text for r in pseudonyms.pseudonymised(texts.select("text", F.col("text").alias("was")), "k").collect()}
+    assert len(got) > 52_000 and len(set(got.values())) == len(got)
+    for was in random.Random(1).sample(sorted(got), 1500):
+        assert got[was] == date_by_hand("k", was), was
+
+
+def test_phone_spellings_stay_linked(spark):
+    groups = [
+        ["+4915112345678", "+49 151 1234 5678", "+49-151-12345678", "+49 (0)151 1234 5678", "+49 (0) 151 12345678".replace(") ", ")")],
+        ["+15551234567", "+1 555-123-4567", "+1 (555) 123-4567", "+1.555.123.4567"],
+        ["+420601123456", "+420 601 123 456"], ["+35312345678", "+353 1 234 5678"],
+    ]
+    df = spark.createDataFrame([(g, t) for g, ts in enumerate(groups) for t in ts], "g int, text string")
+    got = defaultdict(set)
+    for r in pseudonyms.pseudonymised(df.withColumn("was", F.col("text")), "key").collect():
+        assert r.pii_kinds == ["phone"] and [c if not c.isdigit() else "0" for c in r.text] == [c if not c.isdigit() else "0" for c in r.was]
+        got[r.g].add(re.sub("[^0-9+]", "", r.text.replace("(0)", "")))
+    assert [len(got[g]) for g in range(4)] == [1, 1, 1, 1]
+    for g, code in enumerate(("+49", "+1", "+420", "+353")):
+        assert min(got[g]).startswith(code) and min(got[g]) != re.sub("[^0-9+]", "", groups[g][0])
+
+
+def test_pseudonyms_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([("call +1 555-123-4567", 1, "x", 2)], "text string, pii_found_ int, PII_MADE_ string, pii_kinds int")
+    r = pseudonyms.pseudonymised(df, "k").first()
+    assert (r.pii_found_, r.PII_MADE_, r.pii_kinds) == (1, "x", ["phone"])
+
+
 def test_pseudonyms_edges(odd, none):
     rows = pseudonyms.pseudonymised(odd.withColumn("pii_kinds", F.lit(1)), "k").collect()
     assert len(rows) == len(ODD)
