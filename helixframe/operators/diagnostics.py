@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.extensions import sigmoid_scores
 from helixframe.plans.running import running, tiled
 
 
@@ -40,17 +41,50 @@ def report(scored: DataFrame, threshold: float, level: str) -> DataFrame:
     )
 
 
-def logistic_scores(train: DataFrame, rows: DataFrame, features: list[str], strength: float = 1.0) -> DataFrame:
-    """rows with probability: a logistic fit on train (label) of standardised features with a ridge penalty of 1 / strength."""
+def report_by_scorer(scored: DataFrame, thresholds: dict[str, float], level: str) -> DataFrame:
+    """scorer and level (null for the whole) with counts and rates of alerts, for scores in long form (scorer, level, score, label)."""
+    limit = F.coalesce(*[F.when(F.col("scorer") == k, F.lit(float(v))) for k, v in thresholds.items()])
+    alert = F.col("score") >= limit
+    n = lambda c: F.sum(c.cast("bigint"))
+    one, zero = F.col("label") == 1, F.col("label") == 0
+    rate = lambda a, b: F.when(b > 0, a / b)
+    return scored.groupingSets([[F.col("scorer")], [F.col("scorer"), F.col(level)]], F.col("scorer"), F.col(level)).agg(
+        F.count("*").alias("n"), n(one).alias("positives"), n(alert & one).alias("true_alerts"), n(alert & zero).alias("false_alerts"),
+        rate(n(alert & one), n(one)).alias("sensitivity"), rate(n(alert & zero), n(zero)).alias("false_positive_rate"), rate(n(alert & one), n(alert)).alias("alert_precision"),
+    )
+
+
+def fit_models(train: DataFrame, models: dict[str, list[str]], strength: float = 1.0) -> dict[str, dict]:
+    """A frozen logistic model for each set of features: features, mean, scale, coefficients and intercept, plain numbers.
+
+    Fitted on train (label) only, on standardised features, with a ridge penalty of
+    1 / strength; a constant feature has scale 1. Fails on labels of one class, features that
+    are not finite, and a fit that does not settle."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    stats = train.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
-    scaled = lambda df: VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="x_", handleInvalid="error").transform(df.withColumns({f"z_{c}": (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in features}))
-    fit = LogisticRegression(featuresCol="x_", labelCol="label", regParam=1 / (strength * stats["n"]), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9, rawPredictionCol="r_", probabilityCol="p_", predictionCol="c_").fit(scaled(train))
-    done = fit.transform(scaled(rows)).withColumn("probability", F.element_at(vector_to_array("p_"), 2))
-    return done.drop("x_", "r_", "p_", "c_", *[f"z_{c}" for c in features])
+    every = list(dict.fromkeys(f for features in models.values() for f in features))
+    fine = lambda c: F.max((F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))).cast("int"))
+    stats = train.agg(F.count("*").alias("n"), F.countDistinct("label").alias("classes"), F.greatest(*[fine(c) for c in every], F.lit(0)).alias("bad"), *[F.avg(c).alias(f"m_{c}") for c in every], *[F.stddev_pop(c).alias(f"s_{c}") for c in every]).first()
+    if stats["classes"] != 2:
+        raise ValueError("both classes are needed")
+    if stats["bad"]:
+        raise ValueError("features must be finite")
+    out = {}
+    for name, features in models.items():
+        mean, scale = [stats[f"m_{c}"] for c in features], [stats[f"s_{c}"] or 1.0 for c in features]
+        scaled = train.select("label", *[((F.col(c) - m) / s).alias(c) for c, m, s in zip(features, mean, scale, strict=True)])
+        rows = VectorAssembler(inputCols=features, outputCol="x_", handleInvalid="error").transform(scaled)
+        fit = LogisticRegression(featuresCol="x_", labelCol="label", regParam=1 / (strength * stats["n"]), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-9).fit(rows)
+        if fit.summary.totalIterations >= 2000:
+            raise ValueError("the fit did not settle")
+        out[name] = {"features": features, "mean": mean, "scale": scale, "coefficients": list(map(float, fit.coefficients)), "intercept": float(fit.intercept)}
+    return out
+
+
+def predictions(rows: DataFrame, frozen: dict[str, dict]) -> DataFrame:
+    """rows with risk_NAME for each frozen model; means, scales and coefficients are those of the development data."""
+    return rows.withColumns({f"risk_{name}": sigmoid_scores(rows, model) for name, model in frozen.items()})
 
 
 def complete_pairs(cells: DataFrame, keys: list[str]) -> DataFrame:

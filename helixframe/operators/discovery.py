@@ -5,15 +5,17 @@ It gives matrices and site counts; significance values of external programs are
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.plans.materialise import checkpointed
+
 #: Expectation-maximisation starts from so many sequences of a set and runs at most so many rounds.
-SEEDS, ROUNDS = 8, 40
+SEEDS, SCREEN, ROUNDS = 8, 3, 40
+#: Targets of a comparison go along with the tasks of a pass up to so many.
+MOST_TARGETS = 1000
 #: Words of at most so many letters are looked up at once; rows that a task holds as arrays at once.
 WORD, ROWS = 8, 512
 
@@ -56,7 +58,7 @@ def expectation_maximisation(codes: np.ndarray, width: int, model: str, rounds:
             place = weight / np.maximum(weight.sum(1, keepdims=True), 1e-300) * has[:, None]
             counts = np.stack([[float(place[safe[:, :, j] == b].sum()) for b in range(4)] for j in range(width)])
             pwm = (counts + 0.25) / (counts.sum(1, keepdims=True) + 1)
-            if now - ratio < 1e-4:
+            if now - ratio < 1e-6 * max(1.0, abs(now)):
                 break
             ratio = now
         if ratio > best[2]:
@@ -121,28 +123,22 @@ def _expected(codes: np.ndarray, width: int, model: str, states: list[tuple[int,
     return out
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once, in the folder that spark.checkpoint.dir names or, where none is set (local tests), a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
+def discovered(tasks: DataFrame, width: int, model: str = "zoops", screen: int = SCREEN) -> DataFrame:
+    """task, pwm, sites, score and n for the sequence sets (task, doc_id, seq); sets are few, as their matrices are held by the driver.
 
-def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
-    """task, pwm, sites, score and n for the sequence sets (task, doc_id, seq of one length in a set).
-
-    All sequences take part: in each round the tasks sum the expected counts of their rows
-    under the matrices so far, Spark adds them up by set and start, and the driver, which
-    holds SEEDS matrices a set, makes the next matrices. The starts are the sequences with
-    the smallest hashes of doc_id."""
+    All sequences take part, those shorter than the motif as ones without a site: in each round
+    the tasks sum the expected counts of their rows under the matrices so far, Spark adds them
+    up by set and start, and the driver makes the next matrices. The starts are the longest
+    sequences with the smallest hashes of doc_id; after screen rounds only the likeliest start
+    of a set goes on."""
     from pyspark.sql import Window
 
     spark = tasks.sparkSession
-    rows = _checkpointed(tasks.select("task", "doc_id", "seq"))
+    # many rounds read the rows: they are dealt evenly once
+    rows = checkpointed(tasks.select("task", "doc_id", "seq").repartition(tasks.sparkSession.sparkContext.defaultParallelism, "doc_id"))
     letter = lambda c: F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))).alias(c)
     sets = {r["task"]: r for r in rows.groupBy("task").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("size"), *map(letter, "ACGT")).collect()}
-    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.xxhash64("doc_id"), "doc_id", "seq"))
+    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.desc(F.length("seq")), F.xxhash64("doc_id"), "doc_id", "seq"))
     starts: dict = {}
     for r in sorted(rows.withColumn("rank_", rank).where(F.col("rank_") <= SEEDS).select("task", "seq", "rank_").collect(), key=lambda r: r["rank_"]):
         starts.setdefault(r["task"], []).append(r["seq"])
@@ -150,12 +146,20 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
     for task, row in sets.items():
         known = np.array([row[c] for c in "ACGT"], float)
         back[task] = (known + 1) / (known.sum() + 4)
-        codes = _encoded(starts[task])
+        if row["size"] < width:
+            raise ValueError(f"no sequence of set {task} is as long as the motif")
+        long = [s for s in starts[task] if len(s) >= width]
         for seed in range(SEEDS):
-            at = seed * 104729 % (row["size"] - width + 1)
-            seen = codes[seed % len(codes), at : at + width]
+            text = long[seed % len(long)]
+            at = seed * 104729 % (len(text) - width + 1)
+            seen = _encoded([text])[0, at : at + width]
             state[task, seed] = {"pwm": 0.6 * np.eye(4)[np.where(seen < 4, seen, 0)] + 0.4 * back[task], "share": 0.5, "ratio": -np.inf, "sites": 0.0, "live": True}
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
+        if turn == screen:
+            for task in sets:
+                best = max(range(SEEDS), key=lambda seed: state[task, seed]["ratio"])
+                for seed in range(SEEDS):
+                    state[task, seed]["live"] &= seed == best
         sent: dict = {}
         for (task, seed), x in state.items():
             if x["live"]:
@@ -168,9 +172,10 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
             for batch in batches:
                 for task, group in batch.groupby("task", dropna=False):
                     task = None if pd.isna(task) else task
-                    for lo in range(0, len(group) if task in sent else 0, ROWS):
-                        for seed, made in _expected(_encoded(group["seq"].iloc[lo : lo + ROWS].tolist()), width, model, sent[task]).items():
-                            sums[task, seed] = sums.get((task, seed), 0) + made
+                    for size, same in group.groupby(group["seq"].str.len()) if task in sent else ():
+                        for lo in range(0, len(same) if size >= width else 0, ROWS):
+                            for seed, made in _expected(_encoded(same["seq"].iloc[lo : lo + ROWS].tolist()), width, model, sent[task]).items():
+                                sums[task, seed] = sums.get((task, seed), 0) + made
             for (task, seed), made in sums.items():
                 yield pd.DataFrame({"task": pd.Series([task] * len(made), dtype=object), "seed": seed, "k": range(len(made)), "value": made})
 
@@ -184,7 +189,7 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
             if model == "zoops":
                 x["share"] = float(np.clip(made[1] / sets[at[0]]["n"], 1e-3, 1 - 1e-3))
             x["pwm"], x["sites"] = (counts + 0.25) / (counts.sum(1, keepdims=True) + 1), float(made[2])
-            x["live"] = made[0] - x["ratio"] >= 1e-4
+            x["live"] = made[0] - x["ratio"] >= 1e-6 * max(1.0, abs(made[0]))
             x["ratio"] = float(made[0]) if x["live"] else x["ratio"]
     out = []
     for task, row in sets.items():
@@ -193,26 +198,51 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
     return spark.createDataFrame(out, f"task {rows.schema['task'].dataType.simpleString()}, pwm array<array<double>>, sites double, score double, n bigint")
 
 
+def _unit_rows(pwm) -> np.ndarray:
+    """Rows less their mean of 1/4, of length 1; a flat row is all zero."""
+    rows = np.array([list(r) for r in pwm], float) - 0.25
+    size = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
+def _best_alignment(x: np.ndarray, m: np.ndarray, overlap: int):
+    """(score, shift, strand, overlap) of the best mean column correlation; ties go to the plus strand, then to the smallest shift."""
+    best = None
+    for strand, y in (("+", m), ("-", m[::-1, ::-1])):
+        columns = x @ y.T
+        for shift in range(overlap - len(y), len(x) - overlap + 1):
+            along = np.diagonal(columns, -shift)
+            score = along.sum() / len(along)
+            if best is None or score > best[0] + 1e-12:
+                best = (score, shift, strand, len(along))
+    return best
+
+
 def compared(queries: DataFrame, targets: DataFrame, overlap: int) -> DataFrame:
     """query_id, target_id, score, shift, strand and overlap: the best mean column correlation of each query with each target.
 
-    queries (query_id, pwm) meet targets (target_id, pwm), a catalogue of a few matrices, which is broadcast."""
-    from helixframe.functions.dna import flipped_matrix
-
-    both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("pwm").alias("m")), F.struct(F.lit("-").alias("strand"), flipped_matrix(F.col("pwm")).alias("m"))))
-    sides = targets.select("target_id", both.alias("s")).select("target_id", "s.strand", "s.m")
-    pairs = queries.select("query_id", F.col("pwm").alias("x")).crossJoin(F.broadcast(sides.limit(20_000)))
-    low, high = F.lit(overlap) - F.size("m"), F.size("x") - F.lit(overlap)
-    placed = pairs.where(low <= high).withColumn("shift", F.explode(F.sequence(low, high)))
-    start = F.greatest(F.lit(0), F.col("shift"))
-    shared = F.least(F.size("x"), F.col("shift") + F.size("m")) - start
-    total = lambda z: F.aggregate(z, F.lit(0.0), lambda s, v: s + v)
-
-    def correlation(r, q):
-        x, y = F.transform(r, lambda v: v - 0.25), F.transform(q, lambda v: v - 0.25)
-        xy, xx, yy = (total(F.zip_with(a, b, lambda u, v: u * v)) for a, b in ((x, y), (x, x), (y, y)))
-        return F.when(xx * yy > 0, xy / F.sqrt(xx * yy)).otherwise(0.0)
-
-    scored = placed.withColumns({"overlap": shared, "score": total(F.zip_with(F.slice("x", start + 1, shared), F.slice("m", start - F.col("shift") + 1, shared), correlation)) / shared})
-    best = scored.groupBy("query_id", "target_id").agg(F.max(F.struct("score", F.when(F.col("strand") == "+", 1).otherwise(0).alias("plus"), (-F.col("shift")).alias("less"), "overlap")).alias("b"))
-    return best.select("query_id", "target_id", "b.score", (-F.col("b.less")).alias("shift"), F.when(F.col("b.plus") == 1, "+").otherwise("-").alias("strand"), "b.overlap")
+    queries (query_id, pwm) meet targets (target_id, pwm), a catalogue of matrices, in passes of
+    at most MOST_TARGETS of them, so what a pass broadcasts is bounded and no target is left
+    out. Pairs that cannot overlap so far are left out."""
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, target_id {targets.schema['target_id'].dataType.simpleString()}, score double, shift int, strand string, overlap int"
+
+    def against(block: list) -> DataFrame:
+        held = queries.sparkSession.sparkContext.broadcast([(k, np.array([list(r) for r in pwm], float)) for k, pwm in block])
+
+        def run(frames):
+            units = [(k, _unit_rows(pwm)) for k, pwm in held.value]
+            for frame in frames:
+                rows = []
+                for query, pwm in zip(frame["query_id"], frame["pwm"], strict=True):
+                    x = _unit_rows(pwm)
+                    rows += [(query, k, *found) for k, m in units if (found := _best_alignment(x, m, overlap)) is not None]
+                yield pd.DataFrame(rows, columns=["query_id", "target_id", "score", "shift", "strand", "overlap"])
+
+        return queries.select("query_id", "pwm").mapInPandas(run, schema)
+
+    out, block = None, []
+    for row in targets.select("target_id", "pwm").toLocalIterator():
+        block.append((row["target_id"], row["pwm"]))
+        if len(block) == MOST_TARGETS:
+            out, block = against(block) if out is None else out.unionByName(against(block)), []
+    return out if out is not None and not block else against(block) if out is None else out.unionByName(against(block))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.ladders import ladder_counts
-from helixframe.operators.ranking import average_precision
+from helixframe.operators.ranking import average_precision, drawn_weights, numbered
+from helixframe.plans.materialise import broadcast_if_small
 
 
 def with_widths(plan: DataFrame, widths: list[int]) -> DataFrame:
@@ -62,18 +63,18 @@ def pair_features(pairs: DataFrame) -> DataFrame:
 def block_bootstrap(scored: DataFrame, block: str, one: str, two: str, replicates: int, seed: int) -> DataFrame:
     """replicate and delta: average precision by score two less that by score one, over drawn blocks (label, block, one, two).
 
-    Replicate r takes as many draws as
-    there are blocks, each by a digest, so any task can tell any draw. Replicates of one class
-    have no delta. A block's rows are repeated as often as it is drawn."""
-    spark = scored.sparkSession
-    names = scored.select(block).distinct()
-    numbered = names.withColumn("k_", F.row_number().over(Window.orderBy(block)) - 1)  # blocks are a few dozen
-    total = names.count()
-    draws = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
-    picked = draws.withColumn("k_", F.pmod(F.xxhash64(F.lit(seed), "replicate", "draw"), F.lit(total)))
-    weights = picked.groupBy("replicate", "k_").agg(F.count("*").alias("weight")).join(F.broadcast(numbered), "k_")
-    rows = scored.join(F.broadcast(weights), block).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("weight"))))
-    ap = lambda c, name: average_precision(rows.select("replicate", "label", F.col(c).alias("score")), ["replicate"]).withColumnRenamed("ap", name)
+    A replicate takes as many draws as there are blocks. Rows are first counted by block,
+    score and label; a replicate only weights these counts, no row is repeated. Replicates of
+    one class have no delta."""
+    names = broadcast_if_small(numbered(scored, block))
+    weights = drawn_weights(names.agg(F.count("*").alias("n")), [], replicates, seed).join(names, "k").select("replicate", block, "weight")
+    weights = broadcast_if_small(weights)
+
+    def ap(column: str, name: str) -> DataFrame:
+        counts = scored.groupBy(block, "label", F.col(column).alias("score")).agg(F.count("*").alias("rows_"))
+        weighted = counts.join(weights, block)
+        return average_precision(weighted, ["replicate"], F.col("weight") * F.col("rows_")).withColumnRenamed("ap", name)
+
     return ap(one, "a").join(ap(two, "b"), "replicate").select("replicate", (F.col("b") - F.col("a")).alias("delta"))
 
 

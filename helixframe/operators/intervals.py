@@ -68,16 +68,16 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_columns: list[str], ri
     return a.join(b, same & once).select(*[F.col(f"a.{c}") for c in left_columns], *[F.col(f"b.{c}").alias(f"other_{c}") for c in right_columns])
 
 
-def overlapping(regions: DataFrame, others: DataFrame, keep: bool = True) -> DataFrame:
-    """The regions that overlap any of others, or with keep=False those that overlap none."""
-    spans = merged(others)
+def overlapping(regions: DataFrame, others: DataFrame, keep: bool = True, disjoint: bool = False) -> DataFrame:
+    """The regions that overlap any of others, or with keep=False those that overlap none; others that are disjoint need no merging first."""
+    spans = others if disjoint else merged(others)
     hits = overlap_pairs(regions.select("chrom", "start", "end").distinct(), spans, ["chrom", "start", "end"], []).distinct()
     return regions.join(hits, ["chrom", "start", "end"], "left_semi" if keep else "left_anti")
 
 
-def contained(regions: DataFrame, allowed: DataFrame) -> DataFrame:
+def contained(regions: DataFrame, allowed: DataFrame, disjoint: bool = False) -> DataFrame:
     """The regions that lie within the union of allowed."""
-    pairs = overlap_pairs(regions.select("chrom", "start", "end").distinct(), merged(allowed), ["chrom", "start", "end"], ["start", "end"])
+    pairs = overlap_pairs(regions.select("chrom", "start", "end").distinct(), allowed if disjoint else merged(allowed), ["chrom", "start", "end"], ["start", "end"])
     inside = pairs.where("other_start <= start and other_end >= end").select("chrom", "start", "end")
     return regions.join(inside, ["chrom", "start", "end"], "left_semi")
 

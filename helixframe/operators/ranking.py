@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.keyed import unsigned_head
+from helixframe.plans.materialise import broadcast_if_small
 from helixframe.plans.running import running, tiled
 
 
-def _by_score(scored: DataFrame, by: list[str]) -> DataFrame:
-    """One row a group and score: p and n count labels 1 and 0; fails on other labels or scores that are not finite."""
+def _by_score(scored: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """One row a group and score: p and n count labels 1 and 0, each row weight times; fails on other labels or scores that are not finite."""
     fine = F.col("label").isin(0, 1) & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
     checked = scored.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("labels must be 0 or 1 and scores finite")).isNull())
-    return checked.groupBy(*by, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    w = F.lit(1) if weight is None else weight
+    return checked.groupBy(*by, "score").agg(F.sum(F.col("label") * w).alias("p"), F.sum((1 - F.col("label")) * w).alias("n"))
 
 
-def average_precision(scored: DataFrame, by: list[str]) -> DataFrame:
+def average_precision(scored: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """by and ap: the area under the precision-recall staircase, rows of equal score entering together; null for one class.
 
-    The running counts go over distinct scores in tiles, so one large group spreads over tasks."""
-    counts = tiled(_by_score(scored, by), by, "score", descending=True)
+    With weight a row counts so many times. The running counts go over distinct scores in
+    tiles, so one large group spreads over tasks."""
+    counts = tiled(_by_score(scored, by, weight), by, "score", descending=True)
     before = running(counts, by, "tile", [F.desc("score")], sums={"tp": F.col("p"), "fp": F.col("n")})
     tp, fp = F.col("tp") + F.col("p"), F.col("fp") + F.col("n")
     totals = F.sum("p"), F.sum("n")
-    area = F.sum(F.col("p") * tp / (tp + fp))
+    area = F.sum(F.when(F.col("p") > 0, F.col("p") * tp / (tp + fp)).otherwise(0.0))
     return before.groupBy(*by).agg(F.when((totals[0] > 0) & (totals[1] > 0), area / totals[0]).alias("ap"))
 
 
@@ -41,13 +41,14 @@ def auroc(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def trapezoid(points: DataFrame, by: list[str]) -> DataFrame:
-    """by and area under the points (x, y) by trapezoids; fails on equal x. Groups of one point have none."""
-    from pyspark.sql import Window
+    """by and area under the points (x, y) by trapezoids; fails on equal x and on a group of one point.
 
-    order = Window.partitionBy(*by).orderBy("x")
-    steps = points.withColumns({"px": F.lag("x").over(order), "py": F.lag("y").over(order)})
-    fine = F.assert_true(F.col("px").isNull() | (F.col("x") > F.col("px")), F.lit("x coordinates must be unique"))
-    return steps.where(fine.isNull()).groupBy(*by).agg(F.sum((F.col("x") - F.col("px")) * (F.col("y") + F.col("py")) / 2).alias("area"))
+    A point meets the one before it through the running maximum over tiles of x."""
+    before = running(tiled(points, by, "x"), by, "tile", [F.col("x")], maxima={"last_": F.struct("x", "y")})
+    px, py = F.col("last_.x"), F.col("last_.y")
+    steps = before.where(F.assert_true(px.isNull() | (F.col("x") > px), F.lit("x coordinates must be unique")).isNull())
+    areas = steps.groupBy(*by).agg(F.sum((F.col("x") - px) * (F.col("y") + py) / 2).alias("area"), F.count("*").alias("n_"))
+    return areas.where(F.assert_true(F.col("n_") > 1, F.lit("an area needs two points")).isNull()).drop("n_")
 
 
 def sign_flip(differences: DataFrame, by: list[str], most: int = 20) -> DataFrame:
@@ -65,27 +66,30 @@ def sign_flip(differences: DataFrame, by: list[str], most: int = 20) -> DataFram
     return tested.groupBy(*by, "n_pairs", "mean").agg(extreme.alias("extreme"), F.count("*").alias("total"), (extreme / F.count("*")).alias("p"))
 
 
+def drawn_weights(sizes: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """by, replicate, k and weight: how often each member k (from 0) of a group of size n is drawn, with replacement, in each replicate.
+
+    sizes has by and n. A draw is the leading 32 bits of a digest of seed, group, replicate and
+    number, modulo n, so any task, and any engine, can tell any draw."""
+    each = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("draw"))
+    drawn = each.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"), F.col("draw").cast("string"))
+    picked = drawn.withColumn("k", (unsigned_head(text, 8) % F.col("n").cast("decimal(20,0)")).cast("bigint"))
+    return picked.groupBy(*by, F.col("replicate").cast("bigint").alias("replicate"), "k").agg(F.count("*").alias("weight"))
+
+
 def bootstrap_mean(differences: DataFrame, by: list[str], seed: int, replicates: int = 2000, confidence: float = 0.95) -> DataFrame:
-    """by, n_pairs, mean, lower and upper: a percentile interval for the mean of paired differences (d).
-
-    Replicates are spread over tasks in blocks with their own seeds; each block needs only the
-    group's differences, which must fit a task (they are one number a pair)."""
-    blocks = 16
-    sizes = differences.groupBy(*by).agg(F.array_sort(F.collect_list("d")).alias("d"))
-    work = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                values = np.asarray(row["d"], float)
-                random = np.random.default_rng([seed, int(row["block"])])
-                share = len(range(int(row["block"]), replicates, blocks))
-                means = values[random.integers(len(values), size=(share, len(values)))].mean(1)
-                yield pd.DataFrame({**{c: row[c] for c in by}, "mean_": means})
-
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sizes.schema.fields if f.name in by)
-    drawn = work.repartition(*by, "block").mapInPandas(draw, columns + ", mean_ double")
-    tail = (1 - confidence) / 2
-    ends = drawn.groupBy(*by).agg(F.percentile("mean_", F.lit(tail)).alias("lower"), F.percentile("mean_", F.lit(1 - tail)).alias("upper"))
+    """by, n_pairs, mean, lower and upper: a percentile interval for the mean of paired differences (d, k from 0).
+
+    Draws are counted before they meet the differences, so a replicate reads a pair at most once."""
     plain = differences.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean"))
-    return plain.join(ends, by)
+    weights = drawn_weights(plain.select(*by, F.col("n_pairs").alias("n")), by, replicates, seed)
+    means = weights.join(differences, [*by, "k"]).groupBy(*by, "replicate").agg((F.sum(F.col("weight") * F.col("d")) / F.sum("weight")).alias("mean_"))
+    tail = (1 - confidence) / 2
+    ends = means.groupBy(*by).agg(F.percentile("mean_", F.lit(tail)).alias("lower"), F.percentile("mean_", F.lit(1 - tail)).alias("upper"))
+    return plain.join(broadcast_if_small(ends), by)
+
+
+def numbered(names: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column with k, their place in order from 0; names of clusters or blocks, a short list."""
+    return names.select(column).distinct().withColumn("k", (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint"))

@@ -6,13 +6,12 @@ rows and never touches the data a second time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.ranking import drawn_weights
+from helixframe.plans.materialise import broadcast_if_small
+
 
 def centred(rows: DataFrame, cells: list[str], columns: list[str]) -> DataFrame:
     """rows with each column less its mean within the cell, by an aggregate and a join, so large cells spread over tasks."""
@@ -70,30 +69,27 @@ def partial_statistics(gram: DataFrame, outcome: str, predictor: str, controls:
 def leave_one_out(parts: DataFrame, cells: list[str], trajectory: str, columns: list[str]) -> DataFrame:
     """The pooled sums without each trajectory in turn: omitted and the sums. parts is a table of cells times trajectories."""
     names = parts.select(F.col(trajectory).alias("omitted")).distinct()
-    kept = parts.join(F.broadcast(names), F.col(trajectory) != F.col("omitted"))
+    # every part but those of the omitted trajectory: the pooled sums less the trajectory's own would lose digits
+    kept = parts.join(broadcast_if_small(names, 10_000), F.col(trajectory) != F.col("omitted"))
     return pooled(kept, cells, ["omitted"], columns)
 
 
-def bootstrap_weights(parts: DataFrame, trajectory: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, trajectory, weight): how often each trajectory is drawn, with replacement, in each replicate."""
-    spark = parts.sparkSession
-    names = sorted(r[0] for r in parts.select(trajectory).distinct().collect())  # trajectories are a few dozen
-    kind = parts.schema[trajectory].dataType.simpleString()
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in frame["id"]:
-                drawn = np.bincount(np.random.default_rng([seed, int(k)]).integers(len(names), size=len(names)), minlength=len(names))
-                some = np.flatnonzero(drawn)
-                yield pd.DataFrame({"replicate": k, trajectory: [names[j] for j in some], "weight": drawn[some]})
+def bootstrap_weights(parts: DataFrame, trajectory: str, replicates: int, seed: int, cohort: str | None = None) -> DataFrame:
+    """(replicate, trajectory, weight): how often each trajectory is drawn, with replacement, in each replicate.
 
-    return spark.range(replicates).mapInPandas(draw, f"replicate bigint, {trajectory} {kind}, weight bigint")
+    With cohort, as many trajectories are drawn within each cohort as it has."""
+    by = [cohort] if cohort else []
+    names = parts.select(*by, trajectory).distinct()
+    order = Window.partitionBy(*by).orderBy(trajectory)  # trajectories are a short list
+    placed = broadcast_if_small(names.withColumn("k", (F.row_number().over(order) - 1).cast("bigint")))
+    sizes = placed.groupBy(*by).agg(F.count("*").alias("n")) if by else placed.agg(F.count("*").alias("n"))
+    return drawn_weights(sizes, by, replicates, seed).join(placed, [*by, "k"]).select("replicate", *by, trajectory, "weight")
 
 
-def cluster_bootstrap(parts: DataFrame, cells: list[str], trajectory: str, columns: list[str], outcome: str, predictor: str, controls: list[str], replicates: int, seed: int) -> DataFrame:
+def cluster_bootstrap(parts: DataFrame, cells: list[str], trajectory: str, columns: list[str], outcome: str, predictor: str, controls: list[str], replicates: int, seed: int, cohort: str | None = None) -> DataFrame:
     """lower, upper and usable: the 95 % percentile interval of partial_r over drawn trajectories; undefined replicates drop out."""
-    weights = bootstrap_weights(parts, trajectory, replicates, seed)
-    drawn = pooled(parts.join(weights, trajectory), cells, ["replicate"], columns, "weight")
+    weights = broadcast_if_small(bootstrap_weights(parts, trajectory, replicates, seed, cohort))
+    drawn = pooled(parts.join(weights, [*([cohort] if cohort else []), trajectory]), cells, ["replicate"], columns, "weight")
     r = partial_statistics(drawn, outcome, predictor, controls, columns).where("partial_r is not null")
     return r.agg(F.percentile("partial_r", F.lit(0.025)).alias("lower"), F.percentile("partial_r", F.lit(0.975)).alias("upper"), F.count("*").alias("usable"))
 
@@ -111,6 +107,12 @@ def transfer(train: DataFrame, test: DataFrame, features: list[str], outcome: st
     return judged.agg(F.sqrt(F.avg(F.pow(F.col("p_") - F.col("y_"), 2))).alias("rmse"), F.when((F.stddev_pop("p_") > 0) & (F.stddev_pop("y_") > 0), F.covar_pop("p_", "y_") / (F.stddev_pop("p_") * F.stddev_pop("y_"))).alias("r"))
 
 
+def frozen_transfer(train: DataFrame, test: DataFrame, features: list[str], added: str, outcome: str) -> DataFrame:
+    """baseline_rmse, baseline_r, augmented_rmse, augmented_r and delta_rmse: transfer() without and with one more feature. One row."""
+    sides = [transfer(train, test, columns, outcome).select(F.col("rmse").alias(f"{name}_rmse"), F.col("r").alias(f"{name}_r"), F.lit(1).alias("one_")) for name, columns in (("baseline", features), ("augmented", [*features, added]))]
+    return sides[0].join(sides[1], "one_").drop("one_").withColumn("delta_rmse", F.col("augmented_rmse") - F.col("baseline_rmse"))
+
+
 def quantile_bounds(values: DataFrame, by: list[str], column: str) -> DataFrame:
     """The least, the median and the greatest of a column."""
     return values.groupBy(*by).agg(F.min(column).alias("minimum"), F.median(column).alias("median"), F.max(column).alias("maximum"))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.dna import gc_fraction, n_fraction
 from helixframe.functions.keyed import keyed_start
-from helixframe.operators.intervals import contained, overlapping
+from helixframe.operators.intervals import contained, merged, overlap_pairs, overlapping
+from helixframe.plans.materialise import broadcast_if_small, checkpointed
 
 CHUNK = 1000
+#: So many open proposals are a short table.
+FEW = 50_000
 
 
 def region_sequences(regions: DataFrame, genome: DataFrame) -> DataFrame:
@@ -27,50 +30,113 @@ def region_sequences(regions: DataFrame, genome: DataFrame) -> DataFrame:
     return cut.where(F.length("seq") == F.col("end") - F.col("start")).drop("parts_")
 
 
-def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFrame, allowed: DataFrame | None = None, ratios: dict[str, int] | None = None, rounds: int = 4, tries: int = 16, tolerance: float = 0.05, most_unknown: float = 0.1, seed: int = 20260915, strict: bool = False) -> DataFrame:
-    """split, record_id, negative_index, chrom, start, end, attempt: controls for positives (record_id, split, chrom, seq).
+def _conflicts(proposals: DataFrame) -> DataFrame:
+    """(first, second): overlapping proposals of different keys, the earlier in order first."""
+    pairs = overlap_pairs(proposals, proposals, ["spot"], ["spot"])
+    return pairs.where("spot < other_spot and (spot.record_id <> other_spot.record_id or spot.negative_index <> other_spot.negative_index)").select(F.col("spot").alias("first"), F.col("other_spot").alias("second"))
 
-    A key (positive and index) proposes starts by keyed digest, in attempt order; train keys go
-    through all rounds before test keys. A proposal must miss forbidden, lie in allowed where
-    given, have few unknown letters and the positive's GC content within tolerance. Proposals of
-    one chromosome are then taken greedily, in the order of split, round, record, index and
-    attempt, each unless its key is served or it overlaps one taken before. Chromosomes are
-    independent, so only the greedy pass is sequential, one task a chromosome, over a few
-    numbers a proposal. Keys left without a control are missing, or fail the job when strict."""
-    ratios = ratios or {"train": 1, "test": 2}
-    length = F.length("seq")
-    counted = F.coalesce(*[F.when(F.col("split") == s, F.lit(r)) for s, r in ratios.items()], F.lit(0))
-    sizes = genome.groupBy("chrom").agg((F.max("piece") + 1).alias("pieces"))
-    keys = positives.join(F.broadcast(sizes), "chrom").select("split", "record_id", "chrom", length.alias("length"), gc_fraction(F.col("seq")).alias("gc"), (F.col("pieces") * CHUNK - length).alias("last"), F.explode(F.sequence(F.lit(1), F.greatest(counted, F.lit(1)))).alias("negative_index"), counted.alias("wanted"))
-    keys = keys.where("negative_index <= wanted and last >= 0")
-    tried = keys.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(rounds * tries - 1))))
-    target = F.concat("record_id", F.lit("|negative="), F.col("negative_index").cast("string"))
-    start = keyed_start(seed, target, F.col("attempt"), F.col("last"))
-    proposals = tried.withColumn("start", start).withColumn("end", F.col("start") + F.col("length")).drop("last", "wanted", "length")
-    free = overlapping(proposals, forbidden, keep=False)
-    free = free if allowed is None else contained(free, allowed)
-    read = region_sequences(free, genome)
-    fit = read.where((n_fraction(F.col("seq")) <= most_unknown) & (F.abs(gc_fraction(F.col("seq")) - F.col("gc")) <= tolerance + 1e-12))
-    narrow = fit.select("split", "record_id", "negative_index", "chrom", "start", "end", "attempt")
+
+def first_fits(proposals: DataFrame, few: int = FEW) -> DataFrame:
+    """Of proposals (spot, chrom, start, end) those that a pass in order of spot = (record_id, negative_index, attempt) takes: each whose key is not served and that overlaps none taken.
+
+    A proposal with no open one before it in its key and none that overlaps it is taken, all of
+    these at once; what they exclude is closed, and so on until none is open. That is the
+    result of the pass in order. Once at most few are open, a table of that size, they are
+    passed in order in one task."""
+    open_ = checkpointed(proposals)
+    taken = None
+    edges = None
+    while True:
+        left = open_.count()
+        if left <= few:
+            break
+        if edges is None:
+            edges = checkpointed(_conflicts(open_))
+        key = [F.col("spot.record_id"), F.col("spot.negative_index")]
+        heads = open_.groupBy(*key).agg(F.min("spot").alias("spot")).select("spot")
+        live = edges.join(open_.select(F.col("spot").alias("first")), "first", "left_semi")
+        now = checkpointed(open_.join(heads, "spot", "left_semi").join(live.select(F.col("second").alias("spot")).distinct(), "spot", "left_anti"))
+        shut = edges.join(now.select(F.col("spot").alias("first")), "first", "left_semi").select(F.col("second").alias("spot")).distinct()
+        served = now.select(*[k.alias(f"k{i}") for i, k in enumerate(key)])
+        rest = open_.join(shut, "spot", "left_anti")
+        open_ = checkpointed(rest.join(served, (key[0] == F.col("k0")) & (key[1] == F.col("k1")), "left_anti"))
+        taken = now if taken is None else taken.unionByName(now)
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
-        order = {"train": 0, "test": 1}
-        ranked = rows.assign(o_=rows["split"].map(order).fillna(2), r_=rows["attempt"] // tries).sort_values(["o_", "r_", "record_id", "negative_index", "attempt"], kind="stable")
-        served, taken, kept = set(), {}, []
-        for at, row in zip(ranked.index, ranked.itertuples(index=False), strict=True):
-            key = (row.record_id, row.negative_index)
-            bins = range(row.start // 4096, (row.end - 1) // 4096 + 1)
-            if key in served or any(a < row.end and row.start < b for k in bins for a, b in taken.get(k, ())):
+        spots = [(s["record_id"], s["negative_index"], s["attempt"]) for s in rows["spot"]]
+        served, held, kept = set(), {}, []
+        for at in sorted(range(len(spots)), key=spots.__getitem__):
+            chrom, start, end = rows["chrom"].iat[at], rows["start"].iat[at], rows["end"].iat[at]
+            bins = [(chrom, k) for k in range(start // CHUNK, (end - 1) // CHUNK + 1)]
+            if spots[at][:2] in served or any(a < end and start < b for k in bins for a, b in held.get(k, ())):
                 continue
-            served.add(key)
+            served.add(spots[at][:2])
             kept.append(at)
             for k in bins:
-                taken.setdefault(k, []).append((row.start, row.end))
-        return rows.loc[kept]
+                held.setdefault(k, []).append((start, end))
+        return rows.iloc[kept]
+
+    last = open_.groupBy(F.lit(0).alias("all_")).applyInPandas(take, open_.schema)
+    return last if taken is None else taken.unionByName(last)
+
+
+def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFrame, allowed: DataFrame | None = None, ratios: dict[str, int] | None = None, rounds: int = 4, tries: int = 16, tolerance: float = 0.05, most_unknown: float = 0.1, seed: int = 20260915, strict: bool = True, few: int = FEW) -> DataFrame:
+    """split, record_id, negative_index, chrom, start, end, gc, negative_gc, attempt: controls for positives (record_id, split, chrom, seq), one for each in train and ten in test.
 
-    found = narrow.groupBy("chrom").applyInPandas(take, narrow.schema)
+    A key (positive and index) proposes starts by keyed digest, in attempt order; train keys go
+    through all rounds before test keys, and a round's proposals are made for keys without a
+    control only. A proposal must miss forbidden, lie in allowed where given, have few unknown
+    letters and the positive's GC content within tolerance, and overlap none taken before it,
+    in the order of split, round, record, index and attempt. A key that no round serves fails
+    the job or, if not strict, comes back without a place."""
+    ratios = ratios or {"train": 1, "test": 10}
+    length = F.length("seq")
+    counted = F.coalesce(*[F.when(F.col("split") == s, F.lit(r)) for s, r in ratios.items()], F.lit(0))
+    sizes = genome.groupBy("chrom").agg((F.max("piece") + 1).alias("pieces"))
+    wanted = positives.withColumn("wanted", counted).where("wanted > 0")
+    indexed = wanted.withColumn("negative_index", F.explode(F.sequence(F.lit(1), F.col("wanted"))))
+    keys = checkpointed(indexed.join(broadcast_if_small(sizes, 10_000), "chrom", "left").select("split", "record_id", "negative_index", "chrom", length.alias("length"), gc_fraction(F.col("seq")).alias("gc"), (F.coalesce("pieces", F.lit(0)) * CHUNK - length).alias("last")))
+    closed, open_to = checkpointed(merged(forbidden)), None if allowed is None else checkpointed(merged(allowed))
+    shown = ["split", "record_id", "negative_index", "chrom", "start", "end", "gc", "negative_gc", "attempt"]
+    taken = None
+    for split in ratios:
+        waiting = keys.where((F.col("split") == split) & (F.col("last") >= 0))
+        for turn in range(rounds):
+            if taken is not None:
+                waiting = waiting.join(taken.select("record_id", "negative_index"), ["record_id", "negative_index"], "left_anti")
+            if waiting.limit(1).count() == 0:
+                break
+            tried = waiting.withColumn("attempt", F.explode(F.sequence(F.lit(turn * tries), F.lit((turn + 1) * tries - 1))))
+            target = F.concat("record_id", F.lit("|negative="), F.col("negative_index").cast("string"))
+            proposals = tried.withColumn("start", keyed_start(seed, target, F.col("attempt"), F.col("last"))).withColumn("end", F.col("start") + F.col("length")).drop("last", "length")
+            free = overlapping(proposals, closed, keep=False, disjoint=True)
+            free = free if open_to is None else contained(free, open_to, disjoint=True)
+            free = free if taken is None else overlapping(free, taken, keep=False, disjoint=True)
+            read = region_sequences(free, genome)
+            fit = read.withColumn("negative_gc", gc_fraction(F.col("seq"))).where((n_fraction(F.col("seq")) <= most_unknown) & (F.abs(F.col("negative_gc") - F.col("gc")) <= tolerance + 1e-12))
+            spots = first_fits(fit.drop("seq").withColumn("spot", F.struct("record_id", "negative_index", "attempt")), few)
+            taken = checkpointed(spots.select(*shown) if taken is None else taken.unionByName(spots.select(*shown)))
+    if taken is None:
+        taken = keys.limit(0).select("split", "record_id", "negative_index", "chrom", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), "gc", F.col("gc").alias("negative_gc"), F.lit(0).alias("attempt"))
+    missing = keys.join(taken, ["record_id", "negative_index"], "left_anti")
     if strict:
-        left = keys.join(found, ["record_id", "negative_index"], "left_anti").orderBy("record_id", "negative_index").limit(5).collect()
-        if left:
-            raise RuntimeError("no control for " + ", ".join(f"{r['record_id']} (GC={r['gc']:.3f})" for r in left))
-    return found
+        lost = missing.count()
+        if lost:
+            first = missing.orderBy("record_id", "negative_index").limit(5).collect()
+            raise RuntimeError(f"{lost} controls not matched after {rounds} rounds with tolerance {tolerance}: " + ", ".join(f"{r['record_id']} (GC={r['gc']:.3f})" for r in first))
+        return taken
+    return taken.unionByName(missing.select("split", "record_id", "negative_index", "chrom", "gc"), allowMissingColumns=True)
+
+
+def negative_pairs(positives: DataFrame, controls: DataFrame) -> DataFrame:
+    """The pair table of positives (record_id, split, chrom, start, end) and their controls; negative_id is a digest of record and index."""
+    digest = F.substring(F.sha2(F.concat_ws("|", "record_id", F.col("negative_index").cast("string")), 256), 1, 16)
+    own = positives.select("record_id", F.col("chrom").alias("positive_chrom"), F.col("start").alias("positive_start"), F.col("end").alias("positive_end"))
+    fields = controls.select("split", "record_id", "negative_index", F.concat(F.lit("neg_"), "split", F.lit("_"), digest).alias("negative_id"), F.col("chrom").alias("negative_chrom"), F.col("start").alias("negative_start"), F.col("end").alias("negative_end"), F.col("gc").alias("positive_gc"), "negative_gc", F.abs(F.col("gc") - F.col("negative_gc")).alias("gc_delta"), F.col("attempt").alias("candidate_attempt"))
+    return own.join(fields, "record_id").withColumnRenamed("record_id", "positive_id")
+
+
+def cross_split_overlaps(controls: DataFrame) -> DataFrame:
+    """n_overlaps: how many test controls overlap a train control."""
+    hit = overlapping(controls.where("split = 'test'"), controls.where("split = 'train'"))
+    return hit.agg(F.count("*").alias("n_overlaps"))

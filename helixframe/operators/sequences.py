@@ -22,8 +22,8 @@ def kmer_counts(sequences: DataFrame, k: int, both_strands: bool = False) -> Dat
     seqs = sequences.select(F.upper("seq").alias("seq"))
     if both_strands:
         seqs = seqs.union(seqs.select(reverse_complement(F.col("seq"))))
-    words = seqs.select(F.explode(kmers(F.col("seq"), k)).alias("word"))
-    return words.where(~F.col("word").rlike("[^ACGT]")).groupBy("word").agg(F.count("*").alias("n"))
+    known = F.explode(F.filter(kmers(F.col("seq"), k), lambda w: F.length(F.translate(w, "ACGT", "")) == 0))
+    return seqs.select(known.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def markov_table(sequences: DataFrame, order: int, pseudocount: float = 0.1, both_strands: bool = False) -> DataFrame:
@@ -107,7 +107,8 @@ def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float],
     motifs (motif_id, pwm) are broadcast up to BROADCAST_ROWS matrix rows, else they take turns
     in blocks of that size. Fails on a sequence without a finite score, as one that is shorter
     than a motif or has no unambiguous window."""
-    columns = "doc_id bigint, motif_id bigint, max_log_odds double"
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    columns = f"doc_id {kind(sequences, 'doc_id')}, motif_id {kind(motifs, 'motif_id')}, max_log_odds double"
     out, block, rows = None, [], 0
 
     def over(held) -> DataFrame:
@@ -137,26 +138,21 @@ def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float],
     return join(out, block)
 
 
-def motif_distances(pairs: DataFrame, metric: str = "jsd", fraction: float = 0.8) -> DataFrame:
+def motif_distances(pairs: DataFrame, metric: str = "jsd", fraction: float = 0.8, clamp: bool = True) -> DataFrame:
     """pairs (a and b are matrices) with distance, shift, strand and overlap: the best alignment of either strand.
 
     An alignment's distance is the sum over overlapping columns of their distance (Jensen-Shannon
     in bits, total variation, or Hellinger), plus 1 for each column without partner, over the
     number of columns of the union. Shifts run so that fraction of the longer matrix could
-    overlap. Ties go to the plus strand, then the smallest shift. Without an alignment all are null."""
+    overlap. Ties go to the plus strand, then the smallest shift. Without an alignment all are
+    null. With clamp the distance is kept within 0 and 1, else it is the score as it comes out.
+    All alignments of a pair are tried within its row, so nothing is shuffled."""
+    names = ["x_", "y_", "z_", "need_", "best_"]
     need = F.ceil(F.greatest(F.size("a"), F.size("b")) * F.lit(fraction)).cast("int")
     scaled = lambda m: F.transform(m, lambda r: F.transform(r, lambda x: x / F.aggregate(r, F.lit(0.0), lambda s, y: s + y)))
-    keyed = pairs.withColumn("pair_", F.monotonically_increasing_id())
-    base = keyed.select("pair_", scaled(F.col("a")).alias("x"), scaled(F.col("b")).alias("y"), need.alias("need"))
-    strands = base.select("pair_", "x", "need", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("y").alias("m")), F.struct(F.lit("-").alias("strand"), flipped_matrix(F.col("y")).alias("m")))).alias("s"))
-    low, high = F.col("need") - F.size("s.m"), F.size("x") - F.col("need")
-    shifts = strands.where(low <= high).select("pair_", "x", "s.strand", "s.m", F.explode(F.sequence(low, high)).alias("shift"))
-    start, end = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("x"), F.col("shift") + F.size("m"))
-    placed = shifts.withColumns({"start": start, "overlap": end - start}).where("overlap > 0")
-    left, right = F.slice("x", F.col("start") + 1, F.col("overlap")), F.slice("m", F.col("start") - F.col("shift") + 1, F.col("overlap"))
+    total = lambda z: F.aggregate(z, F.lit(0.0), lambda s, v: s + v)
 
     def column(r, q):
-        total = lambda z: F.aggregate(z, F.lit(0.0), lambda s, v: s + v)
         if metric == "tv":
             return total(F.zip_with(r, q, lambda u, v: F.abs(u - v))) / 2
         if metric == "hellinger":
@@ -164,9 +160,21 @@ def motif_distances(pairs: DataFrame, metric: str = "jsd", fraction: float = 0.8
         part = lambda u, v: F.when(u > 0, u * F.log2(u / ((u + v) / 2))).otherwise(0.0)
         return total(F.zip_with(r, q, lambda u, v: part(u, v) + part(v, u))) / 2
 
-    columns = F.aggregate(F.zip_with(left, right, column), F.lit(0.0), lambda s, v: s + v)
-    unmatched = F.size("x") + F.size("m") - 2 * F.col("overlap")
-    score = (columns + unmatched) / (F.col("overlap") + unmatched)
-    best = placed.withColumn("score", score).groupBy("pair_").agg(F.min(F.struct("score", "strand", "shift", "overlap")).alias("best"))
-    joined = keyed.join(best, "pair_", "left").drop("pair_")
-    return joined.select(*pairs.columns, F.when(F.col("best").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("best.score")))).alias("distance"), "best.shift", "best.strand", "best.overlap")
+    x, y, z = (F.col(c) for c in names[:3])
+    low, high = F.col(names[3]) - F.size(y), F.size(x) - F.col(names[3])
+
+    def placed(strand, m):
+        def at(shift):
+            start = F.greatest(F.lit(0), shift)
+            overlap = F.least(F.size(x), shift + F.size(m)) - start
+            columns = total(F.zip_with(F.slice(x, start + 1, overlap), F.slice(m, start - shift + 1, overlap), column))
+            unmatched = F.size(x) + F.size(m) - 2 * overlap
+            return F.struct(((columns + unmatched) / (overlap + unmatched)).alias("score"), F.lit(strand).alias("strand"), shift.cast("int").alias("shift"), overlap.cast("int").alias("overlap"))
+
+        return F.transform(F.filter(F.sequence(low, high), lambda k: F.least(F.size(x), k + F.size(m)) > F.greatest(F.lit(0), k)), at)
+
+    names_of = pairs.withColumns({names[0]: scaled(F.col("a")), names[1]: scaled(F.col("b")), names[3]: need}).withColumn(names[2], flipped_matrix(y))
+    best = names_of.withColumn(names[4], F.when(low <= high, F.array_min(F.concat(placed("+", y), placed("-", z)))))
+    score = F.col(f"{names[4]}.score")
+    distance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) if clamp else score
+    return best.select(*pairs.columns, F.when(score.isNotNull(), distance).alias("distance"), *[F.col(f"{names[4]}.{c}").alias(c) for c in ("shift", "strand", "overlap")])

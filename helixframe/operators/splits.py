@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.intervals import overlapping
+from helixframe.operators.intervals import group_table, overlap_groups, overlapping
+from helixframe.plans.materialise import broadcast_if_small, checkpointed
 from helixframe.plans.running import ranked
+from helixframe.sources.sinks import twelve_digits, write_json, write_tsv
 
 
 def score_bins(groups: DataFrame, bins: int) -> DataFrame:
     """groups (group_id, score) with bin: rank * bins div n over all groups by score, then id."""
-    total = groups.agg(F.count("*").alias("total_"))
-    placed = ranked(groups, "score", ["group_id"], "rank_").crossJoin(F.broadcast(total))
-    return placed.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("rank_") * bins / F.col("total_"))).cast("int")).drop("rank_", "total_")
+    kept = checkpointed(groups)
+    total = kept.count()
+    placed = ranked(kept, "score", ["group_id"], "rank_")
+    return placed.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("rank_") * bins / F.lit(max(1, total)))).cast("int")).drop("rank_")
 
 
 def allocation(binned: DataFrame, fraction: float) -> DataFrame:
@@ -30,13 +33,42 @@ def allocation(binned: DataFrame, fraction: float) -> DataFrame:
 
 def assigned(groups: DataFrame, fraction: float, seed: int, bins: int) -> DataFrame:
     """groups (group_id, chrom, score) with bin and split: in each stratum the first quota groups by keyed digest test."""
-    binned = score_bins(groups, bins)
+    binned = checkpointed(score_bins(groups, bins))
     order = F.sha2(F.concat(F.lit(f"{seed}\0"), F.col("group_id")), 256)
     place = F.row_number().over(Window.partitionBy("chrom", "bin").orderBy(order, "group_id"))
-    joined = binned.withColumn("place_", place).join(F.broadcast(allocation(binned, fraction)), ["chrom", "bin"])
+    joined = binned.withColumn("place_", place).join(broadcast_if_small(allocation(binned, fraction)), ["chrom", "bin"])
     return joined.withColumn("split", F.when(F.col("place_") <= F.col("quota"), "test").otherwise("train")).drop("place_", "quota", "members")
 
 
 def leaks(manifest: DataFrame) -> DataFrame:
     """The train intervals of a manifest (split, chrom, start, end) that overlap a test interval; there should be none."""
     return overlapping(manifest.where("split = 'train'"), manifest.where("split = 'test'"))
+
+
+def manifest(intervals: DataFrame, fraction: float, seed: int, bins: int) -> DataFrame:
+    """intervals (chrom, start, end, record_id, score and others) with split and group_id, in order of split, chromosome, start and end.
+
+    Fails where a train interval overlaps a test interval."""
+    grouped = checkpointed(overlap_groups(intervals))
+    sides = assigned(group_table(grouped), fraction, seed, bins).select("chrom", "group_id", "split")
+    rows = checkpointed(grouped.join(sides, ["chrom", "group_id"]))
+    first = leaks(rows).select("record_id").take(1)
+    if first:
+        raise ValueError(f"cross-split overlap: {first[0]['record_id']}")
+    return rows.orderBy("split", "chrom", "start", "end", "record_id")
+
+
+def split_report(rows: DataFrame) -> DataFrame:
+    """split, groups and intervals of a manifest."""
+    return rows.groupBy("split").agg(F.countDistinct("chrom", "group_id").alias("groups"), F.count("*").alias("intervals"))
+
+
+def write_split(intervals: DataFrame, path: str, fraction: float, seed: int, bins: int) -> dict:
+    """Write a manifest and its counts to new folders PATH/manifest and PATH/summary; the counts."""
+    rows = checkpointed(manifest(intervals, fraction, seed, bins))
+    counts = {r["split"]: r for r in split_report(rows).collect()}
+    of = lambda what: {s: counts[s][what] if s in counts else 0 for s in ("train", "test")}
+    record = {"seed": seed, "test_fraction_requested": fraction, "score_bins": bins, "group_counts": of("groups"), "interval_counts": of("intervals"), "cross_split_overlaps": 0}
+    write_tsv(rows.withColumn("score", twelve_digits("score")), f"{path}/manifest")
+    write_json(intervals.sparkSession, record, f"{path}/summary")
+    return record

@@ -2,13 +2,19 @@
 
 A window over one key puts all rows of the key into one task. Here a key's rows are cut along
 their order into tiles: the window runs within tiles, and a second one over the tiles' totals
-gives each tile what came before it. So a group of any size spreads over tasks."""
+gives each tile what came before it. So a group of any size spreads over tasks. The rows are
+shuffled once, by group and tile; the totals are a short table that is computed on its own."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.plans.materialise import broadcast_if_small
+
+#: Tiles a group: COARSE ranges of COARSE each.
+COARSE = 16
+
 
 def running(df: DataFrame, by: list[str], tile: str, order: list[Column], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
     """df with a column for each entry: the sum (0 at first) or maximum (null at first) over the rows before.
@@ -18,22 +24,32 @@ def running(df: DataFrame, by: list[str], tile: str, order: list[Column], sums:
     sums, maxima = sums or {}, maxima or {}
     inside = Window.partitionBy(*by, tile).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*by).orderBy(tile).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*by, tile).agg(*[F.sum(c).alias(k) for k, c in sums.items()], *[F.max(c).alias(k) for k, c in maxima.items()])
-    carry = totals.select(*by, tile, *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"carry_{k}") for k in sums], *[F.max(k).over(earlier).alias(f"carry_{k}") for k in maxima])
+    totals = df.groupBy(*by, tile).agg(*[F.sum(c).alias(f"carry_{k}") for k, c in sums.items()], *[F.max(c).alias(f"carry_{k}") for k, c in maxima.items()])
+    over = {k: F.coalesce(F.sum(f"carry_{k}").over(earlier), F.lit(0)) for k in sums} | {k: F.max(f"carry_{k}").over(earlier) for k in maxima}
+    carry = broadcast_if_small(totals.select(*by, tile, *[c.alias(f"carry_{k}") for k, c in over.items()]))
     found = df.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()} | {k: F.max(c).over(inside) for k, c in maxima.items()})
     joined = found.join(carry, [*by, tile])
-    return joined.withColumns({k: F.col(k) + F.col(f"carry_{k}") for k in sums} | {k: F.greatest(k, f"carry_{k}") for k in maxima}).drop(*[f"carry_{k}" for k in [*sums, *maxima]])
+    whole = {k: F.col(k) + F.col(f"carry_{k}") for k in sums} | {k: F.greatest(k, f"carry_{k}") for k in maxima}
+    return joined.withColumns(whole).drop(*[f"carry_{k}" for k in [*sums, *maxima]])
+
 
+def tiled(df: DataFrame, by: list[str], value: str, descending: bool = False, name: str = "tile") -> DataFrame:
+    """df with a tile number along value, at quantiles of each group's values, so that tiles hold about equally many rows however values are spread.
 
-def tiled(df: DataFrame, by: list[str], value: str, tiles: int = 256, descending: bool = False, name: str = "tile") -> DataFrame:
-    """df with a tile number along value: equal steps between a group's least and greatest value."""
-    ends = df.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
-    step = F.when(F.col("hi_") > F.col("lo_"), F.floor((F.col(value) - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * (tiles - 1))).otherwise(F.lit(0)).cast("int")
-    return df.join(ends, by).withColumn(name, -step if descending else step).drop("lo_", "hi_")
+    Rows of one value are of one tile; a null value is of the first."""
+    cuts = [k / COARSE**2 for k in range(1, COARSE**2)]
+    bounds = df.groupBy(*by).agg(F.percentile_approx(value, cuts, 4 * COARSE**2).alias("all_"))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.get("all_", k * COARSE - 1))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(COARSE - 1)), lambda k: F.slice("all_", k * COARSE + 1, COARSE - 1))
+    short = broadcast_if_small(bounds.select(*by, coarse.alias("coarse_"), fine.alias("fine_")), 10_000)
+    above = lambda cut: F.size(F.filter(cut, lambda b: b < F.col(value)))
+    at = df.join(short, by).withColumn("at_", above(F.coalesce("coarse_", F.array().cast("array<double>"))))
+    step = (F.col("at_") * COARSE + above(F.coalesce(F.get("fine_", F.col("at_")), F.array().cast("array<double>")))).cast("int")
+    return at.withColumn(name, -step if descending else step).drop("coarse_", "fine_", "at_")
 
 
 def ranked(df: DataFrame, value: str, order: list[str], name: str = "rank") -> DataFrame:
     """df with the row number from 0 by value and then order over all rows, without one task for all."""
-    keyed = tiled(df.withColumn("all_", F.lit(0)), ["all_"], value)
-    numbered = running(keyed, ["all_"], "tile", [F.col(value), *map(F.col, order)], sums={name: F.lit(1)})
-    return numbered.drop("all_", "tile")
+    keyed = tiled(df.withColumn("all_rows_", F.lit(0)), ["all_rows_"], value)
+    numbered = running(keyed, ["all_rows_"], "tile", [F.col(value), *map(F.col, order)], sums={name: F.lit(1)})
+    return numbered.drop("all_rows_", "tile")

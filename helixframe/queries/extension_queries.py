@@ -9,8 +9,9 @@ from helixframe.operators import extensions as ex
 from helixframe.operators import ladders as ld
 from helixframe.operators.discovery import compared
 from helixframe.operators.sampling import CHUNK, region_sequences
+from helixframe.plans.materialise import broadcast_if_small, checkpointed
 from helixframe.queries import plan_queries as pq
-from helixframe.queries.statistic_queries import _matches
+from helixframe.queries.statistic_queries import _DRAW, _matches
 from helixframe.views import SQL as V
 from helixframe.views import table
 
@@ -28,8 +29,8 @@ def plan_widths(spark, sf_dir):
 
 def plan_difference(spark, sf_dir):
     """The expected grid against the cells that events give: which are missing and which are not asked for."""
-    expected = spark.range(60).select(F.col("id").alias("sample")).withColumn("signal", F.explode(F.array(*map(F.lit, ("click", "view", "buy")))))
-    actual = table(spark, sf_dir, "events").where("event_id % 50 = 0").select((F.col("user_id") % 70).alias("sample"), F.col("event_type").alias("signal")).distinct()
+    expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample")).withColumn("signal", F.explode(F.array(*map(F.lit, ("click", "view", "buy")))))
+    actual = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample"), F.col("event_type").alias("signal")).distinct()
     return ex.grid_difference(expected, actual, ["sample", "signal"])
 
 
@@ -44,7 +45,7 @@ def ladder_refined(spark, sf_dir):
 
 
 def descriptive_hits(spark, sf_dir):
-    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("model"), F.col("o_totalprice").alias("value")).where("run_id < 500")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("model"), F.col("o_totalprice").alias("value"))
     found = ex.descriptive(runs, _matches(spark, sf_dir), ["model"], 0.05, 20)
     return found.select("model", "n", F.round("mean_value", 4).alias("mean_value"), "hits")
 
@@ -56,9 +57,9 @@ def pair_features(spark, sf_dir):
 
 
 def block_bootstrap(spark, sf_dir):
-    rows = views.scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.crc32("text").cast("double").alias("other")), "doc_id")
+    rows = views.scored(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("double").alias("other")), "doc_id")
     found = ex.block_bootstrap(rows.select("label", (F.col("doc_id") % 10).alias("block"), "score", "other"), "block", "other", "score", 200, 20260918)
-    return found.agg(F.percentile("delta", F.lit(0.025)).alias("lower"), F.percentile("delta", F.lit(0.975)).alias("upper"), F.count("delta").alias("usable"))
+    return found.agg(F.round(F.percentile("delta", F.lit(0.025)), 6).alias("lower"), F.round(F.percentile("delta", F.lit(0.975)), 6).alias("upper"), F.count("delta").alias("usable"))
 
 
 def frozen_scores(spark, sf_dir):
@@ -67,13 +68,20 @@ def frozen_scores(spark, sf_dir):
 
 
 def genome_extract(spark, sf_dir):
-    regions = views.mask(spark, sf_dir).where("start % 5 = 0").select("chrom", (F.col("start") % 40_000).alias("start"), (F.col("start") % 40_000 + F.col("end") - F.col("start")).alias("end")).distinct()
-    return region_sequences(regions, pq._genome(spark, sf_dir)).select("chrom", "start", "end", "seq")
+    """The letters of every mask region, its start taken modulo the length of its chromosome less the longest region."""
+    genome = checkpointed(views.genome(spark, sf_dir))
+    sizes = broadcast_if_small(genome.groupBy("chrom").agg(((F.max("piece") + 1) * CHUNK - 80).alias("last")), 10_000)
+    regions = views.mask(spark, sf_dir).join(sizes, "chrom").select("chrom", (F.col("start") % F.col("last")).alias("start"), (F.col("start") % F.col("last") + F.col("end") - F.col("start")).alias("end"))
+    return region_sequences(regions.distinct(), genome).select("chrom", "start", "end", "seq")
 
 
 def motif_compare(spark, sf_dir):
+    """Every matrix against the mean matrix of each label."""
     m = views.matrices(spark, sf_dir)
-    found = compared(m.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("query_id"), "pwm"), m.where("vec_id < 100 and vec_id % 10 = 0").select(F.col("vec_id").alias("target_id"), "pwm"), 13)
+    flat = m.select(F.col("label").cast("bigint").alias("target_id"), F.posexplode(F.flatten("pwm")).alias("at", "p"))
+    means = flat.groupBy("target_id", "at").agg(F.avg("p").alias("p")).groupBy("target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("v"))  # 64 numbers a label
+    targets = means.select("target_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("v", k * 4 + 1, 4)).alias("pwm"))
+    found = compared(m.select(F.col("vec_id").alias("query_id"), "pwm"), targets, 13)
     return found.select("query_id", "target_id", F.round("score", 6).alias("score"), "overlap")
 
 
@@ -88,23 +96,45 @@ def cohort_settings(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (plan_widths, plan_difference, ladder_midpoints, ladder_refined, descriptive_hits, pair_features, block_bootstrap, frozen_scores, genome_extract, motif_compare, cohort_settings)}
 
 _Z = " + ".join(f"({x} - {m}) / CAST({s} AS DOUBLE) * {w}" for x, m, s, w in zip(("share", "size"), FROZEN["mean"], FROZEN["scale"], FROZEN["coefficients"], strict=True))
+_CORRELATION = "CASE WHEN xx * yy > 0 THEN xy / sqrt(xx * yy) ELSE 0 END"
+_COMPARE = f"""WITH {V['matrices']}, t AS (SELECT CAST(label AS BIGINT) AS target_id, k, avg(a) AS a, avg(c) AS c, avg(g) AS g, avg(t) AS t FROM v_pwm GROUP BY ALL),
+ s AS (SELECT *, 1 AS plus FROM t UNION ALL SELECT target_id, 15 - k, t, g, c, a, 0 FROM t),
+ p AS (SELECT q.vec_id AS query_id, target_id, plus, shift, {" + ".join(f"(q.{b} - 0.25) * (s.{b} - 0.25)" for b in "acgt")} AS xy, {" + ".join(f"(q.{b} - 0.25) * (q.{b} - 0.25)" for b in "acgt")} AS xx, {" + ".join(f"(s.{b} - 0.25) * (s.{b} - 0.25)" for b in "acgt")} AS yy
+  FROM v_pwm q, s, (SELECT unnest(range(-3, 4)) AS shift) WHERE q.k = s.k + shift),
+ m AS (SELECT query_id, target_id, plus, shift, count(*) AS overlap, sum({_CORRELATION}) / count(*) AS score FROM p GROUP BY ALL)
+SELECT query_id, target_id, round(score, 6) AS score, CAST(overlap AS INT) AS overlap FROM m QUALIFY row_number() OVER (PARTITION BY query_id, target_id ORDER BY score DESC, plus DESC, shift) = 1"""
+
+
+def _ap(score: str, name: str) -> str:
+    return f"""{name}_c AS (SELECT replicate, {score} AS score, sum(label * weight) AS p, sum((1 - label) * weight) AS n FROM rows JOIN w USING (block) GROUP BY ALL),
+ {name}_r AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS fp FROM {name}_c WINDOW o AS (PARTITION BY replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ {name} AS (SELECT replicate, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * tp / (tp + fp)) / sum(p) END AS ap FROM {name}_r GROUP BY replicate)"""
+
+
+_BLOCK_DRAW = _DRAW.format(text="'20260918|' || replicate || '|' || draw", n="(SELECT count(*) FROM names)")
+_BLOCKS = f"""WITH {V['scored']}, rows AS (SELECT s.doc_id % 10 AS block, label, score, CAST(CAST('0x' || substr(md5(text), 1, 8) AS UBIGINT) AS DOUBLE) AS other FROM v_scored s JOIN documents USING (doc_id)),
+ names AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS k FROM (SELECT DISTINCT block FROM rows)),
+ w AS (SELECT replicate, block, count(*) AS weight FROM (SELECT replicate, {_BLOCK_DRAW} AS k FROM (SELECT unnest(range(200)) AS replicate), (SELECT unnest(range((SELECT count(*) FROM names))) AS draw)) JOIN names USING (k) GROUP BY ALL),
+ {_ap("other", "one")}, {_ap("score", "two")}
+SELECT round(quantile_cont(d, 0.025), 6) AS lower, round(quantile_cont(d, 0.975), 6) AS upper, count(d) AS usable FROM (SELECT two.ap - one.ap AS d FROM one JOIN two USING (replicate))"""
 SQL = {
     "plan_widths": f"WITH {pq._GRID} SELECT run_id || printf('_w%02d', width) AS run_id, sample, signal_percent, model, width FROM plan, (SELECT CAST(unnest({WIDTHS}) AS INT) AS width) WHERE signal_percent IN (100, 75, 50)",
-    "plan_difference": """WITH e AS (SELECT * FROM (SELECT unnest(range(60)) AS sample), (SELECT unnest(['click', 'view', 'buy']) AS signal)),
- a AS (SELECT DISTINCT user_id % 70 AS sample, event_type AS signal FROM events WHERE event_id % 50 = 0)
+    "plan_difference": """WITH e AS (SELECT * FROM (SELECT c_custkey AS sample FROM customer), (SELECT unnest(['click', 'view', 'buy']) AS signal)),
+ a AS (SELECT DISTINCT user_id AS sample, event_type AS signal FROM events)
 SELECT *, true AS missing FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, false FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM e)""",
     "ladder_midpoints": """SELECT sample, (level + below) / 2 AS level FROM (SELECT sample, level, lag(level) OVER (PARTITION BY sample ORDER BY level) AS below FROM (SELECT DISTINCT p_partkey % 20 AS sample, CAST(p_size * 2.0 AS DOUBLE) AS level FROM part)) WHERE below IS NOT NULL""",
     "ladder_refined": f"""WITH {pq._SLOTS} SELECT sample, CAST(l.level AS DOUBLE) AS level, slot, replacement_rank, CASE WHEN replacement_rank < 20 - k THEN 'negative' ELSE 'positive' END AS source
 FROM ranked, (VALUES (90.0, 18), (65.0, 13), (35.0, 7), (5.0, 1)) l(level, k)""",
-    "descriptive_hits": """WITH m AS (SELECT DISTINCT l_orderkey % 500 AS run_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount + l_tax <= 0.05 AND p_size >= 20)
-SELECT o_orderpriority AS model, count(*) AS n, round(avg(o_totalprice), 4) AS mean_value, count(m.run_id) AS hits FROM orders LEFT JOIN m ON m.run_id = o_orderkey WHERE o_orderkey < 500 GROUP BY o_orderpriority""",
+    "descriptive_hits": """WITH m AS (SELECT DISTINCT l_orderkey AS run_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount + l_tax <= 0.05 AND p_size >= 20)
+SELECT o_orderpriority AS model, count(*) AS n, round(avg(o_totalprice), 4) AS mean_value, count(m.run_id) AS hits FROM orders LEFT JOIN m ON m.run_id = o_orderkey GROUP BY o_orderpriority""",
     "pair_features": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(least(ln(1 + greatest(0.0, l_quantity - 10)), ln(1 + greatest(0.0, l_extendedprice / 1000 - 5))), 9) AS weakest_log_confidence,
  round(greatest(l_discount, l_tax), 9) AS resampling_instability, round(least(1 - l_discount, 1 - l_tax), 9) AS minimum_ap FROM lineitem""",
     "frozen_scores": f"""WITH d AS (SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>!]', '', 'g')) AS DOUBLE) / n_chars AS share, ln(n_chars) AS size FROM documents)
 SELECT doc_id, round(1 / (1 + exp(-({FROZEN['intercept']} + {_Z}))), 9) AS score FROM d""",
-    "genome_extract": f"""WITH {V['mask']}, r AS (SELECT DISTINCT chrom, start % 40000 AS start, start % 40000 + "end" - start AS "end" FROM v_mask WHERE start % 5 = 0),
- f AS (SELECT doc_id, substr(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, {CHUNK}) AS seq FROM documents),
- g AS (SELECT chrom, string_agg(seq, '' ORDER BY doc_id) AS whole FROM (SELECT *, (['AF','AO','NF','NO','RF','RO'])[CAST(doc_id % 6 AS INT) + 1] AS chrom FROM f WHERE length(seq) = {CHUNK}) GROUP BY chrom)
+    "genome_extract": f"""WITH {V['mask']}, {V['sequences']}, g AS (SELECT chrom, string_agg(rpad(whole, CAST((length(whole) + {CHUNK - 1}) // {CHUNK} * {CHUNK} AS INT), 'N'), '' ORDER BY doc_id) AS whole FROM (SELECT *, (['AF','AO','NF','NO','RF','RO'])[CAST(doc_id % 6 AS INT) + 1] AS chrom FROM v_letters) GROUP BY chrom),
+ r AS (SELECT DISTINCT chrom, start % (length(whole) - 80) AS start, start % (length(whole) - 80) + "end" - start AS "end" FROM v_mask JOIN g USING (chrom))
 SELECT chrom, start, "end", substr(whole, start + 1, "end" - start) AS seq FROM r JOIN g USING (chrom) WHERE "end" <= length(whole)""",
+    "motif_compare": _COMPARE,
+    "block_bootstrap": _BLOCKS,
     "cohort_settings": """SELECT r_name AS factor, r_regionkey * 3 + 10 AS width, count(*) AS n, round(avg(c_acctbal), 6) AS mean_value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
 }

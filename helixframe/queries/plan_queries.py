@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from helixframe import views
 from helixframe.operators import ladders as ld
+from helixframe.plans.materialise import broadcast_if_small, checkpointed
 from helixframe.views import table
 
 LEVELS, SIZE = [100.0, 75.0, 50.0, 25.0, 10.0, 0.0], 20
 SEEDS = {"sample": 20260915, "order": 20260916, "meme": 20260917}
+WINDOW = 201
 
 
 def _slots(spark, sf_dir):
-    """Orders as slots of ladders: 20 for each customer that has as many."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("sample"), "o_orderkey")
-    slot = F.row_number().over(Window.partitionBy("sample").orderBy("o_orderkey")) - 1
-    return rows.withColumn("slot", slot).where(F.col("slot") < SIZE).select("sample", "slot", F.col("o_orderkey").alias("positive_id"), (-F.col("o_orderkey")).alias("negative_id"))
+    """Orders as slots of ladders of 20, by runs of order keys; what is left of a run that is not full has no ladder."""
+    orders = table(spark, sf_dir, "orders").select((F.floor(F.col("o_orderkey") / SIZE)).alias("sample"), (F.col("o_orderkey") % SIZE).cast("int").alias("slot"), "o_orderkey")
+    full = orders.groupBy("sample").agg(F.count("*").alias("n")).where(F.col("n") == SIZE)
+    return orders.join(full, "sample", "left_semi").select("sample", "slot", F.col("o_orderkey").alias("positive_id"), (-F.col("o_orderkey")).alias("negative_id"))
 
 
 def ladder_records(spark, sf_dir):
@@ -49,46 +49,43 @@ def means_by_level(spark, sf_dir):
     return e.groupBy("event_type", (F.col("user_id") % 5).alias("width")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
-def matched_sampling(spark, sf_dir):
-    from helixframe.operators.sampling import matched_controls
+def _positives(spark, sf_dir):
+    """Customers as regions of the genome: record_id, split (a fifth test), chrom, start, end, seq."""
+    from helixframe.operators.sampling import CHUNK, region_sequences
 
-    found = matched_controls(*_sampling_inputs(spark, sf_dir))
-    return found.select("split", "record_id", "negative_index", "chrom", "start", "attempt")
+    genome = checkpointed(views.genome(spark, sf_dir))
+    sizes = broadcast_if_small(genome.groupBy("chrom").agg(((F.max("piece") + 1) * CHUNK - WINDOW).alias("last")), 10_000)
+    split = F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("split")
+    rows = table(spark, sf_dir, "customer").select(F.format_string("cust%08d", "c_custkey").alias("record_id"), split, views.chromosome(F.col("c_custkey")).alias("chrom"), "c_custkey")
+    placed = rows.join(sizes, "chrom").select("record_id", "split", "chrom", ((F.col("c_custkey") * 104729) % F.col("last")).alias("start"))
+    return genome, region_sequences(placed.withColumn("end", F.col("start") + WINDOW), genome)
 
 
-def _sampling_inputs(spark, sf_dir):
-    positives = views.sequences(spark, sf_dir).where("doc_id % 3 = 0").select(
-        F.format_string("doc%08d", "doc_id").alias("record_id"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
-        F.element_at(F.array(*map(F.lit, views.CHROMS)), (F.col("doc_id") % 6).cast("int") + 1).alias("chrom"), F.col("seq"),
-    )
-    forbidden = views.mask(spark, sf_dir)
-    genome = _genome(spark, sf_dir)
-    return positives, genome, forbidden
+def _controls(spark, sf_dir, strict=False):
+    from helixframe.operators.sampling import matched_controls
 
+    genome, positives = _positives(spark, sf_dir)
+    forbidden = views.mask(spark, sf_dir).unionByName(positives.select("chrom", "start", "end"))
+    return positives, matched_controls(positives, genome, forbidden, strict=strict)
 
-def _genome(spark, sf_dir):
-    """Documents as pieces of chromosomes: (chrom, piece, seq), each piece of CHUNK letters."""
-    from helixframe.operators.sampling import CHUNK
-    from pyspark.sql import Window
 
-    folded = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring(folded, 1, CHUNK).alias("seq")).where(F.length("seq") == CHUNK)
-    chrom = F.element_at(F.array(*map(F.lit, views.CHROMS)), (F.col("doc_id") % 6).cast("int") + 1)
-    placed = docs.withColumn("chrom", chrom)
-    return placed.withColumn("piece", F.row_number().over(Window.partitionBy("chrom").orderBy("doc_id")) - 1).select("chrom", "piece", "seq")
+def matched_sampling(spark, sf_dir):
+    """One control for each train region and ten for each test region; keys that no round serves have no place."""
+    positives, controls = _controls(spark, sf_dir)
+    return controls.select("split", "record_id", "negative_index", "chrom", "start", "attempt")
 
 
 def em_discovery(spark, sf_dir):
     from helixframe.operators.discovery import discovered
 
-    tasks = views.sequences(spark, sf_dir).select(F.col("lang").alias("task"), "doc_id", "seq")
+    tasks = views.sequences(spark, sf_dir).select(F.col("lang").alias("task"), F.col("window_id").alias("doc_id"), "seq")
     found = discovered(tasks, width=8)
     return found.select("task", F.posexplode("pwm").alias("k", "r"), "sites").select("task", "k", *[F.round(F.element_at("r", j + 1), 6).alias(b) for j, b in enumerate("acgt")], "sites")
 
 
 QUERIES = {f.__name__: f for f in (ladder_records, ladder_counts, plan_grid, plan_pending, means_by_level, matched_sampling, em_discovery)}
 
-_SLOTS = """slots AS (SELECT * FROM (SELECT o_custkey % 50 AS sample, CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS INT) AS slot, o_orderkey FROM orders) WHERE slot < 20),
+_SLOTS = """slots AS (SELECT o_orderkey // 20 AS sample, CAST(o_orderkey % 20 AS INT) AS slot, o_orderkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_orderkey // 20) = 20),
  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample ORDER BY sha256('20260916|' || sample || '|' || slot), slot) - 1 AS INT) AS replacement_rank FROM slots),
  rungs AS (SELECT * FROM ranked, (VALUES (100.0, 20), (75.0, 15), (50.0, 10), (25.0, 5), (10.0, 2), (0.0, 0)) l(level, keep)),
  ladder AS (SELECT sample, CAST(level AS DOUBLE) AS level, slot, replacement_rank, CASE WHEN replacement_rank < 20 - keep THEN 'negative' ELSE 'positive' END AS source,

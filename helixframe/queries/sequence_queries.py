@@ -11,21 +11,22 @@ from helixframe.functions import dna, keyed
 from helixframe.operators import sequences as sq
 from helixframe.views import SQL as V
 
-#: An example motif of six columns and letter frequencies.
-MOTIF = [[0.7, 0.1, 0.1, 0.1], [0.1, 0.2, 0.6, 0.1], [0.1, 0.1, 0.2, 0.6], [0.2, 0.2, 0.2, 0.4], [0.1, 0.6, 0.1, 0.2], [0.25, 0.25, 0.25, 0.25]]
+#: An example motif of six columns, and letter frequencies.
+MOTIF = [[0.05, 0.05, 0.85, 0.05], [0.4, 0.1, 0.1, 0.4], [0.02, 0.9, 0.04, 0.04], [0.3, 0.3, 0.15, 0.25], [0.1, 0.1, 0.1, 0.7], [0.55, 0.15, 0.15, 0.15]]
 LETTERS = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
 
 
 def _clean(spark, sf_dir):
-    return views.sequences(spark, sf_dir).where(F.col("seq").rlike("[ACGT]{16}"))
+    """The windows with sixteen known letters in a row, which a motif of sixteen columns needs; window_id as doc_id."""
+    return views.sequences(spark, sf_dir).where(F.col("seq").rlike("[ACGT]{16}")).select(F.col("window_id").alias("doc_id"), "seq")
 
 
 def gc_n_fraction(spark, sf_dir):
-    return views.sequences(spark, sf_dir).select("doc_id", F.round(dna.gc_fraction(F.col("seq")), 9).alias("gc"), F.round(dna.n_fraction(F.col("seq")), 9).alias("n"))
+    return views.sequences(spark, sf_dir).select("doc_id", "k", F.round(dna.gc_fraction(F.col("seq")), 9).alias("gc"), F.round(dna.n_fraction(F.col("seq")), 9).alias("n"))
 
 
 def revcomp(spark, sf_dir):
-    return views.sequences(spark, sf_dir).select("doc_id", dna.reverse_complement(F.col("seq")).alias("rc"))
+    return views.sequences(spark, sf_dir).select("doc_id", "k", dna.reverse_complement(F.col("seq")).alias("rc"))
 
 
 def hash_start(spark, sf_dir):
@@ -49,21 +50,23 @@ def pwm_pseudocount(spark, sf_dir):
 
 def pwm_scan_sql(spark, sf_dir):
     found = sq.scan_sql(_clean(spark, sf_dir), MOTIF, LETTERS)
-    return found.select("doc_id", F.round("max_log_odds", 6).alias("max_log_odds"))
+    return found.select(F.col("doc_id").alias("window_id"), F.round("max_log_odds", 6).alias("max_log_odds"))
 
 
 def pwm_scan_arrow(spark, sf_dir):
     motifs = spark.createDataFrame([(1, MOTIF)], "motif_id bigint, pwm array<array<double>>")
-    return sq.scan(_clean(spark, sf_dir), motifs, LETTERS, 0).select("doc_id", F.round("max_log_odds", 6).alias("max_log_odds"))
+    return sq.scan(_clean(spark, sf_dir), motifs, LETTERS, 0).select(F.col("doc_id").alias("window_id"), F.round("max_log_odds", 6).alias("max_log_odds"))
 
 
 def pwm_scan_markov(spark, sf_dir):
-    """All matrices of label 0 against all clean sequences, with a second-order background learnt from them."""
+    """The mean matrix of each label against all clean windows, with a second-order background learnt from them: the best label of each."""
     seqs = _clean(spark, sf_dir)
     background = {r["word"]: r["freq"] for r in sq.markov_table(seqs, 2).collect()}  # 84 words
-    motifs = views.matrices(spark, sf_dir).where("label = 0").select(F.col("vec_id").alias("motif_id"), F.slice("pwm", 1, 16).alias("pwm"))
+    flat = views.matrices(spark, sf_dir).select(F.col("label").cast("bigint").alias("motif_id"), F.posexplode(F.flatten("pwm")).alias("at", "p"))
+    means = flat.groupBy("motif_id", "at").agg(F.avg("p").alias("p")).groupBy("motif_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("v"))  # 64 numbers a label
+    motifs = means.select("motif_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("v", k * 4 + 1, 4)).alias("pwm"))
     best = sq.scan(seqs, motifs, background, 2).groupBy("doc_id").agg(F.max(F.struct("max_log_odds", "motif_id")).alias("b"))
-    return best.select("doc_id", "b.motif_id", F.round("b.max_log_odds", 6).alias("max_log_odds"))
+    return best.select(F.col("doc_id").alias("window_id"), "b.motif_id", F.round("b.max_log_odds", 6).alias("max_log_odds"))
 
 
 def _distance(metric, spark, sf_dir):
@@ -87,11 +90,11 @@ def _case(j: str, matrix: list[list[float]]) -> str:
     return "CASE " + " ".join(rows) + " END"
 
 
-_WORDS = "SELECT doc_id, substr(seq, i, {k}) AS word FROM v_sequences, (SELECT unnest(range(1, 202)) AS i) WHERE i <= 202 - {k}"
-_SCAN = f"""WITH {V['sequences']}, words AS ({_WORDS.format(k=6).replace('SELECT doc_id,', 'SELECT doc_id, i,')} AND regexp_matches(seq, '[ACGT]{{16}}')),
- letters AS (SELECT doc_id, i, j, substr(word, j + 1, 1) AS b FROM words, (SELECT unnest(range(6)) AS j) WHERE NOT regexp_matches(word, '[^ACGT]')),
- odds AS (SELECT doc_id, i, greatest(sum({_case('j', MOTIF)}), sum({_case('j', [r[::-1] for r in MOTIF[::-1]])})) AS s FROM letters GROUP BY doc_id, i)
-SELECT doc_id, round(max(s), 6) AS max_log_odds FROM odds GROUP BY doc_id"""
+_WORDS = "SELECT window_id, substr(seq, i, {k}) AS word FROM v_sequences, (SELECT unnest(range(1, 202)) AS i) WHERE i <= length(seq) + 1 - {k}"
+_SCAN = f"""WITH {V['sequences']}, words AS ({_WORDS.format(k=6).replace('SELECT window_id,', 'SELECT window_id, i,')} AND regexp_matches(seq, '[ACGT]{{16}}')),
+ letters AS (SELECT window_id, i, j, substr(word, j + 1, 1) AS b FROM words, (SELECT unnest(range(6)) AS j) WHERE NOT regexp_matches(word, '[^ACGT]')),
+ odds AS (SELECT window_id, i, greatest(sum({_case('j', MOTIF)}), sum({_case('j', [r[::-1] for r in MOTIF[::-1]])})) AS s FROM letters GROUP BY window_id, i)
+SELECT window_id, round(max(s), 6) AS max_log_odds FROM odds GROUP BY window_id"""
 _COLUMN = {
     "tv": "(abs(x.a - y.a) + abs(x.c - y.c) + abs(x.g - y.g) + abs(x.t - y.t)) / 2",
     "hellinger": "sqrt((power(sqrt(x.a) - sqrt(y.a), 2) + power(sqrt(x.c) - sqrt(y.c), 2) + power(sqrt(x.g) - sqrt(y.g), 2) + power(sqrt(x.t) - sqrt(y.t), 2)) / 2)",
@@ -116,9 +119,9 @@ _MARKOV = " UNION ALL ".join(
     for k in (1, 2, 3)
 )
 SQL = {
-    "gc_n_fraction": f"""WITH {V['sequences']}, n AS (SELECT doc_id, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS known, length(regexp_replace(seq, '[^GC]', '', 'g')) AS gc FROM v_sequences)
-SELECT doc_id, round(CASE WHEN known = 0 THEN 0.0 ELSE CAST(gc AS DOUBLE) / known END, 9) AS gc, round(CAST(201 - known AS DOUBLE) / 201, 9) AS n FROM n""",
-    "revcomp": f"WITH {V['sequences']} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM v_sequences",
+    "gc_n_fraction": f"""WITH {V['sequences']}, n AS (SELECT doc_id, k, length(seq) AS size, length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS known, length(regexp_replace(seq, '[^GC]', '', 'g')) AS gc FROM v_sequences)
+SELECT doc_id, k, round(CASE WHEN known = 0 THEN 0.0 ELSE CAST(gc AS DOUBLE) / known END, 9) AS gc, round(CAST(size - known AS DOUBLE) / size, 9) AS n FROM n""",
+    "revcomp": f"WITH {V['sequences']} SELECT doc_id, k, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM v_sequences",
     "hash_start": f"WITH {V['intervals']} SELECT record_id, CAST(CAST('0x' || substr(sha256('20260916' || chr(0) || record_id || chr(0) || '3'), 1, 16) AS UBIGINT) % 1000001 AS BIGINT) AS start FROM v_intervals",
     "kmer_freq": f"WITH {V['sequences']}, w AS ({_WORDS.format(k=3)}) SELECT word, count(*) AS n FROM w WHERE NOT regexp_matches(word, '[^ACGT]') GROUP BY word",
     "markov_table": f"WITH {V['sequences']}, letters AS (SELECT unnest(['A','C','G','T']) AS b), " + ", ".join(f"w{k} AS (SELECT word FROM ({_WORDS.format(k=k)}) WHERE NOT regexp_matches(word, '[^ACGT]'))" for k in (1, 2, 3)) + f" {_MARKOV}",

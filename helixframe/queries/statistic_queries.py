@@ -13,6 +13,7 @@ from helixframe.views import table
 
 COLUMNS, CONTROLS = ["y", "d", "c1", "c2"], ["c1", "c2"]
 TARGET = "Brand#11"
+LOGISTIC = {"one": ["size"], "two": ["size", "share"], "three": ["size", "share", "marks"]}
 
 
 def _rounded(df, *names, digits=9):
@@ -34,7 +35,7 @@ def ranking_overall(spark, sf_dir):
 
 
 def trapezoid_auc(spark, sf_dir):
-    points = table(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.col("event_type"), F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
+    points = table(spark, sf_dir, "events").select(F.col("event_type"), F.col("event_id").cast("double").alias("x"), F.col("value").alias("y"))
     return _rounded(rk.trapezoid(points, ["event_type"]), "area", digits=4)
 
 
@@ -44,12 +45,20 @@ def _differences(spark, sf_dir):
     return halves.where("even is not null and odd is not null").select("c_mktsegment", "k", F.round(F.col("even") - F.col("odd"), 6).alias("d"))
 
 
+def _numbered_differences(spark, sf_dir):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("k")) - 1  # nine values of k at most
+    return _differences(spark, sf_dir).withColumn("k", place.cast("bigint"))
+
+
 def sign_flip(spark, sf_dir):
     return _rounded(rk.sign_flip(_differences(spark, sf_dir), ["c_mktsegment"], 9), "mean", "p", digits=6)
 
 
 def bootstrap_mean(spark, sf_dir):
-    return rk.bootstrap_mean(_differences(spark, sf_dir), ["c_mktsegment"], seed=20260918)
+    found = rk.bootstrap_mean(_numbered_differences(spark, sf_dir), ["c_mktsegment"], seed=20260918)
+    return _rounded(found, "mean", "lower", "upper", digits=6)
 
 
 def quantiles(spark, sf_dir):
@@ -92,13 +101,15 @@ def loo_bounds(spark, sf_dir):
 
 
 def cluster_bootstrap(spark, sf_dir):
-    return rg.cluster_bootstrap(_parts(spark, sf_dir), ["cell"], "trajectory", COLUMNS, "y", "d", CONTROLS, replicates=1000, seed=20260925)
+    found = rg.cluster_bootstrap(_parts(spark, sf_dir), ["cell"], "trajectory", COLUMNS, "y", "d", CONTROLS, replicates=1000, seed=20260925)
+    return _rounded(found, "lower", "upper", digits=6)
 
 
 def transfer_rmse(spark, sf_dir):
+    """How well a fit on half of the trajectories tells y on the other half, without and with d."""
     rows = views.cells(spark, sf_dir)
-    found = rg.transfer(rows.where("trajectory < 5"), rows.where("trajectory >= 5"), ["d", "c1", "c2"], "y")
-    return _rounded(found, "rmse", "r", digits=4)
+    found = rg.frozen_transfer(rows.where("trajectory < 5"), rows.where("trajectory >= 5"), ["c1", "c2"], "d", "y")
+    return _rounded(found, *found.columns, digits=4)
 
 
 def _scored(spark, sf_dir):
@@ -114,25 +125,26 @@ def report_grouping_sets(spark, sf_dir):
 
 
 def logistic_diag(spark, sf_dir):
-    """A logistic diagnostic on document counts, fitted on one half of the ids and applied to all."""
+    """Three nested logistic diagnostics on document counts, fitted on one half of the ids and applied to all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("[#*$%&|<>!]")).cast("double").alias("marks"), F.col("n_chars").cast("double").alias("n_chars"))
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    rows = rows.select("doc_id", "label", (F.col("marks") / F.col("n_chars")).alias("share"), F.log1p("n_chars").alias("size"))
-    return dg.logistic_scores(rows.where("doc_id % 2 = 0"), rows, ["share", "size"]).select("doc_id", F.round("probability", 6).alias("probability"))
+    rows = rows.select("doc_id", "label", (F.col("marks") / F.greatest("n_chars", F.lit(1.0))).alias("share"), F.log1p("n_chars").alias("size"), F.log1p("marks").alias("marks"))
+    frozen = dg.fit_models(rows.where("doc_id % 2 = 0"), LOGISTIC)
+    return dg.predictions(rows, frozen).select("doc_id", *[F.round(f"risk_{name}", 6).alias(f"risk_{name}") for name in LOGISTIC])
 
 
 def _matches(spark, sf_dir):
     parts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return parts.select((F.col("l_orderkey") % 500).alias("run_id"), F.col("p_brand").alias("target"), F.col("p_size").alias("match_overlap"), (F.col("l_discount") + F.col("l_tax")).alias("p"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+    return parts.select(F.col("l_orderkey").alias("run_id"), F.col("p_brand").alias("target"), F.col("p_size").alias("match_overlap"), (F.col("l_discount") + F.col("l_tax")).alias("p"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
 
 
 def reference_best(spark, sf_dir):
-    runs = spark.range(500).withColumnRenamed("id", "run_id")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"))
     return _rounded(dg.reference_results(runs, _matches(spark, sf_dir), TARGET, 10, 0.05), "p")
 
 
 def reference_weak(spark, sf_dir):
-    runs = spark.range(500).withColumnRenamed("id", "run_id")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"))
     return dg.reference_results(runs, _matches(spark, sf_dir), TARGET, 10, 0.05).groupBy("weak").agg(F.count("*").alias("n"))
 
 
@@ -177,20 +189,52 @@ def _gram(source: str, by: str) -> str:
   round(1 - (f_y_y - f_y_d * f_y_d / f_d_d) / y_y, 6) AS full_r2, round(f_y_d * f_y_d / f_d_d / y_y, 6) AS delta_r2 FROM two)"""
 
 
+_E = {"y": "y_c1", "d": "d_c1", "c2": "c1_c2"}
+_STEPS = (
+    "one AS (SELECT *, " + ", ".join(f"{a}_{b} - {_E[a]} * {_E[b]} / c1_c1 AS e_{a}_{b}" for a, b in (("y", "y"), ("y", "d"), ("d", "d"), ("y", "c2"), ("d", "c2"), ("c2", "c2"))) + " FROM gram),"
+    " two AS (SELECT *, " + ", ".join(f"e_{a}_{b} - e_{a}_c2 * e_{b}_c2 / e_c2_c2 AS f_{a}_{b}" for a, b in (("y", "y"), ("y", "d"), ("d", "d"))) + " FROM one)"
+)
 _LOO = f"""WITH {V['cells']}, names AS (SELECT DISTINCT trajectory AS omitted FROM v_cells), kept AS (SELECT omitted, c.* FROM names JOIN v_cells c ON c.trajectory <> omitted), {_gram('kept', 'omitted')}"""
 _RATES = """count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, count(*) FILTER (WHERE score >= 1500 AND label = 1) AS true_alerts, count(*) FILTER (WHERE score >= 1500 AND label = 0) AS false_alerts,
  round(count(*) FILTER (WHERE score >= 1500 AND label = 1) / nullif(count(*) FILTER (WHERE label = 1), 0), 9) AS sensitivity,
  round(count(*) FILTER (WHERE score >= 1500 AND label = 0) / nullif(count(*) FILTER (WHERE label = 0), 0), 9) AS false_positive_rate,
  round(count(*) FILTER (WHERE score >= 1500 AND label = 1) / nullif(count(*) FILTER (WHERE score >= 1500), 0), 9) AS alert_precision"""
-_REF = f"""WITH m AS (SELECT l_orderkey % 500 AS run_id, p_brand AS target, p_size AS match_overlap, l_discount + l_tax AS p, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem JOIN part ON l_partkey = p_partkey),
+_REF = f"""WITH m AS (SELECT l_orderkey AS run_id, p_brand AS target, p_size AS match_overlap, l_discount + l_tax AS p, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem JOIN part ON l_partkey = p_partkey),
  best AS (SELECT * FROM m WHERE target = '{TARGET}' AND match_overlap >= 10 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY p, place) = 1),
- r AS (SELECT g.run_id, coalesce(p, 1.0) AS p, coalesce(match_overlap, 0) AS overlap, CASE WHEN coalesce(p, 1.0) > 0.05 THEN 1 ELSE 0 END AS weak FROM (SELECT unnest(range(500)) AS run_id) g LEFT JOIN best USING (run_id))"""
+ r AS (SELECT g.run_id, coalesce(p, 1.0) AS p, coalesce(match_overlap, 0) AS overlap, CASE WHEN coalesce(p, 1.0) > 0.05 THEN 1 ELSE 0 END AS weak FROM (SELECT o_orderkey AS run_id FROM orders) g LEFT JOIN best USING (run_id))"""
+#: Draws as the library makes them: the leading 32 bits of a digest modulo the size.
+_DRAW = "CAST(CAST('0x' || substr(sha256({text}), 1, 8) AS UBIGINT) % {n} AS BIGINT)"
+_CLUSTER_DRAW = _DRAW.format(text="'20260925|' || replicate || '|' || draw", n="(SELECT count(*) FROM names)")
+_SUMS = ", ".join(f"sum(p_{a}_{b} * weight) AS {a}_{b}" for i, a in enumerate(COLUMNS) for b in COLUMNS[i:])
+_CLUSTER = f"""WITH {V['cells']}, names AS (SELECT trajectory, row_number() OVER (ORDER BY trajectory) - 1 AS k FROM (SELECT DISTINCT trajectory FROM v_cells)),
+ w AS (SELECT replicate, trajectory, count(*) AS weight FROM (SELECT replicate, {_CLUSTER_DRAW} AS k FROM (SELECT unnest(range(1000)) AS replicate), (SELECT unnest(range((SELECT count(*) FROM names))) AS draw)) JOIN names USING (k) GROUP BY ALL),
+ parts AS (SELECT cell, trajectory, count(*) AS n, {", ".join(f"sum({c}) AS s_{c}" for c in COLUMNS)}, {", ".join(f"sum({a} * {b}) AS p_{a}_{b}" for i, a in enumerate(COLUMNS) for b in COLUMNS[i:])} FROM v_cells GROUP BY ALL),
+ pooled AS (SELECT replicate, cell, sum(n * weight) AS n, {", ".join(f"sum(s_{c} * weight) AS s_{c}" for c in COLUMNS)}, {_SUMS} FROM parts JOIN w USING (trajectory) GROUP BY ALL),
+ gram AS (SELECT replicate, {", ".join(f"sum({a}_{b} - s_{a} * s_{b} / n) AS {a}_{b}" for i, a in enumerate(COLUMNS) for b in COLUMNS[i:])} FROM pooled GROUP BY replicate),
+ {_STEPS}
+SELECT round(quantile_cont(r, 0.025), 6) AS lower, round(quantile_cont(r, 0.975), 6) AS upper, count(*) AS usable FROM (SELECT f_y_d / sqrt(f_y_y * f_d_d) AS r FROM two)"""
+_MEAN_DRAW = _DRAW.format(text="'20260918|' || c_mktsegment || '|' || replicate || '|' || draw", n="n")
+_BOOTSTRAP = f"""WITH {_DIFF}, s AS (SELECT c_mktsegment, count(*) AS n, avg(d) AS mean FROM d GROUP BY ALL),
+ t AS (SELECT c_mktsegment, n, replicate, unnest(range(n)) AS draw FROM s, (SELECT unnest(range(2000)) AS replicate)),
+ m AS (SELECT c_mktsegment, replicate, avg(d) AS mean FROM (SELECT c_mktsegment, replicate, {_MEAN_DRAW} AS k FROM t) JOIN d USING (c_mktsegment, k) GROUP BY ALL)
+SELECT c_mktsegment, n AS n_pairs, round(s.mean, 6) AS mean, round(quantile_cont(m.mean, 0.025), 6) AS lower, round(quantile_cont(m.mean, 0.975), 6) AS upper FROM m JOIN s USING (c_mktsegment) GROUP BY c_mktsegment, n, s.mean"""
+_M = ", ".join(f"avg({c}) AS m_{c}" for c in COLUMNS)
+_TRANSFER = f"""WITH {V['cells']}, tr AS (SELECT * FROM v_cells WHERE trajectory < 5), te AS (SELECT * FROM v_cells WHERE trajectory >= 5), m AS (SELECT {_M} FROM tr),
+ gram AS (SELECT {", ".join(f"sum(({a} - m_{a}) * ({b} - m_{b})) AS {a}_{b}" for i, a in enumerate(COLUMNS) for b in COLUMNS[i:])} FROM tr, m), {_STEPS},
+ full_d AS (SELECT *, f_y_d / f_d_d AS bd FROM two), full_2 AS (SELECT *, (e_y_c2 - bd * e_d_c2) / e_c2_c2 AS b2, e_y_c2 / e_c2_c2 AS a2 FROM full_d),
+ coef AS (SELECT bd, b2, (y_c1 - bd * d_c1 - b2 * c1_c2) / c1_c1 AS b1, a2, (y_c1 - a2 * c1_c2) / c1_c1 AS a1 FROM full_2),
+ p AS (SELECT y, m_y + a1 * (c1 - m_c1) + a2 * (c2 - m_c2) AS base, m_y + b1 * (c1 - m_c1) + b2 * (c2 - m_c2) + bd * (d - m_d) AS more FROM te, m, coef),
+ r AS (SELECT sqrt(avg((base - y) * (base - y))) AS b, corr(base, y) AS br, sqrt(avg((more - y) * (more - y))) AS a, corr(more, y) AS ar FROM p)
+SELECT round(b, 4) AS baseline_rmse, round(br, 4) AS baseline_r, round(a, 4) AS augmented_rmse, round(ar, 4) AS augmented_r, round(a - b, 4) AS delta_rmse FROM r"""
 SQL = {
+    "transfer_rmse": _TRANSFER,
+    "cluster_bootstrap": _CLUSTER,
+    "bootstrap_mean": _BOOTSTRAP,
     "ap_by_lang": f"{_S}, {_AP.format(k='lang')} SELECT * FROM ap",
     "auroc_by_lang": f"{_S}, {_AP.format(k='lang')} SELECT * FROM auc",
     "ranking_overall": f"WITH {_WHOLE}, {_AP.format(k='part')} SELECT part, ap, auroc FROM ap JOIN auc USING (part)",
     "trapezoid_auc": """SELECT event_type, round(sum((x - px) * (y + py) / 2), 4) AS area FROM (SELECT event_type, CAST(event_id AS DOUBLE) AS x, value AS y, lag(CAST(event_id AS DOUBLE)) OVER w AS px, lag(value) OVER w AS py
- FROM events WHERE event_id % 4 = 0 WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) GROUP BY event_type""",
+ FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) GROUP BY event_type""",
     "sign_flip": f"""WITH {_DIFF}, s AS (SELECT c_mktsegment, CAST(count(*) AS INT) AS n_pairs, avg(d) AS mean FROM d GROUP BY ALL),
  flips AS (SELECT c_mktsegment, bits, sum(CASE WHEN (bits >> k) & 1 = 1 THEN -d ELSE d END) / count(*) AS other FROM d, (SELECT unnest(range(512)) AS bits) GROUP BY ALL)
 SELECT c_mktsegment, n_pairs, round(any_value(mean), 6) AS mean, count(*) FILTER (WHERE abs(other) + 1e-9 >= abs(mean)) AS extreme, count(*) AS total, round(count(*) FILTER (WHERE abs(other) + 1e-9 >= abs(mean)) / count(*), 6) AS p

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.queries import extension_queries, interval_queries, plan_queries, sequence_queries, statistic_queries
+from helixframe.queries import evaluation_queries, extension_queries, interval_queries, plan_queries, sequence_queries, statistic_queries
 
-MODULES = (interval_queries, sequence_queries, statistic_queries, plan_queries, extension_queries)
+MODULES = (interval_queries, sequence_queries, statistic_queries, plan_queries, extension_queries, evaluation_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

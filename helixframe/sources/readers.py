@@ -5,20 +5,27 @@ rule needs one. What a format forbids fails with the line in the message."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.keyed import minus_log10
 from helixframe.operators.intervals import aliases, valid
+from helixframe.plans.materialise import broadcast_if_small
 
 #: Columns of a motif match table.
 MATCH_COLUMNS = ("Query_ID", "Target_ID", "Optimal_offset", "p-value", "E-value", "q-value", "Overlap", "Orientation")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, number): number is the line's place in its file from 1, and needs a file of one partition; such lists are small."""
-    rows = spark.read.text(path, wholetext=True).select(F.split(F.col("value"), "\r?\n").alias("l"))
-    return rows.select(F.posexplode("l").alias("k", "line")).select("line", (F.col("k") + 1).cast("bigint").alias("number"))
+    """(line, number): number is the line's place in its file from 1.
+
+    The text source splits files over tasks. Lines are counted by block of a file first; a
+    line's number is then its place in the block and the lines of the blocks before it."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("at_"))
+    blocks = rows.groupBy("file_", "block_").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("file_").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = broadcast_if_small(blocks.select("file_", "block_", "first_", before.alias("before_")))
+    return rows.join(placed, ["file_", "block_"]).select(F.regexp_replace("line", "\r$", "").alias("line"), (F.col("at_") - F.col("first_") + F.col("before_") + 1).alias("number"))
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +79,18 @@ def read_narrowpeak(spark: SparkSession, path: str, sizes: DataFrame, extension:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """id, header and seq of a FASTA file, cut at > after a line's end; fails on text before the first record, an empty one or a repeated id."""
-    chunks = spark.read.text(path, lineSep="\n>").withColumn("value", F.regexp_replace("value", r"\r", ""))
+    read = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"\r", "").alias("value"), F.col("_metadata.file_path").alias("file_"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at_"))
+    shown = F.col("value").rlike(r"\S")
+    starts = read.groupBy("file_").agg(F.min_by(~shown | F.col("value").startswith(">"), "at_").alias("ok"), F.max(shown).alias("some")).collect()  # one row a file
+    if not starts or not all(r["some"] for r in starts):
+        raise ValueError(f"an empty FASTA file in {path}")
+    if not all(r["ok"] for r in starts):
+        raise ValueError(f"sequence before the first header in {path}")
+    chunks = read.select("value")
     first = F.regexp_replace("value", r"^>", "")
     head = F.trim(F.regexp_extract(first, r"^([^\n]*)", 1))
     seq = F.regexp_replace(F.regexp_replace(first, r"^[^\n]*\n?", ""), r"\s", "")
-    rows = chunks.where(F.trim("value") != "").select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.concat(F.lit(">"), head).alias("header"), seq.alias("seq"))
+    rows = chunks.where(F.col("value").rlike(r"\S")).select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.concat(F.lit(">"), head).alias("header"), seq.alias("seq"))
     fine = F.assert_true((F.col("id") != "") & (F.col("seq") != ""), F.concat(F.lit("empty FASTA record "), "header"))
     rows = rows.where(fine.isNull())
     counts = rows.groupBy("id").agg(F.count("*").alias("n_")).where("n_ > 1").select("id")
@@ -102,31 +116,84 @@ def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     pwm = F.transform(F.sequence(F.lit(0), (F.size("flat") / 4).cast("int") - 1), lambda k: F.slice("flat", k * 4 + 1, 4))
     at = lambda name: F.expr(f"xpath_string(value, '{first}/@{name}')")
     rows = x.select("file", values.alias("flat"), at("width").cast("int").alias("width"), at("sites").cast("double").alias("sites"), at("e_value").alias("e_value_text"), F.expr("xpath_string(value, '/MEME/model/seed')").try_cast("bigint").alias("seed"), F.expr("xpath_string(value, '/MEME/training_set/@primary_count')").try_cast("int").alias("primary_count"))
-    fine = F.assert_true((F.size("flat") == 4 * F.col("width")) & (F.col("sites") > 0), F.concat(F.lit("invalid motif in "), "file"))
-    return rows.where(fine.isNull()).withColumns({"pwm": pwm, "neg_log10_evalue": minus_log10(F.col("e_value_text"))}).drop("flat")
+    made = rows.withColumns({"pwm": pwm, "neg_log10_evalue": minus_log10(F.col("e_value_text"))})
+    sums = F.forall("pwm", lambda r: (F.abs(F.aggregate(r, F.lit(0.0), lambda s, v: s + v) - 1) <= 1e-5) & F.forall(r, lambda v: (v >= 0) & ~F.isnan(v)))
+    whole = (F.size("flat") == 4 * F.col("width")) & (F.col("sites") > 0) & F.col("seed").isNotNull() & F.col("neg_log10_evalue").isNotNull() & sums
+    return made.where(F.assert_true(F.coalesce(whole, F.lit(False)), F.concat(F.lit("invalid motif in "), "file")).isNull()).drop("flat")
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """A motif match table: its eight columns as text, p and overlap as numbers, and place in the file."""
     lines = _lines(spark, path).where((F.trim("line") != "") & ~F.col("line").startswith("#"))
-    head = lines.where("number = 1")
+    first = lines.agg(F.min_by("line", "number").alias("line"), F.min("number").alias("number")).first()
+    if first["line"] is None:
+        raise ValueError(f"no header in {path}")
     f = F.split("line", "\t")
-    body = lines.where("number > 1").crossJoin(F.broadcast(head.select(F.split("line", "\t").alias("names"))))
+    body = lines.where(F.col("number") > first["number"]).withColumn("names", F.array(*map(F.lit, first["line"].split("\t"))))
+    if set(MATCH_COLUMNS) - set(first["line"].split("\t")):
+        raise ValueError(f"missing match columns in {path}")
     pick = lambda name: F.get(f, F.array_position("names", name).cast("int") - 1)
-    rows = body.where(_required(F.size(F.array_except(F.array(*map(F.lit, MATCH_COLUMNS)), "names")) == 0, "missing match columns")).select(*[pick(c).alias(c) for c in MATCH_COLUMNS], F.col("number").alias("place"), "number")
+    rows = body.select(*[pick(c).alias(c) for c in MATCH_COLUMNS], F.col("number").alias("place"), "number")
     p, e, q = (F.col(c).try_cast("double") for c in ("p-value", "E-value", "q-value"))
     fine = p.between(0, 1) & q.between(0, 1) & (e >= 0) & (e != float("inf"))
     return rows.where(_required(fine, "invalid match")).withColumns({"p": p, "match_overlap": F.col("Overlap").cast("int")}).drop("number")
 
 
+#: The columns of a compact pair table, and its analyses.
+PAIR_SCHEMA = "analysis string, cohort string, sample int, signal double, width int, jsd double, tv double, hellinger double, oops_ap double, zoops_ap double, oops_conf double, zoops_conf double, zoops_fraction double, oops_resampling double, zoops_resampling double"
+ANALYSES = ("ctcf_initial", "ctcf_fine", "gabpa_width")
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """The compact pair table; an empty cell is null, an unknown analysis fails."""
-    schema = "analysis string, cohort string, sample int, signal double, width int, jsd double, tv double, hellinger double, oops_ap double, zoops_ap double, oops_conf double, zoops_conf double, zoops_fraction double, oops_resampling double, zoops_resampling double"
-    rows = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="", mode="FAILFAST")
-    known = F.col("analysis").isin("ctcf_initial", "ctcf_fine", "gabpa_width")
+    rows = spark.read.csv(path, sep="\t", header=True, schema=PAIR_SCHEMA, nullValue="", mode="FAILFAST")
+    known = F.col("analysis").isin(*ANALYSES)
     return rows.where(F.assert_true(F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown analysis "), F.coalesce("analysis", F.lit("")))).isNull())
 
 
 def read_results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """JSON result files of a path pattern as rows, with their file."""
     return spark.read.json(pattern, schema=schema, multiLine=True, mode="FAILFAST").withColumn("file", F.col("_metadata.file_path"))
+
+
+def read_tsv(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+    """A table with a header, all columns as text; a row of another number of fields fails."""
+    return spark.read.csv(path, sep=sep, header=True, mode="FAILFAST", inferSchema=False)
+
+
+def read_coarse_pairs(spark: SparkSession, path: str, cohort: str, width: int = 19) -> DataFrame:
+    """A pair table of the first analysis in the columns of the compact one; confidences are log1p of what is positive of -log10 E."""
+    number = lambda c: F.col(c).cast("double")
+    conf = lambda m: F.log1p(F.greatest(F.lit(0.0), number(f"{m}_neg_log10_evalue"))).alias(f"{m}_conf")
+    return read_tsv(spark, path).select(
+        F.lit(cohort).alias("cohort"), F.col("sample").cast("int").alias("sample"), number("signal_percent").alias("signal"), F.lit(width).alias("width"), number("disagreement").alias("jsd"),
+        number("oops_ap").alias("oops_ap"), number("zoops_ap").alias("zoops_ap"), conf("oops"), conf("zoops"),
+        number("zoops_site_fraction").alias("zoops_fraction"), number("oops_resampling").alias("oops_resampling"), number("zoops_resampling").alias("zoops_resampling"),
+    )
+
+
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """motif_id, width and pwm of the motifs of a minimal motif text; fails on a matrix of another width than stated."""
+    text = spark.read.text(path, wholetext=True)  # a catalogue of a few motifs
+    parts = text.select(F.explode(F.slice(F.split("value", r"(?m)^MOTIF\s+"), 2, 1 << 30)).alias("m"))
+    rows = F.regexp_extract_all("m", F.lit(r"(?m)^\s*([0-9.eE+-]+\s+[0-9.eE+-]+\s+[0-9.eE+-]+\s+[0-9.eE+-]+)\s*$"), F.lit(1))
+    pwm = F.transform(rows, lambda r: F.transform(F.split(F.trim(r), r"\s+"), lambda v: v.cast("double")))
+    found = parts.select(F.regexp_extract("m", r"^(\S+)", 1).alias("motif_id"), F.regexp_extract("m", r"\bw\s*=\s*(\d+)", 1).try_cast("int").alias("width"), pwm.alias("pwm"))
+    return found.where(F.assert_true(F.coalesce(F.size("pwm") == F.col("width"), F.lit(False)), F.concat(F.lit("invalid motif "), "motif_id")).isNull())
+
+
+def completed_runs(spark: SparkSession, folder: str, plan: DataFrame, schema: str) -> DataFrame:
+    """The results of all runs of a plan (run_id and the other columns of a task), from FOLDER/*/result.json; schema has status and a task struct of the plan's columns.
+
+    Fails where a run is missing, not complete, there twice, not planned, or of another task."""
+    found = read_results(spark, f"{folder}/*/result.json", schema)
+    keys = plan.columns
+    done = found.select("status", *[F.col(f"task.{c}").alias(c) for c in keys])
+    if done.where("status is distinct from 'complete'").limit(1).count():
+        raise ValueError("a run is not complete")
+    lost, other = plan.exceptAll(done.select(keys)), done.select(keys).exceptAll(plan)
+    for what, rows in (("has no completed result", lost), ("is not in the plan", other)):
+        first = rows.take(1)
+        if first:
+            raise ValueError(f"{first[0]} {what}")
+    return found

@@ -44,6 +44,22 @@ def twelve_digits(column: str):
     return F.when((size == 0) | ((size >= 1e-4) & (size < 1e12)), plain).otherwise(mantissa)
 
 
+def write_json(spark: SparkSession, record: dict, path: str, overwrite: bool = False) -> None:
+    """One record as one line of JSON with sorted keys."""
+    spark.createDataFrame([(protocol_text(record),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def write_failure(spark: SparkSession, path: str, task: dict, error: BaseException) -> None:
+    """What went wrong with a task, beside where its result would stand; there may be an earlier record, which this replaces."""
+    write_json(spark, {"status": "failed", "task": task, "error": type(error).__name__, "message": str(error)[:2000]}, f"{path}/failure", overwrite=True)
+
+
+def write_uniform_background(spark: SparkSession, path: str, overwrite: bool = False) -> None:
+    """The background in which all four letters are equally frequent."""
+    rows = spark.createDataFrame([(f"{base} 0.25",) for base in "ACGT"], "value string")
+    rows.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
 def reusable(spark: SparkSession, path: str, protocol: dict) -> bool:
     """Whether a finished result of the same protocol lies at path; fails on an unfinished one or one of another protocol."""
     files = spark._jvm.org.apache.hadoop.fs

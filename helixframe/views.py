@@ -35,11 +35,34 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chrom", "start", (F.col("start") + 20 + F.col("o_custkey") % 60).alias("end"))
 
 
+def letters(text):
+    """A text as DNA: white space left out, letters as A, C, G and T by turns, all else as N."""
+    squeezed = F.lower(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", ""))
+    return F.regexp_replace(F.translate(squeezed, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N")
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as DNA of length 201: doc_id, lang, seq; shorter ones are left out."""
-    squeezed = F.substring(F.lower(F.regexp_replace("text", r"[ \t\n\r\f\x0B]", "")), 1, WINDOW)
-    seq = F.regexp_replace(F.translate(squeezed, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", seq.alias("seq")).where(F.length("seq") == WINDOW)
+    """documents as DNA in consecutive windows of 201 letters, the last one of a text shorter: doc_id, k, window_id, lang, seq."""
+    whole = table(spark, sf_dir, "documents").select("doc_id", "lang", letters(F.col("text")).alias("whole")).where(F.length("whole") > 0)
+    cut = whole.select("doc_id", "lang", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("whole") - 1) / WINDOW))).alias("k"))
+    seq = F.col("whole").substr((F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW))
+    return cut.select("doc_id", "k", (F.col("doc_id") * (1 << 20) + F.col("k")).alias("window_id"), "lang", seq.alias("seq"))
+
+
+def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as six chromosomes in pieces of CHUNK letters: chrom, piece, seq. Texts follow each other by doc_id; the last piece of each is filled up with N."""
+    from helixframe.operators.sampling import CHUNK
+    from helixframe.plans.running import running
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", chromosome(F.col("doc_id")).alias("chrom"), letters(F.coalesce("text", F.lit(""))).alias("whole"))
+    sized = docs.select("doc_id", "chrom", F.ceil(F.length("whole") / CHUNK).cast("bigint").alias("n"), F.floor(F.col("doc_id") / 4096).alias("tile"))
+    first = running(sized, ["chrom"], "tile", [F.col("doc_id")], sums={"first": F.col("n")}).select("doc_id", "first", "n")
+    cut = docs.join(first, "doc_id").where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return cut.select("chrom", (F.col("first") + F.col("j")).alias("piece"), F.rpad(F.col("whole").substr((F.col("j") * CHUNK + 1).cast("int"), F.lit(CHUNK)), CHUNK, "N").alias("seq"))
+
+
+def chromosome(number):
+    return F.element_at(F.array(*map(F.lit, CHROMS)), (number % len(CHROMS)).cast("int") + 1)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +101,8 @@ SQL = {
     "mask": """v_mask AS (SELECT chrom, start, start + 20 + o_custkey % 60 AS "end" FROM (
  SELECT (['AF','AO','NF','NO','RF','RO'])[CAST(o_custkey % 6 AS INT) + 1] AS chrom,
   datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 400 + (o_orderkey * 31) % 397 AS start, o_custkey FROM orders))""",
-    "sequences": r"""v_sequences AS (SELECT * FROM (SELECT doc_id, lang,
-  regexp_replace(translate(lower(substr(regexp_replace(text, '[ \t\n\r\f\x0B]', '', 'g'), 1, 201)), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') AS seq
- FROM documents) WHERE length(seq) = 201)""",
+    "sequences": r"""v_letters AS (SELECT doc_id, lang, regexp_replace(translate(lower(regexp_replace(text, '[ \t\n\r\f\x0B]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') AS whole FROM documents),
+ v_sequences AS (SELECT doc_id, k, doc_id * 1048576 + k AS window_id, lang, substr(whole, k * 201 + 1, 201) AS seq FROM (SELECT doc_id, lang, whole, unnest(range((length(whole) + 200) // 201)) AS k FROM v_letters))""",
     "scored": """v_scored AS (SELECT d.doc_id, d.lang, l.quality AS label, CAST(d.n_chars AS DOUBLE) AS score FROM documents d JOIN labels l USING (doc_id))""",
     "cells": """v_cells AS (SELECT concat_ws('|', l_returnflag, l_linestatus, l_linenumber) AS cell, l_suppkey % 10 AS trajectory,
   l_extendedprice / 1000 AS y, l_quantity AS d, l_discount * 100 AS c1, l_tax * 100 AS c2 FROM lineitem)""",

@@ -1,5 +1,6 @@
 """Operators against small cases worked out by hand or by a plain loop."""
 
+import hashlib
 import math
 import random
 
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna, keyed
-from helixframe.operators import diagnostics, discovery, intervals, ladders, ranking, regression, sampling, sequences, splits
-from helixframe.plans.running import ranked
+from helixframe.operators import cohorts, diagnostics, discovery, evaluation, extensions, intervals, ladders, ranking, regression, sampling, sequences, splits
+from helixframe.plans.running import ranked, tiled
 
 
 def regions(spark, rows):
@@ -92,12 +93,60 @@ def test_sign_flip_and_trapezoid(spark):
     assert (r.n_pairs, r.total, r.extreme) == (3, 8, 4)
     points = spark.createDataFrame([("a", 0.0, 1.0), ("a", 2.0, 3.0), ("a", 3.0, 3.0)], "g string, x double, y double")
     assert ranking.trapezoid(points, ["g"]).first().area == 7.0
+    many = [("b", float(k * k), float(k % 5)) for k in range(400)]
+    want = sum((x2 - x1) * (y1 + y2) / 2 for (_, x1, y1), (_, x2, y2) in zip(many, many[1:], strict=False))
+    assert ranking.trapezoid(spark.createDataFrame(many, "g string, x double, y double"), ["g"]).first().area == pytest.approx(want)
+    with pytest.raises(Exception, match="two points"):
+        ranking.trapezoid(spark.createDataFrame([("a", 0.0, 1.0)], "g string, x double, y double"), ["g"]).collect()
+    with pytest.raises(Exception, match="unique"):
+        ranking.trapezoid(spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.0, 2.0)], "g string, x double, y double"), ["g"]).collect()
 
 
-def test_bootstrap_interval_holds_mean(spark):
-    d = spark.createDataFrame([("a", float(k % 7)) for k in range(60)], "g string, d double")
-    r = ranking.bootstrap_mean(d, ["g"], seed=1).first()
+def test_tiles_hold_equal_shares_whatever_the_spread(spark):
+    rows = [(k, 1.0 / (k + 1)) for k in range(5000)] + [(-1, 1e12), (-2, None)]
+    tiles = tiled(spark.createDataFrame(rows, "k int, v double").withColumn("g", F.lit(1)), ["g"], "v").groupBy("tile").count().collect()
+    assert len(tiles) > 200 and max(r["count"] for r in tiles) < 60
+    order = tiled(spark.createDataFrame(rows, "k int, v double").withColumn("g", F.lit(1)), ["g"], "v").where("v is not null").orderBy("v").select("tile").collect()
+    assert all(a.tile <= b.tile for a, b in zip(order, order[1:], strict=False))
+
+
+def exchanges(df):
+    """Shuffles of the plan that was run."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    return sum("Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x for x in lines)
+
+
+def test_split_needs_few_shuffles(spark):
+    from helixframe import registry
+
+    for name in ("split_assign", "score_bins", "interval_group_ids"):
+        assert exchanges(registry.queries()[name](spark, "/root/testdata/sf0.001")) <= 12, name
+
+
+def draws(seed, group, replicates, n):
+    text = lambda r, j: "|".join([str(seed), *group, str(r), str(j)])
+    return [[int(hashlib.sha256(text(r, j).encode()).hexdigest()[:8], 16) % n for j in range(n)] for r in range(replicates)]
+
+
+def test_bootstraps_against_loops(spark):
+    values = [float(k % 7) for k in range(60)]
+    d = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "g string, k bigint, d double")
+    r = ranking.bootstrap_mean(d, ["g"], seed=1, replicates=300).first()
+    means = [np.mean([values[k] for k in one]) for one in draws(1, ["a"], 300, 60)]
+    assert (r.lower, r.upper) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
     assert r.lower < r["mean"] < r.upper
+    rng = random.Random(9)
+    rows = [(rng.randint(0, 1), k % 6, float(rng.randint(0, 20)), float(rng.randint(0, 20))) for k in range(120)]
+    got = {x.replicate: x.delta for x in extensions.block_bootstrap(spark.createDataFrame(rows, "label int, block int, one double, two double"), "block", "one", "two", 40, 5).collect()}
+    for k, one in enumerate(draws(5, [], 40, 6)):
+        picked = [x for b in one for x in rows if x[1] == b]
+
+        def ap(at, picked=picked):
+            pos = sum(x[0] for x in picked)
+            return sum(sum(x[0] for x in picked if x[at] == t) * sum(x[0] for x in picked if x[at] >= t) / sum(1 for x in picked if x[at] >= t) for t in {x[at] for x in picked}) / pos
+
+        assert got[k] == pytest.approx(ap(3) - ap(2))
 
 
 def test_dna(spark):
@@ -111,7 +160,7 @@ def test_dna(spark):
     assert row.e == pytest.approx(400 - math.log10(1.2)) and row.e3 == pytest.approx(3)
 
 
-MATRIX = [[0.7, 0.1, 0.1, 0.1], [0.1, 0.2, 0.6, 0.1], [0.1, 0.1, 0.2, 0.6], [0.2, 0.2, 0.2, 0.4]]
+MATRIX = [[0.05, 0.8, 0.05, 0.1], [0.25, 0.3, 0.1, 0.35], [0.6, 0.15, 0.15, 0.1], [0.02, 0.08, 0.88, 0.02]]
 
 
 @pytest.mark.parametrize("metric", ["jsd", "tv", "hellinger"])
@@ -155,11 +204,12 @@ def test_scanner_against_a_loop(spark):
 
 
 def test_partial_r_equals_a_direct_fit(spark):
+    rng = np.random.default_rng(11)
     rows = []
-    for cell, (signal, shift) in enumerate([(55, 10), (60, -7), (65, 3)]):
-        for sample, control in zip(range(1, 5), (-1.5, -0.5, 0.5, 1.5)):
-            d = 0.4 * control + 0.3 * (sample % 2) + shift
-            rows.append((cell, sample, 0.7 * control + 0.5 * d + shift / 5 + 0.01 * sample * sample, d, control + shift, -0.2 * control * control + shift / 2))
+    for cell in range(3):
+        for t in range(1, 8):
+            d, c1, c2 = rng.normal(cell * 5, 1), rng.normal(-cell, 2), rng.normal(0, 1)
+            rows.append((cell, t, float(1.5 * d - c1 + 0.3 * c2 + 10 * cell + rng.normal()), float(d), float(c1), float(c2)))
     df = spark.createDataFrame(rows, "cell int, t int, y double, d double, c1 double, c2 double")
     cols = ["y", "d", "c1", "c2"]
     got = regression.partial_statistics(regression.pooled(regression.moments(df, ["cell"], "t", cols), ["cell"], [], cols), "y", "d", ["c1", "c2"], cols).first()
@@ -171,14 +221,17 @@ def test_partial_r_equals_a_direct_fit(spark):
     assert got.partial_r == pytest.approx(np.corrcoef(res(y, x), res(d, x))[0, 1], abs=1e-9)
     r2 = lambda m: 1 - (res(y, m) ** 2).sum() / (y**2).sum()
     assert got.baseline_r2 == pytest.approx(r2(x), abs=1e-9) and got.full_r2 == pytest.approx(r2(np.c_[x, d]), abs=1e-9)
-    centred = regression.centred(spark.createDataFrame([("a", 2.0), ("a", 4.0), ("b", 10.0), ("b", 16.0)], "g string, v double"), ["g"], ["v"])
-    assert sorted(r.v for r in centred.collect()) == [-3, -1, 1, 3]
+    centred = regression.centred(spark.createDataFrame([("a", 1.0), ("a", 8.0), ("b", 30.0), ("b", 20.0)], "g string, v double"), ["g"], ["v"])
+    assert sorted(r.v for r in centred.collect()) == [-5, -3.5, 3.5, 5]
 
 
 def test_bootstrap_keeps_trajectory_counts(spark):
     parts = spark.createDataFrame([(t, 1) for t in range(9)], "t int, n int")
     w = regression.bootstrap_weights(parts, "t", 20, 3).groupBy("replicate").agg(F.sum("weight").alias("w")).collect()
     assert len(w) == 20 and all(r.w == 9 for r in w)
+    two = spark.createDataFrame([(c, t, k) for c in "xy" for t in range(4) for k in range(5)], "c string, t int, k int")
+    rows = two.join(regression.bootstrap_weights(two, "t", 30, 3, "c"), ["c", "t"]).groupBy("replicate", "c").agg(F.sum("weight").alias("n")).collect()
+    assert len(rows) == 60 and all(r.n == 20 for r in rows)
 
 
 def test_ladder_is_nested(spark):
@@ -197,8 +250,33 @@ def test_matched_controls(spark):
     whole = "".join(p[2] for p in pieces)
     positives = spark.createDataFrame([(f"p{k}", "train" if k % 2 else "test", "a", whole[k * 50 : k * 50 + 60]) for k in range(16)], "record_id string, split string, chrom string, seq string")
     forbidden = regions(spark, [("a", 1000, 3000)])
-    got = sampling.matched_controls(positives, genome, forbidden, tolerance=0.1).collect()
+    two = {"train": 1, "test": 2}
+    got = sampling.matched_controls(positives, genome, forbidden, tolerance=0.1, ratios=two, few=0).collect()
     assert len(got) == 8 + 16
+    # by hand, in order
+    free, want = [True] * 1000 + [False] * 2000 + [True] * 9000, {}
+    for split, most in (("train", 1), ("test", 2)):
+        keys = sorted((f"p{k}", i) for k in range(16) if (k % 2 == 1) == (split == "train") for i in range(1, most + 1))
+        for turn in range(4):
+            for record, index in keys:
+                for attempt in range(turn * 16, turn * 16 + 16):
+                    if (record, index) in want:
+                        break
+                    text = f"20260915\0{record}|negative={index}\0{attempt}"
+                    at = int(hashlib.sha256(text.encode()).hexdigest()[:16], 16) % (12_000 - 60 + 1)
+                    k = int(record[1:])
+                    share = lambda s: sum(c in "GC" for c in s) / len(s)
+                    if all(free[at : at + 60]) and abs(share(whole[at : at + 60]) - share(whole[k * 50 : k * 50 + 60])) <= 0.1 + 1e-12:
+                        want[record, index] = at
+                        free[at : at + 60] = [False] * 60
+    assert {(r.record_id, r.negative_index): r.start for r in got} == want
+    everything = regions(spark, [("a", 0, 12_000)])
+    with pytest.raises(RuntimeError, match="24 controls not matched"):
+        sampling.matched_controls(positives, genome, everything, ratios=two, rounds=1)
+    lost = sampling.matched_controls(positives, genome, everything, rounds=1, strict=False).collect()
+    assert len(lost) == 8 + 80 and all(r.start is None for r in lost)
+    pairs = sampling.negative_pairs(positives.withColumns({"start": F.lit(0), "end": F.lit(60)}), spark.createDataFrame(got)).collect()
+    assert len(pairs) == 24 and len({r.negative_id for r in pairs}) == 24 and all(r.gc_delta <= 0.1 + 1e-9 for r in pairs)
     spans = sorted((r.start, r.end) for r in got)
     assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
     gc = lambda s: sum(c in "GC" for c in s) / len(s)
@@ -232,7 +310,7 @@ def test_discovery_takes_all_sequences(spark):
     rest = iter([i for i in range(2500) if i not in first])
     codes = discovery._encoded([seqs[order[k] if k in order else next(rest)] for k in range(2500)])
     for model in ("zoops", "oops"):
-        got = {r.task: r for r in discovery.discovered(df, 8, model).collect()}
+        got = {r.task: r for r in discovery.discovered(df, 8, model, screen=1000).collect()}
         pwm, sites, score = discovery.expectation_maximisation(codes, 8, model)
         assert (got["a"].n, got["b"].n) == (2500, 40)
         assert np.allclose(np.array(got["a"].pwm), pwm, atol=1e-6) and got["a"].sites == pytest.approx(sites, rel=1e-6) and got["a"].score == pytest.approx(score, abs=1e-3)
@@ -246,6 +324,125 @@ def test_compared_prefers_itself(spark):
     assert (best.target_id, best.strand, round(best.score, 9)) == ("x", "-", 1.0)
 
 
+def test_compared_leaves_no_target_out(spark, monkeypatch):
+    monkeypatch.setattr(discovery, "MOST_TARGETS", 100)
+    q = spark.createDataFrame([(1, MATRIX), (2, MATRIX[:3])], "query_id int, pwm array<array<double>>")
+    t = spark.range(1100).select(F.col("id").alias("target_id")).crossJoin(q.where("query_id = 1").select("pwm"))
+    got = discovery.compared(q, t, 3).groupBy("query_id").agg(F.countDistinct("target_id").alias("n"), F.min("score").alias("s")).collect()
+    assert {r.query_id: r.n for r in got} == {1: 1100, 2: 1100} and all(r.s > 0.99 for r in got)
+    assert discovery.compared(q, t, 5).count() == 0
+
+
+def test_logistic_models_against_newton(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2)) * [1, 40] + [3, -7]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 3) * 1.5))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), 1.0, float(t)) for (a, b), t in zip(x, y, strict=True)], "a double, b double, c double, label double")
+    frozen = diagnostics.fit_models(df, {"one": ["a"], "all": ["a", "b", "c"]})
+    z = (x - x.mean(0)) / x.std(0)
+    for name, columns in (("one", z[:, :1]), ("all", z)):
+        m, w = np.c_[np.ones(300), columns], np.zeros(1 + columns.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-m @ w))
+            ridge = np.diag([0.0] + [1.0] * columns.shape[1])
+            w -= np.linalg.solve(m.T @ (m * (p * (1 - p))[:, None]) + ridge, m.T @ (p - y) + ridge @ w)
+        assert frozen[name]["intercept"] == pytest.approx(w[0], abs=1e-4)
+        assert frozen[name]["coefficients"][: len(w) - 1] == pytest.approx(list(w[1:]), abs=1e-4)
+    assert frozen["all"]["scale"][2] == 1.0
+    risk = [r.risk_one for r in diagnostics.predictions(df, frozen).collect()]
+    assert all(0 < r < 1 for r in risk) and np.mean([(r > 0.5) == t for r, t in zip(risk, y, strict=True)]) > 0.6
+    with pytest.raises(ValueError, match="both classes"):
+        diagnostics.fit_models(df.where("label = 1"), {"one": ["a"]})
+    with pytest.raises(ValueError, match="finite"):
+        diagnostics.fit_models(df.withColumn("a", F.when(F.col("a") > 3, float("inf")).otherwise(F.col("a"))), {"one": ["a"]})
+
+
+def test_split_as_one_job(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [("a", s, s + rng.randint(5, 40), f"r{k}", rng.random()) for k, s in enumerate(rng.randrange(4000) for _ in range(120))]
+    df = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, record_id string, score double")
+    record = splits.write_split(df, str(tmp_path / "s"), 0.25, 3, 4)
+    back = [x.split("\t") for x in spark.read.text(str(tmp_path / "s/manifest")).toPandas()["value"]]
+    head, body = back[0], [x for x in back if x != back[0]]
+    at = {c: head.index(c) for c in ("split", "chrom", "start", "end")}
+    keys = [(x[at["split"]], x[at["chrom"]], int(x[at["start"]]), int(x[at["end"]])) for x in body]
+    assert len(body) == 120 and sum(record["interval_counts"].values()) == 120 and record["cross_split_overlaps"] == 0
+    assert [x[0] for x in keys].count("test") == record["interval_counts"]["test"]
+    test, train = [k for k in keys if k[0] == "test"], [k for k in keys if k[0] == "train"]
+    assert not any(a[2] < b[3] and b[2] < a[3] for a in test for b in train)
+    with pytest.raises(Exception, match="already exists"):
+        splits.write_split(df, str(tmp_path / "s"), 0.25, 3, 4)
+
+
+def pair_runs(spark, change=None):
+    rng = np.random.default_rng(2)
+    rows = []
+    for s in (1, 2):
+        for level in (100.0, 0.0):
+            for repeat in (0, 1):
+                for m in ("oops", "zoops"):
+                    pwm = rng.dirichlet(np.ones(4), 8).tolist()
+                    rows.append({"cohort": "c", "sample": s, "signal_percent": level, "input_repeat": repeat, "order_repeat": 0, "meme_repeat": 0, "model": m, "run_id": f"{s}{level}{repeat}{m}", "input": f"{s}{level}{repeat}", "meme_seed": s, "discovery_background": "b", "background": "markov2", "motif_width": 8, "sample_size": 20, "ap": 0.5, "auroc": 0.6, "neg_log10_evalue": 3.0, "site_fraction": 0.4, "pwm": pwm})
+    return spark.createDataFrame(change(rows) if change else rows)
+
+
+def test_pairs_need_the_whole_grid_and_like_inputs(spark):
+    check = lambda change=None: evaluation.checked_cells(pair_runs(spark, change), [1, 2], [100.0, 0.0], 8, 20)
+    matches = spark.createDataFrame([("1100.00oops", "t", 9, 0.01, 1)], "run_id string, target string, match_overlap int, p double, place int")
+    pairs = evaluation.paired_records(check(), matches, "t", 5, 0.05).collect()
+    assert len(pairs) == 4 and all(0 <= r.disagreement <= 1 and 0 <= r.oops_resampling <= 1 for r in pairs)
+    assert {(r["sample"], r.signal_percent): r.oops_weak_reference for r in pairs} == {(1, 100.0): 0, (1, 0.0): 1, (2, 100.0): 1, (2, 0.0): 1}
+    assert all(r.weak_reference == 1 and r.weakest_log_confidence == pytest.approx(math.log(4)) for r in pairs)
+    edit = lambda k, **new: lambda rows: [r | new if i == k else r for i, r in enumerate(rows)]
+    for change, message in ((lambda rows: rows[1:], "not whole"), (lambda rows: [*rows, rows[0]], "twice"), (edit(0, order_repeat=1), "primary"), (edit(0, motif_width=9), "protocol"), (edit(0, cohort="d"), "one cohort")):
+        with pytest.raises(ValueError, match=message):
+            check(change)
+    for change, message in ((edit(0, meme_seed=9), "same input"), (lambda rows: [r | {"input": "x"} for r in rows], "separate"), (lambda rows: [r | {"meme_seed": r["input_repeat"]} for r in rows], "same seed")):
+        with pytest.raises(ValueError, match=message):
+            evaluation.paired_records(check(change), matches, "t", 5, 0.05)
+    assert evaluation.compact_pairs(pair_runs(spark, lambda rows: rows[1:])).count() == 3
+
+
+def test_evaluation_refuses_shared_ids(spark):
+    seqs = spark.createDataFrame([("x", "ACGTACGT"), ("y", "CCGGATAT")], "doc_id string, seq string")
+    motif = spark.createDataFrame([("m", MATRIX, 10.0, 20)], "run_id string, pwm array<array<double>>, sites double, primary_count int")
+    r = evaluation.evaluated(motif, seqs.where("doc_id = 'x'"), seqs.where("doc_id = 'y'"), dict.fromkeys("ACGT", 0.25), 0, 0.5).first()
+    assert (r.positives, r.negatives, r.site_fraction) == (1, 1, 0.5) and r.ap in (0.5, 1.0) and r.auroc in (0.0, 1.0)
+    with pytest.raises(ValueError, match="overlap"):
+        evaluation.evaluated(motif, seqs, seqs, dict.fromkeys("ACGT", 0.25), 0, 0.5)
+
+
+def test_cohorts(spark):
+    pairs = spark.createDataFrame([("train", f"p{k}", 1, f"n{k}") for k in range(30)] + [("train", "p1", 2, "n9"), ("test", "p2", 1, "q")], "split string, positive_id string, negative_index int, negative_id string")
+    seqs = lambda c: spark.createDataFrame([(f"{c}{k}", c.upper() * k) for k in range(1, 31)] + [(f"{c}0", "")], "id string, seq string")
+    own = cohorts.training_pairs(pairs, seqs("p"), seqs("n"))
+    assert own.count() == 30
+    with pytest.raises(ValueError, match="two first pairs"):
+        cohorts.training_pairs(pairs.union(pairs.limit(1)), seqs("p"), seqs("n"))
+    with pytest.raises(ValueError, match="no sequence"):
+        cohorts.training_pairs(pairs, seqs("p"), seqs("x"))
+    seeds = {"sample": 1, "order": 2}
+    rows = cohorts.cohort_records(own, 2, 2, 20, [100.0, 50.0, 0.0], seeds).collect()
+    assert len(rows) == 2 * 2 * 3 * 20 and {r.source for r in rows if r.level == 100.0} == {"positive"}
+    half = [r for r in rows if r.level == 50.0 and r["sample"] == 1 and r.input_repeat == 0]
+    assert sorted(r.replacement_rank for r in half) == list(range(20)) and sum(r.source == "negative" for r in half) == 10
+    for levels, message in (([50.0], "ends"), ([0.0, 0.0, 100.0], "differ"), ([0.0, 33.0, 100.0], "whole number")):
+        with pytest.raises(ValueError, match=message):
+            cohorts.cohort_records(own, 1, 1, 20, levels, seeds)
+    with pytest.raises(ValueError, match="fewer"):
+        cohorts.cohort_records(own, 1, 1, 31, [0.0, 100.0], seeds)
+    frozen = spark.createDataFrame(rows)
+    named = cohorts.cohort_sequences(frozen, seqs("p"), seqs("n"))
+    assert named.count() == len(rows) and named.where("id not like 'slot\\_00%|%|%'").count() == 0
+    by, ends = ["sample", "input_repeat"], named.where("level in (0, 100)")
+    more = cohorts.refinement(frozen, by, [75.0], 20, ends, seqs("p"), seqs("n"))
+    assert more.where("source = 'negative'").count() == 4 * 5
+    with pytest.raises(ValueError, match="frozen endpoints"):
+        cohorts.refinement(frozen, by, [75.0], 20, ends.where("slot > 0"), seqs("p"), seqs("n"))
+    with pytest.raises(ValueError, match="permutation"):
+        cohorts.checked_slots(frozen.where("level = 0 and slot <> 3"), by)
+
+
 def test_pending_refuses_another_protocol(spark):
     plan = ladders.grid(spark, 2, 1, [50.0], ["oops"], {"sample": 1, "order": 2, "meme": 3})
     done = plan.where("sample = 1").select("run_id", "meme_seed", F.lit("complete").alias("status"))

@@ -41,6 +41,91 @@ def test_fasta_round_trip(spark, tmp_path):
         readers.read_fasta(spark, put(tmp_path, "c.fa", ">a\nA\n>a\nC\n")).collect()
 
 
+def test_fasta_begins_with_a_header(spark, tmp_path):
+    for k, text in enumerate(["junk\nACGT\n>a\nGG\n", "ACGT\n", "\n\njunk\n>a\nGG\n"]):
+        with pytest.raises(ValueError, match="before the first header"):
+            readers.read_fasta(spark, put(tmp_path, f"j{k}.fa", text))
+    with pytest.raises(ValueError, match="empty FASTA"):
+        readers.read_fasta(spark, put(tmp_path, "e.fa", "\n\n"))
+    assert readers.read_fasta(spark, put(tmp_path, "b.fa", "\n>a\nGG\n")).first().seq == "GG"
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    text = "".join(f"line {k}\n" if k % 7 else "\n" for k in range(1, 5001))
+    path = put(tmp_path, "many.txt", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers._lines(spark, path)
+        assert rows.rdd.getNumPartitions() > 3
+        got = {r.number: r.line for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: f"line {k}" if k % 7 else "" for k in range(1, 5001)}
+
+
+def test_matches_after_comments(spark, tmp_path):
+    head = "\t".join(readers.MATCH_COLUMNS)
+    row = "q\tt\t0\t0.01\t0.1\t0.2\t8\t+\n"
+    rows = readers.read_matches(spark, put(tmp_path, "c", "# note\n\n" + head + "\n" + row * 2)).collect()
+    assert [(r.p, r.place) for r in rows] == [(0.01, 4), (0.01, 5)]
+    with pytest.raises(ValueError, match="missing match columns"):
+        readers.read_matches(spark, put(tmp_path, "d", "a\tb\n" + row))
+    with pytest.raises(ValueError, match="no header"):
+        readers.read_matches(spark, put(tmp_path, "e", "# only\n"))
+    with pytest.raises(Exception, match="invalid match in line 2"):
+        readers.read_matches(spark, put(tmp_path, "f", head + "\n" + row.replace("0.01", "1.01"))).collect()
+
+
+def test_reference_and_coarse_pairs(spark, tmp_path):
+    text = "MEME version 4\n\nMOTIF m1 name\nletter-probability matrix: alength= 4 w= 2 nsites= 9\n 0.1 0.2 0.3 0.4\n 1 0 0 0\nMOTIF m2\nletter-probability matrix: w=1\n0.25 0.25 0.25 0.25\n"
+    got = {r.motif_id: (r.width, r.pwm) for r in readers.read_reference(spark, put(tmp_path, "r.txt", text)).collect()}
+    assert got == {"m1": (2, [[0.1, 0.2, 0.3, 0.4], [1.0, 0.0, 0.0, 0.0]]), "m2": (1, [[0.25] * 4])}
+    with pytest.raises(Exception, match="invalid motif"):
+        readers.read_reference(spark, put(tmp_path, "q.txt", text.replace("w= 2", "w= 3"))).collect()
+    names = ["sample", "signal_percent", "disagreement", "oops_ap", "zoops_ap", "oops_neg_log10_evalue", "zoops_neg_log10_evalue", "oops_resampling", "zoops_resampling", "zoops_site_fraction"]
+    path = put(tmp_path, "p.tsv", "\t".join(names) + "\n" + "\t".join("3 75 0.5 0.9 0.8 -2 1 0.1 0.2 0.3".split()) + "\n")
+    r = readers.read_coarse_pairs(spark, path, "c").first()
+    assert (r.cohort, r["sample"], r.signal, r.width, r.jsd, r.oops_conf) == ("c", 3, 75.0, 19, 0.5, 0.0) and r.zoops_conf == pytest.approx(0.6931471805599453)
+
+
+def test_runs_must_be_the_planned_ones(spark, tmp_path):
+    schema = "run_id string, status string, task struct<sample: int, model: string>"
+    plan = spark.createDataFrame([(1, "oops"), (2, "oops")], "sample int, model string")
+    folder = tmp_path / "runs"
+
+    def result(name, sample, status="complete"):
+        (folder / name).mkdir(parents=True, exist_ok=True)
+        (folder / name / "result.json").write_text(f'{{"run_id": "{name}", "status": "{status}", "task": {{"sample": {sample}, "model": "oops"}}}}')
+
+    result("a", 1)
+    with pytest.raises(ValueError, match="no completed result"):
+        readers.completed_runs(spark, str(folder), plan, schema)
+    result("b", 2)
+    assert readers.completed_runs(spark, str(folder), plan, schema).count() == 2
+    result("c", 3)
+    with pytest.raises(ValueError, match="not in the plan"):
+        readers.completed_runs(spark, str(folder), plan, schema)
+    result("c", 2, "failed")
+    with pytest.raises(ValueError, match="not complete"):
+        readers.completed_runs(spark, str(folder), plan, schema)
+
+
+def test_records_and_failures(spark, tmp_path):
+    sinks.write_json(spark, {"b": 1, "a": [2]}, str(tmp_path / "j"))
+    assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"a":[2],"b":1}'
+    for message in ("first", "second"):
+        sinks.write_failure(spark, str(tmp_path / "run"), {"sample": 1}, ValueError(message))
+    assert '"message":"second"' in spark.read.text(str(tmp_path / "run/failure")).first()[0]
+    sinks.write_uniform_background(spark, str(tmp_path / "u"))
+    assert {r.word: r.freq for r in readers.read_markov(spark, str(tmp_path / "u"), 0).collect()} == dict.fromkeys("ACGT", 0.25)
+    sinks.write_bed(spark.createDataFrame([("a", 1, 2, "p", 0.1)], "chrom string, start int, end int, peak_id string, score double"), str(tmp_path / "bed"))
+    assert spark.read.text(str(tmp_path / "bed")).first()[0] == "a\t1\t2\tp\t0.1"
+    sinks.write_table(spark.range(6).selectExpr("id", "id % 2 as k"), str(tmp_path / "t"), by=["k"])
+    assert spark.read.parquet(str(tmp_path / "t")).where("k = 1").count() == 3
+    assert readers.read_tsv(spark, put(tmp_path, "x.tsv", "a\tb\n1\tx\n")).first().b == "x"
+
+
 def test_markov_and_matches(spark, tmp_path):
     text = "# order 0\nA 0.3\nC 0.2\nG 0.2\nT 0.3\n"
     assert readers.read_markov(spark, put(tmp_path, "m", text), 0).count() == 4
@@ -57,6 +142,9 @@ def test_motif_xml(spark, tmp_path):
     r = readers.read_motifs(spark, put(tmp_path, "m.xml", xml)).first()
     assert (r.width, r.sites, r.seed, r.primary_count, r.pwm) == (2, 10.0, 7, 12, [[0.7, 0.1, 0.1, 0.1]] * 2)
     assert r.neg_log10_evalue == pytest.approx(399.92081875)
+    for k, (old, new) in enumerate([(">0.7<", ">0.8<"), ("<seed>7</seed>", ""), ("1.2e-400", "0"), (">0.7<", ">-0.7<")]):
+        with pytest.raises(Exception, match="invalid motif"):
+            readers.read_motifs(spark, put(tmp_path, f"bad{k}.xml", xml.replace(old, new))).collect()
 
 
 def test_results_resume(spark, tmp_path):
