@@ -3,7 +3,7 @@
 A document is the set of its distinct word n-grams. Documents with equal sets form a class
 at once (copies are never paired). All n-grams stand in one global order: by how often a
 fixed-size sketch says they occur in the corpus, rare ones first, then by hash. That order
-is cut into fragments. Classes can only be similar if they share an n-gram among their
+is cut into fragments of equal shares of the corpus' n-grams. Classes can only be similar if they share an n-gram among their
 first few in that order (the prefix), so these give the candidates. For candidates, the
 overlap is counted separately in each fragment and summed per pair; the sum decides exactly.
 
@@ -38,6 +38,8 @@ SKETCH_BITS = 18
 SKETCH_PART = 4096
 FRAGMENTS = 8
 PARITY_LONGS = 8
+#: An n-gram that more classes than this share is compared in as many tasks as it has times so many; such n-grams are broadcast up to MOST_HOT.
+BUCKET, MOST_HOT = 2048, 100_000
 #: Tasks know what is asked for by filters of 2 to these powers of bits; what passes by chance falls out in a join.
 FILTER_BITS = (20, 27)
 
@@ -56,6 +58,15 @@ def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _fragments(counts: np.ndarray) -> np.ndarray:
+    """The fragment of each sketch counter: the counters in the global order, cut where equal shares of all n-grams of the corpus are passed."""
+    order = np.argsort(counts, kind="stable")
+    passed = np.cumsum(counts[order], dtype=np.int64)
+    out = np.empty(len(counts), np.int64)
+    out[order] = np.minimum(FRAGMENTS - 1, np.maximum(0, passed - 1) * FRAGMENTS // max(1, int(passed[-1])))
+    return out
+
+
 def _digests(docs: DataFrame, size: int) -> DataFrame:
     """A row a document (doc_id, n, key), and at each task's end its part sums of the sketch (part, counts)."""
 
@@ -190,14 +201,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, sketch) -> DataFrame:
     spotted, asked = _spotted(docs, wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        pivots = np.quantile(counts, np.arange(1, FRAGMENTS) / FRAGMENTS)
+        fragment_of = _fragments(sketch.value)
         for batch in batches:
             keys, fragments, grams = [], [], []
             for hashes in shingle_sets(asked(batch).column(1), size):
                 if not len(hashes):
                     continue
-                key, at = _key(hashes), np.searchsorted(pivots, counts[_place(hashes)], "left")
+                key, at = _key(hashes), fragment_of[_place(hashes)]
                 for fragment in np.unique(at).tolist():
                     keys.append(key)
                     fragments.append(fragment)
@@ -209,6 +219,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, sketch) -> DataFrame:
     return spotted.mapInArrow(cut, "key bigint, fragment int, grams array<bigint>")
 
 
+def _salted(spread: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """spread twice with salt, so that each pair of rows of one n-gram meets under one salt: of an n-gram with more than BUCKET rows the first side is dealt over salts, and the second goes to each of them."""
+    hot = checkpointed(spread.groupBy("gram").agg(F.count("*").alias("rows_")).where(F.col("rows_") > BUCKET).select("gram", F.ceil(F.col("rows_") / BUCKET).cast("int").alias("salts")))
+    few = hot.limit(MOST_HOT + 1).count() <= MOST_HOT
+    sized = spread.join(F.broadcast(hot) if few else hot, "gram", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    one = sized.withColumn("salt", F.pmod(F.xxhash64("key", "gram"), F.col("salts")).cast("int")).drop("salts")
+    two = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return one, two
+
+
 def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose prefixes share enough: the rest of a set, after its prefix, can add so much and no more."""
     head = lambda side: facts.select(F.col("key").alias(side), F.col("prefix").alias(f"h{side}"))
@@ -274,7 +294,8 @@ def joined(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Da
     labelled = plain.join(hub, "key", "left").withColumn("label", label).drop("top", "degree")
     spread = checkpointed(spots.join(labelled, "key"))
     apart = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & allowed
-    others = spread.alias("l").join(spread.alias("r"), apart).select(*columns).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    one, two = _salted(spread)
+    others = one.alias("l").join(two.alias("r"), apart & (F.col("l.salt") == F.col("r.salt"))).select(*columns).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     beyond = lambda n: F.ceil(num * F.col(n) / den) - 1  # noqa: E731  a set's size without its prefix
     enough = (num + den) * (F.col("shared") + F.greatest(beyond("na"), beyond("nb"))) >= num * (F.col("na") + F.col("nb"))
     rest = others.where(enough).drop("shared").join(stars, ["a", "b"], "left_anti")

@@ -452,6 +452,28 @@ def test_jaccard_join(spark, k, num):
     assert got == brute_join(rows, k, num, 100)
 
 
+def test_fragments_hold_equal_shares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    digests = checkpointed(jaccard_join._digests(docs, 3))
+    sketch = jaccard_join._summed(digests.where("part is not null").select("part", "counts"))
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
+    ids = checkpointed(docs.select("doc_id"))
+    sizes = {r.fragment: r.n for r in jaccard_join._sets(docs, ids, 3, held).groupBy("fragment").agg(F.sum(F.size("grams")).alias("n")).collect()}
+    assert sorted(sizes) == list(range(jaccard_join.FRAGMENTS)) and max(sizes.values()) < 1.3 * min(sizes.values())
+
+
+def test_jaccard_join_of_a_large_bucket(spark, monkeypatch):
+    """5,000 texts that share their rarest words and are not linked, and pairs among them that are; buckets of 100."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 100)
+    rng = random.Random(12)
+    rows = []
+    for i in range(5000):
+        rows.append((i, "shared head of all these texts " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(24))))
+    rows += [(10_000 + i, rows[i][1] + " tail") for i in range(0, 5000, 250)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.joined(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
 def test_jaccard_edges(spark, odd, none):
     got = jaccard_join.joined(odd).collect()
     assert len(got) == len(ODD)
