@@ -6,9 +6,10 @@ sample holds; the language that needs the fewest phrases, normalised by how many
 held-back text needs, wins. The count of phrases a symbol, times the logarithm of the sample's
 length, estimates the cross entropy, so samples of different lengths can be compared.
 
-Texts are read as letters in lower case with single spaces for all else. For speed a text is
-parsed in blocks of BLOCK symbols that advance side by side through the transition table; a
-block end closes a phrase in every language alike.
+Texts are read as letters in lower case with single spaces for all else, and these as the bytes
+of UTF-8, so that an alphabet is small in any script and no letter has to be left out of one.
+For speed a text is parsed in blocks of BLOCK bytes that advance side by side through the
+transition table; a block end closes a phrase in every language alike.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import small_batches, text_values
+from helixframe.llm.common import other_columns, small_batches, text_values
 
 #: A sample is at most so many documents and symbols a language; half as many more documents are held back to normalise.
 SAMPLE_DOCUMENTS = 96
@@ -33,11 +34,11 @@ SAMPLE_SYMBOLS = 60_000
 ALL_SYMBOLS = 480_000
 #: Lengths in characters of the documents that a sample takes first; others follow where a language has too few, the longer ones with their first part.
 SAMPLE_LENGTHS = (200, 10_000)
-SYMBOLS = 96
 BLOCK = 256
+#: No byte of UTF-8: what fills up the last block of a text.
+PADDING = 255
 UNKNOWN = "und"
 
-_CODES: dict[bytes, np.ndarray] = {}
 _LETTER = np.zeros(0x110000, bool)
 
 
@@ -53,14 +54,15 @@ def code_points(text: str) -> np.ndarray:
 
 
 def folded(text: str) -> np.ndarray:
-    """The code points of letters in lower case, with one space (0x20) for each run of others, none at the ends."""
+    """The bytes of letters in lower case, with one space (0x20) for each run of others, none at the ends."""
     points = code_points(text)
     letter = letter_table()[points]
     points = np.where(letter, points, 0x20)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     points = points[keep]
-    return points[:-1] if len(points) and points[-1] == 0x20 else points
+    points = points[:-1] if len(points) and points[-1] == 0x20 else points
+    return np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
 
 
 def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
@@ -102,22 +104,26 @@ _BUILT: dict[str, list[np.ndarray]] = {}
 
 
 class CrossParser:
-    """Suffix automata of all languages over one alphabet of the most frequent symbols.
+    """Suffix automata of all languages, each over the bytes of its own sample.
 
     What travels to the tasks is the samples; the automata, a hundred times as large, are
     built where they are used."""
 
     def __init__(self, samples: dict[str, list[np.ndarray]], held: dict[str, list[np.ndarray]]):
         self.languages = sorted(samples)
-        joined = [np.concatenate([x for s in samples[k] for x in (s, np.array([0x20], np.uint32))]) for k in self.languages]
+        joined = [np.concatenate([x for s in samples[k] for x in (s, np.array([0x20], np.uint8))]) for k in self.languages]
         size, room = SAMPLE_SYMBOLS, ALL_SYMBOLS
         for k, n in enumerate(sorted(map(len, joined))):  # what short samples leave is for the others
             size = min(SAMPLE_SYMBOLS, room // (len(joined) - k))
             room -= min(n, size)
-        counts = np.bincount(np.concatenate([*joined, np.zeros(0, np.uint32)]).astype(np.int64), minlength=0x110000)
-        frequent = np.argsort(-counts, kind="stable")[: SYMBOLS - 1]
-        self.alphabet = frequent[counts[frequent] > 0].astype(np.uint32)
-        self.texts = [self.codes(text[:size]) for text in joined]
+        self.codes, self.widths, self.texts = [], [], []
+        for text in joined:
+            alphabet = np.unique(text[:size])
+            codes = np.zeros(256, np.uint8)  # 0 is a byte that the sample does not have
+            codes[alphabet] = np.arange(1, len(alphabet) + 1, dtype=np.uint8)
+            self.codes.append(codes)
+            self.widths.append(len(alphabet) + 1)
+            self.texts.append(codes[text[:size]])
         sizes = np.array([len(text) for text in self.texts], np.int64)
         self.bits = np.log2(np.maximum(2, sizes))
         self.base = np.ones(len(self.languages))
@@ -127,45 +133,30 @@ class CrossParser:
         if len(sizes):
             self.base = np.minimum(needs, needs[2 * sizes >= sizes.max()].max()) / self.bits
 
-    def codes(self, points: np.ndarray) -> np.ndarray:
-        """Symbols of code points; 0 is one that no sample has among its frequent ones."""
-        if len(_CODES) > 4:
-            _CODES.clear()
-        key = self.alphabet.tobytes()
-        if key not in _CODES:
-            _CODES[key] = np.zeros(0x110000, np.uint8)
-            _CODES[key][self.alphabet] = np.arange(1, len(self.alphabet) + 1, dtype=np.uint8)
-        return _CODES[key][points]
-
     def steps(self) -> list[np.ndarray]:
-        """For each language [state * SYMBOLS + symbol]: twice the next state, plus 1 where a phrase ends before the symbol."""
+        """For each language [state * width + code]: twice the next state, plus 1 where a phrase ends before the symbol."""
         digest = hashlib.sha256(b"|".join(t.tobytes() for t in self.texts)).hexdigest()
         if digest not in _BUILT:
             _BUILT.clear()
             made = []
-            for text in self.texts:
-                table = suffix_automaton(text.tolist(), SYMBOLS)
-                table.reshape(-1, SYMBOLS)[:, 0] = -1
+            for text, width in zip(self.texts, self.widths, strict=True):
+                table = suffix_automaton(text.tolist(), width)
                 fails = table < 0
-                table = np.where(fails, np.tile(np.maximum(table[:SYMBOLS], 0), len(table) // SYMBOLS), table)
+                table = np.where(fails, np.tile(np.maximum(table[:width], 0), len(table) // width), table)
                 made.append((table * 2 + fails).astype(np.int32))
             _BUILT[digest] = made
         return _BUILT[digest]
 
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """Phrases for each language (row) and block (column); blocks is [BLOCK, n], padded with 255."""
+        """Phrases for each language (row) and block (column); blocks is [BLOCK, n], filled up with PADDING."""
         counts = np.zeros((len(self.languages), blocks.shape[1]), np.int64)
-        for k, step in enumerate(self.steps()):
+        live = blocks != PADDING
+        full = live.all(axis=1)
+        for k, (step, width) in enumerate(zip(self.steps(), self.widths, strict=True)):
             state = np.zeros(blocks.shape[1], np.int64)
-            for row in blocks:
-                live = row != 255
-                if not live.all():
-                    state, row = np.where(live, state, 0), np.where(live, row, 0)
-                    value = step[state * SYMBOLS + row]
-                    counts[k] += (value & 1) * live
-                else:
-                    value = step[state * SYMBOLS + row]
-                    counts[k] += value & 1
+            for row, here, whole in zip(self.codes[k][blocks], live, full.tolist(), strict=True):
+                value = step[state * width + row]
+                counts[k] += value & 1 if whole else (value & 1) * here
                 state = value >> 1
         return counts + 1
 
@@ -174,9 +165,9 @@ class CrossParser:
         sizes = np.array([len(t) for t in texts], np.int64)
         tall = -(-sizes // BLOCK)
         ends = np.cumsum(tall)
-        flat = np.full(int(ends[-1]) * BLOCK if len(ends) else 0, 255, np.uint8)
+        flat = np.full(int(ends[-1]) * BLOCK if len(ends) else 0, PADDING, np.uint8)
         for text, end, n in zip(texts, ends.tolist(), tall.tolist(), strict=True):
-            flat[(end - n) * BLOCK : (end - n) * BLOCK + len(text)] = self.codes(text)
+            flat[(end - n) * BLOCK : (end - n) * BLOCK + len(text)] = text
         counts = self.phrases(np.ascontiguousarray(flat.reshape(-1, BLOCK).T)) if len(flat) else np.zeros((len(self.languages), 0))
         sums = np.concatenate([np.zeros((len(self.languages), 1)), np.cumsum(counts, axis=1)], axis=1)
         for end, n, size in zip(ends.tolist(), tall.tolist(), sizes.tolist(), strict=True):
@@ -228,7 +219,7 @@ def identified(docs: DataFrame, parser: CrossParser) -> DataFrame:
     score 0; equal counts go to the language first by name. Other columns and repeated rows
     are kept as they are; columns named lang_pred and lang_score are replaced."""
     small_batches(docs.sparkSession)
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")]
+    own = [docs.schema[c] for c in other_columns(docs, "lang_pred", "lang_score")]
     at = [f.name for f in own].index("text")
     held = docs.sparkSession.sparkContext.broadcast(parser)
 

@@ -324,6 +324,35 @@ def test_language_id(spark, odd, none):
     assert {(r.lang_pred, r.lang_score) for r in language_id.identified(odd, empty).collect()} == {("und", 0.0)}
 
 
+def test_language_id_by_blocks_and_unbroken(spark, monkeypatch):
+    """Blocks tell every document of the table the language that the unbroken parse tells."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    parser = language_id.learned(docs, F.lit(True))
+    texts = sorted((language_id.folded(r.text or "") for r in docs.collect()), key=len)
+    blocks = [x[0] for x in parser.judged(texts)]
+    monkeypatch.setattr(language_id, "BLOCK", 4096)
+    longer = [x[0] for x in parser.judged(texts)]
+    short = [k for k, t in enumerate(texts) if len(t) <= 4096]
+    assert len(short) > 0.8 * len(texts) and [blocks[k] for k in short] == [longer[k] for k in short]
+    monkeypatch.setattr(language_id, "BLOCK", 1 << 17)
+    assert len(texts[-1]) <= 1 << 17
+    rest = range(len(short), len(texts))
+    assert [blocks[k] for k in rest] == [x[0] for x in parser.judged([texts[k] for k in rest])]
+
+
+def test_language_id_in_many_scripts(spark):
+    """Alphabets of thousands of letters, several scripts side by side, and columns of any name."""
+    rng = random.Random(3)
+    letters = {"zh": [chr(0x4E00 + k) for k in range(3000)], "ja": [chr(0x3041 + k) for k in range(80)] + [chr(0x4E00 + k) for k in range(0, 3000, 7)], "ru": [chr(0x430 + k) for k in range(32)], "el": [chr(0x3B1 + k) for k in range(24)], "ar": [chr(0x627 + k) for k in range(30)], "en": list("abcdefghijklmnopqrstuvwxyz")}
+    words = {k: ["".join(rng.choices(v, k=rng.randint(1, 4))) for _ in range(400)] for k, v in letters.items()}
+    say = lambda k: " ".join(rng.choices(words[k], k=60))
+    train = spark.createDataFrame([(k, say(k)) for k in letters for _ in range(60)], "lang string, text string")
+    parser = language_id.learned(train, F.lit(True))
+    new = spark.createDataFrame([(k, say(k), "mine", 7) for k in letters for _ in range(10)], "lang string, text string, Lang_Pred string, lang_score int")
+    got = language_id.identified(new, parser).collect()
+    assert len(got) == 60 and np.mean([r.lang == r.lang_pred for r in got]) == 1.0
+
+
 def test_language_id_with_rare_labels_and_copies(spark):
     """A label with one short text, a language of short texts only, and many copies of one text leave the others' samples whole."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
