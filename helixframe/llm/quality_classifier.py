@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import byte_pieces, small_batches
+from helixframe.llm.common import byte_pieces, other_columns, small_batches
 from helixframe.llm.wordhash import hashed_words
 
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 16_000
@@ -137,17 +137,17 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray) -> Model | None:
 
 
 def _sampled(docs: DataFrame, source: DataFrame, most: int) -> np.ndarray:
-    """Features of docs with the smallest hashed ids of source; at most so many ids are broadcast."""
+    """Features of docs with the smallest hashed ids of source, one row an id in order of id; at most so many ids are broadcast. Of texts of one id the first in order counts."""
     ids = source.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = features(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64()))], names=["x"])
+            rows = features(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    rows = texts.mapInArrow(measure, "x array<double>").limit(2 * most).collect()
-    return np.array([r["x"] for r in rows], float).reshape(-1, FEATURES)
+    rows = texts.mapInArrow(measure, T.StructType([docs.schema["doc_id"], T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()  # at most so many ids
+    return np.array([r["x"] for r in sorted(rows, key=lambda r: r["doc_id"])], float).reshape(-1, FEATURES)
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     score is 0.5. Other columns and repeated rows are kept as they are; a column named
     quality_score is replaced."""
     small_batches(docs.sparkSession)
-    own = [f for f in docs.schema.fields if f.name != "quality_score"]
+    own = [docs.schema[c] for c in other_columns(docs, "quality_score")]
     at = [f.name for f in own].index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from helixframe.llm.common import small_batches, text_values
+from helixframe.llm.common import other_columns, small_batches, text_values
 
 #: What the scan looks for, and how long a match must be.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -97,7 +97,7 @@ def scanned(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     A null or empty text has none. Other columns and repeated rows are kept as they are; a
     column named secret_spans is replaced."""
     small_batches(docs.sparkSession)
-    own = [f for f in docs.schema.fields if f.name != "secret_spans"]
+    own = [docs.schema[c] for c in other_columns(docs, "secret_spans")]
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     added = T._parse_datatype_string("secret_spans array<struct<kind: string, start: bigint, end: bigint>>").fields
     at = [f.name for f in own].index("text")

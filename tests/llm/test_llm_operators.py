@@ -297,6 +297,33 @@ def test_secret_scan_edges(odd, none):
     assert secrets_scan.scanned(none, file).count() == 0
 
 
+def test_secret_scan_keeps_columns_and_drops_known_forms(spark):
+    hexes = {n: "".join(random.Random(n).choices("0123456789abcdef", k=n)) for n in (31, 32, 40, 64, 70)}
+    known = [hexes[31].upper().replace("A", "B"), "123e4567-e89b-12d3-a456-426614174000", "1234567890123456", "2024-01-02-03-04-05-06", hexes[40].upper(), hexes[64].upper()]
+    df = spark.createDataFrame([(x, f"id {x}.", "mine", 3) for x in [*known, *hexes.values()]], "x string, text string, Secret_Spans string, kind int")
+    got = {r.x: [(s.kind, s.start, s.end) for s in r.secret_spans] for r in secrets_scan.scanned(df, tokenizer_path("byte_bpe_50k.tiktoken")).collect()}
+    assert all(got[x] == [] for x in known[1:]), got
+    assert all(got[hexes[n]] == [("hex", 3, 3 + n)] for n in (32, 40, 64, 70))
+    assert [s[0] for s in got[hexes[31]]] == ["token"]
+
+
+def test_secret_scan_precision_and_recall(spark):
+    """Random keys of five alphabets planted in the given texts: nearly all are found, and few runs of the texts are taken for keys."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = [letters, letters.upper(), letters + letters.upper(), letters + "0123456789", letters + letters.upper() + "0123456789+/"]
+    keys = ["".join(rng.choices(a, k=rng.randint(16, 48))) for a in alphabets for _ in range(200)]
+    texts = [r.text for r in documents(spark).where("length(text) > 100").select("text").limit(100).collect()]
+    df = spark.createDataFrame([(k, texts[k % len(texts)][:500], key) for k, key in enumerate(keys)], "k int, head string, key string")
+    found = secrets_scan.scanned(df.select("k", "key", F.length("head").alias("n"), F.concat_ws(" ", "head", "key", F.lit("."), F.lit("end")).alias("text")), tokenizer_path("byte_bpe_50k.tiktoken")).collect()
+    hit = [any(s.start <= r.n + 1 and s.end >= r.n + 1 + len(r.key) for s in r.secret_spans) for r in found]
+    assert np.mean(hit) > 0.97
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = secrets_scan.scanned(docs, tokenizer_path("byte_bpe_50k.tiktoken")).select(F.explode("secret_spans").alias("s")).where("s.kind = 'token'").count()
+    runs = sum(len(secrets_scan.RUN.findall(r.text or "")) for r in docs.collect())
+    assert extra < 40 and runs > 100
+
+
 def test_secret_scan_tells_letter_keys_from_words(spark):
     """Random letters are found with and without digits or separators, from 16 characters; words, names and paths are not."""
     keys = ["xKqWzRtYpLmNbVcXzAsDqPwE", "qzxvkjwpfhgtbmxqzvkw", "xKqWzRtYpLmNbVcXzAsD42", "xKqWzRtYpL/mNbVcXzAsDqPwE", "xKq9WzR7tYpL2mNb"]
@@ -619,6 +646,16 @@ def test_quality_classifier(spark, odd, none):
     assert quality_classifier.scored(none, None).count() == 0
 
 
+def test_quality_classifier_with_repeated_ids_and_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    one = quality_classifier.learned(docs, labels)
+    many = quality_classifier.learned(docs.union(docs.orderBy(F.rand(3))).repartition(5), labels.union(labels))
+    named = docs.limit(50).withColumns({"Quality_Score": F.lit("mine"), "x": F.lit(1)})
+    first, again = (quality_classifier.scored(named, m).select("quality_score", "x").collect() for m in (one, many))
+    assert [r.quality_score for r in first] == [r.quality_score for r in again] and all(r.x == 1 for r in first)
+
+
 # the pipeline
 
 
