@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.extensions import sigmoid_scores
+from helixframe.plans.materialise import broadcast_if_small
 from helixframe.plans.running import running, tiled
 
 
@@ -21,12 +22,23 @@ def reference_results(runs: DataFrame, matches: DataFrame, target: str, overlap:
 
 
 def thresholds(scored: DataFrame, by: list[str], limit: float) -> DataFrame:
-    """by and threshold: the least score at which at most limit of the negatives (label 0) score as high; null if none is."""
+    """by and threshold: the least score at which at most limit of the negatives (label 0) score as high; if there is none, the next number above the highest score."""
     counts = tiled(scored.groupBy(*by, "score").agg(F.sum(1 - F.col("label")).alias("n")), by, "score", descending=True)
     above = running(counts, by, "tile", [F.desc("score")], sums={"higher": F.col("n")})
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    totals = broadcast_if_small(counts.groupBy(*by).agg(F.sum("n").alias("total")))
     judged = above.join(totals, by)
-    return judged.groupBy(*by).agg(F.min(F.when((F.col("higher") + F.col("n")) <= limit * F.col("total"), F.col("score"))).alias("threshold"))
+    fit = F.min(F.when((F.col("higher") + F.col("n")) <= limit * F.col("total"), F.col("score")))
+    return judged.groupBy(*by).agg(F.coalesce(fit, next_after(F.max("score"))).alias("threshold"))
+
+
+def next_after(x: Column) -> Column:
+    """The next double above x, for normal numbers: x and one unit in its last place."""
+    size = F.abs(x.cast("double"))
+    power = F.floor(F.log2(size))
+    power = power - F.when(F.pow(F.lit(2.0), power) > size, 1).otherwise(0) + F.when(F.pow(F.lit(2.0), power + 1) <= size, 1).otherwise(0)
+    # below a negative power of two the numbers are half as far apart
+    power = power - F.when((x < 0) & (F.pow(F.lit(2.0), power) == size), 1).otherwise(0)
+    return F.when(x == 0, F.lit(5e-324)).otherwise(x + F.pow(F.lit(2.0), power - 52))
 
 
 def report(scored: DataFrame, threshold: float, level: str) -> DataFrame:

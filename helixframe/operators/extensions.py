@@ -11,7 +11,9 @@ from helixframe.plans.materialise import broadcast_if_small
 
 
 def with_widths(plan: DataFrame, widths: list[int]) -> DataFrame:
-    """Every task of plan at every width; the width is part of run_id."""
+    """Every task of plan at every width, of four columns at least; the width is part of run_id."""
+    if any(w < 4 for w in widths):
+        raise ValueError("a motif has at least four columns")
     wide = plan.withColumn("width", F.explode(F.array(*map(F.lit, widths))))
     return wide.withColumn("run_id", F.concat("run_id", F.format_string("_w%02d", "width")))
 

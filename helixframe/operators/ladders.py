@@ -47,9 +47,61 @@ def grid(spark, samples: int, repeats: int, levels: list[float], models: list[st
 
 
 def pending(plan: DataFrame, done: DataFrame) -> DataFrame:
-    """The tasks of plan without a result in done (run_id, status complete); fails where a result has another seed."""
-    finished = done.where("status = 'complete'").select("run_id", F.col("meme_seed").alias("done_seed"))
-    other = plan.join(finished, "run_id").where("meme_seed <> done_seed").select("run_id").take(1)
-    if other:
-        raise RuntimeError(f"a result of another protocol: {other[0]['run_id']}")
-    return plan.join(finished, "run_id", "left_anti").select(plan.columns)
+    """The tasks of plan without a result in done (run_id, status complete).
+
+    Fails where a result of a planned run differs in any column that plan and done have in
+    common (seed, trajectory, motif and so on), or where there are two results of a run."""
+    finished = done.where("status = 'complete'")
+    twice = finished.groupBy("run_id").count().where("count > 1").take(1)
+    if twice:
+        raise RuntimeError(f"two results of {twice[0]['run_id']}")
+    shared = [c for c in done.columns if c in plan.columns and c != "run_id"]
+    if shared:
+        both = plan.alias("p").join(finished.alias("d"), F.col("p.run_id") == F.col("d.run_id"))
+        differs = F.lit(False)
+        for c in shared:
+            differs = differs | ~F.col(f"p.{c}").eqNullSafe(F.col(f"d.{c}"))
+        other = both.where(differs).select("p.run_id").take(1)
+        if other:
+            raise RuntimeError(f"a result of another protocol: {other[0]['run_id']}")
+    return plan.join(finished.select("run_id"), "run_id", "left_anti").select(plan.columns)
+
+
+def primary(runs: DataFrame) -> DataFrame:
+    """The runs that are primary observations: neither repeats of the order nor of the optimiser."""
+    return runs.where("order_repeat = 0 and meme_repeat = 0")
+
+
+def subset(runs: DataFrame, run_ids: list[str]) -> DataFrame:
+    """The runs of a list of ids, all of which must be there."""
+    kept = runs.where(F.col("run_id").isin(run_ids))
+    lost = sorted(set(run_ids) - {r[0] for r in kept.select("run_id").distinct().collect()})  # a list that the caller wrote
+    if lost:
+        raise ValueError(f"no such runs: {', '.join(lost[:5])}")
+    return kept
+
+
+def fine_grid(spark, samples: int, levels: list[float], models: list[str], seeds: dict[str, int], repeats: int = 2) -> DataFrame:
+    """A plan at other levels, which need no ends, on the streams of the original one; its tasks have the role fine_signal_grid."""
+    if len(set(levels)) != len(levels) or not all(0 <= x <= 100 for x in levels):
+        raise ValueError("levels must differ and lie within 0 and 100")
+    return grid(spark, samples, repeats, levels, models, seeds).withColumn("role", F.lit("fine_signal_grid"))
+
+
+def with_seeds(plan: DataFrame, repeats: int, base: int) -> DataFrame:
+    """Every task of plan once for each repeat of the optimiser, with a seed of its own; repeat 0 keeps the run_id and the seed."""
+    each = plan.withColumn("meme_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    again = F.col("meme_repeat") > 0
+    own = stage_seed(base, "meme", F.col("sample"), F.col("meme_repeat"))
+    return each.withColumns({"meme_seed": F.when(again, own).otherwise(F.col("meme_seed")), "run_id": F.when(again, F.concat("run_id", F.format_string("_m%02d", "meme_repeat"))).otherwise(F.col("run_id"))})
+
+
+def concatenated(cohorts: list[DataFrame]) -> DataFrame:
+    """The rows of several cohorts as one table; fails where two share a cohort's name."""
+    out = None
+    for rows in cohorts:
+        out = rows if out is None else out.unionByName(rows)
+    total = sum(rows.select("cohort").distinct().count() for rows in cohorts)
+    if out.select("cohort").distinct().count() != total:
+        raise ValueError("two tables of one cohort")
+    return out

@@ -247,7 +247,7 @@ FROM flips JOIN s USING (c_mktsegment) WHERE bits < (1 << n_pairs) GROUP BY c_mk
     "loo_bounds": f"{_LOO} SELECT round(min(partial_r), 6) AS minimum, round(median(partial_r), 6) AS median, round(max(partial_r), 6) AS maximum FROM stats",
     "threshold_fpr": f"""{_S}, counts AS (SELECT lang, score, sum(1 - label) AS n FROM v_scored GROUP BY ALL),
  run AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS higher, sum(n) OVER (PARTITION BY lang) AS total FROM counts)
-SELECT lang, min(CASE WHEN higher <= 0.1 * total THEN score END) AS threshold FROM run GROUP BY lang""",
+SELECT lang, coalesce(min(CASE WHEN higher <= 0.1 * total THEN score END), nextafter(max(score), CAST('infinity' AS DOUBLE))) AS threshold FROM run GROUP BY lang""",
     "report_grouping_sets": f"{_S} SELECT lang, {_RATES} FROM v_scored GROUP BY GROUPING SETS ((), (lang))",
     "reference_best": f"{_REF} SELECT run_id, round(p, 9) AS p, overlap, weak FROM r",
     "reference_weak": f"{_REF} SELECT weak, count(*) AS n FROM r GROUP BY weak",

@@ -47,6 +47,14 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return checked.withColumn("record_id", F.concat("peak_id", F.lit("|line="), F.col("number").cast("string"))).withColumnRenamed("number", "source_line")
 
 
+def read_scored_bed(spark: SparkSession, path: str) -> DataFrame:
+    """read_bed of a file that is to be split: two intervals at least."""
+    rows = read_bed(spark, path)
+    if rows.limit(2).count() < 2:
+        raise ValueError(f"fewer than two intervals in {path}")
+    return rows
+
+
 def read_sizes(spark: SparkSession, path: str) -> DataFrame:
     """chrom and size of a chromosome size file; fails on a second row for a name or a size that is not positive."""
     f = F.split(F.trim("line"), r"\s+")

@@ -449,3 +449,37 @@ def test_pending_refuses_another_protocol(spark):
     assert [r["sample"] for r in ladders.pending(plan, done).collect()] == [2]
     with pytest.raises(Exception, match="another protocol"):
         ladders.pending(plan, done.withColumn("meme_seed", F.lit(0).cast("bigint"))).collect()
+
+
+def test_next_after(spark):
+    values = [1.0, 0.5, 3.7, 1e300, -2.0, -1.5, 0.0, 0.1, 1 - 2**-53, -0.75, 123456.789]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", diagnostics.next_after(F.col("x")).alias("y")).collect()
+    assert all(r.y == np.nextafter(r.x, np.inf) for r in got)
+    one = spark.createDataFrame([("a", 0, 2.0), ("a", 1, 1.0)], "g string, label int, score double")
+    assert diagnostics.thresholds(one, ["g"], 0.5).first().threshold == np.nextafter(2.0, np.inf)
+
+
+def test_plans_and_their_runs(spark):
+    seeds = {"sample": 1, "order": 2, "meme": 3}
+    plan = ladders.grid(spark, 2, 2, [100.0, 50.0], ["oops", "zoops"], seeds)
+    done = plan.limit(3).withColumn("status", F.lit("complete"))
+    assert ladders.pending(plan, done).count() == 13
+    with pytest.raises(RuntimeError, match="two results"):
+        ladders.pending(plan, done.union(done.limit(1)))
+    with pytest.raises(RuntimeError, match="another protocol"):
+        ladders.pending(plan, done.withColumn("signal_percent", F.lit(7.0)))
+    ids = [r.run_id for r in plan.limit(2).collect()]
+    assert ladders.subset(plan, ids).count() == 2
+    with pytest.raises(ValueError, match="no such runs: x"):
+        ladders.subset(plan, [*ids, "x"])
+    fine = ladders.fine_grid(spark, 1, [55.0, 60.0], ["oops"], seeds)
+    assert {r.role for r in fine.collect()} == {"fine_signal_grid"} and fine.count() == 4
+    again = ladders.with_seeds(plan, 3, 9)
+    assert again.count() == 48 and again.select("run_id").distinct().count() == 48
+    assert ladders.primary(again.withColumn("order_repeat", F.lit(0))).select(plan.columns).exceptAll(plan).count() == 0
+    with pytest.raises(ValueError, match="four columns"):
+        extensions.with_widths(plan, [3])
+    a, b = plan.withColumn("cohort", F.lit("a")), plan.withColumn("cohort", F.lit("b"))
+    assert ladders.concatenated([a, b]).count() == 32
+    with pytest.raises(ValueError, match="one cohort"):
+        ladders.concatenated([a, a])

@@ -14,6 +14,8 @@ def put(folder, name, text):
 def test_bed(spark, tmp_path):
     rows = readers.read_bed(spark, put(tmp_path, "a.bed", "# c\n\nchr1\t5\t10\tx\t1.5\nchr2\t0\t3\n")).collect()
     assert [(r.chrom, r.start, r.end, r.peak_id, r.score, r.record_id) for r in rows] == [("chr1", 5, 10, "x", 1.5, "x|line=3"), ("chr2", 0, 3, ".", 0.0, ".|line=4")]
+    with pytest.raises(ValueError, match="fewer than two"):
+        readers.read_scored_bed(spark, put(tmp_path, "one.bed", "chr1\t5\t10\n"))
     with pytest.raises(Exception, match="line 1"):
         readers.read_bed(spark, put(tmp_path, "b.bed", "chr1\t5\t5\n")).collect()
 
