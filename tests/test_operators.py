@@ -297,7 +297,7 @@ def test_discovery_finds_a_planted_motif():
     assert pwm.max(1).mean() > 0.8 and sites > 30
 
 
-def test_discovery_takes_all_sequences(spark):
+def test_discovery_takes_all_sequences(spark, monkeypatch):
     """More sequences than one task once took: the same as the model in memory over all of them, from the same starts."""
     rng = np.random.default_rng(3)
     seqs = ["".join(rng.choice(list("ACGTN"), 30, p=[0.3, 0.2, 0.2, 0.29, 0.01])) for _ in range(2500)]
@@ -309,9 +309,10 @@ def test_discovery_takes_all_sequences(spark):
     order = dict(zip([s * 7919 % 2500 for s in range(8)], first, strict=True))
     rest = iter([i for i in range(2500) if i not in first])
     codes = discovery._encoded([seqs[order[k] if k in order else next(rest)] for k in range(2500)])
+    monkeypatch.setattr(discovery, "ROUNDS", 10)
     for model in ("zoops", "oops"):
         got = {r.task: r for r in discovery.discovered(df, 8, model, screen=1000).collect()}
-        pwm, sites, score = discovery.expectation_maximisation(codes, 8, model)
+        pwm, sites, score = discovery.expectation_maximisation(codes, 8, model, rounds=10)
         assert (got["a"].n, got["b"].n) == (2500, 40)
         assert np.allclose(np.array(got["a"].pwm), pwm, atol=1e-6) and got["a"].sites == pytest.approx(sites, rel=1e-6) and got["a"].score == pytest.approx(score, abs=1e-3)
 
