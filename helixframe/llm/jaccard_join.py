@@ -219,14 +219,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, sketch) -> DataFrame:
     return spotted.mapInArrow(cut, "key bigint, fragment int, grams array<bigint>")
 
 
-def _salted(spread: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """spread twice with salt, so that each pair of rows of one n-gram meets under one salt: of an n-gram with more than BUCKET rows the first side is dealt over salts, and the second goes to each of them."""
+def _met(spread: DataFrame, condition: Column, columns: list[Column]) -> DataFrame:
+    """columns of the pairs l, r of rows of spread of one n-gram for which condition holds.
+
+    Rows of an n-gram with at most BUCKET of them meet where they are. Those of a larger one are
+    dealt over salts on one side and go to each of them on the other, so each pair meets once."""
+    same = F.col("l.gram") == F.col("r.gram")
     hot = checkpointed(spread.groupBy("gram").agg(F.count("*").alias("rows_")).where(F.col("rows_") > BUCKET).select("gram", F.ceil(F.col("rows_") / BUCKET).cast("int").alias("salts")))
-    few = hot.limit(MOST_HOT + 1).count() <= MOST_HOT
-    sized = spread.join(F.broadcast(hot) if few else hot, "gram", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    one = sized.withColumn("salt", F.pmod(F.xxhash64("key", "gram"), F.col("salts")).cast("int")).drop("salts")
-    two = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    return one, two
+    many = hot.limit(MOST_HOT + 1).count()
+    if not many:
+        return spread.alias("l").join(spread.alias("r"), same & condition).select(*columns)
+    few = F.broadcast(hot) if many <= MOST_HOT else hot
+    cold = spread.join(few, "gram", "left_anti")
+    sized = spread.join(few, "gram")
+    one = sized.withColumn("salt", F.pmod(F.xxhash64("key", "gram"), F.col("salts")).cast("int"))
+    two = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = one.alias("l").join(two.alias("r"), same & (F.col("l.salt") == F.col("r.salt")) & condition)
+    return cold.alias("l").join(cold.alias("r"), same & condition).select(*columns).unionAll(dealt.select(*columns))
 
 
 def _promising(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
@@ -293,9 +302,8 @@ def joined(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> Da
     label = F.when(F.col("top") > own, F.col("top.key")).otherwise(F.col("key"))
     labelled = plain.join(hub, "key", "left").withColumn("label", label).drop("top", "degree")
     spread = checkpointed(spots.join(labelled, "key"))
-    apart = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.key") < F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & allowed
-    one, two = _salted(spread)
-    others = one.alias("l").join(two.alias("r"), apart & (F.col("l.salt") == F.col("r.salt"))).select(*columns).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    apart = (F.col("l.key") < F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & allowed
+    others = _met(spread, apart, columns).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     beyond = lambda n: F.ceil(num * F.col(n) / den) - 1  # noqa: E731  a set's size without its prefix
     enough = (num + den) * (F.col("shared") + F.greatest(beyond("na"), beyond("nb"))) >= num * (F.col("na") + F.col("nb"))
     rest = others.where(enough).drop("shared").join(stars, ["a", "b"], "left_anti")
