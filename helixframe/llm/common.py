@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from helixframe.plans.materialise import checkpointed  # noqa: F401  (the operators take it from here)
+
 #: Texts are turned into numpy arrays in pieces of about this many bytes, so that the
 #: arrays of one piece (some 30 bytes for each byte of text) stay small whatever the batch.
 PIECE_BYTES = 1 << 20
@@ -20,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder.
-
-    The folder is the one the session names in spark.checkpoint.dir. Only a local master may
-    go without (tests) and takes a temporary one; on a cluster, whose machines do not share
-    such a folder, this fails."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold at most ROWS_A_BATCH rows: texts are long, and a task holds its batch several times over."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

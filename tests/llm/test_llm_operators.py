@@ -276,7 +276,7 @@ def test_em_against_a_plain_loop(spark):
 def test_em_recovers_planted_shares(spark, prior):
     counts = planted_votes(random.Random(3), prior, 30_000)
     df = checkpointed(spark.createDataFrame([(*v, float(n)) for v, n in counts.items()], "a int, b int, c int, d int, e int, n double"))
-    model = weak_supervision.fitted(df, list("abcde"))
+    model = weak_supervision.fitted(df, list("abcde"), tolerance=1e-6)
     assert abs(model["prior"] - prior) < 0.05
     for c, p, q in zip("abcde", (0.95, 0.9, 0.97, 0.85, 0.92), (0.4, 0.3, 0.5, 0.2, 0.6), strict=True):
         assert abs(model["rules"][c][0] - p) < 0.06 and abs(model["rules"][c][1] - q) < 0.06
