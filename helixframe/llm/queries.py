@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat_windows, decontaminate, html_wrapper, jaccard_join, language_id, packing, pseudonyms, quality_classifier, secrets_scan, weak_supervision
+from helixframe.llm import chat_windows, collocations, decontaminate, html_wrapper, jaccard_join, language_id, line_dedup, packing, periodic_runs, pseudonyms, quality_classifier, secrets_scan, sql_twins, weak_supervision
 from helixframe.llm.common import table
 from helixframe.llm.tokenizers import tokenizer_path
 
@@ -89,6 +89,44 @@ def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFr
     return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text), of which some repeat their own words: with h = crc32 of doc_id, g = floor(h / 10) and n words, if h ends in 0, each word i from a = g % n on is word a + (i - a) % p, where p = 1 + floor((n - a) / (3 + g % 8))."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    sized = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)))
+    g, n = F.floor(h / 10), F.size("w")
+    made = sized.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("w"), at(i)))
+    return made.select("doc_id", F.when(n > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words and digest of what is left without the repeats."""
+    found = periodic_runs.with_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(told, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two to five words by their weakest cut."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, how many of them go as lines of other documents, and a digest of the rest."""
+    kept = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_feistel_pseudonyms,
@@ -101,9 +139,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_html_wrapper_extraction,
         op9_budgeted_chat_windows,
         op10_positive_unlabelled_quality,
+        op11_periodic_runs,
+        op12_phrase_collocations,
+        op13_line_dedup,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql_twins.SQL)
