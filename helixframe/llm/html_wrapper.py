@@ -6,13 +6,16 @@ element: children that only some pages have become optional groups, runs of equa
 of equal stretches of children become repeated groups, and texts that differ become slots.
 What is left, a union-free regular expression for each element, is the host's wrapper.
 
-The wrapper decides what the main text is. Its place is the element that holds most of the
-text in slots, outside of kinds of elements that never hold an article; a mark (article,
-main) only breaks ties. Every page is matched against its host's expression, and its main
-text is what stands in the slots and repeated groups of the place, without menus, headers,
-footers, asides, notices, adverts, forms, scripts, styles and comments, and without texts that
-the expression holds as constants there. A page that the expression does not describe, and one
-without a host, is matched against the expression of itself alone.
+The wrapper decides what the main text is. Its place is told by how the slots behave over the
+pages of the host: texts that are no links, no runs of short items, and whose length differs from page
+to page weigh by their characters, and the place is the smallest element that holds most of that
+weight; a mark (article, main) only breaks ties. Every page is matched against its host's
+expression, and its main text is what stands in the slots and repeated groups of the place,
+without menus, headers, footers, asides, notices, adverts, forms, scripts, styles and comments,
+and without texts that the expression holds as constants there. A page that the expression does
+not describe, and one without a host, is matched against the expression of itself alone. One
+page shows no differences, so there only marks tell the place, and without them all stays that
+does not stand in an element that never holds an article.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import checkpointed, small_batches, text_values
+from helixframe.llm.common import checkpointed, free_names, small_batches, text_values
 
 #: A host's wrapper is inferred from at most so many of its distinct pages.
 SAMPLE_PAGES = 12
@@ -44,8 +47,14 @@ WIDEST = 64
 ANYTHING = ""
 #: Repeated groups of at most so many children are looked for.
 LONGEST_GROUP = 8
-#: The place holds this share of the text in slots; a marked element is preferred from MARKED_SHARE on.
-PLACE_SHARE, MARKED_SHARE = 0.7, 0.3
+#: The place holds this share of the weight; a marked element is preferred from MARKED_SHARE on, on a page by itself from ALONE_SHARE of all text on.
+PLACE_SHARE, MARKED_SHARE, ALONE_SHARE = 0.7, 0.3, 0.5
+#: A slot weighs in full from this spread of its characters over pages on, as a share of their mean; items shorter than SHORT that stand several times on a page weigh nothing.
+SPREAD, SHORT = 0.25, 25
+#: A page is described by a wrapper if matching it bends the expressions down to the place by no more than this.
+BENT = 2
+#: A host of more pages than this meets its wrapper in several tasks; as the bound grows with all pages, at most HOT_HOSTS hosts do.
+BUCKET, HOT_HOSTS = 1000, 100_000
 #: From so many pages on that agree a constant within a marked element belongs to the template.
 TEMPLATE_PAGES = 4
 
@@ -58,8 +67,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 CLOSES_OWN = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Elements of no meaning of their own: those that hold texts only are told from those that hold blocks.
+#: Elements of no meaning of their own are told apart by what they hold: texts only, prose, or else lists.
 PLAIN = {"div", "section", "td"}
+PROSE, LISTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}, {"ul", "ol", "dl"}
 PARTS_OF_TEXT = {"p", "li", "ul", "ol", "dl", "dt", "dd", "td", "th", "tr", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 NEVER = {"head", "title", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "input", "fieldset", "legend"} | RAW
 NEVER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"}
@@ -113,7 +123,7 @@ class Text:
 
 
 class Element:
-    """An element with its children: label is its tag with class and id, numbers in them being alike, and of a plain one that holds texts only a mark.
+    """An element with its children: label is its tag with class and id, numbers in them being alike, and of a plain one a mark of what it holds.
 
     never: it holds no main text; main: it is marked as the place of it."""
 
@@ -134,6 +144,18 @@ class Element:
         self.main = not shut and (tag in ("article", "main") or role in ("main", "article"))
 
 
+def _holding(node: Element) -> str:
+    """A mark for an element that holds texts only, and for a nameless one that holds prose or, if none, lists."""
+    kids = [kid for kid in node.kids if isinstance(kid, Element)]
+    if not kids:
+        return "'"
+    if node.label != node.tag:
+        return ""
+    if any(kid.tag in PROSE or kid.label.endswith("~p") for kid in kids):
+        return "~p"
+    return "~l" if any(kid.tag in LISTS or kid.label.endswith("~l") for kid in kids) else ""
+
+
 def tree(page: str) -> Element:
     """The page as an element without a tag; what is open at the end is closed there."""
     root = Element("", "", False)
@@ -172,8 +194,8 @@ def tree(page: str) -> Element:
             open_tags[tag] -= 1
             if node is not None:
                 nodes.pop()
-                if tag in PLAIN and all(isinstance(kid, Text) for kid in node.kids):
-                    node.label += "'"
+                if tag in PLAIN:
+                    node.label += _holding(node)
         del stack[k:]
 
     def close(name: str, stops: set[str] | None) -> None:
@@ -420,19 +442,35 @@ def expression(sequences: list[list[str]]) -> list[list]:
 
 # Wrappers: an element's is {"s": expression, "k": one wrapper for each atom, "t": tag, "n":
 # never, "m": main}; a text's is {"d": digest or none for a slot, "p": pages, "c": characters,
-# "a": characters of links}.
+# "a": characters of links, "w": weight}.
 
 
 def _text_wrapper(found: list[tuple[int, list]]) -> dict:
-    pages = {page for page, _ in found}
     same = {x[0] for _, x in found}
-    constant = len(same) == 1 and len(pages) > 1
-    return {"d": next(iter(same)) if constant else None, "p": len(pages), "c": sum(x[1] for _, x in found), "a": sum(x[2] for _, x in found)}
+    each = Counter()
+    for page, x in found:
+        each[page] += x[1]
+    constant = len(same) == 1 and len(each) > 1
+    chars, linked = each.total(), sum(x[2] for _, x in found)
+    items = len(found) > 1.5 * len(each) and chars < SHORT * len(found)
+    return {"d": next(iter(same)) if constant else None, "p": len(each), "c": chars, "a": linked, "w": 0 if constant or items else _weight_of(each, linked)}
+
+
+def _weight_of(each: Counter, linked: int) -> float:
+    """The characters of a slot by page that are no links, as far as they differ from page to page."""
+    chars, pages = each.total(), len(each)
+    if not chars:
+        return 0
+    mean = chars / pages
+    spread = (sum((n - mean) ** 2 for n in each.values()) / pages) ** 0.5 / mean
+    return (chars - linked) * min(1, spread / SPREAD)
 
 
 def _anything_wrapper(found: list[tuple[int, list]]) -> dict:
-    chars = sum(sum(_packed_texts(["", "", 0, [x]]).values()) for _, x in found)
-    return {"d": None, "p": len({page for page, _ in found}), "c": chars, "a": 0}
+    each = Counter()
+    for page, x in found:
+        each[page] += sum(_packed_texts(["", "", 0, [x]]).values())
+    return {"d": None, "p": len(each), "c": each.total(), "a": 0, "w": _weight_of(each, 0)}
 
 
 def _element_wrapper(found: list[tuple[int, list]]) -> dict:
@@ -467,20 +505,31 @@ def _chars(node: dict, constants: bool) -> int:
     return total
 
 
+def _weight(node: dict) -> float:
+    """The weight of the slots of a wrapper outside of elements that never hold main text."""
+    return sum(kid["w"] if "s" not in kid else 0 if kid["n"] else _weight(kid) for kid in node["k"])
+
+
+def _holds_mark(node: dict) -> bool:
+    return node["m"] or any(_holds_mark(kid) for kid in node["k"] if "s" in kid and not kid["n"])
+
+
 def inferred(pages: list[list]) -> dict:
     """The wrapper of packed pages, with place (atoms from the root down to the element of the main text) and drop (whether its constants are template)."""
     wrapper = _element_wrapper(list(enumerate(pages)))
-    whole, slots = _chars(wrapper, True), _chars(wrapper, False)
-    constants = slots < 0.2 * whole  # near copies: what they share is the article
-    total = whole if constants else slots
+    lone = len(pages) == 1
+    copies = not lone and _chars(wrapper, False) < 0.2 * _chars(wrapper, True)  # near copies: what they share is the article
+    even = not _weight(wrapper)  # nothing differs in length: characters alone have to tell
+    measure = (lambda node: _chars(node, lone or copies)) if lone or copies or even else _weight
+    total = measure(wrapper)
     place, node, marked = [], wrapper, False
-    while True:
+    while total:
         ready = Expression(node["s"])
-        heavy = [(_chars(kid, constants), kid["m"], -k) for k, kid in enumerate(node["k"]) if "s" in kid and not kid["n"] and kid["t"] not in PARTS_OF_TEXT and not ready.repeated[k]]
+        heavy = [(measure(kid), kid["m"], -k) for k, kid in enumerate(node["k"]) if "s" in kid and not kid["n"] and kid["t"] not in PARTS_OF_TEXT and not ready.repeated[k]]
         best = max(heavy, default=(0, False, 0))
-        if not total or best[0] < PLACE_SHARE * total:
-            best = max((x for x in heavy if x[1]), default=(0, False, 0))
-            if not total or best[0] < MARKED_SHARE * total:
+        if lone or best[0] < PLACE_SHARE * total:
+            best = max((x for x in heavy if x[1] or (lone and not marked and _holds_mark(node["k"][-x[2]]))), default=(0, False, 0))
+            if not best[0] or best[0] < (ALONE_SHARE if lone else MARKED_SHARE) * total:
                 break
         place.append(-best[2])
         node, marked = node["k"][-best[2]], marked or best[1]
@@ -530,21 +579,22 @@ def prepare(node: dict) -> None:
             prepare(kid)
 
 
-def _matched(element: Element, node: dict) -> list[int | None]:
+def _matched(element: Element, node: dict) -> tuple[int, list[int | None]]:
+    """What it costs to match an element's children, and their atoms."""
     labels = tuple([kid.label for kid in element.kids])
     seen = node["seen"]
-    atoms = seen.get(labels)
-    if atoms is None:
-        atoms = node["e"].match(labels)[1]
+    found = seen.get(labels)
+    if found is None:
+        found = node["e"].match(labels)
         if len(seen) < 256 and len(labels) < 256:
-            seen[labels] = atoms
-    return atoms
+            seen[labels] = found
+    return found
 
 
 def _texts(element: Element, node: dict | None, drop: bool, out: list[str]) -> int:
     """Add the texts of an element that are no constants of its wrapper to out; their characters."""
     total = 0
-    atoms = _matched(element, node) if node else [None] * len(element.kids)
+    atoms = _matched(element, node)[1] if node else [None] * len(element.kids)
     for kid, atom in zip(element.kids, atoms, strict=True):
         under = node["k"][atom] if node and atom is not None else None
         if isinstance(kid, Element):
@@ -558,16 +608,16 @@ def _texts(element: Element, node: dict | None, drop: bool, out: list[str]) -> i
 
 def main_text(page: Element, wrapper: dict) -> str | None:
     """The texts in the place of a prepared wrapper, one line a block; None where it does not describe the page."""
-    element, node = page, wrapper
+    element, node, bent = page, wrapper, 0
     for atom in wrapper["place"]:
-        element = next((kid for kid, a in zip(element.kids, _matched(element, node), strict=True) if a == atom), None)
-        if element is None:
+        cost, atoms = _matched(element, node)
+        bent += cost
+        element = next((kid for kid, a in zip(element.kids, atoms, strict=True) if a == atom), None)
+        if element is None or bent > BENT:
             return None
         node = node["k"][atom]
     found: list[str] = []
-    inside = _texts(element, node, wrapper["drop"], found)
-    if element is not page and inside < 0.5 * _texts(page, wrapper, True, []):
-        return None
+    _texts(element, node, wrapper["drop"], found)
     return "\n".join(found)
 
 
@@ -617,19 +667,35 @@ def wrappers(named: DataFrame) -> DataFrame:
     return trees.groupBy("host").applyInPandas(infer, "host string, wrapper string")
 
 
+def _with_wrappers(named: DataFrame, known: DataFrame, host: str, wrapper: str) -> DataFrame:
+    """named with the wrapper of each row's host, or null. A host of many pages meets it in several tasks; rows without a host do not move."""
+    hosts, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()
+    at = known.withColumnsRenamed({"host": host, "wrapper": wrapper})
+    if hosts <= BROADCAST_HOSTS and chars <= BROADCAST_CHARS:
+        return named.join(F.broadcast(at), host, "left")
+    pages, salts, salt = free_names(named.columns, "pages_", "salts_", "salt_")
+    sized = checkpointed(named.where(F.col(host) != "").groupBy(host).agg(F.count("*").alias(pages)))
+    bucket = max(BUCKET, -(-sized.agg(F.sum(pages)).first()[0] // HOT_HOSTS))
+    times = F.ceil(F.col(pages) / bucket).cast("int")
+    hot = F.broadcast(sized.where(F.col(pages) > bucket).select(host, times.alias(salts)))  # at most HOT_HOSTS rows
+    some = named.where(F.col(host) != "").join(hot, host, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64("html", "url"), F.col(salts)), F.lit(0)).cast("int")).drop(salts)
+    spread = at.join(sized, host).withColumn(salt, F.explode(F.sequence(F.lit(0), times - 1))).drop(pages)
+    return some.join(spread, [host, salt], "left").drop(salt).unionByName(named.where(F.col(host) == "").withColumn(wrapper, F.lit(None).cast("string")))
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html and others) with main_text.
 
     A null or empty html has an empty text; so has a page that is all boilerplate. A page
     whose url is null or has no host has a wrapper of its own. Repeated rows are kept and
-    count once for a wrapper; columns named host, wrapper and main_text are replaced."""
+    count once for a wrapper; other columns are passed on, whatever they are called, but one
+    named main_text is replaced."""
     small_batches(pages.sparkSession)
-    own = [f for f in pages.schema.fields if f.name not in ("host", "wrapper", "main_text")]
-    named = pages.select([f.name for f in own]).withColumn("host", F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit("")))
-    known = checkpointed(wrappers(named))
-    hosts, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()
-    small = hosts <= BROADCAST_HOSTS and chars <= BROADCAST_CHARS
-    joined = named.join(F.broadcast(known) if small else known, "host", "left").select(*[f.name for f in own], "wrapper")
+    own = [f for f in pages.schema.fields if f.name != "main_text"]
+    host, wrapper = free_names([f.name for f in own], "host", "wrapper")
+    named = pages.select([f.name for f in own]).withColumn(host, F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.lit("")))
+    known = checkpointed(wrappers(named.select(F.col(host).alias("host"), "html")))
+    joined = _with_wrappers(named, known, host, wrapper).select(*[f.name for f in own], wrapper)
     at = [f.name for f in own].index("html")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

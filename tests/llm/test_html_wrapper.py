@@ -93,6 +93,34 @@ def test_given_pages_come_from_their_wrapper(spark):
     assert all(hw.main_text(hw.tree(r.html), other) != r.main_text for r in got)
 
 
+def neutral(html):
+    """Pages without kinds of elements, classes, ids and roles that tell what stands in them."""
+    plain = F.regexp_replace(html, r"<(/?)(?:nav|aside|header|footer|form|article|main)\b", "<$1div")
+    return F.regexp_replace(plain, r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "")
+
+
+def test_without_names_the_alignment_of_a_host_finds_the_article(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    neutral_pages = pages.withColumns({"main_text": F.lit(""), "html": neutral(F.col("html"))})
+    want = {r.page_id: r.main_text for r in hw.extracted(pages).collect()}
+    got = {r.page_id: (r.main_text, r.html) for r in hw.extracted(neutral_pages).collect()}
+    assert sum(want[k] == text for k, (text, _) in got.items()) >= 0.9 * len(want)
+    some = sorted(got)[:200]
+    assert not any(hw.page_text(got[k][1], None) == want[k] for k in some)  # one page by itself does not tell
+
+
+def test_hosts_in_several_tasks_and_columns_of_any_name(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html", F.col("page_id").alias("host"), F.lit("w").alias("Wrapper"), F.lit(3).alias("salt_"))
+    none = pages.limit(2).withColumns({"url": F.lit(None).cast("string"), "page_id": F.col("page_id") + 10**6})
+    both = pages.unionByName(none)
+    plain = {r.page_id: tuple(r) for r in hw.extracted(both).collect()}
+    monkeypatch.setattr(hw, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(hw, "BUCKET", 3)
+    out = hw.extracted(both)
+    assert out.columns == ["page_id", "url", "html", "host", "Wrapper", "salt_", "main_text"]
+    assert {r.page_id: tuple(r) for r in out.collect()} == plain and len(plain) == both.count() and all(r[3] == k or k >= 10**6 for k, r in plain.items())
+
+
 PAGE = "<html><body><div id=top>Site</div><div class=bar>{extra}<a href=x>{0} link one</a> <a href=y>link two {0}</a></div><div id=c><h2>{0} title</h2><div>{0} one &amp; more</div>{body}</div><section class='comments'><p>hi {0} and a long remark of a reader on {0}</p></section><div>Copyright</div></body></html>"
 
 
