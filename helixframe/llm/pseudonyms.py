@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import free_names, other_columns
 
 ROUNDS = 8
-#: Steps after which a walk to a date of the same kind, of which two in three steps end, is over.
+#: Steps after which a walk to a day of the same kind, of which two in five steps end at least, is over.
 WALK = 100
 #: Characters of an account number by country, and digits after the country code where a country has one length.
 IBAN_CHARS = {
@@ -48,7 +48,9 @@ _CARD = r"(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{
 _SAME = rf"(?!{_IPV4}|{_DATE}|{_SSN}|{_LOCAL}{_END}|{_CARD}{_END})"
 _BREAK = r"(?: ?\(|\) ?|[ .-])"
 _FIXED_IBAN = "|".join(rf"(?:{codes})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}{_END}" for n, codes in IBAN_CHARS.items())
-_FIXED_PHONE = "|".join(rf"\+(?:{codes})(?:{_BREAK}?\d){{{n}}}{_END}" for n, codes in PHONE_DIGITS.items())
+#: The prefix 00 counts as +; where a country has numbers of several lengths, only with a break behind its code, as zeros also fill up other numbers.
+_FIXED_PHONE = "|".join(rf"(?:\+|00 ?)(?:{codes})(?:{_BREAK}?\d){{{n}}}{_END}" for n, codes in PHONE_DIGITS.items())
+_OTHER_PHONE = rf"\+\d(?:{_BREAK}?\d){{7}}(?:(?:{_BREAK}{_SAME})?\d){{0,7}}{_END}|00 ?(?=[1-9]\d{{0,2}}[ (.-])(?:{COUNTRY_CODE})(?:{_BREAK}?\d){{6}}(?:(?:{_BREAK}{_SAME})?\d){{0,8}}{_END}"
 #: What the kinds may look like, in the order in which they are tried at a place. Shapes are as wide as validation allows:
 #: an account number ends where its country says, a telephone number at the last group within 15 digits, a card at one of
 #: the ends that _card tries.
@@ -57,7 +59,7 @@ PATTERNS = {
     "iban": rf"(?<![\p{{L}}\p{{N}}])(?:{_FIXED_IBAN}|[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}}| [A-Z0-9]{{4}}(?: \d{{4}}){{1,6}}(?: \d{{1,3}})?){_END})",
     "ipv4": rf"(?<![\p{{L}}\p{{N}}.]){_IPV4}",
     "date": rf"(?<![\p{{L}}\p{{N}}./-]){_DATE}",
-    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:{_FIXED_PHONE}|(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\) ?\d{{3,4}}[ .-]\d{{4}}{_END}|\+\d(?:{_BREAK}?\d){{7}}(?:(?:{_BREAK}{_SAME})?\d){{0,7}}{_END}|{_LOCAL}{_END})",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:{_FIXED_PHONE}|(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\) ?\d{{3,4}}[ .-]\d{{4}}{_END}|{_OTHER_PHONE}|{_LOCAL}{_END})",
     "ssn": rf"(?<![\p{{L}}\p{{N}}-]){_SSN}",
     "card": rf"(?<![\p{{L}}\p{{N}}])(?:\d{{4}}(?: \d{{4}}){{3}} {_SAME}\d{{1,3}}|\d{{4}}(?:-\d{{4}}){{3}}-{_SAME}\d{{1,3}}|{_CARD}|\d(?:(?:[ -]{_SAME})?\d){{12,18}}){_END}",
 }
@@ -214,14 +216,17 @@ def _until(m: Column, n: int) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    """The country code after + and a trunk zero in brackets stay; the other digits are permuted, so all spellings of a number stay linked."""
-    digits = _digits(m)
-    code = F.when(m.startswith("+"), F.regexp_extract(digits, f"^(?:{COUNTRY_CODE})", 0)).otherwise("")
+    """The country code after + or 00 and a trunk zero in brackets stay; the other digits are permuted, so all spellings of a number stay linked."""
+    zeros = F.when(m.startswith("00"), 2).otherwise(0)
+    digits = _digits(m).substr(zeros + 1, F.length(m))
+    code = F.when(m.startswith("+") | m.startswith("00"), F.regexp_extract(digits, f"^(?:{COUNTRY_CODE})", 0)).otherwise("")
 
     def body(c: Column) -> Column:
-        taken = F.when(F.length(c) == 0, F.lit(0)).when(F.length(c) == 1, _until(m, 1)).when(F.length(c) == 2, _until(m, 2)).otherwise(_until(m, 3))
+        taken = F.lit(0)
+        for n in range(1, 6):
+            taken = F.when(F.length(c) + zeros == n, _until(m, n)).otherwise(taken)
         kept = F.when(c == "", F.lit("")).otherwise(m.substr(F.lit(1), taken))
-        rest = F.replace(m.substr(taken + 1, F.length(m)), F.lit("(0)"), F.lit("(\x00)"))
+        rest = F.replace(m.substr(F.when(c == "", 0).otherwise(taken) + 1, F.length(m)), F.lit("(0)"), F.lit("(\x00)"))
         made = refilled(rest, permuted_digits(key, "phone", _digits(rest)))
         return F.concat(kept, F.replace(made, F.lit("\x00"), F.lit("0")))
 
@@ -231,8 +236,9 @@ def _phone(key: str, m: Column) -> Column:
 def _date(key: str, m: Column) -> Column:
     """Year-month-day, day.month.year, and month/day/year or, where only that is a date, day/month/year; years 100 to 9999.
 
-    Dates that only read as day/month go to dates of their kind, with days beyond the 12th: the
-    permutation is applied again until it leads to one. So no two dates get one pseudonym."""
+    Days up to the 12th go to such days and days beyond it to days beyond it, whatever the notation: the
+    permutation is applied again until it leads to one. So a pseudonym reads in its notation as the date does, all notations of a
+    day stay linked, and no two days get one pseudonym."""
     shapes = ["yyyy-MM-dd", "d.M.yyyy", "M/d/yyyy", "d/M/yyyy"]
     tests = [m.contains("-"), m.contains("."), m.contains("/"), m.contains("/")]
     parsed = [F.when(t, F.try_to_timestamp(m, F.lit(s)).cast("date")) for t, s in zip(tests, shapes, strict=True)]
@@ -246,12 +252,12 @@ def _date(key: str, m: Column) -> Column:
         first = F.make_date(base, F.lit(1), F.lit(1))
         at = F.datediff(day, first)
         tweak = F.concat(F.lit("date:"), base.cast("string"))
-        late = parsed[3].isNotNull() & parsed[2].isNull()
         far = lambda at: F.dayofmonth(F.date_add(first, at.cast("int"))) > 12
+        late = F.dayofmonth(day) > 12
 
         def step(s: Column, _: Column) -> Column:
             mixed = feistel(key, tweak, F.floor(s["at"] / right), s["at"] % right, left, right)
-            onward = _let(mixed, lambda p: F.struct((p["l"] * right + p["r"]).cast("bigint").alias("at"), (~late | far(p["l"] * right + p["r"])).alias("done")))
+            onward = _let(mixed, lambda p: F.struct((p["l"] * right + p["r"]).cast("bigint").alias("at"), (late == far(p["l"] * right + p["r"])).alias("done")))
             return F.when(s["done"], s).otherwise(onward)
 
         start = F.struct(at.cast("bigint").alias("at"), F.lit(False).alias("done"))
