@@ -2,16 +2,18 @@
 
 Words are numbered by a digest of language and word, 64 bits wide; a first pass counts them
 and sees to it that no frequent number stands for two words. Suffixes of the texts, five words
-at most, are then routed by their leading words. A word, and a pair of words, that is not
-frequent in all the corpus ends every suffix that reaches it, before anything moves: tasks
-know the frequent ones by bit filters of bounded size, which let some others pass in vain.
-Equal suffixes of a task travel as one with their number. Where they meet, multikey
-three-way quicksort passes over pointers to them, a word deeper with each equal part; the sizes of the equal
-parts are the counts, and parts that are not frequent are abandoned.
-
-Suffixes with the same two leading words meet in one task; if they are more than a bounded
-share of all, they are parted by the third word, and so on, and the counts of their first
-words are summed by Spark.
+at most, are then routed by their leading words: a second pass sums the sizes of partitions by
+two and by three leading words over all the corpus, and a partition with too few suffixes for a
+frequent phrase is abandoned before anything moves. The words and partitions left are told to tasks
+as bit sets of bounded size; where those are too small for a corpus, more suffixes move, in vain.
+A third pass sends the suffixes up to the first word or partition that is abandoned; equal ones of
+a task travel as one with their number. Where they meet, multikey three-way quicksort passes over
+pointers to them, a word deeper with each equal part; the sizes of the equal parts are the counts,
+and parts that are not frequent are abandoned.
+
+Suffixes with the same two leading words meet in one task; those of a partition that is more than
+a bounded share of all are parted by three leading words, and if that is not enough by all, and
+the counts of what they have in common are added up by Spark.
 """
 
 from __future__ import annotations
@@ -21,20 +23,26 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import binary_values, checkpointed, small_batches
+from helixframe.llm.wordhash import mixed
 from helixframe.plans.materialise import broadcast_if_small
 
 LONGEST = 5
 #: A task sends on what it has counted when it knows so many words of a language or holds so many of its words, and numbers texts in segments of so many bytes.
 WORDS_A_TASK, HELD, SEGMENT = 300_000, 1 << 21, 1 << 22
-#: Leading words with more suffixes than this are parted by one more word; as the bound grows with all suffixes, at most HOT leading words are.
-ROUTE_ROWS, HOT = 1 << 18, 20_000
-#: Filters of frequent words and pairs have 2 to these powers of bits, 16 an entry.
+#: A partition of more suffixes than this, or than a share of all, is parted by more words.
+ROUTE_ROWS, HOT = 1 << 20, 20_000
+#: Suffixes of so many words of the corpus are sorted in one task at most, of several routes.
+WORDS_A_SORT, ROUTES = 1 << 22, 4
+#: The filter of frequent words has 2 to these powers of bits, 16 a word.
 FILTER_BITS = (20, 28)
+#: Suffixes are routed into 2 to these powers of partitions by two and as many by three leading words, for so many words of the corpus one; sizes are summed in blocks of BLOCK.
+PARTITION_BITS, WORDS_A_PARTITION, BLOCK = (16, 28), 8, 1 << 16
 #: Candidates of a language are ranked in so many parts first.
 PARTS = 64
 
@@ -138,121 +146,152 @@ def _filter(keys: DataFrame) -> tuple[np.ndarray, int]:
     return held, bits
 
 
-def _passed(held: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-    spot = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-    return (held[spot >> 6] >> (spot & 63)) & 1 == 1
+def _frequent_only(numbers: np.ndarray, ids: np.ndarray, frequent: tuple[np.ndarray, int]) -> np.ndarray:
+    """The numbers of frequent words, 0 for others."""
+    held, bits = frequent
+    spot = (ids.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    known = (held[spot >> 6] >> (spot & 63)) & 1 == 1
+    known[0] = False
+    return np.where(known[numbers], numbers, 0)
 
 
-def _pair_key(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The key of a pair of ids; _pair_keys says the same to Spark."""
-    two = two.view(np.uint64)
-    return one ^ ((two << np.uint64(17)) | (two >> np.uint64(47))).view(np.int64)
+def _turned(x: np.ndarray) -> np.ndarray:
+    return (x << np.uint64(17)) | (x >> np.uint64(47))
 
 
-def _pair_keys(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("w1").bitwiseXOR(F.shiftleft("w2", 17).bitwiseOR(F.shiftrightunsigned("w2", 47))).alias("key"))
+def _leading(numbers: np.ndarray, ids: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Digests of the two and of the three words from each place on, and whether no break comes before."""
+    known = ids[numbers].view(np.uint64)
+    two = mixed(known[:-1] ^ _turned(known[1:]))
+    three = mixed(two[:-1] ^ _turned(known[2:]))
+    pair = (numbers[:-1] > 0) & (numbers[1:] > 0)
+    return [two, three], [pair, pair[:-1] & pair[1:]]
 
 
-def _counted_pairs(docs: DataFrame, seed: int, minimum: int, frequent: tuple[np.ndarray, int]) -> DataFrame:
-    """(w1, w2, n): the frequent pairs of frequent words."""
-    context = docs.sparkSession.sparkContext
-    held, bits = context.broadcast(frequent[0]), frequent[1]
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sizes of the partitions of one block from parts of it."""
+    total = np.zeros(BLOCK, np.int64)
+    for at, sizes in zip(rows["at"], rows["sizes"], strict=True):
+        total[np.frombuffer(at, "<u2")] += np.frombuffer(sizes, "<u4")
+    some = np.flatnonzero(total)
+    made = rows.head(1).copy()
+    made["at"], made["sizes"] = [some.astype("<u2").tobytes()], [np.minimum(total[some], (1 << 32) - 1).astype("<u4").tobytes()]
+    return made
 
-    def count(words: _Words) -> pa.RecordBatch:
-        numbers, ids = words.emptied()
-        numbers = np.where(_passed(held.value, bits, ids)[numbers], numbers, 0).astype(np.int64)
-        both = np.flatnonzero((numbers[:-1] > 0) & (numbers[1:] > 0))
-        pairs, n = np.unique(numbers[both] * len(ids) + numbers[both + 1], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(n, pa.int64())], names=["w1", "w2", "n"])
-
-    rows = _over_words(docs, seed, count, "w1 bigint, w2 bigint, n bigint")
-    return rows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= minimum)
-
-
-_COLUMNS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
+def _partitions(docs: DataFrame, seed: int, frequent, bits: int, least: tuple[int, int]) -> np.ndarray:
+    """[2, 2, 2 ** bits / 8]: for each number of least the bits of the partitions by two and by three leading words that hold so many suffixes in all the corpus."""
 
-def _suffixes(docs: DataFrame, seed: int, frequent: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int]) -> DataFrame:
-    """(w1 ... w5, n): the different suffixes of three words or more, up to the first pair that is not frequent, and how often they are; 0 is no word."""
-    context = docs.sparkSession.sparkContext
-    held, bits = context.broadcast((frequent[0], pairs[0])), (frequent[1], pairs[1])
+    def count(words: _Words) -> pa.RecordBatch:
+        numbers, ids = words.emptied()
+        keys, whole = _leading(_frequent_only(numbers, ids, frequent.value), ids)
+        parts = [(k[w] >> np.uint64(64 - bits)).astype(np.int64) + (kind << bits) for kind, (k, w) in enumerate(zip(keys, whole, strict=True))]
+        found, sizes = np.unique(np.concatenate(parts), return_counts=True)
+        cuts = np.flatnonzero(np.diff(found // BLOCK, prepend=-1)).tolist() + [len(found)]
+        at, sizes = (found % BLOCK).astype("<u2"), sizes.astype("<u4")
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(found[cuts[:-1]] // BLOCK, pa.int32()), pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([sizes[a:b].tobytes() for a, b in spans], pa.binary())], names=["block", "at", "sizes"])
+
+    def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, sizes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                bit = np.zeros((2, BLOCK), np.uint8)
+                for k in (0, 1):
+                    bit[k, np.frombuffer(at, "<u2")] = np.frombuffer(sizes, "<u4") >= least[k]
+                out.append(np.packbits(bit).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "bits"])
+
+    salted = _over_words(docs, seed, count, "block int, at binary, sizes binary").withColumn("salt", F.spark_partition_id() % 16)
+    schema = "block int, at binary, sizes binary, salt int"
+    whole = salted.groupBy("block", "salt").applyInPandas(_summed, schema).groupBy("block").applyInPandas(_summed, schema)
+    made = whole.select("block", "at", "sizes").mapInArrow(large, "block int, bits binary").toArrow()
+    held = np.zeros((2, (2 << bits) // BLOCK, BLOCK // 8), np.uint8)
+    for block, packed in zip(made["block"].to_pylist(), made["bits"].to_pylist(), strict=True):
+        held[:, block] = np.frombuffer(packed, np.uint8).reshape(2, -1)
+    return held.reshape(2, 2, -1)
+
+
+def _routed(docs: DataFrame, seed: int, frequent, partitions, bits: int, routes: int) -> DataFrame:
+    """(route, suffixes): the suffixes of two words or more, up to the first word, pair or three words that are abandoned.
+
+    A row holds those of one task and route that differ, in order: words (0 is none), how often, and by how
+    many leading words they are routed. Two, where their partition is not hot, or three, or all."""
 
     def count(words: _Words) -> pa.RecordBatch:
         numbers, ids = words.emptied()
-        word_filter, pair_filter = held.value
-        numbers = np.where(_passed(word_filter, bits[0], ids)[numbers], numbers, 0)
-        numbers[-LONGEST:] = 0
-        known = ids[numbers]
-        good = np.zeros(len(numbers), bool)
-        good[:-1] = (numbers[:-1] > 0) & (numbers[1:] > 0) & _passed(pair_filter, bits[1], _pair_key(known[:-1], known[1:]))
-        at = np.flatnonzero(good[:-1] & good[1:])
-        columns, going = [numbers[at], numbers[at + 1], numbers[at + 2]], np.ones(len(at), bool)
-        for k in range(3, LONGEST):
-            going = going & good[at + k - 1]
-            columns.append(np.where(going, numbers[(at + k) * going], 0))
-        order = np.lexsort(columns[::-1])
-        rows = np.stack(columns)[:, order]
+        numbers = _frequent_only(numbers, ids, frequent.value)
+        keys, whole = _leading(numbers, ids)
+        large, hot = partitions.value
+
+        def told(kind: int, bit: np.ndarray) -> np.ndarray:
+            at = (keys[kind] >> np.uint64(64 - bits)).astype(np.int64)
+            return whole[kind] & ((bit[kind][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+        two, three = told(0, large), told(1, large)
+        at = np.flatnonzero(two[: -LONGEST + 1])
+        columns, going = [numbers[at], numbers[at + 1]], np.ones(len(at), bool)
+        for k in range(2, LONGEST):
+            going = going & three[at + k - 2] & two[at + k - 1]
+            columns.append(np.where(going, numbers[at + k], 0))
+        by = np.where(told(0, hot)[at], np.where(told(1, hot)[at], LONGEST, 3), 2)
+        taken = [np.where(c > 0, ids[c], 0) for c in columns]
+        every = keys[1][at]
+        for c in taken[3:]:
+            every = mixed(every ^ _turned(c.view(np.uint64)))
+        route = (np.where(by == 2, keys[0][at], np.where(by == 3, mixed(keys[0][at] ^ _turned(taken[2].view(np.uint64))), every)) % np.uint64(routes)).astype(np.int64)
+        order = np.lexsort([*columns[::-1], route])
+        rows = np.stack([route, *taken, by])[:, order]
         new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))[: len(at)]
         n = np.diff(np.append(np.flatnonzero(new), len(at)))
-        return pa.RecordBatch.from_arrays([*[pa.array(ids[r[new]]) for r in rows], pa.array(n, pa.int64())], names=[*_COLUMNS, "n"])
+        rows = np.concatenate([rows[:, new], n[None]]).astype("<i8")
+        cuts = np.flatnonzero(np.diff(rows[0], prepend=-1)).tolist() + [rows.shape[1]]
+        packed = [np.ascontiguousarray(rows[1:, a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(rows[0, cuts[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["route", "suffixes"])
 
-    rows = _over_words(docs, seed, count, ", ".join(f"{c} bigint" for c in _COLUMNS) + ", n bigint")
-    return rows.groupBy(*_COLUMNS).agg(F.sum("n").alias("n"))
+    return _over_words(docs, seed, count, "route int, suffixes binary")
 
 
-def quicksorted(columns: list[np.ndarray], weights: np.ndarray, minimum: int) -> Iterator[tuple[int, int, int]]:
-    """(depth, a row, count) of each equal part of at least minimum, by multikey three-way quicksort over row pointers; a 0 ends a row."""
+def quicksorted(columns: list[np.ndarray], weights: np.ndarray, minimum: int, by: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(depth, a row, count) of each equal part of at least minimum, by multikey three-way quicksort over row pointers; a 0 ends a row.
+
+    by: how many first columns of a row are alike in this sort only in all; parts of fewer columns are parts
+    of a whole that others sort too, so they are told whatever their size."""
+    by = np.ones(len(weights), np.int64) if by is None else by
     parts = [(np.arange(len(weights)), 0)]
     while parts:
         rows, depth = parts.pop()
-        if weights[rows].sum() < minimum:
+        if not len(rows) or (weights[rows].sum() < minimum and by[rows].max() <= depth + 1):
             continue  # abandoned
         keys = columns[depth][rows]
         pivot = np.sort(keys[[0, len(keys) // 2, -1]])[1]
         parts += [(rows[keys < pivot], depth), (rows[keys > pivot], depth)]
         equal = rows[keys == pivot]
         count = int(weights[equal].sum())
-        if pivot and count >= minimum:
-            yield depth + 1, int(equal[0]), count
+        if pivot:
+            if count >= minimum or by[equal].max() > depth + 1:
+                yield depth + 1, int(equal[0]), count
             if depth + 1 < len(columns):
                 parts.append((equal, depth + 1))
 
 
-def _counted_longer(suffixes: DataFrame, minimum: int) -> DataFrame:
-    """(words, n): the frequent phrases of three words or more."""
-    spark = suffixes.sparkSession
-    total = suffixes.count()
-    limit = max(ROUTE_ROWS, total // HOT)
-    routed, found = suffixes.withColumn("depth", F.lit(2)), None
-    for depth in range(2, LONGEST):
-        leading = _COLUMNS[:depth]
-        inside = routed.where(F.col("depth") == depth)
-        hot = checkpointed(inside.groupBy(*leading).agg(F.count("*").alias("rows_"), F.sum("n").alias("n")).where(F.col("rows_") > limit))
-        if hot.isEmpty():
-            break
-        if depth > 2:
-            some = hot.where(F.col("n") >= minimum).select(F.array(*leading).alias("words"), "n")
-            found = some if found is None else found.unionAll(some)
-        marked = F.broadcast(hot.select(*leading, F.lit(1).alias("hot_")))  # at most HOT rows
-        routed = routed.join(marked, leading, "left").withColumn("depth", F.when((F.col("depth") == depth) & F.col("hot_").isNotNull(), depth + 1).otherwise(F.col("depth"))).drop("hot_")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * ROUTE_ROWS)))
-    route = [F.when(F.col("depth") > k, F.col(c)).otherwise(F.lit(0)) for k, c in enumerate(_COLUMNS[2:], 2)]
+def _counted_phrases(routed: DataFrame, minimum: int, tasks: int) -> DataFrame:
+    """(words, n): the frequent phrases of two words or more."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        blocks = [np.frombuffer(x, "<i8").reshape(LONGEST + 2, -1) for b in batches for x in b.column(1).to_pylist()]
+        if not blocks:
             return
-        *columns, weights, depths = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(LONGEST + 2))
+        *columns, by, weights = np.concatenate(blocks, 1)
         words, counts = [], []
-        for depth, row, count in quicksorted(columns, weights, minimum):
-            if depth >= max(3, depths[row]):
+        for depth, row, count in quicksorted(columns, weights, minimum, by):
+            if depth > 1:
                 words.append([int(c[row]) for c in columns[:depth]])
                 counts.append(count)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64())), pa.array(counts, pa.int64())], names=["words", "n"])
 
-    dealt = routed.select(*_COLUMNS, "n", "depth").repartition(tasks, "w1", "w2", *route)
-    made = dealt.mapInArrow(sort, "words array<bigint>, n bigint")
-    return made if found is None else made.unionAll(found)
+    made = routed.repartition(tasks, "route").mapInArrow(sort, "words array<bigint>, n bigint")
+    return made.groupBy("words").agg(F.sum("n").alias("n")).where(F.col("n") >= minimum)
 
 
 def _scored(counts: DataFrame, totals: Column) -> DataFrame:
@@ -288,12 +327,14 @@ def collocations(docs: DataFrame, minimum: int = 100, limit: int = 2000, percent
         raise ValueError("no seed tells the words apart")
     totals = broadcast_if_small(known.where("word = ''").select("lang", F.col("n").alias("all")))
     words = known.where("word <> ''").select("id", "n", "lang", "word")
-    frequent = _filter(words.select(F.col("id").alias("key")))
-    pairs = checkpointed(_counted_pairs(texts, seed, minimum, frequent))
-    suffixes = checkpointed(_suffixes(texts, seed, frequent, _filter(_pair_keys(pairs))))
-    longer = _counted_longer(suffixes, minimum)
-    single = words.select(F.array("id").alias("words"), "n")
-    plain = single.unionAll(pairs.select(F.array("w1", "w2").alias("words"), "n")).unionAll(longer)
+    context = spark.sparkContext
+    frequent = context.broadcast(_filter(words.select(F.col("id").alias("key"))))
+    everything = known.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    bits = min(PARTITION_BITS[1], max(PARTITION_BITS[0], (everything // WORDS_A_PARTITION).bit_length()))
+    partitions = context.broadcast(_partitions(texts, seed, frequent, bits, (minimum, max(ROUTE_ROWS, everything // HOT))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-everything // WORDS_A_SORT))
+    phrases = _counted_phrases(_routed(texts, seed, frequent, partitions, bits, ROUTES * tasks), minimum, tasks)
+    plain = words.select(F.array("id").alias("words"), "n").unionAll(phrases)
     language = words.join(totals, "lang").select(F.col("id").alias("id_"), "all")
     counts = checkpointed(plain.join(language, F.element_at("words", 1) == F.col("id_")).select("words", "n", "all"))
 
