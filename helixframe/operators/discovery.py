@@ -14,8 +14,6 @@ from helixframe.plans.materialise import checkpointed
 
 #: Expectation-maximisation starts from so many sequences of a set and runs at most so many rounds.
 SEEDS, SCREEN, ROUNDS = 8, 3, 40
-#: Targets of a comparison go along with the tasks of a pass up to so many.
-MOST_TARGETS = 1000
 #: Words of at most so many letters are looked up at once; rows that a task holds as arrays at once.
 WORD, ROWS = 8, 512
 
@@ -196,53 +194,3 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops", screen: int =
         best = max((state[task, seed] for seed in range(SEEDS)), key=lambda x: x["ratio"])
         out.append((task, best["pwm"].tolist(), best["sites"], best["ratio"], row["n"]))
     return spark.createDataFrame(out, f"task {rows.schema['task'].dataType.simpleString()}, pwm array<array<double>>, sites double, score double, n bigint")
-
-
-def _unit_rows(pwm) -> np.ndarray:
-    """Rows less their mean of 1/4, of length 1; a flat row is all zero."""
-    rows = np.array([list(r) for r in pwm], float) - 0.25
-    size = np.sqrt((rows * rows).sum(1, keepdims=True))
-    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
-
-
-def _best_alignment(x: np.ndarray, m: np.ndarray, overlap: int):
-    """(score, shift, strand, overlap) of the best mean column correlation; ties go to the plus strand, then to the smallest shift."""
-    best = None
-    for strand, y in (("+", m), ("-", m[::-1, ::-1])):
-        columns = x @ y.T
-        for shift in range(overlap - len(y), len(x) - overlap + 1):
-            along = np.diagonal(columns, -shift)
-            score = along.sum() / len(along)
-            if best is None or score > best[0] + 1e-12:
-                best = (score, shift, strand, len(along))
-    return best
-
-
-def compared(queries: DataFrame, targets: DataFrame, overlap: int) -> DataFrame:
-    """query_id, target_id, score, shift, strand and overlap: the best mean column correlation of each query with each target.
-
-    queries (query_id, pwm) meet targets (target_id, pwm), a catalogue of matrices, in passes of
-    at most MOST_TARGETS of them, so what a pass broadcasts is bounded and no target is left
-    out. Pairs that cannot overlap so far are left out."""
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, target_id {targets.schema['target_id'].dataType.simpleString()}, score double, shift int, strand string, overlap int"
-
-    def against(block: list) -> DataFrame:
-        held = queries.sparkSession.sparkContext.broadcast([(k, np.array([list(r) for r in pwm], float)) for k, pwm in block])
-
-        def run(frames):
-            units = [(k, _unit_rows(pwm)) for k, pwm in held.value]
-            for frame in frames:
-                rows = []
-                for query, pwm in zip(frame["query_id"], frame["pwm"], strict=True):
-                    x = _unit_rows(pwm)
-                    rows += [(query, k, *found) for k, m in units if (found := _best_alignment(x, m, overlap)) is not None]
-                yield pd.DataFrame(rows, columns=["query_id", "target_id", "score", "shift", "strand", "overlap"])
-
-        return queries.select("query_id", "pwm").mapInPandas(run, schema)
-
-    out, block = None, []
-    for row in targets.select("target_id", "pwm").toLocalIterator():
-        block.append((row["target_id"], row["pwm"]))
-        if len(block) == MOST_TARGETS:
-            out, block = against(block) if out is None else out.unionByName(against(block)), []
-    return out if out is not None and not block else against(block) if out is None else out.unionByName(against(block))

@@ -2,28 +2,100 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from helixframe.functions.dna import flipped_matrix, kmers, log_or_minus_infinity, reverse_complement
+from helixframe.functions.dna import flipped_matrix, kmers, log_or_minus_infinity
 
 BASES = "ACGT"
 #: A set of motifs is broadcast to the scanner up to so many matrix rows.
 BROADCAST_ROWS = 200_000
+#: Sequences are read so many letters at a time; scores are looked up by words of WORD letters.
+PIECE, WORD = 1 << 20, 5
+_CODE = np.full(256, 4, np.int8)
+_CODE[list(b"ACGT")] = _CODE[list(b"acgt")] = range(4)
+
+
+def _letters_of(values: list[bytes]) -> np.ndarray:
+    """Base codes of sequences in a row, 4 for other letters and behind each sequence."""
+    return _CODE[np.frombuffer(b"\n".join([*values, b""]), np.uint8)]
+
+
+def _pieces(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each sequence, first places, codes) of the sequences of a column, about PIECE letters at a time; a longer sequence comes in parts that share overlap letters."""
+    rows, held, size = [], [], 0
+
+    def flush():
+        ends = np.cumsum([len(v) + 1 for v in held])
+        return np.array(rows), ends - [len(v) + 1 for v in held], _letters_of(held)
+
+    for row, value in enumerate(pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()):
+        at = 0
+        while at == 0 or at + overlap < len(value):
+            part = value[at : at + PIECE + overlap]
+            if held and size + len(part) > PIECE + overlap:
+                yield flush()
+                rows, held, size = [], [], 0
+            rows.append(row)
+            held.append(part)
+            size += len(part) + 1
+            at += PIECE
+    if held:
+        yield flush()
+
+
+def _words(codes: np.ndarray, k: int) -> np.ndarray:
+    """The number of the word of k letters at each place, other letters read as A."""
+    safe = np.where(codes < 4, codes, 0).astype(np.int32)
+    last = len(codes) - k + 1
+    word = np.zeros(max(0, last), np.int32)
+    for j in range(k):
+        word = word * 4 + safe[j : j + len(word)]
+    return word
+
+
+def _known(codes: np.ndarray, k: int) -> np.ndarray:
+    """Whether each window of k letters has base letters only."""
+    other = np.concatenate([[0], np.cumsum(codes > 3)])
+    return other[k:] == other[: max(0, len(other) - k)]
+
+
+def word_counts(sequences: DataFrame, longest: int, both_strands: bool = False) -> DataFrame:
+    """(k, at, n): how often each unambiguous word of 1 to longest letters stands in the sequences (seq), in one pass; at is its number in base 4, words that do not occur are left out.
+
+    A task counts in arrays of 4 ** k numbers and passes on only those."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {k: np.zeros(4**k, np.int64) for k in range(1, longest + 1)}
+        for batch in batches:
+            for k in sums:
+                for _, _, codes in _pieces(batch.column(0), k - 1):
+                    sums[k] += np.bincount(_words(codes, k)[_known(codes, k)], minlength=4**k)
+        for k, n in sums.items():
+            if both_strands:
+                n = n + n.reshape((4,) * k)[(slice(None, None, -1),) * k].transpose().ravel()
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["k", "at", "n"])
+
+    parts = sequences.select("seq").mapInArrow(count, "k int, at int, n bigint")
+    return parts.groupBy("k", "at").agg(F.sum("n").alias("n"))
+
+
+def _word(k: int) -> Column:
+    """The word of k letters whose number is at."""
+    return F.concat(*[F.substring(F.lit(BASES), (F.floor(F.col("at") / 4**j) % 4 + 1).cast("int"), F.lit(1)) for j in reversed(range(k))])
 
 
 def kmer_counts(sequences: DataFrame, k: int, both_strands: bool = False) -> DataFrame:
     """(word, n): unambiguous words of k letters over all sequences (seq)."""
-    seqs = sequences.select(F.upper("seq").alias("seq"))
-    if both_strands:
-        seqs = seqs.union(seqs.select(reverse_complement(F.col("seq"))))
-    known = F.explode(F.filter(kmers(F.col("seq"), k), lambda w: F.length(F.translate(w, "ACGT", "")) == 0))
-    return seqs.select(known.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return word_counts(sequences, k, both_strands).where(F.col("k") == k).select(_word(k).alias("word"), "n")
 
 
 def markov_table(sequences: DataFrame, order: int, pseudocount: float = 0.1, both_strands: bool = False) -> DataFrame:
@@ -31,15 +103,10 @@ def markov_table(sequences: DataFrame, order: int, pseudocount: float = 0.1, bot
 
     Each possible word's count gets pseudocount / 4 ** k; frequencies of one length sum to 1."""
     spark = sequences.sparkSession
-    out = None
-    for k in range(1, order + 2):
-        words = spark.range(4**k).select(F.concat(*[F.substring(F.lit(BASES), (F.floor(F.col("id") / 4**j) % 4 + 1).cast("int"), F.lit(1)) for j in reversed(range(k))]).alias("word"))
-        counted = words.join(kmer_counts(sequences, k, both_strands), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        total = counted.agg(F.sum("n").alias("total"))
-        freq = (F.col("n") + pseudocount / 4**k) / (F.col("total") + pseudocount)
-        part = counted.crossJoin(F.broadcast(total)).select("word", F.lit(k).alias("k"), freq.alias("freq"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    every = [spark.range(4**k).select(F.lit(k).alias("k"), F.col("id").cast("int").alias("at")).withColumn("word", _word(k)) for k in range(1, order + 2)]
+    counted = functools.reduce(DataFrame.unionByName, every).join(word_counts(sequences, order + 1, both_strands), ["k", "at"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = F.sum("n").over(Window.partitionBy("k"))  # at most 4 ** k rows
+    return counted.select("word", "k", ((F.col("n") + F.lit(pseudocount) / F.pow(F.lit(4.0), F.col("k"))) / (total + pseudocount)).alias("freq"))
 
 
 def scan_sql(sequences: DataFrame, pwm: list[list[float]], background: dict[str, float]) -> DataFrame:
@@ -60,71 +127,94 @@ def scan_sql(sequences: DataFrame, pwm: list[list[float]], background: dict[str,
     return words.groupBy("doc_id").agg(F.max(F.greatest(*both)).alias("max_log_odds"))
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    """[n, length] of base codes, 4 for other letters; all texts have one length."""
-    table = np.full(256, 4, np.int64)
-    for k, base in enumerate(BASES):
-        table[[ord(base), ord(base.lower())]] = k
-    return table[np.frombuffer("".join(texts).encode("latin-1", "replace"), np.uint8)].reshape(len(texts), -1)
-
-
-def window_scores(codes: np.ndarray, pwm: np.ndarray, background: dict[str, float], order: int) -> np.ndarray:
-    """[n, windows] log odds of the better strand; minus infinity where a window has an unknown letter."""
-    n, size = codes.shape
-    width = len(pwm)
-    known = codes < 4
-    safe = np.where(known, codes, 0)
-    tables = []
-    for k in range(1, order + 2):
-        words = np.zeros(4**k)
-        for index in range(4**k):
-            words[index] = np.log(background["".join(BASES[index // 4**j % 4] for j in reversed(range(k)))])
-        tables.append(words)
-    ids = [safe]
-    for _ in range(order):
-        ids.append(ids[-1][:, :-1] * 4 + safe[:, len(ids) :])
-    last = size - width + 1
-    # the background of a window: its first word's frequency, then each letter given the ones before it
-    head = min(order + 1, width)
-    below = tables[head - 1][ids[head - 1][:, :last]]
-    step = tables[order][ids[order]] - (tables[order - 1][ids[order - 1][:, : ids[order].shape[1]]] if order else 0)
-    sums = np.concatenate([np.zeros((n, 1)), np.cumsum(step, 1)], 1)
-    if width > head:
-        at = np.arange(last)
-        below = below + sums[:, at + width - order] - sums[:, at + head - order]
-    best = np.full((n, last), -np.inf)
-    with np.errstate(divide="ignore"):
-        for matrix in (np.log(pwm), np.log(pwm[::-1, ::-1])):
-            total = sum(matrix[j][safe[:, j : j + last]] for j in range(width))
-            best = np.maximum(best, total - below)
-    unknown = np.concatenate([np.zeros((n, 1), int), np.cumsum(~known, 1)], 1)
-    return np.where(unknown[:, width:] - unknown[:, :last] == 0, best, -np.inf)
+class Scanner:
+    """Log odds of motifs at all places of sequences. What the motifs share, the numbers of words and the background of windows, is made once for all; a motif adds the scores of its pieces of WORD columns, looked up by word."""
+
+    def __init__(self, motifs: list[tuple], background: dict[str, float], order: int):
+        self.order = order
+        name = lambda k, at: "".join(BASES[at // 4**j % 4] for j in reversed(range(k)))
+        self.below = [np.zeros(1), *(np.log([background[name(k, at)] for at in range(4**k)]) for k in range(1, order + 2))]
+        self.motifs = []
+        for motif_id, pwm in motifs:
+            plus = np.array([list(r) for r in pwm], float)
+            with np.errstate(divide="ignore"):
+                self.motifs.append((motif_id, len(plus), [self._tables(np.log(m)) for m in (plus, plus[::-1, ::-1])]))
+
+    @staticmethod
+    def _tables(odds: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(first column, columns, score of each word) for the pieces of a matrix."""
+        out = []
+        for lo in range(0, len(odds), WORD):
+            made = np.zeros(1)
+            for row in odds[lo : lo + WORD]:
+                made = (made[:, None] + row[None, :]).ravel()
+            out.append((lo, min(WORD, len(odds) - lo), made))
+        return out
+
+    def _background(self, codes: np.ndarray, width: int) -> np.ndarray:
+        """Of each window: its first word's frequency, then each letter given the ones before it; infinite where a letter is unknown."""
+        head = min(self.order + 1, width)
+        last = max(0, len(codes) - width + 1)
+        below = self.below[head][_words(codes, head)[:last]]
+        if width > head:
+            step = self.below[self.order + 1][_words(codes, self.order + 1)] - self.below[self.order][_words(codes, self.order)[: len(codes) - self.order]]
+            for j in range(head - self.order, width - self.order):  # in one order, so that a word weighs alike wherever it stands
+                below = below + step[j : j + last]
+        return np.where(_known(codes, width), below, np.inf)
+
+    def best(self, codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
+        """For each motif the best window of either strand of each sequence that begins at first; minus infinity without one."""
+        words: dict[int, np.ndarray] = {}
+        below: dict[int, np.ndarray] = {}
+        for motif_id, width, strands in self.motifs:
+            last = len(codes) - width + 1
+            if last < 1:
+                yield motif_id, np.full(len(first), -np.inf)
+                continue
+            if width not in below:
+                below[width] = self._background(codes, width)
+            best = None
+            for tables in strands:
+                total = None
+                for lo, k, table in tables:
+                    if k not in words:
+                        words[k] = _words(codes, k)
+                    part = table[words[k][lo : lo + last]]
+                    total = part if total is None else total + part
+                best = total if best is None else np.maximum(best, total)
+            scores = np.full(len(codes), -np.inf)
+            scores[:last] = best - below[width]
+            yield motif_id, np.maximum.reduceat(scores, first)
 
 
 def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float], order: int) -> DataFrame:
     """(doc_id, motif_id, max_log_odds) for every sequence and motif, by an Arrow kernel.
 
-    motifs (motif_id, pwm) are broadcast up to BROADCAST_ROWS matrix rows, else they take turns
-    in blocks of that size. Fails on a sequence without a finite score, as one that is shorter
-    than a motif or has no unambiguous window."""
+    Sequences may be of any length: what is longer than PIECE is scanned in parts that overlap by
+    the widest motif less a letter, so no site is lost. motifs (motif_id, pwm) are broadcast up to
+    BROADCAST_ROWS matrix rows, else they take turns in blocks of that size. Fails on a sequence
+    without a finite score, as one that is shorter than a motif or has no unambiguous window."""
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     columns = f"doc_id {kind(sequences, 'doc_id')}, motif_id {kind(motifs, 'motif_id')}, max_log_odds double"
+    kinds = to_arrow_type(motifs.schema["motif_id"].dataType)
     out, block, rows = None, [], 0
 
     def over(held) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            for frame in batches:
-                for _, part in frame.groupby(frame["seq"].str.len()):
-                    codes = _codes(part["seq"].tolist())
-                    for motif_id, pwm in held.value:
-                        if codes.shape[1] < len(pwm):
-                            raise ValueError("sequence shorter than the matrix")
-                        scores = window_scores(codes, np.array(pwm, float), background, order).max(1)
-                        if not np.isfinite(scores).all():
-                            raise ValueError("sequence without a finite score")
-                        yield pd.DataFrame({"doc_id": part["doc_id"], "motif_id": motif_id, "max_log_odds": scores})
-
-        return sequences.select("doc_id", "seq").mapInPandas(run, columns)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(held.value, background, order)
+            widest = max(width for _, width, _ in scanner.motifs)
+            ids = pa.array([k for k, _ in held.value], kinds)
+            for batch in batches:
+                best = np.full((len(held.value), batch.num_rows), -np.inf)
+                for row, first, codes in _pieces(batch.column(1), widest - 1):
+                    for k, (_, scores) in enumerate(scanner.best(codes, first)):
+                        np.maximum.at(best[k], row, scores)
+                if not np.isfinite(best).all():
+                    raise ValueError("sequence without a finite score, or shorter than the matrix")
+                for k in range(len(best) if batch.num_rows else 0):
+                    yield pa.RecordBatch.from_arrays([batch.column(0), ids.take(pa.array([k] * batch.num_rows, pa.int64())), pa.array(best[k])], names=["doc_id", "motif_id", "max_log_odds"])
+
+        return sequences.select("doc_id", "seq").mapInArrow(run, columns)
 
     def join(done, held):
         made = over(sequences.sparkSession.sparkContext.broadcast(held))
@@ -135,7 +225,7 @@ def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float],
             out, block, rows = join(out, block), [], 0
         block.append((motif["motif_id"], [list(r) for r in motif["pwm"]]))
         rows += len(motif["pwm"])
-    return join(out, block)
+    return join(out, block) if block or out is None else out
 
 
 def motif_distances(pairs: DataFrame, metric: str = "jsd", fraction: float = 0.8, clamp: bool = True) -> DataFrame:

@@ -43,7 +43,7 @@ def _mean_motifs(spark, sf_dir):
 
 def evaluate_motifs(spark, sf_dir):
     """Mean motifs against the windows of documents of quality 1 and 0."""
-    seqs = views.sequences(spark, sf_dir).where(F.col("seq").rlike("[ACGT]{16}")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    seqs = views.sequences(spark, sf_dir, WIDTH - 1).where(F.col("seq").rlike(f"[ACGT]{{{WIDTH}}}")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     side = lambda q: seqs.where(F.col("quality") == q).select(F.col("window_id").alias("doc_id"), "seq")
     found = ev.evaluated(_mean_motifs(spark, sf_dir), side(1), side(0), LETTERS, 0, PSEUDOCOUNT)
     return found.select("run_id", "positives", "negatives", "site_fraction", F.round("ap", 6).alias("ap"), F.round("auroc", 6).alias("auroc"))
@@ -117,9 +117,9 @@ def _smooth(b: str) -> str:
 
 
 _ODDS = "CASE b" + "".join(f" WHEN '{b.upper()}' THEN {b}" for b in "acgt") + " END"
-_EVALUATE = f"""WITH {V['sequences']}, {V['matrices']}, l AS (SELECT CAST(label AS BIGINT) AS run_id, k, {", ".join(f"{_smooth(b)} AS {b}" for b in "acgt")} FROM v_pwm WHERE k < {WIDTH} GROUP BY ALL),
+_EVALUATE = f"""WITH {V['scan_windows']}, {V['matrices']}, l AS (SELECT CAST(label AS BIGINT) AS run_id, k, {", ".join(f"{_smooth(b)} AS {b}" for b in "acgt")} FROM v_pwm WHERE k < {WIDTH} GROUP BY ALL),
  s AS (SELECT run_id, k, a, c, g, t, 1 AS plus FROM l UNION ALL SELECT run_id, {WIDTH - 1} - k, t, g, c, a, 0 FROM l),
- seqs AS (SELECT window_id, seq, quality FROM v_sequences JOIN labels USING (doc_id) WHERE regexp_matches(seq, '[ACGT]{{16}}')),
+ seqs AS (SELECT window_id, seq, quality FROM v_sequences JOIN labels USING (doc_id) WHERE regexp_matches(seq, '[ACGT]{{{WIDTH}}}')),
  w AS (SELECT window_id, quality, substr(seq, i, {WIDTH}) AS word FROM seqs, (SELECT unnest(range(1, 202)) AS i) WHERE i <= length(seq) + 1 - {WIDTH}),
  u AS (SELECT DISTINCT word FROM w WHERE NOT regexp_matches(word, '[^ACGT]')),
  x AS (SELECT word, run_id, plus, sum({_ODDS}) AS odds FROM (SELECT word, j, substr(word, j + 1, 1) AS b FROM u, (SELECT unnest(range({WIDTH})) AS j)) JOIN s ON s.k = j GROUP BY ALL),

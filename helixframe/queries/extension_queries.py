@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from helixframe import views
 from helixframe.operators import extensions as ex
 from helixframe.operators import ladders as ld
-from helixframe.operators.discovery import compared
+from helixframe.operators.comparison import compared, matches
 from helixframe.operators.sampling import CHUNK, region_sequences
 from helixframe.plans.materialise import broadcast_if_small, checkpointed
 from helixframe.queries import plan_queries as pq
@@ -75,16 +75,27 @@ def genome_extract(spark, sf_dir):
     return region_sequences(regions.distinct(), genome).select("chrom", "start", "end", "seq")
 
 
+def _label_means(spark, sf_dir):
+    """The mean matrix of each label: target_id, pwm."""
+    flat = views.matrices(spark, sf_dir).select(F.col("label").cast("bigint").alias("target_id"), F.posexplode(F.flatten("pwm")).alias("at", "p"))
+    means = flat.groupBy("target_id", "at").agg(F.avg("p").alias("p")).groupBy("target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("v"))  # 64 numbers a label
+    return means.select("target_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("v", k * 4 + 1, 4)).alias("pwm"))
+
+
 def motif_compare(spark, sf_dir):
     """Every matrix against the mean matrix of each label."""
-    m = views.matrices(spark, sf_dir)
-    flat = m.select(F.col("label").cast("bigint").alias("target_id"), F.posexplode(F.flatten("pwm")).alias("at", "p"))
-    means = flat.groupBy("target_id", "at").agg(F.avg("p").alias("p")).groupBy("target_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("v"))  # 64 numbers a label
-    targets = means.select("target_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("v", k * 4 + 1, 4)).alias("pwm"))
-    found = compared(m.select(F.col("vec_id").alias("query_id"), "pwm"), targets, 13)
+    rows = views.matrices(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "pwm")
+    found = compared(rows, _label_means(spark, sf_dir), 13)
     return found.select("query_id", "target_id", F.round("score", 6).alias("score"), "overlap")
 
 
+def motif_matches(spark, sf_dir):
+    """The mean matrix of each label against all matrices as a catalogue, with p-, E- and q-values."""
+    catalogue = views.matrices(spark, sf_dir).select(F.col("vec_id").alias("target_id"), "pwm")
+    found = matches(_label_means(spark, sf_dir).withColumnRenamed("target_id", "query_id"), catalogue, 13)
+    return found.select("query_id", "target_id", F.round("p", 9).alias("p"), F.round("e", 6).alias("e"), F.round("q", 9).alias("q"), "shift", "strand", "overlap")
+
+
 def cohort_settings(spark, sf_dir):
     """A two-step lookup: nation to region to its settings, on every customer."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -93,7 +104,7 @@ def cohort_settings(spark, sf_dir):
     return found.groupBy("factor", "width").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean_value"))
 
 
-QUERIES = {f.__name__: f for f in (plan_widths, plan_difference, ladder_midpoints, ladder_refined, descriptive_hits, pair_features, block_bootstrap, frozen_scores, genome_extract, motif_compare, cohort_settings)}
+QUERIES = {f.__name__: f for f in (plan_widths, plan_difference, ladder_midpoints, ladder_refined, descriptive_hits, pair_features, block_bootstrap, frozen_scores, genome_extract, motif_compare, motif_matches, cohort_settings)}
 
 _Z = " + ".join(f"({x} - {m}) / CAST({s} AS DOUBLE) * {w}" for x, m, s, w in zip(("share", "size"), FROZEN["mean"], FROZEN["scale"], FROZEN["coefficients"], strict=True))
 _CORRELATION = "CASE WHEN xx * yy > 0 THEN xy / sqrt(xx * yy) ELSE 0 END"
@@ -104,6 +115,22 @@ _COMPARE = f"""WITH {V['matrices']}, t AS (SELECT CAST(label AS BIGINT) AS targe
  m AS (SELECT query_id, target_id, plus, shift, count(*) AS overlap, sum({_CORRELATION}) / count(*) AS score FROM p GROUP BY ALL)
 SELECT query_id, target_id, round(score, 6) AS score, CAST(overlap AS INT) AS overlap FROM m QUALIFY row_number() OVER (PARTITION BY query_id, target_id ORDER BY score DESC, plus DESC, shift) = 1"""
 
+#: Significance the plain way: bins of all pairs of columns, sums of columns by recursion, all alignments.
+_MATCHES = f"""WITH RECURSIVE {V['matrices']}, x AS (SELECT CAST(label AS BIGINT) AS query_id, k AS i, avg(a) AS a, avg(c) AS c, avg(g) AS g, avg(t) AS t FROM v_pwm GROUP BY ALL),
+ y AS (SELECT vec_id AS target_id, 1 AS plus, k AS j, a, c, g, t FROM v_pwm UNION ALL SELECT vec_id, 0, 15 - k, t, g, c, a FROM v_pwm),
+ pairs AS (SELECT query_id, i, target_id, plus, j, {" + ".join(f"(x.{b} - 0.25) * (y.{b} - 0.25)" for b in "acgt")} AS xy, {" + ".join(f"(x.{b} - 0.25) * (x.{b} - 0.25)" for b in "acgt")} AS xx, {" + ".join(f"(y.{b} - 0.25) * (y.{b} - 0.25)" for b in "acgt")} AS yy FROM x, y),
+ bins AS (SELECT query_id, i, target_id, plus, j, CAST(floor(round({_CORRELATION}, 9) * 25 + 25.5) AS BIGINT) AS b FROM pairs),
+ shares AS (SELECT query_id, i, b, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM y) AS h FROM bins GROUP BY ALL),
+ sums(query_id, lo, hi, s, pr) AS (SELECT query_id, i, i + 1, b, h FROM shares WHERE i <= 3
+  UNION ALL SELECT d.query_id, lo, hi + 1, s + b, sum(pr * h) FROM sums d JOIN shares n ON n.query_id = d.query_id AND n.i = d.hi GROUP BY d.query_id, lo, hi, s + b),
+ above AS (SELECT query_id, lo, hi, s, least(1.0, sum(pr) OVER (PARTITION BY query_id, lo, hi ORDER BY s DESC)) AS p FROM sums WHERE hi - lo >= 13),
+ aligned AS (SELECT query_id, target_id, plus, i - j AS shift, min(i) AS lo, max(i) + 1 AS hi, sum(b) AS s, count(*) AS overlap FROM bins WHERE abs(i - j) <= 3 GROUP BY ALL),
+ best AS (SELECT a.*, p FROM aligned a JOIN above o USING (query_id, lo, hi, s) QUALIFY row_number() OVER (PARTITION BY query_id, target_id ORDER BY round(ln(p), 6), plus DESC, shift) = 1),
+ whole AS (SELECT *, 1 - power(1 - p, 14) AS pp, count(*) OVER (PARTITION BY query_id) AS m FROM best),
+ placed AS (SELECT *, pp * m / row_number() OVER (PARTITION BY query_id ORDER BY pp, target_id) AS v FROM whole)
+SELECT query_id, target_id, round(pp, 9) AS p, round(pp * (SELECT count(*) FROM embeddings), 6) AS e, round(least(1.0, min(v) OVER (PARTITION BY query_id ORDER BY pp DESC, target_id DESC ROWS UNBOUNDED PRECEDING)), 9) AS q,
+ CAST(shift AS INT) AS shift, CASE WHEN plus = 1 THEN '+' ELSE '-' END AS strand, CAST(overlap AS INT) AS overlap FROM placed"""
+
 
 def _ap(score: str, name: str) -> str:
     return f"""{name}_c AS (SELECT replicate, {score} AS score, sum(label * weight) AS p, sum((1 - label) * weight) AS n FROM rows JOIN w USING (block) GROUP BY ALL),
@@ -135,6 +162,7 @@ SELECT doc_id, round(1 / (1 + exp(-({FROZEN['intercept']} + {_Z}))), 9) AS score
  r AS (SELECT DISTINCT chrom, start % (length(whole) - 80) AS start, start % (length(whole) - 80) + "end" - start AS "end" FROM v_mask JOIN g USING (chrom))
 SELECT chrom, start, "end", substr(whole, start + 1, "end" - start) AS seq FROM r JOIN g USING (chrom) WHERE "end" <= length(whole)""",
     "motif_compare": _COMPARE,
+    "motif_matches": _MATCHES,
     "block_bootstrap": _BLOCKS,
     "cohort_settings": """SELECT r_name AS factor, r_regionkey * 3 + 10 AS width, count(*) AS n, round(avg(c_acctbal), 6) AS mean_value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
 }

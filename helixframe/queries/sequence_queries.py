@@ -16,9 +16,9 @@ MOTIF = [[0.05, 0.05, 0.85, 0.05], [0.4, 0.1, 0.1, 0.4], [0.02, 0.9, 0.04, 0.04]
 LETTERS = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
 
 
-def _clean(spark, sf_dir):
-    """The windows with sixteen known letters in a row, which a motif of sixteen columns needs; window_id as doc_id."""
-    return views.sequences(spark, sf_dir).where(F.col("seq").rlike("[ACGT]{16}")).select(F.col("window_id").alias("doc_id"), "seq")
+def _scanned(spark, sf_dir, width):
+    """The windows that a motif of width columns can score, each with what sites that begin in it need of the next one; window_id as doc_id."""
+    return views.sequences(spark, sf_dir, width - 1).where(F.col("seq").rlike(f"[ACGT]{{{width}}}")).select(F.col("window_id").alias("doc_id"), "seq")
 
 
 def gc_n_fraction(spark, sf_dir):
@@ -35,11 +35,11 @@ def hash_start(spark, sf_dir):
 
 
 def kmer_freq(spark, sf_dir):
-    return sq.kmer_counts(views.sequences(spark, sf_dir), 3)
+    return sq.kmer_counts(views.wholes(spark, sf_dir), 3)
 
 
 def markov_table(spark, sf_dir):
-    return sq.markov_table(views.sequences(spark, sf_dir), 2).select("word", "k", F.round("freq", 9).alias("freq"))
+    return sq.markov_table(views.wholes(spark, sf_dir), 2).select("word", "k", F.round("freq", 9).alias("freq"))
 
 
 def pwm_pseudocount(spark, sf_dir):
@@ -49,19 +49,19 @@ def pwm_pseudocount(spark, sf_dir):
 
 
 def pwm_scan_sql(spark, sf_dir):
-    found = sq.scan_sql(_clean(spark, sf_dir), MOTIF, LETTERS)
+    found = sq.scan_sql(_scanned(spark, sf_dir, len(MOTIF)), MOTIF, LETTERS)
     return found.select(F.col("doc_id").alias("window_id"), F.round("max_log_odds", 6).alias("max_log_odds"))
 
 
 def pwm_scan_arrow(spark, sf_dir):
     motifs = spark.createDataFrame([(1, MOTIF)], "motif_id bigint, pwm array<array<double>>")
-    return sq.scan(_clean(spark, sf_dir), motifs, LETTERS, 0).select(F.col("doc_id").alias("window_id"), F.round("max_log_odds", 6).alias("max_log_odds"))
+    return sq.scan(_scanned(spark, sf_dir, len(MOTIF)), motifs, LETTERS, 0).select(F.col("doc_id").alias("window_id"), F.round("max_log_odds", 6).alias("max_log_odds"))
 
 
 def pwm_scan_markov(spark, sf_dir):
-    """The mean matrix of each label against all clean windows, with a second-order background learnt from them: the best label of each."""
-    seqs = _clean(spark, sf_dir)
-    background = {r["word"]: r["freq"] for r in sq.markov_table(seqs, 2).collect()}  # 84 words
+    """The mean matrix of each label against all windows that it can score, with a second-order background learnt from the whole texts: the best label of each."""
+    seqs = _scanned(spark, sf_dir, 16)
+    background = {r["word"]: r["freq"] for r in sq.markov_table(views.wholes(spark, sf_dir), 2).collect()}  # 84 words
     flat = views.matrices(spark, sf_dir).select(F.col("label").cast("bigint").alias("motif_id"), F.posexplode(F.flatten("pwm")).alias("at", "p"))
     means = flat.groupBy("motif_id", "at").agg(F.avg("p").alias("p")).groupBy("motif_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("v"))  # 64 numbers a label
     motifs = means.select("motif_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("v", k * 4 + 1, 4)).alias("pwm"))
@@ -90,8 +90,8 @@ def _case(j: str, matrix: list[list[float]]) -> str:
     return "CASE " + " ".join(rows) + " END"
 
 
-_WORDS = "SELECT window_id, substr(seq, i, {k}) AS word FROM v_sequences, (SELECT unnest(range(1, 202)) AS i) WHERE i <= length(seq) + 1 - {k}"
-_SCAN = f"""WITH {V['sequences']}, words AS ({_WORDS.format(k=6).replace('SELECT window_id,', 'SELECT window_id, i,')} AND regexp_matches(seq, '[ACGT]{{16}}')),
+_WORDS = "SELECT substr(whole, i, {k}) AS word FROM (SELECT whole, unnest(range(1, length(whole) + 2 - {k})) AS i FROM v_letters)"
+_SCAN = f"""WITH {V['scan_windows']}, words AS (SELECT window_id, i, substr(seq, i, 6) AS word FROM v_sequences, (SELECT unnest(range(1, 202)) AS i) WHERE i <= length(seq) - 5),
  letters AS (SELECT window_id, i, j, substr(word, j + 1, 1) AS b FROM words, (SELECT unnest(range(6)) AS j) WHERE NOT regexp_matches(word, '[^ACGT]')),
  odds AS (SELECT window_id, i, greatest(sum({_case('j', MOTIF)}), sum({_case('j', [r[::-1] for r in MOTIF[::-1]])})) AS s FROM letters GROUP BY window_id, i)
 SELECT window_id, round(max(s), 6) AS max_log_odds FROM odds GROUP BY window_id"""

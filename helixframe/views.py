@@ -41,11 +41,16 @@ def letters(text):
     return F.regexp_replace(F.translate(squeezed, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N")
 
 
-def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as DNA in consecutive windows of 201 letters, the last one of a text shorter: doc_id, k, window_id, lang, seq."""
-    whole = table(spark, sf_dir, "documents").select("doc_id", "lang", letters(F.col("text")).alias("whole")).where(F.length("whole") > 0)
-    cut = whole.select("doc_id", "lang", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("whole") - 1) / WINDOW))).alias("k"))
-    seq = F.col("whole").substr((F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW))
+def wholes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as DNA: doc_id, lang, seq."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", letters(F.col("text")).alias("seq")).where(F.length("seq") > 0)
+
+
+def sequences(spark: SparkSession, sf_dir: str, overlap: int = 0) -> DataFrame:
+    """documents as DNA in windows that begin every 201 letters and reach overlap letters into the next one, the last one of a text shorter: doc_id, k, window_id, lang, seq."""
+    whole = wholes(spark, sf_dir)
+    cut = whole.select("doc_id", "lang", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / WINDOW))).alias("k"))
+    seq = F.col("seq").substr((F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW + overlap))
     return cut.select("doc_id", "k", (F.col("doc_id") * (1 << 20) + F.col("k")).alias("window_id"), "lang", seq.alias("seq"))
 
 
@@ -92,6 +97,9 @@ def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", whole.alias("pwm"))
 
 
+#: Windows of documents, the second of two kinds with what a motif of six columns needs of the next window.
+_SEQUENCES = r"""v_letters AS (SELECT doc_id, lang, regexp_replace(translate(lower(regexp_replace(text, '[ \t\n\r\f\x0B]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') AS whole FROM documents),
+ v_sequences AS (SELECT doc_id, k, doc_id * 1048576 + k AS window_id, lang, substr(whole, k * 201 + 1, {letters}) AS seq FROM (SELECT doc_id, lang, whole, unnest(range((length(whole) + 200) // 201)) AS k FROM v_letters))"""
 SQL = {
     "intervals": """v_intervals AS (SELECT chrom, start, start + CAST(l_quantity AS BIGINT) AS "end", record_id, score FROM (
  SELECT l_returnflag || l_linestatus AS chrom,
@@ -101,8 +109,8 @@ SQL = {
     "mask": """v_mask AS (SELECT chrom, start, start + 20 + o_custkey % 60 AS "end" FROM (
  SELECT (['AF','AO','NF','NO','RF','RO'])[CAST(o_custkey % 6 AS INT) + 1] AS chrom,
   datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) * 400 + (o_orderkey * 31) % 397 AS start, o_custkey FROM orders))""",
-    "sequences": r"""v_letters AS (SELECT doc_id, lang, regexp_replace(translate(lower(regexp_replace(text, '[ \t\n\r\f\x0B]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') AS whole FROM documents),
- v_sequences AS (SELECT doc_id, k, doc_id * 1048576 + k AS window_id, lang, substr(whole, k * 201 + 1, 201) AS seq FROM (SELECT doc_id, lang, whole, unnest(range((length(whole) + 200) // 201)) AS k FROM v_letters))""",
+    "sequences": _SEQUENCES.format(letters=WINDOW),
+    "scan_windows": _SEQUENCES.format(letters=WINDOW + 5),
     "scored": """v_scored AS (SELECT d.doc_id, d.lang, l.quality AS label, CAST(d.n_chars AS DOUBLE) AS score FROM documents d JOIN labels l USING (doc_id))""",
     "cells": """v_cells AS (SELECT concat_ws('|', l_returnflag, l_linestatus, l_linenumber) AS cell, l_suppkey % 10 AS trajectory,
   l_extendedprice / 1000 AS y, l_quantity AS d, l_discount * 100 AS c1, l_tax * 100 AS c2 FROM lineitem)""",

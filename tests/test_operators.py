@@ -1,15 +1,18 @@
 """Operators against small cases worked out by hand or by a plain loop."""
 
 import hashlib
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import dna, keyed
-from helixframe.operators import cohorts, diagnostics, discovery, evaluation, extensions, intervals, ladders, ranking, regression, sampling, sequences, splits
+from helixframe.operators import cohorts, comparison, diagnostics, discovery, evaluation, extensions, intervals, ladders, ranking, regression, sampling, sequences, splits
 from helixframe.plans.running import ranked, tiled
 
 
@@ -175,7 +178,51 @@ def test_motif_distance(spark, metric):
     assert got[3].distance is None
 
 
-def test_scanner_against_a_loop(spark):
+def test_words_are_counted_across_borders_and_strands(spark, monkeypatch):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choice("ACGTNacgt") for _ in range(rng.randint(0, 60))) for _ in range(30)] + [None, "", "A"]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(3)
+    flip = {"A": "T", "C": "G", "G": "C", "T": "A"}
+    for both in (False, True):
+        want = {k: Counter() for k in (1, 2, 3)}
+        for s in filter(None, seqs):
+            for strand in [s.upper(), "".join(flip.get(c, c) for c in reversed(s.upper()))][: 1 + both]:
+                for k in want:
+                    want[k].update(w for w in (strand[i : i + k] for i in range(len(strand) - k + 1)) if set(w) <= set("ACGT"))
+        for k in want:
+            assert {r.word: r.n for r in sequences.kmer_counts(df, k, both).collect()} == want[k]
+        got = {r.word: r.freq for r in sequences.markov_table(df, 2, 0.5, both).collect()}
+        assert len(got) == 84 and all(abs(f - (want[len(w)][w] + 0.5 / 4 ** len(w)) / (want[len(w)].total() + 0.5)) < 1e-12 for w, f in got.items())
+    assert {r.freq for r in sequences.markov_table(df.limit(0), 0).collect()} == {0.25}
+    monkeypatch.setattr(sequences, "PIECE", 5)
+    column = pa.array(seqs)
+    for overlap in (0, 2, 9):
+        words = Counter()
+        for row, first, codes in sequences._pieces(column, overlap):
+            assert len(row) == len(first)
+            words.update(sequences._words(codes, overlap + 1)[sequences._known(codes, overlap + 1)].tolist())
+        want = Counter(w for s in filter(None, seqs) for w in (s.upper()[i : i + overlap + 1] for i in range(len(s) - overlap)) if set(w) <= set("ACGT"))
+        assert sorted(words.values()) == sorted(want.values())
+
+
+def test_hundreds_of_motifs_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    motifs = [(k, rng.dirichlet([0.4] * 4, int(rng.integers(3, 14))).tolist()) for k in range(300)]
+    seqs = [(k, "".join(rng.choice(list("ACGT"), int(rng.integers(20, 90))))) for k in range(40)]
+    df, held = spark.createDataFrame(seqs, "doc_id int, seq string"), spark.createDataFrame(motifs, "motif_id int, pwm array<array<double>>")
+    found = sequences.scan(df, held, dict(zip("ACGT", [0.3, 0.2, 0.2, 0.3], strict=True)), 0)
+    assert found._jdf.queryExecution().toString().count("MapInArrow") <= 4  # logical, analysed, optimised and physical: one pass
+    got = {(r.doc_id, r.motif_id): r.max_log_odds for r in found.collect()}
+    assert len(got) == 300 * 40
+    back = np.log([0.3, 0.2, 0.2, 0.3])
+    for doc, motif in rng.choice(40 * 300, 200, replace=False)[:, None] // [300, 1] % [40, 300]:
+        codes = np.array(["ACGT".index(c) for c in seqs[doc][1]])
+        m = np.log(np.array(motifs[motif][1]))
+        best = max(sum(x[j, codes[at + j]] - back[codes[at + j]] for j in range(len(m))) for at in range(len(codes) - len(m) + 1) for x in (m, m[::-1, ::-1]))
+        assert got[int(doc), int(motif)] == pytest.approx(best)
+
+
+def test_scanner_against_a_loop(spark, monkeypatch):
     rng = random.Random(2)
     seqs = ["".join(rng.choice("ACGTN" if rng.random() < 0.2 else "ACGT") for _ in range(30)) for _ in range(12)]
     words = {w: 0.05 + rng.random() for k in (1, 2, 3) for w in map("".join, __import__("itertools").product("ACGT", repeat=k))}
@@ -199,6 +246,11 @@ def test_scanner_against_a_loop(spark):
     for order in (0, 1, 2):
         got = {r.doc_id: r.max_log_odds for r in sequences.scan(df, motifs, words, order).collect()}
         assert got == {k: pytest.approx(slow(s, order)) for k, s in enumerate(seqs)}
+    monkeypatch.setattr(sequences, "PIECE", 7)  # a kernel of its own below: the workers have their own
+    scanner = sequences.Scanner([(7, MATRIX), (8, MATRIX + MATRIX[:3])], words, 1)
+    for seq in seqs:
+        parts = [x for _, first, codes in sequences._pieces(pa.array([seq]), 6) for x in scanner.best(codes, first)]
+        assert max(x.max() for k, x in parts if k == 7) == pytest.approx(slow(seq, 1))
     with pytest.raises(Exception, match="finite score"):
         sequences.scan(spark.createDataFrame([(0, "N" * 9)], "doc_id bigint, seq string"), motifs, words, 0).collect()
 
@@ -321,17 +373,56 @@ def test_compared_prefers_itself(spark):
     flip = [r[::-1] for r in MATRIX[::-1]]
     q = spark.createDataFrame([(1, flip)], "query_id int, pwm array<array<double>>")
     t = spark.createDataFrame([("x", MATRIX), ("y", [[0.25, 0.25, 0.3, 0.2]] * 4)], "target_id string, pwm array<array<double>>")
-    best = discovery.compared(q, t, 3).orderBy(F.desc("score")).first()
+    best = comparison.compared(q, t, 3).orderBy(F.desc("score")).first()
     assert (best.target_id, best.strand, round(best.score, 9)) == ("x", "-", 1.0)
 
 
+def test_match_significance_is_that_of_all_draws_of_columns(spark, monkeypatch):
+    """p of every pair against an enumeration of all triples of catalogue columns, in one block of the catalogue and in several."""
+    rng = np.random.default_rng(8)
+    made = lambda width: rng.dirichlet([0.5] * 4, width).round(3)
+    queries = {k: made(3) for k in range(3)}
+    catalogue = {k: made(rng.integers(2, 5)) for k in range(7)}
+    catalogue[5] = queries[1][::-1, ::-1]
+    unit = lambda m: [comparison.unit_rows([r])[0] for r in m]
+    bins = lambda a, b: int(np.floor(round(float(a @ b), 9) * 25 + 25.5))
+    both = lambda m: (np.asarray(m), np.asarray(m)[::-1, ::-1])
+    pool = [c for m in catalogue.values() for s in both(m) for c in unit(s)]
+    want = {}
+    for q, x in queries.items():
+        scores = [[bins(a, b) for b in pool] for a in unit(x)]
+        totals = {(lo, hi): np.array([sum(t) for t in itertools.product(*scores[lo:hi])]) for lo in range(3) for hi in range(lo + 2, 4)}
+        for t, m in catalogue.items():
+            least, tried = 1.0, 0
+            for y in map(unit, both(m)):
+                for shift in range(2 - len(y), 2):
+                    lo, hi = max(0, shift), min(3, shift + len(y))
+                    s = sum(bins(unit(x)[k], y[k - shift]) for k in range(lo, hi))
+                    least, tried = min(least, float((totals[lo, hi] >= s).mean())), tried + 1
+            want[q, t] = 1 - (1 - least) ** tried
+    frame = lambda name, rows: spark.createDataFrame([(k, m.tolist()) for k, m in rows.items()], f"{name} int, pwm array<array<double>>")
+    for block in (1000, 2):
+        monkeypatch.setattr(comparison, "TARGETS", block)
+        monkeypatch.setattr(comparison, "QUERIES", block)
+        got = comparison.matches(frame("query_id", queries), frame("target_id", catalogue), 2).collect()
+        assert len(got) == 21 and all(abs(r.p - want[r.query_id, r.target_id]) < 1e-9 and abs(r.e - 7 * r.p) < 1e-9 for r in got)
+        best = min((r for r in got if r.query_id == 1), key=lambda r: r.p)
+        assert (best.target_id, best.strand, best.shift, best.overlap) == (5, "-", 0, 3)
+        for q in queries:
+            ps = sorted(r.p for r in got if r.query_id == q)
+            for r in (r for r in got if r.query_id == q):
+                assert abs(r.q - min(1, min(p * 7 / (k + 1) for k, p in enumerate(ps) if p >= r.p))) < 1e-9
+    assert comparison.matches(frame("query_id", queries), frame("target_id", {}), 2).count() == 0
+    assert comparison.matches(frame("query_id", queries), frame("target_id", catalogue), 5).count() == 0
+
+
 def test_compared_leaves_no_target_out(spark, monkeypatch):
-    monkeypatch.setattr(discovery, "MOST_TARGETS", 100)
+    monkeypatch.setattr(comparison, "TARGETS", 100)
     q = spark.createDataFrame([(1, MATRIX), (2, MATRIX[:3])], "query_id int, pwm array<array<double>>")
     t = spark.range(1100).select(F.col("id").alias("target_id")).crossJoin(q.where("query_id = 1").select("pwm"))
-    got = discovery.compared(q, t, 3).groupBy("query_id").agg(F.countDistinct("target_id").alias("n"), F.min("score").alias("s")).collect()
+    got = comparison.compared(q, t, 3).groupBy("query_id").agg(F.countDistinct("target_id").alias("n"), F.min("score").alias("s")).collect()
     assert {r.query_id: r.n for r in got} == {1: 1100, 2: 1100} and all(r.s > 0.99 for r in got)
-    assert discovery.compared(q, t, 5).count() == 0
+    assert comparison.compared(q, t, 5).count() == 0
 
 
 def test_logistic_models_against_newton(spark):
