@@ -12,6 +12,7 @@ from helixframe.operators.ranking import auroc, average_precision
 from helixframe.operators.sequences import motif_distances, scan
 from helixframe.plans.materialise import broadcast_if_small, checkpointed
 
+#: The models, which begin the names of columns of pair tables (oops_ap, zoops_conf, weakest_log_confidence and so on).
 MODELS = ("oops", "zoops")
 #: What anchor and companion of a pair must have in common or must not.
 SAME_INPUT = ("input", "meme_seed", "discovery_background")
@@ -44,18 +45,42 @@ def _none(rows: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {first[0].asDict()}")
 
 
-def checked_cells(runs: DataFrame, samples: list[int], levels: list[float], width: int, sample_size: int, background: str = "markov2") -> DataFrame:
-    """runs, if they are the whole planned grid of sample, level, two inputs and both models, each once and of one protocol; else this fails."""
-    if runs.select("cohort").distinct().count() != 1:
+def planned_cells(samples: DataFrame, levels: list[float]) -> DataFrame:
+    """The grid of samples (sample), levels, two inputs and both models: sample, signal_percent, input_repeat, model."""
+    every = lambda values: F.explode(F.array(*map(F.lit, values)))
+    whole = samples.select("sample").distinct().withColumn("signal_percent", every([float(x) for x in levels]))
+    return whole.withColumn("input_repeat", every([0, 1])).withColumn("model", every(MODELS))
+
+
+def checked_cells(runs: DataFrame, grid: DataFrame, width: int, sample_size: int, background: str = "markov2") -> DataFrame:
+    """runs, if they are the whole planned grid (sample, signal_percent, input_repeat, model), each cell once and of one protocol; else this fails."""
+    if runs.select("cohort").distinct().limit(2).count() != 1:
         raise ValueError("one cohort at a time")
     _none(runs.where("order_repeat <> 0 or meme_repeat <> 0"), "audits are no primary observations")
     _none(runs.where((F.col("motif_width") != width) | (F.col("sample_size") != sample_size) | (F.col("background") != background)), "a run of another protocol")
     keys = ["sample", "signal_percent", "input_repeat", "model"]
     _none(runs.groupBy(*keys).count().where("count > 1"), "a cell is there twice")
-    wanted = runs.sparkSession.createDataFrame([(s, float(x)) for s in samples for x in levels], "sample int, signal_percent double")
-    wanted = wanted.withColumn("input_repeat", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
-    as_wanted = runs.select(*[F.col(c).cast(wanted.schema[c].dataType).alias(c) for c in keys])
-    _none(grid_difference(wanted, as_wanted, keys), "the grid is not whole")
+    _none(grid_difference(grid, runs.select(*[F.col(c).cast(grid.schema[c].dataType).alias(c) for c in keys]), keys), "the grid is not whole")
+    return runs
+
+
+def checked_protocol(runs: DataFrame, protocol: str, scoring: tuple[int, float], reference: DataFrame, declared: DataFrame, target: str, overlap: int) -> DataFrame:
+    """runs, if all were evaluated by this protocol against the declared reference; else this fails.
+
+    runs has run_id, record_run_id (as the result itself says), protocol, scoring_order, pseudocount, meme_seed and
+    motif_seed (as the motif says). reference and declared are catalogues (target_id, pwm); both
+    must hold the target alone and the same matrix, and overlap must fit its width."""
+    order, pseudocount = scoring
+    _none(runs.where((F.col("scoring_order") != order) | (F.col("pseudocount") != pseudocount)), f"the protocol requires scoring order {order} and pseudocount {pseudocount}")
+    _none(runs.where(~F.col("protocol").eqNullSafe(F.lit(protocol)) | ~F.col("record_run_id").eqNullSafe(F.col("run_id"))), "inconsistent evaluation records")
+    _none(runs.where(~F.col("motif_seed").eqNullSafe(F.col("meme_seed"))), "the motif's seed differs from the evaluation record")
+    for catalogue in (reference, declared):
+        _none(catalogue.where(~F.col("target_id").eqNullSafe(F.lit(target))), "use only the declared target reference")
+    widest = reference.agg(F.max(F.size("pwm"))).first()[0]
+    if widest is None or not 0 < overlap <= widest:
+        raise ValueError("invalid overlap with the reference")
+    rows = lambda df: df.select("target_id", F.col("pwm").cast("string").alias("pwm"))
+    _none(grid_difference(rows(reference), rows(declared), ["target_id", "pwm"]), "the reference differs from the declared one")
     return runs
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.ladders import ladder_counts
-from helixframe.operators.ranking import average_precision, drawn_weights, numbered
+from helixframe.operators.ranking import drawn_weights, numbered, replicate_precision
 from helixframe.plans.materialise import broadcast_if_small
 
+#: Weights of blocks in replicates that go along with the tasks of a pass; 64 MB.
+WEIGHTS = 1 << 23
+
 
 def with_widths(plan: DataFrame, widths: list[int]) -> DataFrame:
     """Every task of plan at every width, of four columns at least; the width is part of run_id."""
@@ -65,19 +69,24 @@ def pair_features(pairs: DataFrame) -> DataFrame:
 def block_bootstrap(scored: DataFrame, block: str, one: str, two: str, replicates: int, seed: int) -> DataFrame:
     """replicate and delta: average precision by score two less that by score one, over drawn blocks (label, block, one, two).
 
-    A replicate takes as many draws as there are blocks. Rows are first counted by block,
-    score and label; a replicate only weights these counts, no row is repeated. Replicates of
-    one class have no delta."""
+    A replicate takes as many draws as there are blocks. Rows are counted by block, score and
+    label and read once for all replicates, or once for so many that their weights are at most
+    WEIGHTS numbers. Replicates of one class have no delta. Blocks are at most WEIGHTS."""
     names = broadcast_if_small(numbered(scored, block))
-    weights = drawn_weights(names.agg(F.count("*").alias("n")), [], replicates, seed).join(names, "k").select("replicate", block, "weight")
-    weights = broadcast_if_small(weights)
-
-    def ap(column: str, name: str) -> DataFrame:
-        counts = scored.groupBy(block, "label", F.col(column).alias("score")).agg(F.count("*").alias("rows_"))
-        weighted = counts.join(weights, block)
-        return average_precision(weighted, ["replicate"], F.col("weight") * F.col("rows_")).withColumnRenamed("ap", name)
-
-    return ap(one, "a").join(ap(two, "b"), "replicate").select("replicate", (F.col("b") - F.col("a")).alias("delta"))
+    rows = scored.join(names, block)
+    blocks = names.count()
+    if blocks > WEIGHTS:
+        raise ValueError(f"more than {WEIGHTS} blocks")
+    at_once, out = max(1, WEIGHTS // max(1, blocks)), None
+    for first in range(0, replicates, at_once):
+        last = min(replicates, first + at_once)
+        drawn = drawn_weights(names.agg(F.count("*").alias("n")), [], last, seed, first).select("replicate", "k", "weight").toArrow()
+        weights = np.zeros((blocks, last - first))
+        weights[drawn["k"].to_numpy(), drawn["replicate"].to_numpy() - first] = drawn["weight"].to_numpy()
+        a, b = (replicate_precision(rows.select("label", F.col(c).alias("score"), "k"), weights).withColumnRenamed("ap", c_) for c, c_ in ((one, "a"), (two, "b")))
+        part = a.join(b, "replicate").select((F.col("replicate") + first).alias("replicate"), (F.col("b") - F.col("a")).alias("delta"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def sigmoid_scores(rows: DataFrame, model: dict) -> Column:

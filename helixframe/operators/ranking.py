@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.keyed import unsigned_head
-from helixframe.plans.materialise import broadcast_if_small
+from helixframe.plans.materialise import broadcast_if_small, checkpointed
 from helixframe.plans.running import running, tiled
 
+#: Draws that one row lists, pairs of a tile of a bootstrap, and numbers that a task of replicates holds at once.
+DRAWS, TILE, NUMBERS = 4096, 4096, 1 << 22
+
 
 def _by_score(scored: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """One row a group and score: p and n count labels 1 and 0, each row weight times; fails on other labels or scores that are not finite."""
@@ -66,13 +74,14 @@ def sign_flip(differences: DataFrame, by: list[str], most: int = 20) -> DataFram
     return tested.groupBy(*by, "n_pairs", "mean").agg(extreme.alias("extreme"), F.count("*").alias("total"), (extreme / F.count("*")).alias("p"))
 
 
-def drawn_weights(sizes: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """by, replicate, k and weight: how often each member k (from 0) of a group of size n is drawn, with replacement, in each replicate.
+def drawn_weights(sizes: DataFrame, by: list[str], replicates: int, seed: int, first: int = 0) -> DataFrame:
+    """by, replicate, k and weight: how often each member k (from 0) of a group of size n is drawn, with replacement, in each replicate from first up to replicates.
 
     sizes has by and n. A draw is the leading 32 bits of a digest of seed, group, replicate and
-    number, modulo n, so any task, and any engine, can tell any draw."""
-    each = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("draw"))
-    drawn = each.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    number, modulo n, so any task, and any engine, can tell any draw. Draws are made DRAWS at a time."""
+    parts = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS))).alias("part_"))
+    each = parts.select(*by, "n", F.explode(F.sequence(F.col("part_") * DRAWS, F.least(F.col("n"), (F.col("part_") + 1) * DRAWS) - 1)).alias("draw"))
+    drawn = each.withColumn("replicate", F.explode(F.sequence(F.lit(first), F.lit(replicates - 1))))
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("replicate").cast("string"), F.col("draw").cast("string"))
     picked = drawn.withColumn("k", (unsigned_head(text, 8) % F.col("n").cast("decimal(20,0)")).cast("bigint"))
     return picked.groupBy(*by, F.col("replicate").cast("bigint").alias("replicate"), "k").agg(F.count("*").alias("weight"))
@@ -90,6 +99,108 @@ def bootstrap_mean(differences: DataFrame, by: list[str], seed: int, replicates:
     return plain.join(broadcast_if_small(ends), by)
 
 
+def _in_tile(n: int, tiles: int, tile: int, key: list[int], replicates: int) -> np.ndarray:
+    """How many of n draws fall into a tile, for each replicate; tiles hold TILE members but for the last.
+
+    The draws are split in halves from the whole down to the tile by binomials whose generators are
+    keyed by the place in the tree, so every task that asks gets the same counts, which add up to n."""
+    lo, hi, left = 0, tiles, np.full(replicates, n, np.int64)
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        below, whole = TILE * (middle - lo), min(n, TILE * hi) - TILE * lo
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([*key, lo, hi])))
+        first = rng.binomial(left, below / whole)
+        if tile < middle:
+            hi, left = middle, first
+        else:
+            lo, left = middle, left - first
+    return left
+
+
+def tiled_bootstrap_mean(differences: DataFrame, by: list[str], seed: int, replicates: int = 2000, confidence: float = 0.95) -> DataFrame:
+    """by, n_pairs, mean, lower and upper as bootstrap_mean has them, for groups of any size; its draws are others.
+
+    A group is cut into tiles of TILE pairs by k, its number from 0. A task tells how many of a replicate's
+    draws fall into its tile and draws that many pairs there; it passes on one sum a replicate, not
+    the pairs. Draws depend on seed, group and tile only. k must be 0 to n - 1 in each group."""
+    plain = broadcast_if_small(differences.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean"), F.max("k").alias("last_")))
+    fine = plain.where(F.assert_true(F.col("last_") == F.col("n_pairs") - 1, F.lit("pairs must be numbered from 0")).isNull())
+    sized = differences.join(fine.select(*by, "n_pairs"), by).withColumn("tile_", F.floor(F.col("k") / TILE)).withColumn("key_", F.xxhash64(*by) if by else F.lit(0).cast("bigint"))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        n, tile, group = (int(rows[c].iloc[0]) for c in ("n_pairs", "tile_", "key_"))
+        key = [seed, group % (1 << 64)]
+        d = rows.sort_values("k")["d"].to_numpy(float)
+        times = _in_tile(n, -(-n // TILE), tile, key, replicates)
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([*key, tile])))
+        sums = np.array([d[rng.integers(0, len(d), t)].sum() for t in times])
+        first = {c: [rows[c].iloc[0]] * replicates for c in by}
+        return pd.DataFrame(first | {"replicate": np.arange(replicates), "sum": sums})
+
+    kinds = "".join(f"{c} {differences.schema[c].dataType.simpleString()}, " for c in by)
+    sums = sized.select(*by, "k", "d", "n_pairs", "tile_", "key_").groupBy(*by, "tile_").applyInPandas(draw, f"{kinds}replicate int, sum double")
+    means = sums.groupBy(*by, "replicate").agg(F.sum("sum").alias("sum")).join(fine.select(*by, "n_pairs"), by).withColumn("mean_", F.col("sum") / F.col("n_pairs"))
+    tail = (1 - confidence) / 2
+    ends = means.groupBy(*by).agg(F.percentile("mean_", F.lit(tail)).alias("lower"), F.percentile("mean_", F.lit(1 - tail)).alias("upper"))
+    return fine.drop("last_").join(broadcast_if_small(ends), by)
+
+
+def replicate_precision(scored: DataFrame, weights: np.ndarray) -> DataFrame:
+    """replicate and ap: average precision of rows (label, score, k) under each column of weights [members k, replicates], rows of equal score entering together; null for one class.
+
+    Rows are counted by score, label and member, cut into tiles along score, and read once: a task goes down its
+    tiles with the running counts of all replicates side by side, which start from the tiles
+    above it. No row is repeated for a replicate; a task passes on a number a replicate."""
+    spark = scored.sparkSession
+    fine = F.col("label").isin(0, 1) & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
+    checked = scored.where(F.assert_true(F.coalesce(fine, F.lit(False)), F.lit("labels must be 0 or 1 and scores finite")).isNull())
+    counts = checkpointed(checked.groupBy("score", "label", "k").agg(F.count("*").alias("rows")).withColumn("whole_", F.lit(0)))
+    tiles = tiled(counts, ["whole_"], "score", descending=True).drop("whole_")
+    members, replicates = weights.shape
+    totals = tiles.groupBy("tile", "label", "k").agg(F.sum("rows").alias("rows")).toArrow()  # tiles times members, twice
+    at, where = np.unique(totals["tile"].to_numpy(), return_inverse=True)
+    sums = np.zeros((2, len(at), members))
+    np.add.at(sums, (totals["label"].to_numpy().astype(int), where, totals["k"].to_numpy()), totals["rows"].to_numpy())
+    whole = sums.sum(1) @ weights  # [label, replicates]
+    above = {int(t): sums[:, :k].sum(1) for k, t in enumerate(at)}
+    held = spark.sparkContext.broadcast((weights, above))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, above = held.value
+        area = np.zeros(replicates)
+        tile = score = None
+        passed, group = np.zeros((2, replicates)), np.zeros((2, replicates))  # n and p of higher scores, and of the score at hand
+
+        def enter() -> None:
+            nonlocal area, passed, group
+            passed = passed + group
+            seen = passed.sum(0)
+            area += np.divide(group[1] * passed[1], seen, out=np.zeros(replicates), where=seen > 0)
+            group = np.zeros((2, replicates))
+
+        some = max(1, NUMBERS // replicates)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, some):
+                t, s, label, k, rows = (c.to_numpy(zero_copy_only=False) for c in batch.slice(lo, some).columns)
+                cuts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
+                each = weights[k] * rows[:, None]
+                sides = [np.add.reduceat(each * (label == y)[:, None], cuts) for y in (0, 1)]
+                for g, first in enumerate(cuts.tolist()):
+                    if (t[first], s[first]) != (tile, score):
+                        enter()
+                        if t[first] != tile:
+                            tile, passed = t[first], above[int(t[first])] @ weights
+                        score = s[first]
+                    group = group + np.stack([sides[0][g], sides[1][g]])
+        enter()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(area)], names=["replicate", "area"])
+
+    sorted_ = tiles.select("tile", "score", F.col("label").cast("int").alias("label"), "k", "rows").repartition("tile").sortWithinPartitions("tile", F.desc("score"))
+    areas = sorted_.mapInArrow(go, "replicate bigint, area double").groupBy("replicate").agg(F.sum("area").alias("area"))
+    ends = spark.createDataFrame([(r, float(p), float(n)) for r, (n, p) in enumerate(whole.T)], "replicate bigint, p double, n double")
+    return ends.join(areas, "replicate").select("replicate", F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("area") / F.col("p")).alias("ap"))
+
+
 def numbered(names: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column with k, their place in order from 0; names of clusters or blocks, a short list."""
     return names.select(column).distinct().withColumn("k", (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint"))

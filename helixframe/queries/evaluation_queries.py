@@ -11,6 +11,7 @@ from helixframe.operators import evaluation as ev
 from helixframe.operators import sampling as sp
 from helixframe.operators import sequences as sq
 from helixframe.operators import splits
+from helixframe.plans.materialise import checkpointed
 from helixframe.queries import interval_queries as iq
 from helixframe.queries.plan_queries import SEEDS, _seed
 from helixframe.queries.sequence_queries import _COLUMN, LETTERS
@@ -64,15 +65,17 @@ def _runs(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    samples = [r[0] for r in runs.select("sample").distinct().collect()]  # a plan's samples, a short list
-    return ev.checked_cells(runs, samples, LEVELS, 16, SIZE)
+    """The runs of the samples that are there with all their cells; the last matrices need not fill one."""
+    runs = checkpointed(_runs(spark, sf_dir))
+    cells = len(LEVELS) * 4
+    samples = runs.groupBy("sample").count().where(F.col("count") == cells).select("sample")
+    return ev.checked_cells(runs.join(samples, "sample", "left_semi"), ev.planned_cells(samples, LEVELS), 16, SIZE)
 
 
 def paired_records(spark, sf_dir):
     """The pairs of the whole grid, with reference matches made of lineitem."""
     runs = _checked(spark, sf_dir)
-    n = runs.count()
+    n = table(spark, sf_dir, "embeddings").count()
     parts = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     matches = parts.select((F.col("l_orderkey") % n).alias("run_id"), F.col("p_brand").alias("target"), F.col("p_size").alias("match_overlap"), (F.col("l_discount") + F.col("l_tax")).alias("p"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
     found = ev.paired_records(runs, matches, TARGET, OVERLAP, LIMIT)
@@ -161,7 +164,7 @@ SELECT count(*) AS n_overlaps FROM s a WHERE test AND EXISTS (SELECT 1 FROM s b
 SELECT sample, CAST(signal AS DOUBLE) AS signal_percent, CAST(100 - signal AS DOUBLE) AS contamination_percent, CAST(shift AS INT) AS alignment_offset, strand AS alignment_strand, overlap AS alignment_overlap, o.weak AS oops_weak_reference, z.weak AS zoops_weak_reference,
  greatest(o.weak, z.weak) AS weak_reference, {_CLAMPED.format('jsd_o')} AS disagreement, {_CLAMPED.format('jsd_p')} AS oops_resampling, {_CLAMPED.format('jsd_q')} AS zoops_resampling, {_CLAMPED.format('greatest(jsd_p, jsd_q)')} AS resampling_instability,
  round({_LOG.format('least(oops_evalue, zoops_evalue)')}, 6) AS weakest_log_confidence, round(least(oops_ap, zoops_ap), 6) AS minimum_ap, round(zoops_fraction, 6) AS zoops_site_fraction, round(o.p, 6) AS oops_reference_p, round(z.p, 6) AS zoops_reference_p
-FROM flat JOIN line USING (cell) JOIN ref o ON o.vec_id = cell * 4 JOIN ref z ON z.vec_id = cell * 4 + 1""",
+FROM flat JOIN line USING (cell) JOIN ref o ON o.vec_id = cell * 4 JOIN ref z ON z.vec_id = cell * 4 + 1 WHERE sample IN (SELECT vec_id // 20 FROM embeddings GROUP BY ALL HAVING count(*) = 20)""",
     "pwm_dist_unclamped": f"""WITH {V['matrices']}, sides AS (SELECT vec_id, k, a, c, g, t, '+' AS strand FROM v_pwm UNION ALL SELECT vec_id, 15 - k, t, g, c, a, '-' FROM v_pwm),
  s AS (SELECT x.vec_id // 2 AS pair, strand, shift, (sum({_COLUMN['jsd']}) + 32 - 2 * count(*)) / (32 - count(*)) AS score FROM v_pwm x JOIN sides y ON y.vec_id = x.vec_id + 1 JOIN (SELECT unnest(range(-3, 4)) AS shift) ON x.k = y.k + shift WHERE x.vec_id % 2 = 0 GROUP BY ALL)
 SELECT pair, round(min(score), 9) AS distance FROM s GROUP BY pair""",

@@ -377,6 +377,46 @@ def test_compared_prefers_itself(spark):
     assert (best.target_id, best.strand, round(best.score, 9)) == ("x", "-", 1.0)
 
 
+def test_tiles_share_the_draws_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TILE", 100)
+    shares = [ranking._in_tile(1030, 11, t, [7, 3], 400) for t in range(11)]
+    assert (sum(shares) == 1030).all()
+    means = [x.mean() for x in shares]
+    assert all(abs(m - 100) < 3 for m in means[:10]) and abs(means[10] - 30) < 2
+    monkeypatch.undo()
+    rng = np.random.default_rng(6)
+    d = rng.normal(3, 2, 30_000)
+    df = spark.createDataFrame([("a", k, float(x)) for k, x in enumerate(d)] + [("b", 0, 5.0), (None, 0, 1.0), (None, 1, 3.0)], "g string, k bigint, d double")
+    rows = [{r.g: tuple(r)[1:] for r in ranking.tiled_bootstrap_mean(df.repartition(n), ["g"], 4, 400).collect()} for n in (3, 7)]
+    assert all(rows[0][g] == pytest.approx(rows[1][g]) for g in rows[0]) and rows[0].keys() == rows[1].keys()  # whatever the partitions
+    n, mean, lower, upper = rows[0]["a"]
+    half = 1.96 * d.std() / 30_000**0.5
+    assert n == 30_000 and mean == pytest.approx(d.mean()) and abs(lower - (mean - half)) < 0.2 * half and abs(upper - (mean + half)) < 0.2 * half
+    assert rows[0]["b"] == (1, 5.0, 5.0, 5.0)
+    with pytest.raises(Exception, match="numbered"):
+        ranking.tiled_bootstrap_mean(df.withColumn("k", F.col("k") + 1), ["g"], 4, 10).collect()
+
+
+def test_replicates_read_rows_once(spark):
+    """Ten thousand replicates of average precision: as by a loop, with joins and kernels that see no more rows than there are."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.random() < 0.4), float(rng.integers(0, 40)), int(rng.integers(0, 6))) for _ in range(900)]
+    df = spark.createDataFrame(rows, "label int, score double, k bigint").repartition(3)
+    weights = rng.multinomial(6, [1 / 6] * 6, 10_000).T.astype(float)
+    weights[:, 0] = 0
+    got = {r.replicate: r.ap for r in ranking.replicate_precision(df, weights).collect()}
+    assert len(got) == 10_000 and got[0] is None
+    label, score, k = (np.array(c) for c in zip(*rows, strict=True))
+    for r in (1, 2, 77, 9_999):
+        w = weights[k, r]
+        passed = {s: ((w * label)[score >= s].sum(), w[score >= s].sum()) for s in set(score)}
+        want = sum((w * label)[score == s].sum() * p / n for s, (p, n) in passed.items() if n) / (w * label).sum()
+        assert got[r] == pytest.approx(want)
+    scored = df.select("label", F.col("k").alias("block"), "score", (-F.col("score")).alias("other"))
+    found = extensions.block_bootstrap(scored, "block", "other", "score", 25, 5)
+    assert found.count() == 25 and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_match_significance_is_that_of_all_draws_of_columns(spark, monkeypatch):
     """p of every pair against an enumeration of all triples of catalogue columns, in one block of the catalogue and in several."""
     rng = np.random.default_rng(8)
@@ -478,8 +518,42 @@ def pair_runs(spark, change=None):
     return spark.createDataFrame(change(rows) if change else rows)
 
 
+def test_pairs_of_a_table_that_fills_no_whole_sample(spark, tmp_path):
+    import os
+
+    import duckdb
+
+    from helixframe.queries import evaluation_queries
+
+    for name in ("lineitem", "part"):
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 490").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    for name, path in (("lineitem", "lineitem.parquet"), ("part", "part.parquet"), ("embeddings", "embeddings.parquet/*.parquet")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{path}'")
+    got = evaluation_queries.paired_records(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({evaluation_queries.SQL['paired_records']})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*columns).collect()) and len(want) == 24 * 5
+
+
+def test_evaluations_of_another_protocol_are_refused(spark):
+    made = lambda **new: spark.createDataFrame([("r", "r", "p1", 2, 0.5, 7, 7)], "run_id string, record_run_id string, protocol string, scoring_order int, pseudocount double, meme_seed int, motif_seed int").withColumns({k: F.lit(v) for k, v in new.items()})
+    catalogue = lambda *rows: spark.createDataFrame(list(rows), "target_id string, pwm array<array<double>>")
+    own, other = catalogue(("t", MATRIX)), catalogue(("t", MATRIX[:3]))
+    ask = lambda runs, reference=own, declared=own, overlap=3: evaluation.checked_protocol(runs, "p1", (2, 0.5), reference, declared, "t", overlap)
+    assert ask(made()).count() == 1
+    for runs, message in ((made(scoring_order=1), "scoring order"), (made(pseudocount=0.1), "scoring order"), (made(protocol="p2"), "inconsistent"), (made(record_run_id="s"), "inconsistent"), (made(motif_seed=8), "seed")):
+        with pytest.raises(ValueError, match=message):
+            ask(runs)
+    for reference, declared, overlap, message in ((own, other, 3, "differs"), (catalogue(("u", MATRIX)), own, 3, "target reference"), (own, own, 9, "overlap"), (own, own, 0, "overlap"), (own.limit(0), own, 3, "overlap")):
+        with pytest.raises(ValueError, match=message):
+            ask(made(), reference, declared, overlap)
+
+
 def test_pairs_need_the_whole_grid_and_like_inputs(spark):
-    check = lambda change=None: evaluation.checked_cells(pair_runs(spark, change), [1, 2], [100.0, 0.0], 8, 20)
+    grid = evaluation.planned_cells(spark.createDataFrame([(1,), (2,)], "sample int"), [100.0, 0.0])
+    check = lambda change=None: evaluation.checked_cells(pair_runs(spark, change), grid, 8, 20)
     matches = spark.createDataFrame([("1100.00oops", "t", 9, 0.01, 1)], "run_id string, target string, match_overlap int, p double, place int")
     pairs = evaluation.paired_records(check(), matches, "t", 5, 0.05).collect()
     assert len(pairs) == 4 and all(0 <= r.disagreement <= 1 and 0 <= r.oops_resampling <= 1 for r in pairs)
