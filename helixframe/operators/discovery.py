@@ -1,32 +1,42 @@
-"""Motif discovery by expectation-maximisation in Spark rounds over whole sequence sets, and motif comparison.
+"""Motif discovery by expectation-maximisation in Spark rounds over whole sequence sets, with significance.
 
-This is the published mixture model in its two forms, one motif a sequence or at most one.
-It gives matrices and site counts; significance values of external programs are not imitated."""
+This is the published mixture model in its two forms, one motif a sequence or at most one. The
+starts are words: Spark counts all words of a set in one pass, the words that stand there most
+beyond what single letters explain are grown into matrices on these counts alone, a table of at
+most 4 ** WORD numbers a set, and only the likeliest goes on into rounds over the sequences.
+
+Significance asks how surely the motif is more than chance. The scores of its windows under the
+background have a distribution that follows column by column, by convolution; it turns the best
+window of each sequence into a chance. The number of sequences below a level is then held against
+a binomial, at the best of LEVELS levels. The E-value multiplies by the levels and by the words that
+could have started a motif."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from helixframe.operators.sequences import _known, _pieces, _words
 from helixframe.plans.materialise import checkpointed
 
-#: Expectation-maximisation starts from so many sequences of a set and runs at most so many rounds.
-SEEDS, SCREEN, ROUNDS = 8, 3, 40
-#: Words of at most so many letters are looked up at once; rows that a task holds as arrays at once.
-WORD, ROWS = 8, 512
-
+#: Words that start matrices, rounds on word counts, rounds over sequences at most, and how many sets there may be.
+STARTS, SCREEN, ROUNDS, MOST_SETS = 8, 30, 8, 1000
+#: A round that adds less than this share of the log likelihood ratio is the last.
+GAIN = 1e-4
+#: Words of at most so many letters are looked up at once.
+WORD = 8
+#: Window scores are put into bins of this width for their distribution; levels of chance that are tried.
+STEP, LEVELS = 0.02, 40
 
-def _encoded(seqs: list[str]) -> np.ndarray:
-    table = np.full(256, 4, np.int8)
-    for k, base in enumerate(b"ACGT"):
-        table[base] = k
-    return np.stack([table[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)] for s in seqs])
 
-
-def expectation_maximisation(codes: np.ndarray, width: int, model: str, rounds: int = 40, seeds: int = 8) -> tuple[np.ndarray, float, float]:
-    """(matrix, sites, log likelihood ratio) of the best start; codes is [n, length] with 4 for unknown letters."""
+def expectation_maximisation(codes: np.ndarray, starts: list[np.ndarray], model: str, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[np.ndarray, float, float]:
+    """(matrix, sites, log likelihood ratio) of the likeliest end, in memory; codes is [n, length] with 4 for unknown letters, starts are matrices."""
+    width = len(starts[0])
     n, size = codes.shape
     last = size - width + 1
     windows = np.stack([codes[:, j : j + last] for j in range(width)], 2)  # [n, last, width]
@@ -34,29 +44,25 @@ def expectation_maximisation(codes: np.ndarray, width: int, model: str, rounds:
     safe = np.where(windows < 4, windows, 0)
     known = codes[codes < 4]
     back = (np.bincount(known, minlength=4) + 1) / (len(known) + 4)
-    one_hot = np.eye(4)
-    best = (np.full((width, 4), 0.25), 0.0, -np.inf)
-    for start in range(seeds):
-        i, k = start * 7919 % n, start * 104729 % last
-        pwm = 0.6 * one_hot[safe[i, k]] + 0.4 * back
+    best = (starts[0], 0.0, -np.inf)
+    for pwm in starts:
         share, ratio = 0.5, -np.inf
         for _ in range(rounds):
             odds = np.log(pwm) - np.log(back)
             score = np.where(usable, sum(odds[j][safe[:, :, j]] for j in range(width)), -np.inf)
-            peak = np.maximum(score.max(1), 0)
-            weight = np.exp(score - peak[:, None])
+            weight = np.exp(score)
             mass = weight.sum(1) / last
             if model == "zoops":
-                has = share * mass / (share * mass + (1 - share) * np.exp(-peak))
-                now = float((np.log(share * mass + (1 - share) * np.exp(-peak)) + peak).sum())
+                has = share * mass / (share * mass + (1 - share))
+                now = float(np.log(share * mass + (1 - share)).sum())
                 share = float(np.clip(has.mean(), 1e-3, 1 - 1e-3))
             else:
                 has = (mass > 0).astype(float)
-                now = float((np.log(np.maximum(mass, 1e-300)) + peak).sum())
+                now = float(np.log(np.maximum(mass, 1e-300)).sum())
             place = weight / np.maximum(weight.sum(1, keepdims=True), 1e-300) * has[:, None]
             counts = np.stack([[float(place[safe[:, :, j] == b].sum()) for b in range(4)] for j in range(width)])
-            pwm = (counts + 0.25) / (counts.sum(1, keepdims=True) + 1)
-            if now - ratio < 1e-6 * max(1.0, abs(now)):
+            pwm = _smoothed(counts)
+            if now - ratio < gain * max(1.0, abs(now)):
                 break
             ratio = now
         if ratio > best[2]:
@@ -64,24 +70,12 @@ def expectation_maximisation(codes: np.ndarray, width: int, model: str, rounds:
     return best
 
 
-def _words(codes: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each piece of at most WORD columns of the windows the number of its word; 4 ** columns where a letter of the window is unknown."""
-    last = codes.shape[1] - width + 1
-    usable = np.ones((len(codes), last), bool)
-    for j in range(width):
-        usable &= codes[:, j : j + last] < 4
-    pieces = []
-    for lo in range(0, width, WORD):
-        n = min(WORD, width - lo)
-        word = np.zeros((len(codes), last), np.int32)
-        for j in range(lo, lo + n):
-            word = word * 4 + codes[:, j : j + last]
-        pieces.append(np.where(usable, word, 4**n))
-    return pieces
+def _smoothed(counts: np.ndarray) -> np.ndarray:
+    return (counts + 0.25) / (counts.sum(1, keepdims=True) + 1)
 
 
 def _tables(ratio: np.ndarray) -> list[np.ndarray]:
-    """For each piece the product of the columns' ratios by word, and 0 for a word with an unknown letter."""
+    """For each piece of at most WORD columns the product of the columns' ratios by word, and 0 for a word with an unknown letter."""
     tables = []
     for lo in range(0, len(ratio), WORD):
         made = np.ones(1)
@@ -91,106 +85,207 @@ def _tables(ratio: np.ndarray) -> list[np.ndarray]:
     return tables
 
 
+def _numbers(codes: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each piece of at most WORD columns of the windows the number of its word; 4 ** columns where a letter of the window is unknown."""
+    usable, pieces = _known(codes, width), []
+    for lo in range(0, width, WORD):
+        n = min(WORD, width - lo)
+        pieces.append(np.where(usable, _words(codes, n)[lo : lo + len(usable)], 4**n))
+    return pieces
+
+
 def _letters(sums: np.ndarray, columns: int) -> np.ndarray:
     """Counts [columns, 4] from the sums by word."""
-    cube = sums[:-1].reshape((4,) * columns)
+    cube = sums.reshape((4,) * columns)
     return np.stack([cube.sum(tuple(x for x in range(columns) if x != j)) for j in range(columns)])
 
 
-def _expected(codes: np.ndarray, width: int, model: str, states: list[tuple[int, np.ndarray, float]]) -> dict[int, np.ndarray]:
-    """For each start (number, ratios of matrix and background, share): log likelihood ratio, sequences with a site, sites and counts."""
-    last = codes.shape[1] - width + 1
-    words = _words(codes, width)
-    out = {}
-    for seed, ratio, share in states:
-        weight = np.ones((len(codes), last))
-        for word, by_word in zip(words, _tables(ratio), strict=True):
-            weight *= by_word[word]
-        total = weight.sum(1)
-        mass = total / last
-        if model == "zoops":
-            has, now = share * mass / (share * mass + (1 - share)), np.log(share * mass + (1 - share))
-        else:
-            has, now = (mass > 0).astype(float), np.log(np.maximum(mass, 1e-300))
-        place = weight * (has / np.maximum(total, 1e-300))[:, None]
-        counts = []
-        for k, word in enumerate(words):
-            n = min(WORD, width - k * WORD)
-            counts.append(_letters(np.bincount(word.ravel(), place.ravel(), 4**n + 1), n))
-        out[seed] = np.concatenate([[now.sum(), has.sum(), place.sum()], np.concatenate(counts).ravel()])
-    return out
-
-
-def discovered(tasks: DataFrame, width: int, model: str = "zoops", screen: int = SCREEN) -> DataFrame:
-    """task, pwm, sites, score and n for the sequence sets (task, doc_id, seq); sets are few, as their matrices are held by the driver.
-
-    All sequences take part, those shorter than the motif as ones without a site: in each round
-    the tasks sum the expected counts of their rows under the matrices so far, Spark adds them
-    up by set and start, and the driver makes the next matrices. The starts are the longest
-    sequences with the smallest hashes of doc_id; after screen rounds only the likeliest start
-    of a set goes on."""
-    from pyspark.sql import Window
+def _by_sequence(values: np.ndarray, first: np.ndarray, size: int, how) -> np.ndarray:
+    """how (a ufunc) over the windows that begin in each sequence; values has none for the last places of the codes."""
+    return how.reduceat(np.concatenate([values, np.zeros(size - len(values), values.dtype)]), first)
+
+
+def _expected(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int, model: str, ratio: np.ndarray, share: float) -> np.ndarray:
+    """Log likelihood ratio, sequences with a site, sites and counts of the sequences that begin at first."""
+    words = _numbers(codes, width)
+    weight = np.ones(len(words[0]))
+    for word, by_word in zip(words, _tables(ratio), strict=True):
+        weight *= by_word[word]
+    total = _by_sequence(weight, first, len(codes), np.add)
+    mass = total / np.maximum(sizes - width + 1, 1)
+    if model == "zoops":
+        has, now = share * mass / (share * mass + (1 - share)), np.log(share * mass + (1 - share))
+    else:
+        has, now = (mass > 0).astype(float), np.log(np.maximum(mass, 1e-300))
+    factor = np.repeat(has / np.maximum(total, 1e-300), np.diff(np.append(first, len(codes))))
+    place = weight * factor[: len(weight)]
+    counts = []
+    for k, word in enumerate(words):
+        n = min(WORD, width - k * WORD)
+        counts.append(_letters(np.bincount(word, place, 4**n + 1)[:-1], n))
+    long = sizes >= width
+    return np.concatenate([[now[long].sum(), has[long].sum(), place.sum()], np.concatenate(counts).ravel()])
+
+
+def _over_sets(rows: DataFrame, sent: dict, make, overlap: int, schema: str) -> DataFrame:
+    """(task, k, value): the sums of the arrays that make(task, codes, first, sizes) gives, by set; only numbers that are not 0 move."""
+    kind = to_arrow_type(rows.schema["task"].dataType)
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            tasks = np.array(batch.column(0).to_pylist(), object)
+            for task in set(tasks.tolist()) & sent.keys():
+                some = batch.column(1).filter(pa.array([t == task for t in tasks]))
+                for _, first, codes in _pieces(some, overlap):
+                    sizes = np.diff(np.append(first, len(codes))) - 1
+                    sums[task] = sums.get(task, 0) + make(sent[task], codes, first, sizes)
+        for task, made in sums.items():
+            at = np.flatnonzero(made)
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(at), kind), pa.array(at.astype(np.int32)), pa.array(made[at].astype(float))], names=["task", "k", "value"])
 
+    return rows.select("task", "seq").mapInArrow(run, schema).groupBy("task", "k").agg(F.sum("value").alias("value"))
+
+
+def _gathered(summed: DataFrame, size: int) -> dict:
+    """The sums of each set as an array of size numbers."""
+    found: dict = {}
+    table = summed.toArrow()  # at most sets times size numbers
+    for task, k, value in zip(table["task"].to_pylist(), table["k"].to_pylist(), table["value"].to_pylist(), strict=True):
+        found.setdefault(task, np.zeros(size))[k] = value
+    return found
+
+
+def start_words(counts: np.ndarray, letters: int, back: np.ndarray, starts: int) -> list[int]:
+    """The words (numbers in base 4) that occur most beyond what single letters explain; of words that share all but a letter at an end with a better one none."""
+    chance = np.ones(1)
+    for _ in range(letters):
+        chance = (chance[:, None] * back[None, :]).ravel()
+    wanted = counts.sum() * chance
+    excess = (counts - wanted) / np.sqrt(np.maximum(wanted, 1e-9))
+    taken: list[int] = []
+    size = 4 ** (letters - 1)
+    for at in np.argsort(-excess, kind="stable").tolist():
+        if all(at % size != t // 4 and at // 4 != t % size for t in taken):
+            taken.append(at)
+            if len(taken) == starts:
+                break
+    return taken
+
+
+def _grown(counts: np.ndarray, letters: int, back: np.ndarray, word: int) -> tuple[float, np.ndarray]:
+    """(log likelihood ratio, matrix) of a start by the mixture of motif and background on counts of words."""
+    digits = [word // 4**j % 4 for j in reversed(range(letters))]
+    pwm, share = 0.6 * np.eye(4)[digits] + 0.4 * back, 0.01
+    now = -math.inf
+    for _ in range(SCREEN):
+        weight = _tables(pwm / back)[0][:-1]
+        mixed = share * weight / (share * weight + (1 - share))
+        now = float((counts * np.log(share * weight + (1 - share))).sum())
+        place = counts * mixed
+        pwm, share = _smoothed(_letters(place, letters)), float(np.clip(place.sum() / max(1.0, counts.sum()), 1e-6, 0.5))
+    return now, pwm
+
+
+def score_tail(pwm: np.ndarray, back: np.ndarray) -> tuple[float, np.ndarray]:
+    """(lowest score, chances): the chance of a window score (log odds, in steps of STEP above the lowest) or a higher one under the background, by convolution over the columns."""
+    steps = np.round(np.log(pwm / back) / STEP).astype(int)
+    low = steps.min(1)
+    sums = np.ones(1)
+    for row, least in zip(steps, low, strict=True):
+        column = np.zeros(int(row.max() - least) + 1)
+        np.add.at(column, row - least, back)
+        sums = np.convolve(sums, column)
+    return float(low.sum()), np.minimum(1.0, np.cumsum(sums[::-1])[::-1])
+
+
+def _chances(state: dict, codes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many sequences have a best window of at most each level of chance, and how many there are."""
+    low, above, width = state["low"], state["above"], len(state["steps"])
+    words, score = _numbers(codes, width), 0
+    for k, word in enumerate(words):
+        table = np.zeros(1, np.int64)
+        for row in state["steps"][k * WORD : k * WORD + WORD]:
+            table = (table[:, None] + row[None, :]).ravel()
+        score = score + np.append(table, -(10**9))[word]
+    best = _by_sequence(np.maximum(score - int(low), -1), first, len(codes), np.maximum)[sizes >= width]
+    windows = (sizes - width + 1)[sizes >= width]
+    p = np.where(best >= 0, above[np.clip(best, 0, len(above) - 1)], 1.0)
+    whole = -np.expm1(windows * np.log1p(-np.minimum(p, 1 - 1e-16)))
+    return np.append([(whole <= level).sum() for level in state["levels"]], len(whole)).astype(float)
+
+
+def log_binomial_tail(k: int, n: int, p: float) -> float:
+    """The natural logarithm of the chance of k or more of n."""
+    if k <= n * p:
+        return 0.0
+    term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, ratio, at = 1.0, 1.0, k
+    while at < n and ratio > 1e-17:
+        ratio *= (n - at) / (at + 1) * p / (1 - p)
+        total += ratio
+        at += 1
+    return min(0.0, term + math.log(total))
+
+
+def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
+    """task, pwm, sites, score, n and log10_evalue for the sequence sets (task, doc_id, seq).
+
+    All sequences take part, those shorter than the motif as ones without a site: one pass counts words, at most
+    ROUNDS passes sum the expected counts under the matrix so far, one pass tells how many
+    sequences match how well. The driver holds a table of words and a matrix for each set, so
+    there may be MOST_SETS sets; more fail. log10_evalue is that of the number of motifs as
+    marked as this to be expected by chance. A sequence of more than a million letters counts as several. Fails on a
+    set without a sequence as long as the motif."""
     spark = tasks.sparkSession
-    # many rounds read the rows: they are dealt evenly once
-    rows = checkpointed(tasks.select("task", "doc_id", "seq").repartition(tasks.sparkSession.sparkContext.defaultParallelism, "doc_id"))
-    letter = lambda c: F.sum(F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))).alias(c)
-    sets = {r["task"]: r for r in rows.groupBy("task").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("size"), *map(letter, "ACGT")).collect()}
-    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.desc(F.length("seq")), F.xxhash64("doc_id"), "doc_id", "seq"))
-    starts: dict = {}
-    for r in sorted(rows.withColumn("rank_", rank).where(F.col("rank_") <= SEEDS).select("task", "seq", "rank_").collect(), key=lambda r: r["rank_"]):
-        starts.setdefault(r["task"], []).append(r["seq"])
-    back, state = {}, {}
+    # several rounds read the rows: they are dealt evenly once
+    rows = checkpointed(tasks.select("task", F.upper("seq").alias("seq")).where("seq is not null").repartition(spark.sparkContext.defaultParallelism))
+    kind = rows.schema["task"].dataType.simpleString()
+    schema = f"task {kind}, k int, value double"
+    facts = rows.groupBy("task").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("size")).limit(MOST_SETS + 1).collect()
+    if len(facts) > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} sets")
+    sets = {r["task"]: r for r in facts}
     for task, row in sets.items():
-        known = np.array([row[c] for c in "ACGT"], float)
-        back[task] = (known + 1) / (known.sum() + 4)
         if row["size"] < width:
             raise ValueError(f"no sequence of set {task} is as long as the motif")
-        long = [s for s in starts[task] if len(s) >= width]
-        for seed in range(SEEDS):
-            text = long[seed % len(long)]
-            at = seed * 104729 % (len(text) - width + 1)
-            seen = _encoded([text])[0, at : at + width]
-            state[task, seed] = {"pwm": 0.6 * np.eye(4)[np.where(seen < 4, seen, 0)] + 0.4 * back[task], "share": 0.5, "ratio": -np.inf, "sites": 0.0, "live": True}
-    for turn in range(ROUNDS):
-        if turn == screen:
-            for task in sets:
-                best = max(range(SEEDS), key=lambda seed: state[task, seed]["ratio"])
-                for seed in range(SEEDS):
-                    state[task, seed]["live"] &= seed == best
-        sent: dict = {}
-        for (task, seed), x in state.items():
-            if x["live"]:
-                sent.setdefault(task, []).append((seed, x["pwm"] / back[task], x["share"]))
+    letters = min(WORD, width)
+
+    def count(_, codes, first, sizes):
+        words = np.bincount(_words(codes, letters)[_known(codes, letters)], minlength=4**letters)
+        return np.concatenate([np.bincount(codes, minlength=5)[:4], words])
+
+    counted = _gathered(_over_sets(rows, dict.fromkeys(sets, True), count, letters - 1, schema), 4 + 4**letters)
+    state: dict = {}
+    for task in sets:
+        made = counted.get(task, np.zeros(4 + 4**letters))
+        back = (made[:4] + 1) / (made[:4].sum() + 4)
+        _, core = max((_grown(made[4:], letters, back, word) for word in start_words(made[4:], letters, back, STARTS)), key=lambda x: x[0])
+        side = (width - letters) // 2
+        pwm = np.concatenate([np.tile(back, (side, 1)), core, np.tile(back, (width - letters - side, 1))])
+        state[task] = {"back": back, "pwm": pwm, "start": pwm, "share": 0.5, "ratio": -np.inf, "sites": 0.0, "live": True}
+    for _ in range(ROUNDS):
+        sent = {task: (x["pwm"] / x["back"], x["share"]) for task, x in state.items() if x["live"]}
         if not sent:
             break
-
-        def summed(batches, sent=sent):
-            sums: dict = {}
-            for batch in batches:
-                for task, group in batch.groupby("task", dropna=False):
-                    task = None if pd.isna(task) else task
-                    for size, same in group.groupby(group["seq"].str.len()) if task in sent else ():
-                        for lo in range(0, len(same) if size >= width else 0, ROWS):
-                            for seed, made in _expected(_encoded(same["seq"].iloc[lo : lo + ROWS].tolist()), width, model, sent[task]).items():
-                                sums[task, seed] = sums.get((task, seed), 0) + made
-            for (task, seed), made in sums.items():
-                yield pd.DataFrame({"task": pd.Series([task] * len(made), dtype=object), "seed": seed, "k": range(len(made)), "value": made})
-
-        kind = rows.schema["task"].dataType.simpleString()
-        parts = rows.select("task", "seq").mapInPandas(summed, f"task {kind}, seed int, k int, value double")
-        found: dict = {}
-        for r in parts.groupBy("task", "seed", "k").agg(F.sum("value").alias("value")).collect():
-            found.setdefault((r["task"], r["seed"]), np.zeros(3 + 4 * width))[r["k"]] = r["value"]
-        for at, made in found.items():
-            x, counts = state[at], made[3:].reshape(width, 4)
+        make = lambda held, codes, first, sizes: _expected(codes, first, sizes, width, model, *held)
+        for task, made in _gathered(_over_sets(rows, sent, make, width - 1, schema), 3 + 4 * width).items():
+            x = state[task]
             if model == "zoops":
-                x["share"] = float(np.clip(made[1] / sets[at[0]]["n"], 1e-3, 1 - 1e-3))
-            x["pwm"], x["sites"] = (counts + 0.25) / (counts.sum(1, keepdims=True) + 1), float(made[2])
-            x["live"] = made[0] - x["ratio"] >= 1e-6 * max(1.0, abs(made[0]))
+                x["share"] = float(np.clip(made[1] / sets[task]["n"], 1e-3, 1 - 1e-3))
+            x["pwm"], x["sites"] = _smoothed(made[3:].reshape(width, 4)), float(made[2])
+            x["live"] = made[0] - x["ratio"] >= GAIN * max(1.0, abs(made[0]))
             x["ratio"] = float(made[0]) if x["live"] else x["ratio"]
+    levels = [0.5 * 0.7**k for k in range(LEVELS)]
+    sent = {}
+    for task, x in state.items():
+        low, above = score_tail(x["pwm"], x["back"])
+        sent[task] = {"low": low, "above": above, "steps": np.round(np.log(x["pwm"] / x["back"]) / STEP).astype(int), "levels": levels}
+    marked = _gathered(_over_sets(rows, sent, _chances, width - 1, schema), LEVELS + 1)
     out = []
     for task, row in sets.items():
-        best = max((state[task, seed] for seed in range(SEEDS)), key=lambda x: x["ratio"])
-        out.append((task, best["pwm"].tolist(), best["sites"], best["ratio"], row["n"]))
-    return spark.createDataFrame(out, f"task {rows.schema['task'].dataType.simpleString()}, pwm array<array<double>>, sites double, score double, n bigint")
+        x, hits = state[task], marked.get(task, np.zeros(LEVELS + 1))
+        surest = min(log_binomial_tail(int(k), int(hits[-1]), level) for k, level in zip(hits, levels, strict=False))
+        tried = math.log10(LEVELS) + letters * math.log10(4)
+        out.append((task, x["pwm"].tolist(), x["sites"], x["ratio"], row["n"], surest / math.log(10) + tried))
+    return spark.createDataFrame(out, f"task {kind}, pwm array<array<double>>, sites double, score double, n bigint, log10_evalue double")

@@ -80,7 +80,7 @@ def em_discovery(spark, sf_dir):
 
     tasks = views.sequences(spark, sf_dir).select(F.col("lang").alias("task"), F.col("window_id").alias("doc_id"), "seq")
     found = discovered(tasks, width=8)
-    return found.select("task", F.posexplode("pwm").alias("k", "r"), "sites").select("task", "k", *[F.round(F.element_at("r", j + 1), 6).alias(b) for j, b in enumerate("acgt")], "sites")
+    return found.select("task", F.posexplode("pwm").alias("k", "r"), "sites", "log10_evalue").select("task", "k", *[F.round(F.element_at("r", j + 1), 6).alias(b) for j, b in enumerate("acgt")], "sites", F.round("log10_evalue", 3).alias("log10_evalue"))
 
 
 QUERIES = {f.__name__: f for f in (ladder_records, ladder_counts, plan_grid, plan_pending, means_by_level, matched_sampling, em_discovery)}

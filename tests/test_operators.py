@@ -338,6 +338,13 @@ def test_matched_controls(spark):
         assert abs(gc(whole[r.start : r.end]) - gc(whole[k * 50 : k * 50 + 60])) <= 0.1 + 1e-9
 
 
+def word_starts(codes, width, back):
+    """Counts of words of codes [n, length] and the matrices that the best of them grow into."""
+    windows = [row[j : j + width] for row in codes for j in range(codes.shape[1] - width + 1)]
+    counts = np.bincount([int("".join(map(str, w)), 4) for w in windows if (w < 4).all()], minlength=4**width).astype(float)
+    return [discovery._grown(counts, width, back, w) for w in discovery.start_words(counts, width, back, discovery.STARTS)]
+
+
 def test_discovery_finds_a_planted_motif():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 4, (60, 50)).astype(np.int8)
@@ -345,28 +352,62 @@ def test_discovery_finds_a_planted_motif():
     for i in range(60):
         at = rng.integers(0, 42)
         codes[i, at : at + 8] = word
-    pwm, sites, _ = discovery.expectation_maximisation(codes, 8, "oops", seeds=40)
+    starts = [m for _, m in word_starts(codes, 8, np.full(4, 0.25))]
+    pwm, sites, _ = discovery.expectation_maximisation(codes, starts, "oops", rounds=40)
     assert pwm.max(1).mean() > 0.8 and sites > 30
 
 
-def test_discovery_takes_all_sequences(spark, monkeypatch):
-    """More sequences than one task once took: the same as the model in memory over all of them, from the same starts."""
+def test_discovery_takes_all_sequences(spark):
+    """The same as the model in memory over all sequences, from the same start; sets of other lengths beside it."""
     rng = np.random.default_rng(3)
     seqs = ["".join(rng.choice(list("ACGTN"), 30, p=[0.3, 0.2, 0.2, 0.29, 0.01])) for _ in range(2500)]
     for i in range(0, 2500, 2):
         at = rng.integers(0, 22)
         seqs[i] = seqs[i][:at] + "ACGTTGCA" + seqs[i][at + 8 :]
-    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(seqs)] + [("b", i, x[:20]) for i, x in enumerate(seqs[:40])], "task string, doc_id long, seq string")
-    first = [r.doc_id for r in df.where("task = 'a'").orderBy(F.xxhash64("doc_id")).limit(8).collect()]
-    order = dict(zip([s * 7919 % 2500 for s in range(8)], first, strict=True))
-    rest = iter([i for i in range(2500) if i not in first])
-    codes = discovery._encoded([seqs[order[k] if k in order else next(rest)] for k in range(2500)])
-    monkeypatch.setattr(discovery, "ROUNDS", 10)
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(seqs)] + [("b", i, x[: 20 - i % 3]) for i, x in enumerate(seqs[:40])] + [(None, 1, "ACGTACGTACGT"), (None, 2, "AC"), (None, 3, None)], "task string, doc_id long, seq string")
+    codes = np.array([["ACGTN".index(c) for c in s] for s in seqs])
+    letters = np.bincount(codes.ravel(), minlength=5)[:4]
+    back = (letters + 1) / (letters.sum() + 4)
+    start = max(word_starts(codes, 8, back), key=lambda x: x[0])[1]
     for model in ("zoops", "oops"):
-        got = {r.task: r for r in discovery.discovered(df, 8, model, screen=1000).collect()}
-        pwm, sites, score = discovery.expectation_maximisation(codes, 8, model, rounds=10)
-        assert (got["a"].n, got["b"].n) == (2500, 40)
-        assert np.allclose(np.array(got["a"].pwm), pwm, atol=1e-6) and got["a"].sites == pytest.approx(sites, rel=1e-6) and got["a"].score == pytest.approx(score, abs=1e-3)
+        got = {r.task: r for r in discovery.discovered(df, 8, model).collect()}
+        pwm, sites, score = discovery.expectation_maximisation(codes, [start], model)
+        assert (got["a"].n, got["b"].n, got[None].n) == (2500, 40, 2)
+        assert np.allclose(np.array(got["a"].pwm), pwm, atol=1e-6) and got["a"].sites == pytest.approx(sites, rel=1e-6) and got["a"].score == pytest.approx(score, rel=1e-6)
+        assert "".join("ACGT"[k] for k in np.argmax(got["a"].pwm, 1)) == "ACGTTGCA" and got["a"].log10_evalue < -50
+    with pytest.raises(ValueError, match="as long as"):
+        discovery.discovered(df.where("task = 'b'"), 21)
+
+
+def test_weak_motifs_are_told_from_chance(spark):
+    """A degenerate motif in one sequence of three is found and sure; sequences of single letters drawn alike hold none that is."""
+    rng = np.random.default_rng(11)
+    plain = ["".join(rng.choice(list("ACGT"), 60)) for _ in range(1500)]
+    pwm = np.full((10, 4), 0.1)
+    pwm[np.arange(10), [0, 2, 1, 1, 3, 0, 2, 3, 3, 1]] = 0.7
+    weak = []
+    for i, s in enumerate(plain):
+        at = rng.integers(0, 50)
+        site = "".join(rng.choice(list("ACGT"), p=row) for row in pwm)
+        weak.append(s[:at] + site + s[at + 10 :] if i % 3 == 0 else s)
+    rows = [("weak", i, s) for i, s in enumerate(weak)] + [("none", i, s) for i, s in enumerate(plain)]
+    found = {r.task: r for r in discovery.discovered(spark.createDataFrame(rows, "task string, doc_id long, seq string"), 10).collect()}
+    got = np.array(found["weak"].pwm)
+    match = max(sum(got[k - s].argmax() == pwm[k].argmax() for k in range(10) if 0 <= k - s < 10) for s in (-1, 0, 1))
+    assert match >= 8 and found["weak"].log10_evalue < -3 < found["none"].log10_evalue
+
+
+def test_chances_of_scores_and_counts():
+    pwm, back = np.array(MATRIX[:4]), np.array([0.3, 0.2, 0.2, 0.3])
+    low, above = discovery.score_tail(pwm, back)
+    steps = np.round(np.log(pwm / back) / discovery.STEP).astype(int)
+    every = [(sum(steps[j][c] for j, c in enumerate(w)), np.prod([back[c] for c in w])) for w in itertools.product(range(4), repeat=4)]
+    for score, _ in every:
+        assert above[int(score - low)] == pytest.approx(sum(p for s, p in every if s >= score))
+    for k, n, p in ((3, 10, 0.1), (9, 10, 0.5), (10, 10, 0.2), (50, 1000, 0.03)):
+        exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert discovery.log_binomial_tail(k, n, p) == pytest.approx(math.log(exact))
+    assert discovery.log_binomial_tail(1, 10, 0.5) == 0.0
 
 
 def test_compared_prefers_itself(spark):
