@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.dna import gc_fraction, n_fraction
@@ -14,20 +14,37 @@ from helixframe.plans.materialise import broadcast_if_small, checkpointed
 CHUNK = 1000
 #: So many open proposals are a short table.
 FEW = 50_000
+#: More keys than this make their attempts in growing waves.
+WAVES = 1000
+#: Controls for each positive by split.
+CONTRACT = {"train": 1, "test": 10}
+
+
+def genome_store(genome: DataFrame, name: str, buckets: int = 200) -> DataFrame:
+    """genome (chrom, piece, seq) as a table of the warehouse, bucketed by chromosome and piece: regions are read from it without moving it. Fails on a piece that is there twice."""
+    twice = genome.groupBy("chrom", "piece").count().where("count > 1").take(1)
+    if twice:
+        raise ValueError(f"a piece is there twice: {twice[0]['chrom']} {twice[0]['piece']}")
+    plain = genome.select("chrom", F.col("piece").cast("bigint").alias("piece"), "seq")
+    plain.repartition(buckets, "chrom", "piece").write.bucketBy(buckets, "chrom", "piece").sortBy("chrom", "piece").mode("overwrite").saveAsTable(name)
+    return genome.sparkSession.table(name)
 
 
 def region_sequences(regions: DataFrame, genome: DataFrame) -> DataFrame:
-    """regions (chrom, start, end) with seq, from pieces of CHUNK letters; regions that leave the genome drop out.
+    """regions (chrom, start, end) with seq, from pieces of CHUNK letters; fails on a region that leaves the genome or meets a piece twice.
 
     An equi-join on chromosome and piece; the pieces of a region are put together in order."""
     parts = regions.withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK))))
     keys = list(regions.columns)
-    joined = parts.join(genome.select("chrom", F.col("piece").cast("bigint").alias("piece"), F.col("seq").alias("part_")), ["chrom", "piece"])
-    grouped = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "part_"))).alias("parts_"))
+    letters = genome.select("chrom", F.col("piece").cast("bigint").alias("piece"), F.col("seq").alias("part_"))
+    grouped = parts.join(letters, ["chrom", "piece"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "part_"))).alias("parts_"), F.count_distinct("piece").alias("pieces_"))
     whole = F.array_join(F.transform("parts_", lambda p: p["part_"]), "")
     first = F.col("start") - F.col("parts_")[0]["piece"] * CHUNK
     cut = grouped.withColumn("seq", F.upper(whole.substr((first + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))))
-    return cut.where(F.length("seq") == F.col("end") - F.col("start")).drop("parts_")
+    met = (F.length("seq") == F.col("end") - F.col("start")) & ~F.exists("parts_", lambda p: p["part_"].isNull())
+    fine = F.assert_true(met, F.concat_ws(" ", F.lit("a region leaves the genome:"), "chrom", "start", "end")).isNull()
+    once = F.assert_true(F.size("parts_") % F.col("pieces_") == 0, F.lit("a piece is there twice")).isNull()
+    return cut.where(fine & once).drop("parts_", "pieces_")
 
 
 def _conflicts(proposals: DataFrame) -> DataFrame:
@@ -87,9 +104,10 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
     through all rounds before test keys, and a round's proposals are made for keys without a
     control only. A proposal must miss forbidden, lie in allowed where given, have few unknown
     letters and the positive's GC content within tolerance, and overlap none taken before it,
-    in the order of split, round, record, index and attempt. A key that no round serves fails
-    the job or, if not strict, comes back without a place."""
-    ratios = ratios or {"train": 1, "test": 10}
+    in the order of split, round, record, index and attempt. Attempts are read in waves, for keys that need them; the
+    result is that of the pass that reads all. A key that no round serves fails the job or, if
+    not strict, comes back without a place."""
+    ratios = ratios or CONTRACT
     length = F.length("seq")
     counted = F.coalesce(*[F.when(F.col("split") == s, F.lit(r)) for s, r in ratios.items()], F.lit(0))
     sizes = genome.groupBy("chrom").agg((F.max("piece") + 1).alias("pieces"))
@@ -98,23 +116,53 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
     keys = checkpointed(indexed.join(broadcast_if_small(sizes, 10_000), "chrom", "left").select("split", "record_id", "negative_index", "chrom", length.alias("length"), gc_fraction(F.col("seq")).alias("gc"), (F.coalesce("pieces", F.lit(0)) * CHUNK - length).alias("last")))
     closed, open_to = checkpointed(merged(forbidden)), None if allowed is None else checkpointed(merged(allowed))
     shown = ["split", "record_id", "negative_index", "chrom", "start", "end", "gc", "negative_gc", "attempt"]
+    own = ["record_id", "negative_index"]
     taken = None
+
+    def fitting(tried: DataFrame) -> DataFrame:
+        """The proposals of keys with attempts that fit by themselves, beside all taken so far."""
+        target = F.concat("record_id", F.lit("|negative="), F.col("negative_index").cast("string"))
+        proposals = tried.withColumn("start", keyed_start(seed, target, F.col("attempt"), F.col("last"))).withColumn("end", F.col("start") + F.col("length")).drop("last", "length")
+        free = overlapping(proposals, closed, keep=False, disjoint=True)
+        free = free if open_to is None else contained(free, open_to, disjoint=True)
+        free = free if taken is None else overlapping(free, taken, keep=False, disjoint=True)
+        read = region_sequences(free, genome)
+        fit = read.withColumn("negative_gc", gc_fraction(F.col("seq"))).where((n_fraction(F.col("seq")) <= most_unknown) & (F.abs(F.col("negative_gc") - F.col("gc")) <= tolerance + 1e-12))
+        return checkpointed(fit.drop("seq"))
+
+    def attempts(rows: DataFrame, first: Column, last: int) -> DataFrame:
+        return rows.withColumn("attempt", F.explode(F.sequence(first.cast("int"), F.lit(last)))).drop("next_")
+
     for split in ratios:
         waiting = keys.where((F.col("split") == split) & (F.col("last") >= 0))
         for turn in range(rounds):
             if taken is not None:
-                waiting = waiting.join(taken.select("record_id", "negative_index"), ["record_id", "negative_index"], "left_anti")
-            if waiting.limit(1).count() == 0:
+                waiting = waiting.join(taken.select(*own), own, "left_anti")
+            waiting = checkpointed(waiting)
+            left = waiting.count()
+            if not left:
                 break
-            tried = waiting.withColumn("attempt", F.explode(F.sequence(F.lit(turn * tries), F.lit((turn + 1) * tries - 1))))
-            target = F.concat("record_id", F.lit("|negative="), F.col("negative_index").cast("string"))
-            proposals = tried.withColumn("start", keyed_start(seed, target, F.col("attempt"), F.col("last"))).withColumn("end", F.col("start") + F.col("length")).drop("last", "length")
-            free = overlapping(proposals, closed, keep=False, disjoint=True)
-            free = free if open_to is None else contained(free, open_to, disjoint=True)
-            free = free if taken is None else overlapping(free, taken, keep=False, disjoint=True)
-            read = region_sequences(free, genome)
-            fit = read.withColumn("negative_gc", gc_fraction(F.col("seq"))).where((n_fraction(F.col("seq")) <= most_unknown) & (F.abs(F.col("negative_gc") - F.col("gc")) <= tolerance + 1e-12))
-            spots = first_fits(fit.drop("seq").withColumn("spot", F.struct("record_id", "negative_index", "attempt")), few)
+            # most keys need few attempts: they are made in growing waves, for keys without a fitting one
+            low, high = turn * tries, (turn + 1) * tries - 1
+            still, found, seen, size = waiting, None, None, 1 if left > WAVES else tries
+            while low <= high:
+                top = min(high, low + size - 1)
+                made = fitting(attempts(still, F.lit(low), top))
+                served = checkpointed(made.select(*own).distinct())
+                stopped = still.join(served, own, "left_semi").withColumn("next_", F.lit(top + 1))
+                found, seen = (made, stopped) if found is None else (found.unionByName(made), seen.unionByName(stopped))
+                low, size = top + 1, 2 * size
+                if low <= high:
+                    still = checkpointed(still.join(served, own, "left_anti"))
+                    low = high + 1 if not still.limit(1).count() else low
+            while True:
+                spots = checkpointed(first_fits(found.withColumn("spot", F.struct("record_id", "negative_index", "attempt")), few))
+                # a key whose fitting attempts are all overlapped gets its other attempts, and the pass begins anew
+                more = checkpointed(seen.where(F.col("next_") <= high).join(spots.select(*own), own, "left_anti"))
+                if not more.limit(1).count():
+                    break
+                found = found.unionByName(fitting(attempts(more, F.col("next_"), high)))
+                seen = checkpointed(seen.join(more.select(*own), own, "left_anti"))
             taken = checkpointed(spots.select(*shown) if taken is None else taken.unionByName(spots.select(*shown)))
     if taken is None:
         taken = keys.limit(0).select("split", "record_id", "negative_index", "chrom", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), "gc", F.col("gc").alias("negative_gc"), F.lit(0).alias("attempt"))
@@ -136,6 +184,14 @@ def negative_pairs(positives: DataFrame, controls: DataFrame) -> DataFrame:
     return own.join(fields, "record_id").withColumnRenamed("record_id", "positive_id")
 
 
+def sample_negatives(positives: DataFrame, genome: DataFrame, forbidden: DataFrame, ratios: dict[str, int] | None = None, **settings) -> DataFrame:
+    """The pair table of positives and their controls, ordered by split, positive_id and negative_index; other ratios than those of CONTRACT are refused."""
+    if ratios not in (None, CONTRACT):
+        raise ValueError(f"the protocol has {CONTRACT} controls for each positive")
+    controls = matched_controls(positives, genome, forbidden, ratios=CONTRACT, **settings)
+    return negative_pairs(positives, controls).orderBy("split", "positive_id", "negative_index")
+
+
 def cross_split_overlaps(controls: DataFrame) -> DataFrame:
     """n_overlaps: how many test controls overlap a train control."""
     hit = overlapping(controls.where("split = 'test'"), controls.where("split = 'train'"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import dna, keyed
 from helixframe.operators import cohorts, comparison, diagnostics, discovery, evaluation, extensions, intervals, ladders, ranking, regression, sampling, sequences, splits
+from helixframe.plans.materialise import checkpointed
 from helixframe.plans.running import ranked, tiled
 
 
@@ -338,6 +339,55 @@ def test_matched_controls(spark):
         assert abs(gc(whole[r.start : r.end]) - gc(whole[k * 50 : k * 50 + 60])) <= 0.1 + 1e-9
 
 
+@pytest.mark.parametrize("size,share", [(60_000, 0.25), (5_000, 1.0)])
+def test_waves_of_attempts_serve_as_the_whole_pass_does(spark, monkeypatch, size, share):
+    """Roomy and crowded genomes: the same controls as with all attempts at once, from fewer reads."""
+    rng = random.Random(size)
+    pieces = [("a", k, "".join(rng.choice("ACGT") for _ in range(sampling.CHUNK))) for k in range(size // sampling.CHUNK)]
+    genome = checkpointed(spark.createDataFrame(pieces, "chrom string, piece bigint, seq string"))
+    whole = "".join(p[2] for p in pieces)
+    positives = checkpointed(spark.createDataFrame([(f"p{k:02d}", "train" if k % 3 else "test", "a", whole[k * 50 : k * 50 + 60]) for k in range(40)], "record_id string, split string, chrom string, seq string"))
+    forbidden = regions(spark, [("a", 1000, 2000)])
+    reads, true = [], sampling.region_sequences
+    monkeypatch.setattr(sampling, "region_sequences", lambda rows, store: reads.append(rows.count()) or true(rows, store))
+    found, read = [], []
+    for waves in (0, 10**9):
+        monkeypatch.setattr(sampling, "WAVES", waves)
+        reads.clear()
+        rows = sampling.matched_controls(positives, genome, forbidden, tolerance=0.12, ratios={"train": 1, "test": 3}, rounds=2, strict=False).collect()
+        found.append(sorted((r.record_id, r.negative_index, r.start or -1, -1 if r.attempt is None else r.attempt) for r in rows))
+        read.append(sum(reads))
+    assert found[0] == found[1] and len(found[0]) == 26 + 42 and read[0] < share * read[1]
+
+
+def test_reads_fail_outside_the_genome_and_on_repeated_pieces(spark):
+    genome = spark.createDataFrame([("a", 0, "A" * sampling.CHUNK), ("a", 1, "C" * 500)], "chrom string, piece int, seq string")
+    ask = lambda rows, store=genome: sampling.region_sequences(regions(spark, rows), store).collect()
+    assert [(r.start, r.seq) for r in ask([("a", 997, 1003)])] == [(997, "AAACCC")] and len(ask([("a", 0, 5), ("a", 0, 5)])) == 1
+    for rows in ([("a", 1498, 1503)], [("a", 1999, 2003)], [("b", 0, 5)]):
+        with pytest.raises(Exception, match="leaves the genome"):
+            ask([("a", 0, 5), *rows])
+    with pytest.raises(Exception, match="twice|leaves"):
+        ask([("a", 997, 1003)], genome.unionByName(genome.limit(1)))
+    with pytest.raises(ValueError, match="twice"):
+        sampling.genome_store(genome.unionByName(genome.limit(1)), "genome_twice")
+    with pytest.raises(ValueError, match="controls for each"):
+        sampling.sample_negatives(regions(spark, []), genome, regions(spark, []), {"train": 2, "test": 10})
+
+
+def test_a_genome_store_is_not_moved(spark, tmp_path):
+    pieces = spark.createDataFrame([("a", k, "ACGT"[k % 4] * sampling.CHUNK) for k in range(40)], "chrom string, piece bigint, seq string")
+    spark.sql("DROP TABLE IF EXISTS genome_pieces")
+    try:
+        store = sampling.genome_store(pieces, "genome_pieces", 4)
+        found = sampling.region_sequences(regions(spark, [("a", k * 900, k * 900 + 30) for k in range(40)]).hint("shuffle_merge"), store.hint("merge"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scan = plan[plan.index("genome_pieces") :] if "genome_pieces" in plan else ""
+        assert len(found.collect()) == 40 and "Bucketed: true" in plan and "SelectedBucketsCount" in scan
+    finally:
+        spark.sql("DROP TABLE IF EXISTS genome_pieces")
+
+
 def word_starts(codes, width, back):
     """Counts of words of codes [n, length] and the matrices that the best of them grow into."""
     windows = [row[j : j + width] for row in codes for j in range(codes.shape[1] - width + 1)]
