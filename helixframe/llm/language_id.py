@@ -32,6 +32,8 @@ SAMPLE_DOCUMENTS = 96
 SAMPLE_SYMBOLS = 60_000
 #: All samples together, which bounds the automata at some 300 MB.
 ALL_SYMBOLS = 480_000
+#: So many languages are learnt at most, and so many characters of all of them reach the driver.
+MOST_LANGUAGES, ALL_CHARACTERS = 1000, 48_000_000
 #: Lengths in characters of the documents that a sample takes first; others follow where a language has too few, the longer ones with their first part.
 SAMPLE_LENGTHS = (200, 10_000)
 BLOCK = 256
@@ -127,7 +129,7 @@ class CrossParser:
         sizes = np.array([len(text) for text in self.texts], np.int64)
         self.bits = np.log2(np.maximum(2, sizes))
         self.base = np.ones(len(self.languages))
-        own = [np.mean([r[0][k] for r in self.rates(held.get(name) or samples[name][-8:])] or [1.0]) for k, name in enumerate(self.languages)]
+        own = [np.mean([r[0][0] for r in self.rates(held.get(name) or samples[name][-8:], [k])] or [1.0]) for k, name in enumerate(self.languages)]
         needs = np.array(own) * self.bits
         # A small sample needs many bits for its own text too; to divide by them would hide how badly it fits others.
         if len(sizes):
@@ -147,31 +149,34 @@ class CrossParser:
             _BUILT[digest] = made
         return _BUILT[digest]
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
-        """Phrases for each language (row) and block (column); blocks is [BLOCK, n], filled up with PADDING."""
-        counts = np.zeros((len(self.languages), blocks.shape[1]), np.int64)
+    def phrases(self, blocks: np.ndarray, which: list[int]) -> np.ndarray:
+        """Phrases for each of which languages (row) and block (column); blocks is [BLOCK, n], filled up with PADDING."""
+        counts = np.zeros((len(which), blocks.shape[1]), np.int64)
         live = blocks != PADDING
         full = live.all(axis=1)
-        for k, (step, width) in enumerate(zip(self.steps(), self.widths, strict=True)):
+        steps = self.steps()
+        for k, at in enumerate(which):
+            step, width = steps[at], self.widths[at]
             state = np.zeros(blocks.shape[1], np.int64)
-            for row, here, whole in zip(self.codes[k][blocks], live, full.tolist(), strict=True):
+            for row, here, whole in zip(self.codes[at][blocks], live, full.tolist(), strict=True):
                 value = step[state * width + row]
                 counts[k] += value & 1 if whole else (value & 1) * here
                 state = value >> 1
         return counts + 1
 
-    def rates(self, texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int]]:
-        """(phrases a symbol for each language, divided by the language's own rate; symbols) of folded texts."""
+    def rates(self, texts: list[np.ndarray], which: list[int] | None = None) -> Iterator[tuple[np.ndarray, int]]:
+        """(phrases a symbol for each of which languages, all if none are named, divided by the language's own rate; symbols) of folded texts."""
+        which = list(range(len(self.languages))) if which is None else which
         sizes = np.array([len(t) for t in texts], np.int64)
         tall = -(-sizes // BLOCK)
         ends = np.cumsum(tall)
         flat = np.full(int(ends[-1]) * BLOCK if len(ends) else 0, PADDING, np.uint8)
         for text, end, n in zip(texts, ends.tolist(), tall.tolist(), strict=True):
             flat[(end - n) * BLOCK : (end - n) * BLOCK + len(text)] = text
-        counts = self.phrases(np.ascontiguousarray(flat.reshape(-1, BLOCK).T)) if len(flat) else np.zeros((len(self.languages), 0))
-        sums = np.concatenate([np.zeros((len(self.languages), 1)), np.cumsum(counts, axis=1)], axis=1)
+        counts = self.phrases(np.ascontiguousarray(flat.reshape(-1, BLOCK).T), which) if len(flat) else np.zeros((len(which), 0))
+        sums = np.concatenate([np.zeros((len(which), 1)), np.cumsum(counts, axis=1)], axis=1)
         for end, n, size in zip(ends.tolist(), tall.tolist(), sizes.tolist(), strict=True):
-            yield (sums[:, end] - sums[:, end - n]) / max(1, size) / self.base, size
+            yield (sums[:, end] - sums[:, end - n]) / max(1, size) / self.base[which], size
 
     def judged(self, texts: list[np.ndarray]) -> Iterator[tuple[str, float]]:
         """(language, score): the score is the winner's share when each language weighs 2 ** -(excess bits of 40 symbols)."""
@@ -185,17 +190,26 @@ class CrossParser:
 
 
 def learned(docs: DataFrame, training: Column) -> CrossParser:
-    """The parser learnt from labelled documents where training holds; at most 1.5 * SAMPLE_DOCUMENTS rows a language reach the driver.
+    """The parser learnt from labelled documents where training holds.
 
-    Copies count once: Spark ranks the distinct hashes of a language's texts, and only the
-    texts of the first ones are fetched. A language with a single text holds back its end."""
+    At most 1.5 * SAMPLE_DOCUMENTS rows a language and ALL_CHARACTERS in all reach the driver: each language has an
+    equal share of them. More than MOST_LANGUAGES labels fail, as a column of something else would have. Copies
+    count once: Spark ranks the distinct hashes of a language's texts, and only the texts of the
+    first ones are fetched. A language with a single text holds back its end."""
     rank = Window.partitionBy("lang").orderBy("odd_", "hash_")
     keep = SAMPLE_DOCUMENTS + SAMPLE_DOCUMENTS // 2
     known = docs.where(training).where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("hash_"))
+    languages = known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    most = F.least(F.length("text"), F.lit(SAMPLE_LENGTHS[1]))
     odd = (~F.length("text").between(*SAMPLE_LENGTHS)).cast("int").alias("odd_")
-    keys = known.select("lang", "hash_", odd).distinct().withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= keep)
-    picked = known.join(F.broadcast(keys), ["lang", "hash_"])
-    rows = picked.groupBy("lang", "rank_").agg(F.min(F.substring("text", 1, SAMPLE_LENGTHS[1])).alias("text")).collect()
+    keys = known.select("lang", "hash_", odd, most.alias("most_")).distinct().withColumn("rank_", F.row_number().over(rank)).where(F.col("rank_") <= keep)
+    share = ALL_CHARACTERS // max(1, languages)
+    keys = keys.withColumn("before_", F.sum("most_").over(rank.rowsBetween(Window.unboundedPreceding, 0)) - F.col("most_")).where(F.col("before_") < share)
+    picked = known.join(F.broadcast(keys), ["lang", "hash_"])  # at most MOST_LANGUAGES * keep rows
+    cut = F.substring("text", F.lit(1), F.least(F.lit(SAMPLE_LENGTHS[1]), share - F.col("before_")).cast("int"))
+    rows = picked.groupBy("lang", "rank_").agg(F.min(cut).alias("text")).collect()
     samples: dict[str, list] = {}
     held: dict[str, list] = {}
     for at, row in enumerate(sorted(rows, key=lambda r: (r["lang"], r["rank_"])), 1):

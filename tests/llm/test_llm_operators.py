@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -416,6 +417,20 @@ def test_language_id_with_rare_labels_and_copies(spark):
     assert language_id.identified(new, parser).first().lang_pred == "yy"
 
 
+def test_language_id_with_many_labels(spark, monkeypatch):
+    """Hundreds of labels share what the driver takes, each is rated against itself only, and a column of something else fails."""
+    docs = spark.range(6000).select("id", (F.col("id") % 600).cast("string").alias("lang"), F.concat_ws(" ", F.lit("some text"), F.repeat(F.concat(F.sha2((F.col("id") % 600).cast("string"), 256), F.lit(" ")), 30), F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(language_id, "ALL_CHARACTERS", 600 * 500)
+    began, asked = time.time(), []
+    true = language_id.CrossParser.phrases
+    monkeypatch.setattr(language_id.CrossParser, "phrases", lambda self, blocks, which: asked.append(len(which)) or true(self, blocks, which))
+    parser = language_id.learned(docs, F.lit(True))
+    assert len(parser.languages) == 600 and sum(map(len, parser.texts)) <= 600 * 500 and max(asked) == 1 and time.time() - began < 60
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learned(docs.withColumn("lang", F.col("id").cast("string")), F.lit(True))
+
+
 def test_decontamination(spark, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     item = bench.first()
