@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.dna import with_pseudocount
+from helixframe.operators.comparison import matches
 from helixframe.operators.diagnostics import reference_results
 from helixframe.operators.extensions import grid_difference, pair_features
 from helixframe.operators.ranking import auroc, average_precision
@@ -39,6 +40,44 @@ def evaluated(motifs: DataFrame, positives: DataFrame, negatives: DataFrame, bac
     return own.join(broadcast_if_small(counts.join(ranks, "run_id")), "run_id")
 
 
+def evaluation_records(motifs: DataFrame, positives: DataFrame, negatives: DataFrame, catalogue: DataFrame, background: dict[str, float], order: int, pseudocount: float, overlap: int, protocol: str, done: DataFrame | None = None, score_path: str | None = None) -> DataFrame:
+    """The evaluation of every frozen motif as one record: its run's own columns, metrics, identity and all matches with the catalogue.
+
+    motifs has run_id, cohort, signal_percent, pwm, sites, primary_count and whatever else tells the run; these
+    columns come back as they are. Added are evaluation_id, protocol, scoring_order, pseudocount,
+    contamination_percent, ap, auroc, positives, negatives, site_fraction, motif_width, sample_size
+    and matches, an array by target_id of target_id, p, e, q, shift, strand and overlap (empty without a match).
+
+    Cells that done (run_id, protocol, scoring_order, pseudocount and pwm, as of earlier records) has are not evaluated
+    again; one of another protocol, scoring or matrix fails. With score_path the scores of all sequences
+    are written there as Parquet by cohort and run, each run's folder replaced as a whole."""
+    _none(motifs.groupBy("run_id").count().where("count > 1"), "a run is there twice")
+    todo = motifs
+    if done is not None:
+        met = motifs.select("run_id", F.col("pwm").alias("pwm_")).join(done, "run_id")
+        same = F.col("pwm").cast("string").eqNullSafe(F.col("pwm_").cast("string")) & (F.col("protocol") == protocol) & (F.col("scoring_order") == order) & (F.col("pseudocount") == pseudocount)
+        _none(met.where(~F.coalesce(same, F.lit(False))).select("run_id", "protocol", "scoring_order", "pseudocount"), "an earlier record is of another evaluation")
+        todo = motifs.join(done.select("run_id"), "run_id", "left_anti")
+    todo = checkpointed(todo)
+    scores = checkpointed(motif_scores(todo, positives, negatives, background, order, pseudocount))
+    if score_path is not None:
+        named = scores.join(todo.select("run_id", "cohort"), "run_id").select("cohort", "run_id", F.col("doc_id").alias("sequence_id"), "label", F.col("score").alias("max_log_odds"))
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("cohort", "run_id").parquet(score_path)
+    counts = scores.groupBy("run_id").agg(F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives"))
+    ranks = average_precision(scores, ["run_id"]).join(auroc(scores, ["run_id"]), "run_id")
+    found = matches(todo.select(F.col("run_id").alias("query_id"), "pwm"), catalogue, overlap)
+    each = F.struct("target_id", "p", "e", "q", "shift", "strand", "overlap")
+    listed = found.groupBy(F.col("query_id").alias("run_id")).agg(F.array_sort(F.collect_list(each)).alias("matches"))  # as many as the catalogue has motifs
+    own = todo.withColumns(
+        {
+            "evaluation_id": F.col("run_id"), "protocol": F.lit(protocol), "scoring_order": F.lit(order), "pseudocount": F.lit(float(pseudocount)), "contamination_percent": 100 - F.col("signal_percent"),
+            "site_fraction": F.col("sites") / F.col("primary_count"), "motif_width": F.size("pwm"), "sample_size": F.col("primary_count"),
+        }
+    )
+    whole = own.join(counts.join(ranks, "run_id"), "run_id").join(listed, "run_id", "left")
+    return whole.withColumn("matches", F.coalesce("matches", F.array().cast(listed.schema["matches"].dataType)))
+
+
 def _none(rows: DataFrame, message: str) -> None:
     first = rows.take(1)
     if first:
@@ -99,14 +138,14 @@ def _distances(pairs: DataFrame, a: str, b: str, name: str, fraction: float, cla
     return out.drop("a", "b", "shift", "strand", "overlap")
 
 
-def paired_records(runs: DataFrame, matches: DataFrame, target: str, overlap: int, limit: float, fraction: float = 0.8) -> DataFrame:
+def paired_records(runs: DataFrame, found: DataFrame, target: str, overlap: int, limit: float, fraction: float = 0.8) -> DataFrame:
     """One row a sample and level, from checked runs: disagreement of both models, reference results, resampling distances and what diagnostics read.
 
     runs has cohort, sample, signal_percent, input_repeat, model, run_id, input, meme_seed,
-    discovery_background, ap, auroc, neg_log10_evalue, site_fraction and pwm; matches are as
+    discovery_background, ap, auroc, neg_log10_evalue, site_fraction and pwm; found are matches as
     reference_results reads them. Fails where both models of an input differ in input, seed or
     background, where the companion is no separate input, or where its seed differs."""
-    told = reference_results(runs, matches, target, overlap, limit)
+    told = reference_results(runs, found, target, overlap, limit)
     cells = checkpointed(_cells(told, ["cohort", "sample", "signal_percent"]))
     other = F.lit(False)
     for r in (0, 1):

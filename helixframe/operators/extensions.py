@@ -66,6 +66,12 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     )
 
 
+def key_text(*columns: str) -> Column:
+    """A tuple of columns as text, texts in quotes: the order of summaries is that of these texts, so 100.0 comes before 25.0."""
+    shown = [F.concat(F.lit("'"), c, F.lit("'")) if quoted else F.col(c).cast("string") for c, quoted in ((c.removeprefix("'"), c.startswith("'")) for c in columns)]
+    return F.concat(F.lit("("), F.concat_ws(", ", *shown), F.lit(",)" if len(columns) == 1 else ")"))
+
+
 def block_bootstrap(scored: DataFrame, block: str, one: str, two: str, replicates: int, seed: int) -> DataFrame:
     """replicate and delta: average precision by score two less that by score one, over drawn blocks (label, block, one, two).
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +44,47 @@ def merged(regions: DataFrame) -> DataFrame:
     return found.drop("island")
 
 
-def overlap_groups(intervals: DataFrame) -> DataFrame:
-    """intervals (chrom, start, end, record_id, score) with group_id: connected by overlap, touching is not enough.
+def ordered_digests(lines: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """by and digest: the SHA-256 in hex of the column line of each group, in order and parted by line ends.
+
+    A digest is of a sequence, so a group goes through one task, but as a stream of sorted rows: no group is held in memory."""
+    kinds = "".join(f"`{c}` {lines.schema[c].dataType.simpleString()}, " for c in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, digest = None, None
+        for batch in batches:
+            rows = list(zip(*[batch.column(k).to_pylist() for k in range(len(by))], strict=True))
+            texts = batch.column(len(by)).to_pylist()
+            cuts = [k for k in range(len(rows)) if k == 0 or rows[k] != rows[k - 1]] + [len(rows)]
+            done = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if rows[lo] != held or digest is None:
+                    if digest is not None:
+                        done.append((held, digest.hexdigest()))
+                    held, digest = rows[lo], hashlib.sha256()
+                else:
+                    digest.update(b"\n")
+                digest.update("\n".join(texts[lo:hi]).encode())
+            if done:
+                yield told(done, batch.schema)
+            last = batch.schema
+        if digest is not None:
+            yield told([(held, digest.hexdigest())], last)
+
+    def told(done: list, schema: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array([key[k] for key, _ in done], schema.field(k).type) for k in range(len(by))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([d for _, d in done])], names=[*by, "digest"])
+
+    sorted_ = lines.select(*by, "line", *[F.col(c).alias(f"order_{k}") for k, c in enumerate(order)]).repartition(*by).sortWithinPartitions(*by, *[f"order_{k}" for k in range(len(order))])
+    return sorted_.select(*by, "line").mapInArrow(run, f"{kinds}digest string")
 
-    The id is a digest of the members in order, so a group's lines meet in one row."""
+
+def overlap_groups(intervals: DataFrame) -> DataFrame:
+    """intervals (chrom, start, end, record_id, score) with group_id, from a digest of the members in order: connected by overlap, touching is not enough."""
     numbered = islands(intervals, False, ["record_id"])
-    line = F.struct("start", "end", "record_id")
-    shown = F.transform(F.array_sort(F.collect_list(line)), lambda m: F.concat_ws("\t", F.col("chrom"), m["start"].cast("string"), m["end"].cast("string"), m["record_id"]))
-    ids = numbered.groupBy("chrom", "island").agg(F.concat(F.lit("grp_"), F.substring(F.sha2(F.array_join(shown, "\n"), 256), 1, 16)).alias("group_id"))
+    lines = numbered.withColumn("line", F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "record_id"))
+    made = ordered_digests(lines, ["chrom", "island"], ["start", "end", "record_id"])
+    ids = made.select("chrom", "island", F.concat(F.lit("grp_"), F.substring("digest", 1, 16)).alias("group_id"))
     return numbered.join(ids, ["chrom", "island"]).drop("island")
 
 

@@ -13,6 +13,7 @@ from helixframe.operators import sequences as sq
 from helixframe.operators import splits
 from helixframe.plans.materialise import checkpointed
 from helixframe.queries import interval_queries as iq
+from helixframe.queries.extension_queries import matches_sql
 from helixframe.queries.plan_queries import SEEDS, _seed
 from helixframe.queries.sequence_queries import _COLUMN, LETTERS
 from helixframe.views import SQL as V
@@ -50,6 +51,18 @@ def evaluate_motifs(spark, sf_dir):
     return found.select("run_id", "positives", "negatives", "site_fraction", F.round("ap", 6).alias("ap"), F.round("auroc", 6).alias("auroc"))
 
 
+def evaluation_records(spark, sf_dir):
+    """Mean motifs evaluated whole: metrics, and matches with the first columns of all matrices."""
+    seqs = views.sequences(spark, sf_dir, WIDTH - 1).where(F.col("seq").rlike(f"[ACGT]{{{WIDTH}}}")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    side = lambda q: seqs.where(F.col("quality") == q).select(F.col("window_id").alias("doc_id"), "seq")
+    catalogue = views.matrices(spark, sf_dir).select(F.col("vec_id").alias("target_id"), F.slice("pwm", 1, WIDTH).alias("pwm"))
+    motifs = _mean_motifs(spark, sf_dir).withColumns({"cohort": F.lit("all"), "signal_percent": F.lit(75.0)})
+    found = ev.evaluation_records(motifs, side(1), side(0), catalogue, LETTERS, 0, PSEUDOCOUNT, WIDTH - 1, "p1")
+    best = F.array_min(F.transform("matches", lambda m: F.struct(F.round(m["p"], 9).alias("p"), m["target_id"].alias("target_id"), m["q"].alias("q"))))
+    shown = found.withColumn("best", best)
+    return shown.select("run_id", "evaluation_id", "positives", "negatives", "site_fraction", "contamination_percent", "motif_width", F.round("ap", 6).alias("ap"), F.round("auroc", 6).alias("auroc"), F.size("matches").cast("bigint").alias("n_matches"), F.col("best.target_id").alias("best_target"), F.round("best.p", 9).alias("best_p"), F.round("best.q", 9).alias("best_q"))
+
+
 def _runs(spark, sf_dir):
     """Matrices as runs of a whole grid: twenty for each sample, by level, input and model."""
     m = views.matrices(spark, sf_dir)
@@ -112,7 +125,7 @@ def report_scorers(spark, sf_dir):
     return found.select(*[F.round(c, 9).alias(c) if c in ("sensitivity", "false_positive_rate", "alert_precision") else c for c in found.columns])
 
 
-QUERIES = {f.__name__: f for f in (split_manifest, cross_split_overlap, evaluate_motifs, paired_records, compact_pairs, pwm_dist_unclamped, cohort_records, report_scorers)}
+QUERIES = {f.__name__: f for f in (split_manifest, cross_split_overlap, evaluate_motifs, evaluation_records, paired_records, compact_pairs, pwm_dist_unclamped, cohort_records, report_scorers)}
 
 
 def _smooth(b: str) -> str:
@@ -158,6 +171,8 @@ SQL = {
     "cross_split_overlap": f"""WITH {V['intervals']}, s AS (SELECT chrom, start, "end", CAST('0x' || substr(md5(record_id), 1, 2) AS INT) % 5 = 0 AS test FROM v_intervals)
 SELECT count(*) AS n_overlaps FROM s a WHERE test AND EXISTS (SELECT 1 FROM s b WHERE NOT b.test AND b.chrom = a.chrom AND b.start < a."end" AND a.start < b."end")""",
     "evaluate_motifs": _EVALUATE,
+    "evaluation_records": f"""SELECT e.run_id, e.run_id AS evaluation_id, positives, negatives, site_fraction, CAST(25 AS DOUBLE) AS contamination_percent, CAST({WIDTH} AS INT) AS motif_width, ap, auroc, n_matches, best_target, best_p, best_q FROM ({_EVALUATE}) e
+ JOIN (SELECT query_id, count(*) AS n_matches, arg_min(target_id, o) AS best_target, min(p) AS best_p, arg_min(q, o) AS best_q FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, target_id) AS o FROM ({matches_sql(WIDTH, WIDTH - 1)})) GROUP BY query_id) m ON m.query_id = e.run_id""",
     "compact_pairs": f"""{_CELLS} SELECT sample, CAST(signal AS DOUBLE) AS signal, round(jsd_o, 6) AS jsd, round(tv_o, 6) AS tv, round(hellinger_o, 6) AS hellinger, round(oops_ap, 6) AS oops_ap, round(zoops_ap, 6) AS zoops_ap,
  round({_LOG.format('oops_evalue')}, 6) AS oops_conf, round({_LOG.format('zoops_evalue')}, 6) AS zoops_conf, round(zoops_fraction, 6) AS zoops_fraction, round(jsd_p, 6) AS oops_resampling, round(jsd_q, 6) AS zoops_resampling FROM flat""",
     "paired_records": f"""{_CELLS}, {_REFERENCE}

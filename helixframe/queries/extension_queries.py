@@ -116,17 +116,20 @@ _COMPARE = f"""WITH {V['matrices']}, t AS (SELECT CAST(label AS BIGINT) AS targe
 SELECT query_id, target_id, round(score, 6) AS score, CAST(overlap AS INT) AS overlap FROM m QUALIFY row_number() OVER (PARTITION BY query_id, target_id ORDER BY score DESC, plus DESC, shift) = 1"""
 
 #: Significance the plain way: bins of all pairs of columns, sums of columns by recursion, all alignments.
-_MATCHES = f"""WITH RECURSIVE {V['matrices']}, x AS (SELECT CAST(label AS BIGINT) AS query_id, k AS i, avg(a) AS a, avg(c) AS c, avg(g) AS g, avg(t) AS t FROM v_pwm GROUP BY ALL),
- y AS (SELECT vec_id AS target_id, 1 AS plus, k AS j, a, c, g, t FROM v_pwm UNION ALL SELECT vec_id, 0, 15 - k, t, g, c, a FROM v_pwm),
+def matches_sql(width: int, overlap: int) -> str:
+    """Matches of the first width columns of the label means with those of all matrices."""
+    d = width - overlap
+    return f"""WITH RECURSIVE {V['matrices']}, x AS (SELECT CAST(label AS BIGINT) AS query_id, k AS i, avg(a) AS a, avg(c) AS c, avg(g) AS g, avg(t) AS t FROM v_pwm WHERE k < {width} GROUP BY ALL),
+ y AS (SELECT vec_id AS target_id, 1 AS plus, k AS j, a, c, g, t FROM v_pwm WHERE k < {width} UNION ALL SELECT vec_id, 0, {width - 1} - k, t, g, c, a FROM v_pwm WHERE k < {width}),
  pairs AS (SELECT query_id, i, target_id, plus, j, {" + ".join(f"(x.{b} - 0.25) * (y.{b} - 0.25)" for b in "acgt")} AS xy, {" + ".join(f"(x.{b} - 0.25) * (x.{b} - 0.25)" for b in "acgt")} AS xx, {" + ".join(f"(y.{b} - 0.25) * (y.{b} - 0.25)" for b in "acgt")} AS yy FROM x, y),
  bins AS (SELECT query_id, i, target_id, plus, j, CAST(floor(round({_CORRELATION}, 9) * 25 + 25.5) AS BIGINT) AS b FROM pairs),
  shares AS (SELECT query_id, i, b, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM y) AS h FROM bins GROUP BY ALL),
- sums(query_id, lo, hi, s, pr) AS (SELECT query_id, i, i + 1, b, h FROM shares WHERE i <= 3
+ sums(query_id, lo, hi, s, pr) AS (SELECT query_id, i, i + 1, b, h FROM shares WHERE i <= {d}
   UNION ALL SELECT d.query_id, lo, hi + 1, s + b, sum(pr * h) FROM sums d JOIN shares n ON n.query_id = d.query_id AND n.i = d.hi GROUP BY d.query_id, lo, hi, s + b),
- above AS (SELECT query_id, lo, hi, s, least(1.0, sum(pr) OVER (PARTITION BY query_id, lo, hi ORDER BY s DESC)) AS p FROM sums WHERE hi - lo >= 13),
- aligned AS (SELECT query_id, target_id, plus, i - j AS shift, min(i) AS lo, max(i) + 1 AS hi, sum(b) AS s, count(*) AS overlap FROM bins WHERE abs(i - j) <= 3 GROUP BY ALL),
+ above AS (SELECT query_id, lo, hi, s, least(1.0, sum(pr) OVER (PARTITION BY query_id, lo, hi ORDER BY s DESC)) AS p FROM sums WHERE hi - lo >= {overlap}),
+ aligned AS (SELECT query_id, target_id, plus, i - j AS shift, min(i) AS lo, max(i) + 1 AS hi, sum(b) AS s, count(*) AS overlap FROM bins WHERE abs(i - j) <= {d} GROUP BY ALL),
  best AS (SELECT a.*, p FROM aligned a JOIN above o USING (query_id, lo, hi, s) QUALIFY row_number() OVER (PARTITION BY query_id, target_id ORDER BY round(ln(p), 6), plus DESC, shift) = 1),
- whole AS (SELECT *, 1 - power(1 - p, 14) AS pp, count(*) OVER (PARTITION BY query_id) AS m FROM best),
+ whole AS (SELECT *, 1 - power(1 - p, {4 * d + 2}) AS pp, count(*) OVER (PARTITION BY query_id) AS m FROM best),
  placed AS (SELECT *, pp * m / row_number() OVER (PARTITION BY query_id ORDER BY pp, target_id) AS v FROM whole)
 SELECT query_id, target_id, round(pp, 9) AS p, round(pp * (SELECT count(*) FROM embeddings), 6) AS e, round(least(1.0, min(v) OVER (PARTITION BY query_id ORDER BY pp DESC, target_id DESC ROWS UNBOUNDED PRECEDING)), 9) AS q,
  CAST(shift AS INT) AS shift, CASE WHEN plus = 1 THEN '+' ELSE '-' END AS strand, CAST(overlap AS INT) AS overlap FROM placed"""
@@ -162,7 +165,7 @@ SELECT doc_id, round(1 / (1 + exp(-({FROZEN['intercept']} + {_Z}))), 9) AS score
  r AS (SELECT DISTINCT chrom, start % (length(whole) - 80) AS start, start % (length(whole) - 80) + "end" - start AS "end" FROM v_mask JOIN g USING (chrom))
 SELECT chrom, start, "end", substr(whole, start + 1, "end" - start) AS seq FROM r JOIN g USING (chrom) WHERE "end" <= length(whole)""",
     "motif_compare": _COMPARE,
-    "motif_matches": _MATCHES,
+    "motif_matches": matches_sql(16, 13),
     "block_bootstrap": _BLOCKS,
     "cohort_settings": """SELECT r_name AS factor, r_regionkey * 3 + 10 AS width, count(*) AS n, round(avg(c_acctbal), 6) AS mean_value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
 }

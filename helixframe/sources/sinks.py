@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import platform
+from collections.abc import Iterator
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +53,9 @@ def write_json(spark: SparkSession, record: dict, path: str, overwrite: bool = F
     spark.createDataFrame([(protocol_text(record),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
-def write_failure(spark: SparkSession, path: str, task: dict, error: BaseException) -> None:
-    """What went wrong with a task, beside where its result would stand; there may be an earlier record, which this replaces."""
-    write_json(spark, {"status": "failed", "task": task, "error": type(error).__name__, "message": str(error)[:2000]}, f"{path}/failure", overwrite=True)
+def write_failure(spark: SparkSession, path: str, task: dict, error: BaseException, seconds: float | None = None) -> None:
+    """What went wrong with a task and after how many seconds, beside where its result would stand; there may be an earlier record, which this replaces."""
+    write_json(spark, {"status": "failed", "task": task, "error": type(error).__name__, "message": str(error)[:2000], "runtime_seconds": seconds}, f"{path}/failure", overwrite=True)
 
 
 def write_uniform_background(spark: SparkSession, path: str, overwrite: bool = False) -> None:
@@ -87,7 +91,74 @@ def write_result(rows: DataFrame, path: str, protocol: dict) -> None:
     rows.write.parquet(f"{path}/table")
 
 
+def _empty_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files without a byte, which Spark's readers pass over."""
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for top in system.globStatus(place) or []:
+            for status in system.listStatus(top.getPath()) if top.isDirectory() else [top]:
+                if status.isFile() and status.getLen() == 0:
+                    found.append(status.getPath().toString())
+    return found
+
+
 def provenance(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, bytes, sha256 and md5 of files; a path without a file fails."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    """file, bytes, sha256 and md5 of files; a path without a file fails.
+
+    A file goes through one task line by line, in order, so no file is held in memory; only a
+    line is (one without line ends is a single one)."""
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    none = _empty_files(spark, paths)
+    files = files.unionByName(spark.createDataFrame([(f, 0) for f in none], "file string, bytes bigint"))
+    lines = spark.read.option("lineSep", "\n").text(paths)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row")]
+    stream = lines.select(*place, F.col("value").cast("binary").alias("line")).repartition("file").sortWithinPartitions("file", "at", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, both, size = None, (), 0
+
+        def told() -> pa.RecordBatch:
+            ended = [h.copy() for h in both]  # whether a line end is behind the last line, the file's size tells
+            for h in ended:
+                h.update(b"\n")
+            return pa.RecordBatch.from_pydict({"file": [held], "size": [size], **{f"{h.name}_{k}": [x.hexdigest()] for h, e in zip(both, ended, strict=True) for k, x in ((0, h), (1, e))}})
+
+        for batch in batches:
+            for file, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if file != held:
+                    if held is not None:
+                        yield told()
+                    held, both, size = file, (hashlib.sha256(), hashlib.md5()), 0
+                else:
+                    for h in both:
+                        h.update(b"\n")
+                    size += 1
+                text = line.as_buffer()
+                for h in both:
+                    h.update(text)
+                size += len(text)
+        if held is not None:
+            yield told()
+
+    made = stream.select("file", "line").mapInArrow(run, "file string, size bigint, sha256_0 string, sha256_1 string, md5_0 string, md5_1 string")
+    empty = {"sha256": hashlib.sha256().hexdigest(), "md5": hashlib.md5().hexdigest()}
+    right = lambda name: F.when(F.col("size").isNull(), empty[name]).when(F.col("size") == F.col("bytes"), F.col(f"{name}_0")).when(F.col("size") + 1 == F.col("bytes"), F.col(f"{name}_1")).alias(name)
+    joined = files.join(made, "file", "left").select("file", "bytes", right("sha256"), right("md5"))
+    return joined.where(F.assert_true(F.col("sha256").isNotNull(), F.concat(F.lit("changed while it was read: "), "file")).isNull())
+
+
+def provenance_record(spark: SparkSession, paths: list[str], settings: dict, commit: str | None = None) -> dict:
+    """What a result came from: digests of its inputs, settings, versions of what computed it, and the commit that the caller names."""
+    inputs = {r["file"]: {"bytes": r["bytes"], "sha256": r["sha256"]} for r in provenance(spark, paths).collect()}  # a line a file
+    versions = {"spark": spark.version, "python": platform.python_version(), "pyarrow": pa.__version__, "system": f"{platform.system()} {platform.machine()}"}
+    return {"inputs": inputs, "settings": settings, "versions": versions, "commit": commit}
+
+
+def checked_inputs(spark: SparkSession, record: dict) -> None:
+    """Fails where an input of a provenance record is no longer what it was."""
+    now = provenance_record(spark, list(record["inputs"]), {})["inputs"]
+    for file, held in record["inputs"].items():
+        if now.get(file) != held:
+            raise RuntimeError(f"{file} has changed")

@@ -388,6 +388,52 @@ def test_a_genome_store_is_not_moved(spark, tmp_path):
         spark.sql("DROP TABLE IF EXISTS genome_pieces")
 
 
+def test_records_of_evaluations_resume_and_keep_scores(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    seqs = [(k, "".join(rng.choice(list("ACGT"), 25))) for k in range(60)]
+    rows = lambda some: spark.createDataFrame(some, "doc_id bigint, seq string")
+    motifs = spark.createDataFrame([(r, f"c{r % 2}", 75.0, rng.dirichlet([1] * 4, 5).tolist(), 30.0, 40) for r in range(4)], "run_id bigint, cohort string, signal_percent double, pwm array<array<double>>, sites double, primary_count int")
+    catalogue = spark.createDataFrame([(k, rng.dirichlet([1] * 4, 5).tolist()) for k in range(6)], "target_id int, pwm array<array<double>>")
+    back, path = dict.fromkeys("ACGT", 0.25), str(tmp_path / "scores")
+    run = lambda which, **more: evaluation.evaluation_records(which, rows(seqs[:20]), rows(seqs[20:]), catalogue, back, 0, 0.5, 4, "p1", **more)
+    plain = {r.run_id: r for r in evaluation.evaluated(motifs, rows(seqs[:20]), rows(seqs[20:]), back, 0, 0.5).collect()}
+    first = checkpointed(run(motifs.where("run_id < 2"), score_path=path))
+    rest = run(motifs, done=first.select("run_id", "protocol", "scoring_order", "pseudocount", "pwm"), score_path=path).collect()
+    both = {r.run_id: r for r in [*first.collect(), *rest]}
+    assert [r.run_id for r in sorted(rest)] == [2, 3] and sorted(both) == [0, 1, 2, 3]
+    for k, r in both.items():
+        assert (r.ap, r.auroc, r.positives, r.negatives) == (plain[k].ap, plain[k].auroc, 20, 40) and r.site_fraction == 0.75 and r.contamination_percent == 25
+        assert [m.target_id for m in r.matches] == list(range(6)) and all(0 < m.p <= m.q + 1e-12 <= 1 + 1e-9 for m in r.matches)
+    scores = spark.read.parquet(path).groupBy("cohort", "run_id").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()
+    assert sorted(tuple(r) for r in scores) == [("c0", 0, 60, 20), ("c0", 2, 60, 20), ("c1", 1, 60, 20), ("c1", 3, 60, 20)]
+    held = first.select("run_id", "protocol", "scoring_order", "pseudocount", "pwm")
+    for other in (held.withColumn("protocol", F.lit("p2")), held.withColumn("pseudocount", F.lit(0.1)), held.withColumn("pwm", F.reverse("pwm"))):
+        with pytest.raises(ValueError, match="another evaluation"):
+            run(motifs, done=other)
+    with pytest.raises(ValueError, match="overlap"):
+        evaluation.evaluation_records(motifs, rows(seqs[:30]), rows(seqs[20:]), catalogue, back, 0, 0.5, 4, "p1")
+    with pytest.raises(ValueError, match="twice"):
+        run(motifs.unionByName(motifs))
+
+
+def test_deep_overlap_groups_are_digested_as_streams(spark):
+    """A group of more members than an Arrow batch, beside small ones: digests as by hand, whatever the batches."""
+    deep = [("a", 0, 100_000, f"r{k:05d}", 1.0) for k in range(12_000)]
+    small = [("b", k * 10, k * 10 + 5, f"s{k}", 1.0) for k in range(300)]
+    df = spark.createDataFrame(deep + small, "chrom string, start bigint, end bigint, record_id string, score double")
+    got = {(r.chrom, r.record_id): r.group_id for r in intervals.overlap_groups(df.repartition(5)).collect()}
+    line = lambda rows: "grp_" + hashlib.sha256("\n".join("\t".join(map(str, r[:4])) for r in rows).encode()).hexdigest()[:16]
+    assert len(got) == 12_300 and {got["a", r[3]] for r in deep} == {line(deep)} and all(got["b", r[3]] == line([r]) for r in small)
+    plan = intervals.overlap_groups(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_summaries_go_by_the_text_of_their_key(spark):
+    rows = [("oops", 25.0, 19), ("oops", 100.0, 19), ("zoops", 5.0, 8), ("oops", 100.0, 8)]
+    df = spark.createDataFrame(rows, "model string, level double, width int")
+    assert [tuple(r) for r in df.orderBy(extensions.key_text("'model", "level", "width")).collect()] == sorted(rows, key=str)
+
+
 def word_starts(codes, width, back):
     """Counts of words of codes [n, length] and the matrices that the best of them grow into."""
     windows = [row[j : j + width] for row in codes for j in range(codes.shape[1] - width + 1)]

@@ -160,3 +160,25 @@ def test_results_resume(spark, tmp_path):
     assert [r.t for r in shown] == ["100", "0.1", "123456.789", "1e-07"]
     record = sinks.provenance(spark, [put(tmp_path, "f", "abc")]).first()
     assert (record.bytes, record.md5) == (3, "900150983cd24fb0d6963f7d28e17f72")
+
+
+def test_files_are_hashed_as_streams_and_changes_refused(spark, tmp_path):
+    import hashlib
+
+    kinds = {"plain": b"a\nb\n", "open": b"a\n\nb", "empty": b"", "blank": b"\n", "two": b"\n\n", "binary": bytes(range(256)) * 50, "crlf": b"x\r\ny\r\n", "long": b"".join(b"line %d of many\n" % k for k in range(60_000))}
+    for name, content in kinds.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")  # the long file comes in several parts
+    try:
+        got = {r.file.rsplit("/", 1)[1]: r for r in sinks.provenance(spark, [str(tmp_path)]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.keys() == kinds.keys()
+    for name, content in kinds.items():
+        assert (got[name].bytes, got[name].sha256, got[name].md5) == (len(content), hashlib.sha256(content).hexdigest(), hashlib.md5(content).hexdigest()), name
+    record = sinks.provenance_record(spark, [str(tmp_path / "plain"), str(tmp_path / "open")], {"order": 2}, "abc")
+    assert record["commit"] == "abc" and record["versions"]["spark"] == spark.version and len(record["inputs"]) == 2
+    sinks.checked_inputs(spark, record)
+    (tmp_path / "open").write_bytes(b"a\n\nB")
+    with pytest.raises(RuntimeError, match="open has changed"):
+        sinks.checked_inputs(spark, record)
