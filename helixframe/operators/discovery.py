@@ -238,8 +238,8 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
     marked as this to be expected by chance. A sequence of more than a million letters counts as several. Fails on a
     set without a sequence as long as the motif."""
     spark = tasks.sparkSession
-    # several rounds read the rows: they are dealt evenly once
-    rows = checkpointed(tasks.select("task", F.upper("seq").alias("seq")).where("seq is not null").repartition(spark.sparkContext.defaultParallelism))
+    # several rounds read the rows: they are dealt evenly once, over as many tasks as their size asks for
+    rows = checkpointed(tasks.select("task", "doc_id", F.upper("seq").alias("seq")).where("seq is not null").repartition("doc_id").select("task", "seq"))
     kind = rows.schema["task"].dataType.simpleString()
     schema = f"task {kind}, k int, value double"
     facts = rows.groupBy("task").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("size")).limit(MOST_SETS + 1).collect()
