@@ -182,3 +182,33 @@ def test_files_are_hashed_as_streams_and_changes_refused(spark, tmp_path):
     (tmp_path / "open").write_bytes(b"a\n\nB")
     with pytest.raises(RuntimeError, match="open has changed"):
         sinks.checked_inputs(spark, record)
+
+
+def test_narrowpeak_refuses_bad_peaks(spark, tmp_path):
+    sizes = readers.read_sizes(spark, put(tmp_path, "s", "chr1 1000\n"))
+    line = lambda a, b, off, q: "\t".join(["chr1", str(a), str(b), "p", "0", ".", "1", "1", q, str(off)])
+    for k, bad in enumerate([line(990, 1001, 2, "1"), line(100, 200, 50, "-1"), line(100, 200, 50, "nan"), line(100, 200, 50, "x"), "chr1\t1\t2"]):
+        with pytest.raises(Exception):
+            readers.read_narrowpeak(spark, put(tmp_path, f"p{k}", bad + "\n"), sizes, 10, ["chr1"]).collect()
+
+
+def test_compact_pairs_come_back_as_written(spark, tmp_path):
+    rows = [("ctcf_fine", "c", 1, 95.0, 19, 0.1, 0.2, None, 0.5, 0.6, 1.0, 2.0, 0.4, 0.01, 0.02), ("ctcf_initial", "c", 2, 100.0, 19, 0.1, None, None, 0.5, 0.6, 1.0, 2.0, 0.4, 0.01, 0.02)]
+    sinks.write_tsv(spark.createDataFrame(rows, readers.PAIR_SCHEMA), str(tmp_path / "pairs"))
+    assert sorted(tuple(r) for r in readers.read_pairs(spark, str(tmp_path / "pairs")).collect()) == sorted(rows, key=str)
+    sinks.write_tsv(spark.createDataFrame([("other", *rows[0][1:])], readers.PAIR_SCHEMA), str(tmp_path / "odd"))
+    with pytest.raises(Exception, match="unknown analysis other"):
+        readers.read_pairs(spark, str(tmp_path / "odd")).collect()
+
+
+def test_beds_tables_and_scores_are_written_whole(spark, tmp_path):
+    beds = spark.createDataFrame([("chr1", 5, 10, "p", 1.5), ("chr2", 0, 3, "q", 1e-7), ("chr2", 7, 9, "r", 0.1 + 0.2)], "chrom string, start bigint, end bigint, peak_id string, score double")
+    sinks.write_bed(beds, str(tmp_path / "bed"))
+    back = {r.peak_id: (r.chrom, r.start, r.end, r.score) for r in readers.read_bed(spark, str(tmp_path / "bed")).collect()}
+    assert back == {"p": ("chr1", 5, 10, 1.5), "q": ("chr2", 0, 3, 1e-7), "r": ("chr2", 7, 9, 0.3)}
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_bed(beds, str(tmp_path / "bed"))
+    sinks.write_table(beds, str(tmp_path / "parts"), by=["chrom"])
+    assert sorted(p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()) == ["chrom=chr1", "chrom=chr2"]
+    sinks.write_table(beds.limit(1), str(tmp_path / "parts"), by=["chrom"], overwrite=True)
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 1
