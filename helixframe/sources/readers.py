@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.keyed import minus_log10
 from helixframe.operators.intervals import aliases, valid
-from helixframe.plans.materialise import broadcast_if_small
+from helixframe.plans.materialise import broadcast_if_small, checkpointed
+from helixframe.plans.running import running
 
 #: Columns of a motif match table.
 MATCH_COLUMNS = ("Query_ID", "Target_ID", "Optimal_offset", "p-value", "E-value", "q-value", "Overlap", "Orientation")
@@ -105,6 +106,35 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(counts.withColumn("twice_", F.lit(True)), "id", "left").where(F.assert_true(F.col("twice_").isNull(), F.concat(F.lit("duplicate FASTA id "), "id")).isNull()).drop("twice_")
 
 
+def read_fasta_pieces(spark: SparkSession, path: str, size: int = 1000, pad: bool = False) -> DataFrame:
+    """id, piece and seq: the records of FASTA files in pieces of size letters, numbered from 0, upper case; the last one is shorter or, with pad, filled up with N.
+
+    A record may be of any length: no row holds more than a line or a piece. Which record a line belongs to and
+    how many letters stand before it follow from running counts over the blocks in which files are
+    read. Fails on text before the first header, a header without an id, and an id that two headers have;
+    a record without letters has no piece."""
+    value = F.trim(F.regexp_replace("value", r"\s+$", ""))
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("block_"), F.monotonically_increasing_id().alias("at_"), value.alias("line")).where("line <> ''")
+    head = F.col("line").startswith(">")
+    counted = checkpointed(running(rows, ["file_"], "block_", [F.col("at_")], sums={"record_": head.cast("bigint")}))
+    known = counted.withColumn("record_", F.col("record_") + head.cast("bigint"))
+    if known.where("record_ = 0").limit(1).count():
+        raise ValueError(f"sequence before the first header in {path}")
+    names = known.where(head).select("file_", "record_", F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("id"))
+    wrong = names.groupBy("id").count().where("count > 1 or id = ''").take(1)
+    if wrong:
+        raise ValueError(f"duplicate or empty FASTA id {wrong[0]['id']}")
+    letters = known.where(~head).withColumn("line", F.upper(F.regexp_replace("line", r"\s", "")))
+    placed = running(letters, ["file_", "record_"], "block_", [F.col("at_")], sums={"from_": F.length("line").cast("bigint")})
+    spread = placed.withColumn("piece", F.explode(F.sequence(F.floor(F.col("from_") / size), F.floor((F.col("from_") + F.length("line") - 1) / size))))
+    first = F.greatest(F.lit(0), F.col("piece") * size - F.col("from_"))
+    last = F.least(F.length("line").cast("bigint"), (F.col("piece") + 1) * size - F.col("from_"))
+    part = F.col("line").substr((first + 1).cast("int"), (last - first).cast("int"))
+    pieces = spread.groupBy("file_", "record_", "piece").agg(F.array_sort(F.collect_list(F.struct("from_", part.alias("part_")))).alias("parts_"))  # size letters
+    seq = F.array_join(F.transform("parts_", lambda p: p["part_"]), "")
+    return pieces.join(names, ["file_", "record_"]).select("id", "piece", (F.rpad(seq, size, "N") if pad else seq).alias("seq"))
+
+
 def read_markov(spark: SparkSession, path: str, order: int) -> DataFrame:
     """word and freq of a background file; fails unless it has all words of 1 to order + 1 letters, each positive."""
     f = F.split(F.trim("line"), r"\s+")

@@ -212,3 +212,31 @@ def test_beds_tables_and_scores_are_written_whole(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()) == ["chrom=chr1", "chrom=chr2"]
     sinks.write_table(beds.limit(1), str(tmp_path / "parts"), by=["chrom"], overwrite=True)
     assert spark.read.parquet(str(tmp_path / "parts")).count() == 1
+
+
+def test_fasta_of_long_records_comes_in_pieces(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    want, text = {}, ""
+    for k, n in enumerate([1, 999, 1000, 0, 5003, 40_000]):
+        seq = "".join(rng.choice("ACGTn") for _ in range(n))
+        text += f">r{k} of many\n" + ("\n" if k == 2 else "")
+        at = 0
+        while at < n:
+            step = rng.choice([1, 60, 61, 900, 2500])
+            text += seq[at : at + step] + rng.choice(["\n", "\r\n", " \n"])
+            at += step
+        want |= {(f"r{k}", p): seq[p * 100 : p * 100 + 100].upper() for p in range(-(-n // 100))}
+    path = put(tmp_path, "long.fa", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert {(r.id, r.piece): r.seq for r in readers.read_fasta_pieces(spark, path, 100).collect()} == want
+        padded = readers.read_fasta_pieces(spark, path, 100, pad=True).collect()
+        assert {len(r.seq) for r in padded} == {100} and len(padded) == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for k, (bad, message) in enumerate([("ACGT\n>a\nAC\n", "before the first"), (">a\nAC\n>a\nGT\n", "duplicate"), (">\nAC\n", "empty")]):
+        with pytest.raises(ValueError, match=message):
+            readers.read_fasta_pieces(spark, put(tmp_path, f"bad{k}.fa", bad))
