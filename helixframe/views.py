@@ -37,8 +37,8 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def letters(text):
     """A text as DNA: white space left out, letters as A, C, G and T by turns, all else as N."""
-    squeezed = F.lower(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", ""))
-    return F.regexp_replace(F.translate(squeezed, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "N")
+    mapped = F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz \t\n\r\f\x0B", "ACGTACGTACGTACGTACGTACGTAC")  # what has no counterpart goes
+    return F.regexp_replace(mapped, "[^ACGT]", "N")
 
 
 def wholes(spark: SparkSession, sf_dir: str) -> DataFrame:
