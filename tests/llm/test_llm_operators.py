@@ -722,7 +722,7 @@ def test_pipeline(spark):
 
 def test_queries_have_their_columns(spark):
     found = {f"op{k}": q for q in queries.queries() for k in [q.split("_")[0][2:]]}
-    assert sorted(found, key=lambda x: int(x[2:])) == [f"op{k}" for k in range(1, 11)]
+    assert sorted(found, key=lambda x: int(x[2:])) == [f"op{k}" for k in range(1, 14)]
     n = documents(spark).count()
-    for name in ("op1_feistel_pseudonyms", "op2_weak_supervision", "op3_secret_scan", "op4_language_id", "op6_benchmark_decontamination", "op7_ngram_jaccard_join", "op10_positive_unlabelled_quality"):
+    for name in ("op1_feistel_pseudonyms", "op2_weak_supervision", "op3_secret_scan", "op4_language_id", "op6_benchmark_decontamination", "op7_ngram_jaccard_join", "op10_positive_unlabelled_quality", "op11_periodic_runs", "op13_line_dedup"):
         assert queries.queries()[name](spark, SF).count() == n
