@@ -8,7 +8,22 @@ from pyspark.sql import functions as F
 from helixframe.functions.keyed import stage_seed
 from helixframe.operators.extensions import refined
 from helixframe.operators.ladders import ladder_counts
-from helixframe.plans.materialise import checkpointed
+from helixframe.plans.materialise import broadcast_if_small, checkpointed
+
+
+def with_settings(rows: DataFrame, factors: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (cohort and others) with factor and the settings of its target: factors has cohort and factor, targets factor and the settings.
+
+    Settings are declared, never inferred: fails on a cohort without a factor, a factor without a target, and one that is declared twice."""
+    for table, key in ((factors, "cohort"), (targets, "factor")):
+        twice = table.groupBy(key).count().where("count > 1").take(1)
+        if twice:
+            raise ValueError(f"{key} {twice[0][key]} is declared twice")
+    both = broadcast_if_small(factors.join(targets.withColumn("known_", F.lit(True)), "factor", "left").withColumn("declared_", F.lit(True)))
+    met = rows.join(both, "cohort", "left")
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    lost = F.when(F.col("declared_").isNull(), F.concat(F.lit("no factor is declared for cohort "), shown("cohort"))).otherwise(F.concat(F.lit("no target is declared for factor "), shown("factor")))
+    return met.where(F.assert_true(F.col("declared_").isNotNull() & F.col("known_").isNotNull(), lost).isNull()).drop("known_", "declared_")
 
 
 def training_pairs(pairs: DataFrame, positives: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixframe import views
 from helixframe.operators import extensions as ex
 from helixframe.operators import ladders as ld
+from helixframe.operators.cohorts import with_settings
 from helixframe.operators.comparison import compared, matches
 from helixframe.operators.sampling import CHUNK, region_sequences
 from helixframe.plans.materialise import broadcast_if_small, checkpointed
@@ -99,8 +100,9 @@ def motif_matches(spark, sf_dir):
 def cohort_settings(spark, sf_dir):
     """A two-step lookup: nation to region to its settings, on every customer."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    settings = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("factor"), (F.col("r_regionkey") * 3 + 10).alias("width"))
-    found = table(spark, sf_dir, "customer").join(F.broadcast(settings), F.col("c_nationkey") == F.col("n_nationkey"))
+    factors = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("cohort"), F.col("r_name").alias("factor"))
+    targets = region.select(F.col("r_name").alias("factor"), (F.col("r_regionkey") * 3 + 10).alias("width"))
+    found = with_settings(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "cohort"), factors, targets)
     return found.groupBy("factor", "width").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 6).alias("mean_value"))
 
 

@@ -428,6 +428,21 @@ def test_deep_overlap_groups_are_digested_as_streams(spark):
     assert "collect_list" not in plan
 
 
+def test_settings_are_declared_and_never_inferred(spark):
+    frame = lambda columns, *rows: spark.createDataFrame(list(rows), columns)
+    factors, targets = frame("cohort string, factor string", ("c1", "f1"), ("c2", "f1"), ("c3", "f3")), frame("factor string, width int", ("f1", 19), ("f2", 8))
+    ask = lambda cohorts, f=factors, t=targets: sorted(tuple(r) for r in cohorts_of(cohorts, f, t).select("cohort", "run", "factor", "width").collect())
+    cohorts_of = lambda names, f, t: cohorts.with_settings(frame("cohort string, run int", *[(n, k) for k, n in enumerate(names)]), f, t)
+    assert ask(["c1", "c2", "c1"]) == [("c1", 0, "f1", 19), ("c1", 2, "f1", 19), ("c2", 1, "f1", 19)]
+    for names, message in ((["c9"], "cohort c9"), ([None], "cohort null"), (["c3"], "factor f3")):
+        with pytest.raises(Exception, match=message):
+            ask(names)
+    with pytest.raises(ValueError, match="declared twice"):
+        ask(["c1"], factors.unionByName(factors))
+    with pytest.raises(ValueError, match="declared twice"):
+        ask(["c1"], factors, targets.unionByName(targets))
+
+
 def test_summaries_go_by_the_text_of_their_key(spark):
     rows = [("oops", 25.0, 19), ("oops", 100.0, 19), ("zoops", 5.0, 8), ("oops", 100.0, 8)]
     df = spark.createDataFrame(rows, "model string, level double, width int")
