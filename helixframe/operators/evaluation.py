@@ -165,13 +165,15 @@ def paired_records(runs: DataFrame, found: DataFrame, target: str, overlap: int,
     return pair_features(wide).drop(*[f"{m}_{r}" for m in MODELS for r in (0, 1)])
 
 
-def compact_pairs(runs: DataFrame, fraction: float = 0.8) -> DataFrame:
+def compact_pairs(runs: DataFrame, fraction: float = 0.8, companions: bool = True) -> DataFrame:
     """The pair table of the extension analyses: anchors of which any of the four runs is missing are left out; distances are as they come, by all three metrics.
 
+    Without companions only the two anchors must be there: a resampling distance whose companion is missing is null.
+
     runs has cohort, sample, signal_percent, motif_width, input_repeat, model, ap,
     neg_log10_evalue, site_fraction and pwm."""
     keys = ["cohort", "sample", "signal_percent", "motif_width"]
-    made = checkpointed(_cells(runs, keys).dropna(subset=[f"{m}_{r}" for m in MODELS for r in (0, 1)]))
+    made = checkpointed(_cells(runs, keys).dropna(subset=[f"{m}_{r}" for m in MODELS for r in ((0, 1) if companions else (0,))]))
     for metric in ("jsd", "tv", "hellinger"):
         made = _distances(made, "oops_0.pwm", "zoops_0.pwm", metric, fraction, False, metric)
     for m in MODELS:

@@ -33,3 +33,14 @@ def test_query(spark, duck, name):
     for c in columns:
         same = (a[c].astype(str) == b[c].astype(str)) | (a[c].isna() & b[c].isna())
         assert same.all(), (c, a[c][~same].head(3).tolist(), b[c][~same].head(3).tolist())
+
+
+@pytest.mark.parametrize("rows", [18, 19])
+def test_compact_pairs_of_a_last_cell_that_is_not_full(spark, duck, tmp_path, rows):
+    some = duck.cursor()
+    some.execute(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < {rows}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    some.execute(f"CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    theirs = sorted(map(str, some.execute(SQL["compact_pairs"]).df().astype(str).values.tolist()))
+    mine = sorted(map(str, QUERIES["compact_pairs"](spark, str(tmp_path)).toPandas().astype(str).values.tolist()))
+    assert len(mine) == 5
+    assert mine == theirs
