@@ -12,10 +12,10 @@ from helixframe.operators.intervals import contained, merged, overlap_pairs, ove
 from helixframe.plans.materialise import broadcast_if_small, checkpointed
 
 CHUNK = 1000
-#: So many open proposals are a short table.
-FEW = 50_000
-#: More keys than this make their attempts in growing waves.
-WAVES = 1000
+#: So many open proposals of a chromosome are a short table.
+FEW = 200_000
+#: More keys than this make so many attempts first, and then each time as many as bring a key to so many times what it made; fewer make all at once.
+WAVES, FIRST, GROWTH = 1000, 4, 4
 #: Controls for each positive by split.
 CONTRACT = {"train": 1, "test": 10}
 
@@ -33,18 +33,19 @@ def genome_store(genome: DataFrame, name: str, buckets: int = 200) -> DataFrame:
 def region_sequences(regions: DataFrame, genome: DataFrame) -> DataFrame:
     """regions (chrom, start, end) with seq, from pieces of CHUNK letters; fails on a region that leaves the genome or meets a piece twice.
 
-    An equi-join on chromosome and piece; the pieces of a region are put together in order."""
+    An equi-join on chromosome and piece; each piece is cut to the region's letters before it moves, and the cuts are put together in order."""
     parts = regions.withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK))))
     keys = list(regions.columns)
     letters = genome.select("chrom", F.col("piece").cast("bigint").alias("piece"), F.col("seq").alias("part_"))
-    grouped = parts.join(letters, ["chrom", "piece"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "part_"))).alias("parts_"), F.count_distinct("piece").alias("pieces_"))
-    whole = F.array_join(F.transform("parts_", lambda p: p["part_"]), "")
-    first = F.col("start") - F.col("parts_")[0]["piece"] * CHUNK
-    cut = grouped.withColumn("seq", F.upper(whole.substr((first + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))))
-    met = (F.length("seq") == F.col("end") - F.col("start")) & ~F.exists("parts_", lambda p: p["part_"].isNull())
+    low, high = F.greatest(F.col("start") - F.col("piece") * CHUNK, F.lit(0)), F.least(F.col("end") - F.col("piece") * CHUNK, F.lit(CHUNK))
+    cut = parts.join(letters, ["chrom", "piece"], "left").withColumn("part_", F.upper(F.col("part_").substr((low + 1).cast("int"), (high - low).cast("int"))))
+    grouped = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", "part_"))).alias("parts_"))
+    whole = grouped.withColumn("seq", F.array_join(F.transform(F.array_distinct("parts_"), lambda p: p["part_"]), ""))
+    pieces = F.floor((F.col("end") - 1) / CHUNK) - F.floor(F.col("start") / CHUNK) + 1
+    once = F.assert_true(F.size("parts_") % pieces == 0, F.lit("a piece is there twice")).isNull()
+    met = F.length("seq") == F.col("end") - F.col("start")
     fine = F.assert_true(met, F.concat_ws(" ", F.lit("a region leaves the genome:"), "chrom", "start", "end")).isNull()
-    once = F.assert_true(F.size("parts_") % F.col("pieces_") == 0, F.lit("a piece is there twice")).isNull()
-    return cut.where(fine & once).drop("parts_", "pieces_")
+    return whole.where(once & fine).drop("parts_")
 
 
 def _conflicts(proposals: DataFrame) -> DataFrame:
@@ -54,17 +55,17 @@ def _conflicts(proposals: DataFrame) -> DataFrame:
 
 
 def first_fits(proposals: DataFrame, few: int = FEW) -> DataFrame:
-    """Of proposals (spot, chrom, start, end) those that a pass in order of spot = (record_id, negative_index, attempt) takes: each whose key is not served and that overlaps none taken.
+    """Of proposals (spot, chrom, start, end) those that a pass in order of spot = (round, record_id, negative_index, attempt) takes: each whose key is not served and that overlaps none taken.
 
     A proposal with no open one before it in its key and none that overlaps it is taken, all of
     these at once; what they exclude is closed, and so on until none is open. That is the
-    result of the pass in order. Once at most few are open, a table of that size, they are
-    passed in order in one task."""
+    result of the pass in order. A key is of one chromosome, so chromosomes do not touch each
+    other: once none has more than few open, each is passed in order in a task of its own."""
     open_ = checkpointed(proposals)
     taken = None
     edges = None
     while True:
-        left = open_.count()
+        left = open_.groupBy("chrom").count().agg(F.max("count")).first()[0] or 0
         if left <= few:
             break
         if edges is None:
@@ -80,20 +81,20 @@ def first_fits(proposals: DataFrame, few: int = FEW) -> DataFrame:
         taken = now if taken is None else taken.unionByName(now)
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
-        spots = [(s["record_id"], s["negative_index"], s["attempt"]) for s in rows["spot"]]
+        spots = [(s["round"], s["record_id"], s["negative_index"], s["attempt"]) for s in rows["spot"]]
         served, held, kept = set(), {}, []
         for at in sorted(range(len(spots)), key=spots.__getitem__):
             chrom, start, end = rows["chrom"].iat[at], rows["start"].iat[at], rows["end"].iat[at]
             bins = [(chrom, k) for k in range(start // CHUNK, (end - 1) // CHUNK + 1)]
-            if spots[at][:2] in served or any(a < end and start < b for k in bins for a, b in held.get(k, ())):
+            if spots[at][1:3] in served or any(a < end and start < b for k in bins for a, b in held.get(k, ())):
                 continue
-            served.add(spots[at][:2])
+            served.add(spots[at][1:3])
             kept.append(at)
             for k in bins:
                 held.setdefault(k, []).append((start, end))
         return rows.iloc[kept]
 
-    last = open_.groupBy(F.lit(0).alias("all_")).applyInPandas(take, open_.schema)
+    last = open_.groupBy("chrom").applyInPandas(take, open_.schema)
     return last if taken is None else taken.unionByName(last)
 
 
@@ -101,11 +102,12 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
     """split, record_id, negative_index, chrom, start, end, gc, negative_gc, attempt: controls for positives (record_id, split, chrom, seq), one for each in train and ten in test.
 
     A key (positive and index) proposes starts by keyed digest, in attempt order; train keys go
-    through all rounds before test keys, and a round's proposals are made for keys without a
-    control only. A proposal must miss forbidden, lie in allowed where given, have few unknown
-    letters and the positive's GC content within tolerance, and overlap none taken before it,
-    in the order of split, round, record, index and attempt. Attempts are read in waves, for keys that need them; the
-    result is that of the pass that reads all. A key that no round serves fails the job or, if
+    through all rounds before test keys. A proposal must miss forbidden, lie in allowed where
+    given, have few unknown letters and the positive's GC content within tolerance, and overlap
+    none taken before it, in the order of split, round, record, index and attempt. That is one
+    pass over the attempts of all keys; a key's attempts behind the one that serves it change
+    nothing, so they are made only for keys that the pass so far leaves without a control, until
+    there is none or it has made all. A key that no round serves fails the job or, if
     not strict, comes back without a place."""
     ratios = ratios or CONTRACT
     length = F.length("seq")
@@ -117,54 +119,39 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
     closed, open_to = checkpointed(merged(forbidden)), None if allowed is None else checkpointed(merged(allowed))
     shown = ["split", "record_id", "negative_index", "chrom", "start", "end", "gc", "negative_gc", "attempt"]
     own = ["record_id", "negative_index"]
-    taken = None
+    total = rounds * tries
+    every = list(ratios)
+    turn = F.coalesce(*[F.when(F.col("split") == s, F.lit(k * rounds)) for k, s in enumerate(every)]) + F.floor(F.col("attempt") / tries).cast("int")
 
     def fitting(tried: DataFrame) -> DataFrame:
-        """The proposals of keys with attempts that fit by themselves, beside all taken so far."""
+        """The proposals of keys with attempts that fit by themselves."""
         target = F.concat("record_id", F.lit("|negative="), F.col("negative_index").cast("string"))
         proposals = tried.withColumn("start", keyed_start(seed, target, F.col("attempt"), F.col("last"))).withColumn("end", F.col("start") + F.col("length")).drop("last", "length")
         free = overlapping(proposals, closed, keep=False, disjoint=True)
         free = free if open_to is None else contained(free, open_to, disjoint=True)
-        free = free if taken is None else overlapping(free, taken, keep=False, disjoint=True)
         read = region_sequences(free, genome)
         fit = read.withColumn("negative_gc", gc_fraction(F.col("seq"))).where((n_fraction(F.col("seq")) <= most_unknown) & (F.abs(F.col("negative_gc") - F.col("gc")) <= tolerance + 1e-12))
-        return checkpointed(fit.drop("seq"))
-
-    def attempts(rows: DataFrame, first: Column, last: int) -> DataFrame:
-        return rows.withColumn("attempt", F.explode(F.sequence(first.cast("int"), F.lit(last)))).drop("next_")
-
-    for split in ratios:
-        waiting = keys.where((F.col("split") == split) & (F.col("last") >= 0))
-        for turn in range(rounds):
-            if taken is not None:
-                waiting = waiting.join(taken.select(*own), own, "left_anti")
-            waiting = checkpointed(waiting)
-            left = waiting.count()
-            if not left:
-                break
-            # most keys need few attempts: they are made in growing waves, for keys without a fitting one
-            low, high = turn * tries, (turn + 1) * tries - 1
-            still, found, seen, size = waiting, None, None, 1 if left > WAVES else tries
-            while low <= high:
-                top = min(high, low + size - 1)
-                made = fitting(attempts(still, F.lit(low), top))
-                served = checkpointed(made.select(*own).distinct())
-                stopped = still.join(served, own, "left_semi").withColumn("next_", F.lit(top + 1))
-                found, seen = (made, stopped) if found is None else (found.unionByName(made), seen.unionByName(stopped))
-                low, size = top + 1, 2 * size
-                if low <= high:
-                    still = checkpointed(still.join(served, own, "left_anti"))
-                    low = high + 1 if not still.limit(1).count() else low
-            while True:
-                spots = checkpointed(first_fits(found.withColumn("spot", F.struct("record_id", "negative_index", "attempt")), few))
-                # a key whose fitting attempts are all overlapped gets its other attempts, and the pass begins anew
-                more = checkpointed(seen.where(F.col("next_") <= high).join(spots.select(*own), own, "left_anti"))
-                if not more.limit(1).count():
-                    break
-                found = found.unionByName(fitting(attempts(more, F.col("next_"), high)))
-                seen = checkpointed(seen.join(more.select(*own), own, "left_anti"))
-            taken = checkpointed(spots.select(*shown) if taken is None else taken.unionByName(spots.select(*shown)))
-    if taken is None:
+        return checkpointed(fit.drop("seq").withColumn("spot", F.struct(turn.alias("round"), "record_id", "negative_index", "attempt")))
+
+    asked = keys.where(F.col("last") >= 0).withColumn("made_", F.lit(0))
+    first = FIRST if asked.count() > WAVES else total
+    found = spots = None
+    while True:
+        unserved = asked.where(F.col("made_") < total)
+        todo = checkpointed(unserved if spots is None else unserved.join(spots.select(*own), own, "left_anti"))
+        if not todo.take(1):
+            break
+        # few keys with many attempts would lie in one partition
+        spread = todo.repartition(4 * genome.sparkSession.sparkContext.defaultParallelism, *own)
+        more = spread.withColumn("upto_", F.least(F.lit(total), F.greatest(F.lit(first), F.col("made_") * GROWTH)))
+        made = fitting(more.withColumn("attempt", F.explode(F.sequence(F.col("made_"), F.col("upto_") - 1))).drop("made_", "upto_"))
+        found = made if found is None else found.unionByName(made)
+        rest = asked.join(todo.select(*own), own, "left_anti")
+        asked = checkpointed(rest.unionByName(more.withColumn("made_", F.col("upto_")).drop("upto_")))
+        spots = checkpointed(first_fits(found, few))
+    if spots is not None:
+        taken = spots.select(*shown)
+    else:
         taken = keys.limit(0).select("split", "record_id", "negative_index", "chrom", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), "gc", F.col("gc").alias("negative_gc"), F.lit(0).alias("attempt"))
     missing = keys.join(taken, ["record_id", "negative_index"], "left_anti")
     if strict:

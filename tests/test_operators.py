@@ -360,6 +360,18 @@ def test_waves_of_attempts_serve_as_the_whole_pass_does(spark, monkeypatch, size
     assert found[0] == found[1] and len(found[0]) == 26 + 42 and read[0] < share * read[1]
 
 
+def test_controls_of_all_splits_and_rounds_share_their_reads(spark, monkeypatch):
+    rng = random.Random(5)
+    pieces = [("a", k, "".join(rng.choice("ACGT") for _ in range(sampling.CHUNK))) for k in range(20)]
+    genome = checkpointed(spark.createDataFrame(pieces, "chrom string, piece bigint, seq string"))
+    positives = spark.createDataFrame([(f"p{k}", "train" if k % 2 else "test", "a", pieces[k][2][:60]) for k in range(6)], "record_id string, split string, chrom string, seq string")
+    reads, true = [], sampling.region_sequences
+    monkeypatch.setattr(sampling, "region_sequences", lambda rows, store: reads.append(1) or true(rows, store))
+    monkeypatch.setattr(sampling, "WAVES", 0)
+    got = sampling.matched_controls(positives, genome, regions(spark, []), tolerance=0.05, most_unknown=0.1, ratios={"train": 1, "test": 2}, rounds=3, strict=False)
+    assert got.where("start is not null").count() == 9 and len(reads) <= 3
+
+
 def test_reads_fail_outside_the_genome_and_on_repeated_pieces(spark):
     genome = spark.createDataFrame([("a", 0, "A" * sampling.CHUNK), ("a", 1, "C" * 500)], "chrom string, piece int, seq string")
     ask = lambda rows, store=genome: sampling.region_sequences(regions(spark, rows), store).collect()
