@@ -46,10 +46,11 @@ def sampled(pairs: DataFrame, samples: int, repeats: int, size: int, seed: int)
     own = stage_seed(seed, "sample", F.col("sample"), F.col("input_repeat"))
     order = F.sha2(F.concat_ws("|", own.cast("string"), F.col("positive_id").cast("string")), 256)
     place = F.row_number().over(Window.partitionBy("sample", "input_repeat").orderBy("order_", "positive_id"))
-    drawn = each.withColumn("order_", order).withColumn("slot", place - 1).where(F.col("slot") < size)
+    # the place itself is held against size: so every task drops its own ranks beyond size, before rows move
+    drawn = each.withColumn("order_", order).withColumn("place_", place).where(F.col("place_") <= size).withColumn("slot", F.col("place_") - 1)
     if pairs.limit(size).count() < size:
         raise ValueError(f"fewer than {size} pairs")
-    return drawn.drop("order_")
+    return drawn.drop("order_", "place_")
 
 
 def cohort_records(pairs: DataFrame, samples: int, repeats: int, size: int, levels: list[float], seeds: dict[str, int], partial: bool = False) -> DataFrame:

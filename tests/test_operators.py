@@ -813,3 +813,9 @@ def test_plans_and_their_runs(spark):
     assert ladders.concatenated([a, b]).count() == 32
     with pytest.raises(ValueError, match="one cohort"):
         ladders.concatenated([a, a])
+
+
+def test_samples_drop_ranks_beyond_their_size_before_they_move(spark):
+    pairs = spark.range(500).select(F.col("id").alias("positive_id"), (-F.col("id")).alias("negative_id"))
+    plan = cohorts.sampled(pairs, 2, 1, 20, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
