@@ -29,8 +29,7 @@ def blacklist_anti(spark, sf_dir):
 
 
 def blacklist_counts(spark, sf_dir):
-    pairs = iv.overlap_pairs(views.intervals(spark, sf_dir), views.mask(spark, sf_dir), ["chrom"], ["start", "end"])
-    return pairs.groupBy("chrom").agg(F.count("*").alias("n_pairs"), F.sum(F.col("other_end") - F.col("other_start")).alias("mask_positions"))
+    return iv.pair_counts(views.intervals(spark, sf_dir), views.mask(spark, sf_dir)).withColumnRenamed("positions", "mask_positions")
 
 
 def mappable_contain(spark, sf_dir):

@@ -819,3 +819,13 @@ def test_samples_drop_ranks_beyond_their_size_before_they_move(spark):
     pairs = spark.range(500).select(F.col("id").alias("positive_id"), (-F.col("id")).alias("negative_id"))
     plan = cohorts.sampled(pairs, 2, 1, 20, 7)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_pairs_are_counted_without_being_made(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "TILE", 16)
+    rng = random.Random(8)
+    make = lambda n: [(rng.choice("ab"), s, s + rng.randint(1, 30)) for s in (rng.randrange(120) for _ in range(n))]
+    left, right = [*make(90), ("c", 0, 5)], [*make(70), ("c", 5, 9), ("d", 0, 3)]
+    pairs = [(x[0], y[2] - y[1]) for x in left for y in right if x[0] == y[0] and x[1] < y[2] and y[1] < x[2]]
+    got = {r.chrom: (r.n_pairs, r.positions) for r in intervals.pair_counts(regions(spark, left), regions(spark, right)).collect()}
+    assert got == {c: (sum(p[0] == c for p in pairs), sum(p[1] for p in pairs if p[0] == c)) for c in "ab"}
