@@ -48,6 +48,22 @@ def auroc(scored: DataFrame, by: list[str]) -> DataFrame:
     return before.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auroc"))
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share: the exact quantile of value, between neighbours in proportion; null for a group without values.
+
+    Values are counted first, and the running counts go over tiles, so no group goes through one task."""
+    counts = tiled(rows.groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count(value).alias("n_")), by, "value_")
+    before = running(counts, by, "tile", [F.col("value_")], sums={"below_": F.col("n_")})
+    totals = broadcast_if_small(counts.groupBy(*by).agg(F.sum("n_").alias("total_")))
+    at = lambda place: F.max(F.when((F.col("below_") <= place) & (place < F.col("below_") + F.col("n_")), F.col("value_")))
+    told = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("total_") - 1)
+        low, high, rest = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        told.append(F.when(low == high, low).otherwise((1 - rest) * low + rest * high).alias(name))
+    return before.join(totals, by).groupBy(*by).agg(*told)
+
+
 def trapezoid(points: DataFrame, by: list[str]) -> DataFrame:
     """by and area under the points (x, y) by trapezoids; fails on equal x and on a group of one point.
 

@@ -72,8 +72,9 @@ def bootstrap_mean_tiled(spark, sf_dir):
 
 
 def quantiles(spark, sf_dir):
-    q = [F.round(F.percentile("l_extendedprice", F.lit(p)), 4).alias(f"q{int(1000 * p):03d}") for p in (0.025, 0.25, 0.5, 0.975)]
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*q)
+    shares = {f"q{int(1000 * p):03d}": p for p in (0.025, 0.25, 0.5, 0.975)}
+    found = rk.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", shares)
+    return found.select("l_returnflag", *[F.round(c, 4).alias(c) for c in shares])
 
 
 def cell_center(spark, sf_dir):

@@ -829,3 +829,13 @@ def test_pairs_are_counted_without_being_made(spark, monkeypatch):
     pairs = [(x[0], y[2] - y[1]) for x in left for y in right if x[0] == y[0] and x[1] < y[2] and y[1] < x[2]]
     got = {r.chrom: (r.n_pairs, r.positions) for r in intervals.pair_counts(regions(spark, left), regions(spark, right)).collect()}
     assert got == {c: (sum(p[0] == c for p in pairs), sum(p[1] for p in pairs if p[0] == c)) for c in "ab"}
+
+
+def test_quantiles_are_those_of_the_sorted_values(spark):
+    rng = random.Random(12)
+    values = {"a": [float(rng.randrange(40)) for _ in range(101)], "b": [3.5], "c": [1.0, 2.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in [*vs, None]] + [("d", None)], "g string, v double")
+    shares = {"low": 0.025, "half": 0.5, "high": 0.975}
+    got = {r.g: (r.low, r.half, r.high) for r in ranking.quantiles(rows, ["g"], "v", shares).collect()}
+    assert got.pop("d") == (None, None, None)
+    assert got == {g: pytest.approx(tuple(np.quantile(vs, list(shares.values())))) for g, vs in values.items()}
