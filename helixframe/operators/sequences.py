@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from helixframe.functions.dna import flipped_matrix, kmers, log_or_minus_infinity
+from helixframe.functions.dna import flipped_matrix, log_or_minus_infinity
 
 BASES = "ACGT"
 #: A set of motifs is broadcast to the scanner up to so many matrix rows.
 BROADCAST_ROWS = 200_000
 #: Sequences are read so many letters at a time; scores are looked up by words of WORD letters.
 PIECE, WORD = 1 << 20, 5
+#: Words of at most so many letters are scored in a table, at most 65,536 rows.
+LISTED = 8
 _CODE = np.full(256, 4, np.int8)
 _CODE[list(b"ACGT")] = _CODE[list(b"acgt")] = range(4)
 
@@ -123,8 +125,15 @@ def scan_sql(sequences: DataFrame, pwm: list[list[float]], background: dict[str,
                 odds = F.when(F.substring("word", j + 1, 1) == base, log_or_minus_infinity(F.lit(float(p))) - F.log(F.lit(background[base]))).otherwise(odds)
             steps.append(odds)
         both.append(sum(steps[1:], steps[0]))
-    words = sequences.select("doc_id", F.explode(kmers(F.col("seq"), width)).alias("word")).where(~F.col("word").rlike("[^ACGT]"))
-    return words.groupBy("doc_id").agg(F.max(F.greatest(*both)).alias("max_log_odds"))
+    last = F.length("seq") - (width - 1)
+    places = sequences.where(last >= 1).select("doc_id", "seq", F.explode(F.sequence(F.lit(1), last)).alias("i_"))
+    words = places.select("doc_id", F.col("seq").substr(F.col("i_"), F.lit(width)).alias("word"))
+    if width <= LISTED:  # every word is scored once, and a window looks its word up
+        every = sequences.sparkSession.range(4**width).select(F.col("id").alias("at")).select(_word(width).alias("word")).select("word", F.greatest(*both).alias("odds_"))
+        scored = words.join(F.broadcast(every), "word")
+    else:  # a word with another letter has no odds
+        scored = words.select("doc_id", F.greatest(*both).alias("odds_")).where("odds_ is not null")
+    return scored.groupBy("doc_id").agg(F.max("odds_").alias("max_log_odds"))
 
 
 class Scanner:

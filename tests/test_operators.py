@@ -839,3 +839,16 @@ def test_quantiles_are_those_of_the_sorted_values(spark):
     got = {r.g: (r.low, r.half, r.high) for r in ranking.quantiles(rows, ["g"], "v", shares).collect()}
     assert got.pop("d") == (None, None, None)
     assert got == {g: pytest.approx(tuple(np.quantile(vs, list(shares.values())))) for g, vs in values.items()}
+
+
+@pytest.mark.parametrize("width", [6, 9])
+def test_sql_scan_looks_words_up_and_scores_as_the_kernel(spark, width):
+    rng = random.Random(width)
+    pwm = [[0.1, 0.2, 0.3, 0.4], [0.4, 0.1, 0.4, 0.1], [0.7, 0.1, 0.1, 0.1]] * (width // 3)
+    seqs = spark.createDataFrame([(k, "ACGTACGTAC" + "".join(rng.choice("ACGTN") for _ in range(60))) for k in range(20)], "doc_id bigint, seq string")
+    back = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
+    rows = sequences.scan_sql(seqs.unionByName(spark.createDataFrame([(98, "ACG"), (99, "NNNNNNNNNNNN")], seqs.schema)), pwm, back)
+    mine = {r.doc_id: r.max_log_odds for r in rows.collect()}
+    theirs = {r.doc_id: r.max_log_odds for r in sequences.scan(seqs, spark.createDataFrame([(1, pwm)], "motif_id bigint, pwm array<array<double>>"), back, 0).collect()}
+    assert mine == pytest.approx(theirs) and len(mine) == 20
+    assert "RLIKE" not in rows._jdf.queryExecution().optimizedPlan().toString()
