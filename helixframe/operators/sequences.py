@@ -196,8 +196,8 @@ class Scanner:
             yield motif_id, np.maximum.reduceat(scores, first)
 
 
-def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float], order: int) -> DataFrame:
-    """(doc_id, motif_id, max_log_odds) for every sequence and motif, by an Arrow kernel.
+def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float], order: int, best_only: bool = False) -> DataFrame:
+    """(doc_id, motif_id, max_log_odds) for every sequence and motif, by an Arrow kernel; with best_only for the best motif of each sequence, on ties the one of the greatest id.
 
     Sequences may be of any length: what is longer than PIECE is scanned in parts that overlap by
     the widest motif less a letter, so no site is lost. motifs (motif_id, pwm) are broadcast up to
@@ -213,6 +213,7 @@ def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float],
             scanner = Scanner(held.value, background, order)
             widest = max(width for _, width, _ in scanner.motifs)
             ids = pa.array([k for k, _ in held.value], kinds)
+            falling = np.array(sorted(range(len(held.value)), key=lambda k: held.value[k][0], reverse=True)) if best_only else None
             for batch in batches:
                 best = np.full((len(held.value), batch.num_rows), -np.inf)
                 for row, first, codes in _pieces(batch.column(1), widest - 1):
@@ -220,6 +221,10 @@ def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float],
                         np.maximum.at(best[k], row, scores)
                 if not np.isfinite(best).all():
                     raise ValueError("sequence without a finite score, or shorter than the matrix")
+                if best_only:
+                    top = falling[np.argmax(best[falling], 0)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), ids.take(pa.array(top)), pa.array(best[top, np.arange(batch.num_rows)])], names=["doc_id", "motif_id", "max_log_odds"])
+                    continue
                 for k in range(len(best) if batch.num_rows else 0):
                     yield pa.RecordBatch.from_arrays([batch.column(0), ids.take(pa.array([k] * batch.num_rows, pa.int64())), pa.array(best[k])], names=["doc_id", "motif_id", "max_log_odds"])
 
@@ -234,7 +239,11 @@ def scan(sequences: DataFrame, motifs: DataFrame, background: dict[str, float],
             out, block, rows = join(out, block), [], 0
         block.append((motif["motif_id"], [list(r) for r in motif["pwm"]]))
         rows += len(motif["pwm"])
-    return join(out, block) if block or out is None else out
+    several = out is not None
+    out = join(out, block) if block or out is None else out
+    if best_only and several:  # the best of each block
+        out = out.groupBy("doc_id").agg(F.max(F.struct("max_log_odds", "motif_id")).alias("b_")).select("doc_id", "b_.motif_id", "b_.max_log_odds")
+    return out
 
 
 def motif_distances(pairs: DataFrame, metric: str = "jsd", fraction: float = 0.8, clamp: bool = True) -> DataFrame:

@@ -65,8 +65,8 @@ def pwm_scan_markov(spark, sf_dir):
     flat = views.matrices(spark, sf_dir).select(F.col("label").cast("bigint").alias("motif_id"), F.posexplode(F.flatten("pwm")).alias("at", "p"))
     means = flat.groupBy("motif_id", "at").agg(F.avg("p").alias("p")).groupBy("motif_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p"))), lambda x: x["p"]).alias("v"))  # 64 numbers a label
     motifs = means.select("motif_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("v", k * 4 + 1, 4)).alias("pwm"))
-    best = sq.scan(seqs, motifs, background, 2).groupBy("doc_id").agg(F.max(F.struct("max_log_odds", "motif_id")).alias("b"))
-    return best.select(F.col("doc_id").alias("window_id"), "b.motif_id", F.round("b.max_log_odds", 6).alias("max_log_odds"))
+    best = sq.scan(seqs, motifs, background, 2, best_only=True)
+    return best.select(F.col("doc_id").alias("window_id"), "motif_id", F.round("max_log_odds", 6).alias("max_log_odds"))
 
 
 def _distance(metric, spark, sf_dir):

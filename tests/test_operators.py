@@ -852,3 +852,16 @@ def test_sql_scan_looks_words_up_and_scores_as_the_kernel(spark, width):
     theirs = {r.doc_id: r.max_log_odds for r in sequences.scan(seqs, spark.createDataFrame([(1, pwm)], "motif_id bigint, pwm array<array<double>>"), back, 0).collect()}
     assert mine == pytest.approx(theirs) and len(mine) == 20
     assert "RLIKE" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scan_tells_the_best_motif_of_each_sequence(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = spark.createDataFrame([(k, "".join(rng.choice("ACGT") for _ in range(40))) for k in range(30)], "doc_id bigint, seq string")
+    one, two = [[0.7, 0.1, 0.1, 0.1]] * 3, [[0.1, 0.2, 0.3, 0.4]] * 3
+    motifs = spark.createDataFrame([(2, one), (3, two), (1, one)], "motif_id bigint, pwm array<array<double>>")
+    back = dict.fromkeys("ACGT", 0.25)
+    every = sequences.scan(rows, motifs, back, 0).groupBy("doc_id").agg(F.max(F.struct("max_log_odds", "motif_id")).alias("b")).select("doc_id", "b.motif_id", "b.max_log_odds")
+    want = sorted(map(tuple, every.collect()))
+    for most in (sequences.BROADCAST_ROWS, 3):
+        monkeypatch.setattr(sequences, "BROADCAST_ROWS", most)
+        assert sorted(map(tuple, sequences.scan(rows, motifs, back, 0, best_only=True).collect())) == want
