@@ -52,7 +52,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, floa
     """by and a column for each share: the exact quantile of value, between neighbours in proportion; null for a group without values.
 
     Values are counted first, and the running counts go over tiles, so no group goes through one task."""
-    counts = tiled(rows.groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count(value).alias("n_")), by, "value_")
+    counts = tiled(checkpointed(rows.groupBy(*by, F.col(value).cast("double").alias("value_")).agg(F.count(value).alias("n_"))), by, "value_")
     before = running(counts, by, "tile", [F.col("value_")], sums={"below_": F.col("n_")})
     totals = broadcast_if_small(counts.groupBy(*by).agg(F.sum("n_").alias("total_")))
     at = lambda place: F.max(F.when((F.col("below_") <= place) & (place < F.col("below_") + F.col("n_")), F.col("value_")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.intervals import group_table, overlap_groups, overlapping
+from helixframe.operators.intervals import TILE, group_table, overlap_groups, overlapping
 from helixframe.plans.materialise import broadcast_if_small, checkpointed
-from helixframe.plans.running import ranked
+from helixframe.plans.running import ranked, running
 from helixframe.sources.sinks import twelve_digits, write_json, write_tsv
 
 
@@ -45,14 +45,23 @@ def leaks(manifest: DataFrame) -> DataFrame:
     return overlapping(manifest.where("split = 'train'"), manifest.where("split = 'test'"))
 
 
+def _may_leak(spans: DataFrame) -> bool:
+    """Whether a group (chrom, start, end, split) begins before the furthest end of groups of the other split that begin before it or with it; if none does, none of their members overlap."""
+    tiles = spans.withColumn("tile_", F.floor(F.col("start") / TILE))
+    ends = {f"{s}_": F.when(F.col("split") == s, F.col("end")) for s in ("train", "test")}
+    before = running(tiles, ["chrom"], "tile_", [F.col("start"), F.col("split")], maxima=ends)
+    reached = F.col("start") < F.when(F.col("split") == "train", F.col("test_")).otherwise(F.col("train_"))
+    return bool(before.agg(F.bool_or(reached)).first()[0])
+
+
 def manifest(intervals: DataFrame, fraction: float, seed: int, bins: int) -> DataFrame:
     """intervals (chrom, start, end, record_id, score and others) with split and group_id, in order of split, chromosome, start and end.
 
     Fails where a train interval overlaps a test interval."""
-    grouped = checkpointed(overlap_groups(intervals))
-    sides = assigned(group_table(grouped), fraction, seed, bins).select("chrom", "group_id", "split")
-    rows = checkpointed(grouped.join(sides, ["chrom", "group_id"]))
-    first = leaks(rows).select("record_id").take(1)
+    grouped = overlap_groups(intervals)
+    spans = checkpointed(assigned(group_table(grouped), fraction, seed, bins).select("chrom", "group_id", "start", "end", "split"))
+    rows = grouped.join(broadcast_if_small(spans.select("chrom", "group_id", "split")), ["chrom", "group_id"])
+    first = leaks(rows).select("record_id").take(1) if _may_leak(spans) else []
     if first:
         raise ValueError(f"cross-split overlap: {first[0]['record_id']}")
     return rows.orderBy("split", "chrom", "start", "end", "record_id")

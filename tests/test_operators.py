@@ -883,3 +883,32 @@ def test_digests_of_packed_tiles_are_those_of_the_lines(spark, monkeypatch):
             assert got == {g: hashlib.sha256("\n".join(x).encode()).hexdigest() for g, x in want.items()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_of_overlap_groups_pass_no_window_and_empty_ones_stay_alone(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "LARGE", 3)
+    rng = random.Random(11)
+    plain = [(rng.choice("ab"), s, s + rng.randint(1, 30)) for s in (rng.randrange(3000) for _ in range(150))]
+    for extra in ([], [("a", 5000, 5000), ("a", 5000, 5000), ("a", 5000, 5010), ("b", 6000, 6000)]):
+        rows = [(*r, f"r{k:03d}", float(rng.randrange(9))) for k, r in enumerate(plain + extra)]
+        df = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, record_id string, score double")
+        wanted, reach, last = [], None, None
+        for r in sorted(rows):
+            if r[0] != last or r[1] >= reach:
+                wanted.append([])
+                reach = r[2]
+            wanted[-1].append(r)
+            last, reach = r[0], max(reach, r[2])
+        told = lambda g: "grp_" + hashlib.sha256("\n".join("\t".join(map(str, r[:4])) for r in g).encode()).hexdigest()[:16]
+        grouped = intervals.overlap_groups(df)
+        assert {(r.record_id, r.group_id) for r in grouped.collect()} == {(r[3], told(g)) for g in wanted for r in g}
+        assert extra or "Window" not in grouped._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(map(tuple, intervals.group_table(grouped).select("group_id", "start", "end", "n_intervals", "score").collect()))
+        assert got == sorted((told(g), g[0][1], max(r[2] for r in g), len(g), float(np.median([r[4] for r in g]))) for g in wanted)
+
+
+def test_leaks_are_looked_for_where_groups_of_both_splits_overlap(spark):
+    make = lambda *rows: spark.createDataFrame([("a", *r) for r in rows], "chrom string, start bigint, end bigint, split string")
+    assert not splits._may_leak(make((0, 10, "train"), (10, 20, "test"), (20, 30, "train"), (21, 25, "train")))
+    assert splits._may_leak(make((0, 100, "train"), (5, 6, "train"), (99, 120, "test")))
+    assert splits._may_leak(make((5, 9, "test"), (5, 6, "train")))
