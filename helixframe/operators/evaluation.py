@@ -31,13 +31,21 @@ def motif_scores(motifs: DataFrame, positives: DataFrame, negatives: DataFrame,
     return sides[0].unionByName(sides[1]).select(F.col("motif_id").alias("run_id"), "doc_id", "label", F.round("max_log_odds", 9).alias("score"))
 
 
+def _metrics(scores: DataFrame) -> DataFrame:
+    """run_id, positives, negatives, ap and auroc of motif_scores.
+
+    Sequences are counted by score first: scores repeat where motifs are short, so what is kept and ranked are the distinct scores of a run."""
+    counts = checkpointed(scores.groupBy("run_id", "label", "score").agg(F.count("*").alias("n_")))
+    sums = counts.groupBy("run_id").agg(F.sum(F.col("label") * F.col("n_")).alias("positives"), F.sum((1 - F.col("label")) * F.col("n_")).alias("negatives"))
+    ranks = average_precision(counts, ["run_id"], F.col("n_")).join(auroc(counts, ["run_id"], F.col("n_")), "run_id")
+    return sums.join(ranks, "run_id")
+
+
 def evaluated(motifs: DataFrame, positives: DataFrame, negatives: DataFrame, background: dict[str, float], order: int, pseudocount: float) -> DataFrame:
     """run_id, ap, auroc, positives, negatives, sites and site_fraction of every motif (run_id, pwm, sites, primary_count)."""
-    scores = checkpointed(motif_scores(motifs, positives, negatives, background, order, pseudocount))
-    counts = scores.groupBy("run_id").agg(F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives"))
-    ranks = average_precision(scores, ["run_id"]).join(auroc(scores, ["run_id"]), "run_id")
+    found = _metrics(motif_scores(motifs, positives, negatives, background, order, pseudocount))
     own = motifs.select("run_id", "sites", (F.col("sites") / F.col("primary_count")).alias("site_fraction"))
-    return own.join(broadcast_if_small(counts.join(ranks, "run_id")), "run_id")
+    return own.join(broadcast_if_small(found), "run_id")
 
 
 def evaluation_records(motifs: DataFrame, positives: DataFrame, negatives: DataFrame, catalogue: DataFrame, background: dict[str, float], order: int, pseudocount: float, overlap: int, protocol: str, done: DataFrame | None = None, score_path: str | None = None) -> DataFrame:
@@ -59,12 +67,11 @@ def evaluation_records(motifs: DataFrame, positives: DataFrame, negatives: DataF
         _none(met.where(~F.coalesce(same, F.lit(False))).select("run_id", "protocol", "scoring_order", "pseudocount"), "an earlier record is of another evaluation")
         todo = motifs.join(done.select("run_id"), "run_id", "left_anti")
     todo = checkpointed(todo)
-    scores = checkpointed(motif_scores(todo, positives, negatives, background, order, pseudocount))
+    scores = motif_scores(todo, positives, negatives, background, order, pseudocount)
     if score_path is not None:
+        scores = checkpointed(scores)
         named = scores.join(todo.select("run_id", "cohort"), "run_id").select("cohort", "run_id", F.col("doc_id").alias("sequence_id"), "label", F.col("score").alias("max_log_odds"))
         named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("cohort", "run_id").parquet(score_path)
-    counts = scores.groupBy("run_id").agg(F.sum("label").alias("positives"), F.sum(1 - F.col("label")).alias("negatives"))
-    ranks = average_precision(scores, ["run_id"]).join(auroc(scores, ["run_id"]), "run_id")
     found = matches(todo.select(F.col("run_id").alias("query_id"), "pwm"), catalogue, overlap)
     each = F.struct("target_id", "p", "e", "q", "shift", "strand", "overlap")
     listed = found.groupBy(F.col("query_id").alias("run_id")).agg(F.array_sort(F.collect_list(each)).alias("matches"))  # as many as the catalogue has motifs
@@ -74,7 +81,7 @@ def evaluation_records(motifs: DataFrame, positives: DataFrame, negatives: DataF
             "site_fraction": F.col("sites") / F.col("primary_count"), "motif_width": F.size("pwm"), "sample_size": F.col("primary_count"),
         }
     )
-    whole = own.join(counts.join(ranks, "run_id"), "run_id").join(listed, "run_id", "left")
+    whole = own.join(broadcast_if_small(_metrics(scores)), "run_id").join(listed, "run_id", "left")
     return whole.withColumn("matches", F.coalesce("matches", F.array().cast(listed.schema["matches"].dataType)))
 
 

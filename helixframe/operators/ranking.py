@@ -39,9 +39,9 @@ def average_precision(scored: DataFrame, by: list[str], weight: Column | None =
     return before.groupBy(*by).agg(F.when((totals[0] > 0) & (totals[1] > 0), area / totals[0]).alias("ap"))
 
 
-def auroc(scored: DataFrame, by: list[str]) -> DataFrame:
-    """by and auroc: the chance that a positive outranks a negative, ties counting half; null for one class."""
-    counts = tiled(_by_score(scored, by), by, "score")
+def auroc(scored: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+    """by and auroc: the chance that a positive outranks a negative, ties counting half; null for one class. With weight a row counts so many times."""
+    counts = tiled(_by_score(scored, by, weight), by, "score")
     before = running(counts, by, "tile", [F.col("score")], sums={"below": F.col("n")})
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
     pairs = F.sum("p") * F.sum("n")

@@ -147,7 +147,10 @@ class Scanner:
         for motif_id, pwm in motifs:
             plus = np.array([list(r) for r in pwm], float)
             with np.errstate(divide="ignore"):
-                self.motifs.append((motif_id, len(plus), [self._tables(np.log(m)) for m in (plus, plus[::-1, ::-1])]))
+                strands = [self._tables(np.log(m)) for m in (plus, plus[::-1, ::-1])]
+            if len(plus) <= LISTED:  # one table tells a whole word's better strand
+                strands = [[(0, len(plus), functools.reduce(np.maximum, [functools.reduce(lambda x, y: (x[:, None] + y[None, :]).ravel(), [made for _, _, made in pieces]) for pieces in strands]))]]
+            self.motifs.append((motif_id, len(plus), strands))
 
     @staticmethod
     def _tables(odds: np.ndarray) -> list[tuple[int, int, np.ndarray]]:

@@ -46,12 +46,19 @@ def wholes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", letters(F.col("text")).alias("seq")).where(F.length("seq") > 0)
 
 
-def sequences(spark: SparkSession, sf_dir: str, overlap: int = 0) -> DataFrame:
-    """documents as DNA in windows that begin every 201 letters and reach overlap letters into the next one, the last one of a text shorter: doc_id, k, window_id, lang, seq."""
-    whole = wholes(spark, sf_dir)
-    cut = whole.select("doc_id", "lang", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length("seq") - 1) / WINDOW))).alias("k"))
-    seq = F.col("seq").substr((F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW + overlap))
-    return cut.select("doc_id", "k", (F.col("doc_id") * (1 << 20) + F.col("k")).alias("window_id"), "lang", seq.alias("seq"))
+def sequences(spark: SparkSession, sf_dir: str, overlap: int = 0, beside: DataFrame | None = None) -> DataFrame:
+    """documents as DNA in windows that begin every 201 letters and reach overlap letters into the next one, the last one of a text shorter: doc_id, k, window_id, lang, seq.
+
+    With beside (doc_id and others) only the documents there are cut, and windows have its other columns."""
+    docs, more = table(spark, sf_dir, "documents"), []
+    if beside is not None:
+        docs, more = docs.join(beside, "doc_id"), [c for c in beside.columns if c != "doc_id"]
+    whole = docs.select("doc_id", "lang", *more, letters(F.col("text")).cast("binary").alias("seq"))  # letters are bytes, and a place in bytes is found at once
+    last = F.floor((F.length("seq") - 1) / WINDOW)
+    # an outer explode keeps Spark from making the letters once more for a filter on their number
+    cut = whole.select("doc_id", "lang", *more, "seq", F.explode_outer(F.when(F.length("seq") > 0, F.sequence(F.lit(0).cast("bigint"), last))).alias("k")).where("k is not null")
+    seq = F.col("seq").substr((F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW + overlap)).cast("string")
+    return cut.select("doc_id", "k", (F.col("doc_id") * (1 << 20) + F.col("k")).alias("window_id"), "lang", *more, seq.alias("seq"))
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -912,3 +912,18 @@ def test_leaks_are_looked_for_where_groups_of_both_splits_overlap(spark):
     assert not splits._may_leak(make((0, 10, "train"), (10, 20, "test"), (20, 30, "train"), (21, 25, "train")))
     assert splits._may_leak(make((0, 100, "train"), (5, 6, "train"), (99, 120, "test")))
     assert splits._may_leak(make((5, 9, "test"), (5, 6, "train")))
+
+
+def test_scores_are_ranked_as_counts(spark, monkeypatch):
+    """The ranking of evaluated motifs reads a row a run, label and score, and counts in it as rows do."""
+    rng = random.Random(5)
+    rows = [(k % 2, k, int(rng.random() < 0.4), float(rng.randrange(6))) for k in range(400)]
+    df = spark.createDataFrame(rows, "run_id int, doc_id int, label int, score double")
+    kept = []
+    monkeypatch.setattr(evaluation, "checkpointed", lambda x: kept.append(x.count()) or checkpointed(x))
+    got = {r.run_id: r for r in evaluation._metrics(df).collect()}
+    ap, auc = ({r.run_id: r[1] for r in f(df, ["run_id"]).collect()} for f in (ranking.average_precision, ranking.auroc))
+    assert kept == [len({(r[0], r[2], r[3]) for r in rows})]
+    for run, r in got.items():
+        assert (r.ap, r.auroc) == (pytest.approx(ap[run]), pytest.approx(auc[run]))
+        assert (r.positives, r.negatives) == tuple(sum(x[2] == y for x in rows if x[0] == run) for y in (1, 0))
