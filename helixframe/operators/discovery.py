@@ -17,11 +17,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from helixframe.operators.sequences import _known, _pieces, _words
+from helixframe.operators.sequences import PIECE, _known, _letters_of, _words
 from helixframe.plans.materialise import checkpointed
 
 #: Words that start matrices, rounds on word counts, rounds over sequences at most, and how many sets there may be.
@@ -30,6 +31,10 @@ STARTS, SCREEN, ROUNDS, MOST_SETS = 8, 30, 8, 1000
 GAIN = 1e-4
 #: Words of at most so many letters are looked up at once.
 WORD = 8
+#: Sequences are kept in blocks of about so many letters.
+BLOCK = 1 << 17
+#: A task keeps the tables of so many sets.
+READY = 64
 #: Window scores are put into bins of this width for their distribution; levels of chance that are tried.
 STEP, LEVELS = 0.02, 40
 
@@ -90,7 +95,7 @@ def _numbers(codes: np.ndarray, width: int) -> list[np.ndarray]:
     usable, pieces = _known(codes, width), []
     for lo in range(0, width, WORD):
         n = min(WORD, width - lo)
-        pieces.append(np.where(usable, _words(codes, n)[lo : lo + len(usable)], 4**n))
+        pieces.append(np.where(usable, _words(codes, n)[lo : lo + len(usable)], np.intp(4**n)))
     return pieces
 
 
@@ -105,11 +110,11 @@ def _by_sequence(values: np.ndarray, first: np.ndarray, size: int, how) -> np.nd
     return how.reduceat(np.concatenate([values, np.zeros(size - len(values), values.dtype)]), first)
 
 
-def _expected(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int, model: str, ratio: np.ndarray, share: float) -> np.ndarray:
-    """Log likelihood ratio, sequences with a site, sites and counts of the sequences that begin at first."""
+def _expected(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int, model: str, ratio: list[np.ndarray], share: float) -> np.ndarray:
+    """Log likelihood ratio, sequences with a site, sites and, by word of each piece of the motif, the expected counts of the sequences that begin at first; ratio has the pieces' tables."""
     words = _numbers(codes, width)
-    weight = np.ones(len(words[0]))
-    for word, by_word in zip(words, _tables(ratio), strict=True):
+    weight = ratio[0][words[0]]
+    for word, by_word in zip(words[1:], ratio[1:], strict=True):
         weight *= by_word[word]
     total = _by_sequence(weight, first, len(codes), np.add)
     mass = total / np.maximum(sizes - width + 1, 1)
@@ -119,32 +124,95 @@ def _expected(codes: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: in
         has, now = (mass > 0).astype(float), np.log(np.maximum(mass, 1e-300))
     factor = np.repeat(has / np.maximum(total, 1e-300), np.diff(np.append(first, len(codes))))
     place = weight * factor[: len(weight)]
-    counts = []
-    for k, word in enumerate(words):
-        n = min(WORD, width - k * WORD)
-        counts.append(_letters(np.bincount(word, place, 4**n + 1)[:-1], n))
+    counts = [np.bincount(word, place, len(by_word))[:-1] for word, by_word in zip(words, ratio, strict=True)]
     long = sizes >= width
-    return np.concatenate([[now[long].sum(), has[long].sum(), place.sum()], np.concatenate(counts).ravel()])
+    return np.concatenate([[now[long].sum(), has[long].sum(), place.sum()], *counts])
 
 
-def _over_sets(rows: DataFrame, sent: dict, make, overlap: int, schema: str) -> DataFrame:
-    """(task, k, value): the sums of the arrays that make(task, codes, first, sizes) gives, by set; only numbers that are not 0 move."""
+def _by_letter(sums: np.ndarray, width: int) -> np.ndarray:
+    """The sums of _expected with counts by column and letter instead of by word."""
+    head, at, counts = sums[:3], 3, []
+    for lo in range(0, width, WORD):
+        n = min(WORD, width - lo)
+        counts.append(_letters(sums[at : at + 4**n], n).ravel())
+        at += 4**n
+    return np.concatenate([head, *counts])
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """(task, doc_id, n, size, codes, sizes): the sequences of each set in blocks of about BLOCK letters, doc_id that of a block's first one.
+
+    A block has base codes, 4 for other letters and behind each sequence, the sequences' lengths, their number and
+    the greatest length. So a round reads arrays and takes no sequence apart; a longer sequence is a block of its own."""
+    kinds = [rows.schema[c].dataType for c in ("task", "doc_id")]
+    arrow = [*map(to_arrow_type, kinds), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["task", "doc_id", "n", "size", "codes", "sizes"]
+
+    def run(batches):
+        held: dict = {}
+        done: list[tuple] = []
+
+        def close(task):
+            first, longest, _, values = held.pop(task)
+            done.append((task, first, len(values), longest, _letters_of(values).tobytes(), np.array([*map(len, values)], np.int64).tobytes()))
+
+        def told():
+            made = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*done, strict=True), arrow, strict=True)], names=names)
+            done.clear()
+            return made
+
+        for batch in batches:
+            text = batch.column(2)
+            for task, doc, value, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text.cast(pa.large_binary()).to_pylist(), pc.utf8_length(text).to_pylist(), strict=True):
+                if task in held and held[task][2] + len(value) > BLOCK:
+                    close(task)
+                block = held.setdefault(task, [doc, 0, 0, []])
+                block[1] = max(block[1], size)
+                block[2] += len(value) + 1
+                block[3].append(value)
+            if done:
+                yield told()
+        for task in list(held):
+            close(task)
+        if done:
+            yield told()
+
+    simple = [k.simpleString() for k in kinds]
+    return rows.select("task", "doc_id", "seq").mapInArrow(run, f"task {simple[0]}, doc_id {simple[1]}, n int, size int, codes binary, sizes binary")
+
+
+def _pieces(codes: np.ndarray, sizes: np.ndarray, overlap: int):
+    """(first places, lengths, codes) of a block's sequences; one of more than a piece comes in parts that share overlap letters."""
+    if len(sizes) > 1 or sizes[0] <= PIECE + overlap:
+        yield np.cumsum(sizes + 1) - sizes - 1, sizes, codes
+        return
+    for at in range(0, int(sizes[0]) - overlap, PIECE):
+        part = codes[at : min(at + PIECE + overlap, int(sizes[0]))]
+        yield np.zeros(1, np.int64), np.array([len(part)]), np.append(part, np.int8(4))
+
+
+def _over_sets(rows: DataFrame, sent: dict, make, overlap: int, schema: str, ready=None, end=None) -> DataFrame:
+    """(task, k, value): the sums of the arrays that make(ready(sent), codes, first, sizes) gives, by set, and what end makes of them in each task; only numbers that are not 0 move. rows are blocks."""
     kind = to_arrow_type(rows.schema["task"].dataType)
 
     def run(batches):
-        sums: dict = {}
+        sums, held = {}, {}
         for batch in batches:
-            tasks = np.array(batch.column(0).to_pylist(), object)
-            for task in set(tasks.tolist()) & sent.keys():
-                some = batch.column(1).filter(pa.array([t == task for t in tasks]))
-                for _, first, codes in _pieces(some, overlap):
-                    sizes = np.diff(np.append(first, len(codes))) - 1
-                    sums[task] = sums.get(task, 0) + make(sent[task], codes, first, sizes)
+            for task, codes, sizes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if task in sent:
+                    if task not in held:
+                        if len(held) == READY:
+                            held.clear()
+                        held[task] = ready(sent[task]) if ready else sent[task]
+                    for first, long, part in _pieces(np.frombuffer(codes.as_buffer(), np.int8), np.frombuffer(sizes.as_buffer(), np.int64), overlap):
+                        made = make(held[task], part, first, long)
+                        sums[task] = sums[task] + made if task in sums else made
         for task, made in sums.items():
+            made = end(made) if end else made
             at = np.flatnonzero(made)
             yield pa.RecordBatch.from_arrays([pa.array([task] * len(at), kind), pa.array(at.astype(np.int32)), pa.array(made[at].astype(float))], names=["task", "k", "value"])
 
-    return rows.select("task", "seq").mapInArrow(run, schema).groupBy("task", "k").agg(F.sum("value").alias("value"))
+    return rows.select("task", "codes", "sizes").mapInArrow(run, schema).groupBy("task", "k").agg(F.sum("value").alias("value"))
 
 
 def _gathered(summed: DataFrame, size: int) -> dict:
@@ -199,15 +267,23 @@ def score_tail(pwm: np.ndarray, back: np.ndarray) -> tuple[float, np.ndarray]:
     return float(low.sum()), np.minimum(1.0, np.cumsum(sums[::-1])[::-1])
 
 
+def _with_scores(state: dict) -> dict:
+    """state with the score of each word by piece of the motif."""
+    tables = []
+    for lo in range(0, len(state["steps"]), WORD):
+        table = np.zeros(1, np.int64)
+        for row in state["steps"][lo : lo + WORD]:
+            table = (table[:, None] + row[None, :]).ravel()
+        tables.append(np.append(table, -(10**9)))
+    return state | {"tables": tables}
+
+
 def _chances(state: dict, codes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How many sequences have a best window of at most each level of chance, and how many there are."""
     low, above, width = state["low"], state["above"], len(state["steps"])
-    words, score = _numbers(codes, width), 0
-    for k, word in enumerate(words):
-        table = np.zeros(1, np.int64)
-        for row in state["steps"][k * WORD : k * WORD + WORD]:
-            table = (table[:, None] + row[None, :]).ravel()
-        score = score + np.append(table, -(10**9))[word]
+    score = 0
+    for word, table in zip(_numbers(codes, width), state["tables"], strict=True):
+        score = score + table[word]
     best = _by_sequence(np.maximum(score - int(low), -1), first, len(codes), np.maximum)[sizes >= width]
     windows = (sizes - width + 1)[sizes >= width]
     p = np.where(best >= 0, above[np.clip(best, 0, len(above) - 1)], 1.0)
@@ -238,11 +314,11 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
     marked as this to be expected by chance. A sequence of more than a million letters counts as several. Fails on a
     set without a sequence as long as the motif."""
     spark = tasks.sparkSession
-    # several rounds read the rows: they are dealt evenly once, over as many tasks as their size asks for
-    rows = checkpointed(tasks.select("task", "doc_id", F.upper("seq").alias("seq")).where("seq is not null").repartition("doc_id").select("task", "seq"))
+    # several rounds read the sequences: they are packed once, and the blocks dealt evenly over as many tasks as their size asks for
+    rows = checkpointed(_packed(tasks.select("task", "doc_id", F.upper("seq").alias("seq")).where("seq is not null")).repartition("doc_id"))
     kind = rows.schema["task"].dataType.simpleString()
     schema = f"task {kind}, k int, value double"
-    facts = rows.groupBy("task").agg(F.count("*").alias("n"), F.max(F.length("seq")).alias("size")).limit(MOST_SETS + 1).collect()
+    facts = rows.groupBy("task").agg(F.sum("n").alias("n"), F.max("size").alias("size")).limit(MOST_SETS + 1).collect()
     if len(facts) > MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} sets")
     sets = {r["task"]: r for r in facts}
@@ -269,7 +345,7 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
         if not sent:
             break
         make = lambda held, codes, first, sizes: _expected(codes, first, sizes, width, model, *held)
-        for task, made in _gathered(_over_sets(rows, sent, make, width - 1, schema), 3 + 4 * width).items():
+        for task, made in _gathered(_over_sets(rows, sent, make, width - 1, schema, lambda held: (_tables(held[0]), held[1]), lambda made: _by_letter(made, width)), 3 + 4 * width).items():
             x = state[task]
             if model == "zoops":
                 x["share"] = float(np.clip(made[1] / sets[task]["n"], 1e-3, 1 - 1e-3))
@@ -281,7 +357,7 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
     for task, x in state.items():
         low, above = score_tail(x["pwm"], x["back"])
         sent[task] = {"low": low, "above": above, "steps": np.round(np.log(x["pwm"] / x["back"]) / STEP).astype(int), "levels": levels}
-    marked = _gathered(_over_sets(rows, sent, _chances, width - 1, schema), LEVELS + 1)
+    marked = _gathered(_over_sets(rows, sent, _chances, width - 1, schema, _with_scores), LEVELS + 1)
     out = []
     for task, row in sets.items():
         x, hits = state[task], marked.get(task, np.zeros(LEVELS + 1))

@@ -54,19 +54,27 @@ def _pieces(column: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _words(codes: np.ndarray, k: int) -> np.ndarray:
-    """The number of the word of k letters at each place, other letters read as A."""
-    safe = np.where(codes < 4, codes, 0).astype(np.int32)
-    last = len(codes) - k + 1
-    word = np.zeros(max(0, last), np.int32)
-    for j in range(k):
-        word = word * 4 + safe[j : j + len(word)]
+    """The number of the word of k letters at each place, other letters read as A. Words are made from words of half their letters."""
+    last, n = max(0, len(codes) - k + 1), 0
+    word = np.zeros(last, np.int32)
+    part, held = np.where(codes < 4, codes, 0).astype(np.int32), 1
+    while n < k:
+        if k & held:
+            more = part[n : n + last]
+            word = word * 4**held + more if n else more
+            n += held
+        if n < k:
+            part, held = part[:-held] * 4**held + part[held:], 2 * held
     return word
 
 
 def _known(codes: np.ndarray, k: int) -> np.ndarray:
     """Whether each window of k letters has base letters only."""
-    other = np.concatenate([[0], np.cumsum(codes > 3)])
-    return other[k:] == other[: max(0, len(other) - k)]
+    known, held = codes < 4, 1
+    while held < k and len(known):
+        step = min(held, k - held)
+        known, held = known[:-step] & known[step:], held + step
+    return known
 
 
 def word_counts(sequences: DataFrame, longest: int, both_strands: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ SQL has the same views for DuckDB; both engines build them by the same integer a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 CHROMS = ("AF", "AO", "NF", "NO", "RF", "RO")
 STEP = 400
 WINDOW = 201
+_LETTER = bytes(b"ACGT"[(c - ord("a")) % 4] if c in b"abcdefghijklmnopqrstuvwxyz" else ord("N") for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,16 @@ def letters(text):
     return F.regexp_replace(mapped, "[^ACGT]", "N")
 
 
+def letter_bytes(text):
+    """What letters makes of a text, as binary: a table of bytes does in Arrow batches what translate and a pattern do letter by letter."""
+
+    def made(texts: pa.Array) -> pa.Array:
+        plain = (None if t is None else t.decode("utf-8", "replace").lower().encode("ascii", "replace") for t in texts.to_pylist())
+        return pa.array([None if t is None else t.translate(_LETTER, b" \t\n\r\f\x0b") for t in plain], pa.binary())
+
+    return F.arrow_udf(made, "binary")(text.cast("binary"))
+
+
 def wholes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as DNA: doc_id, lang, seq."""
     return table(spark, sf_dir, "documents").select("doc_id", "lang", letters(F.col("text")).alias("seq")).where(F.length("seq") > 0)
@@ -53,7 +65,7 @@ def sequences(spark: SparkSession, sf_dir: str, overlap: int = 0, beside: DataFr
     docs, more = table(spark, sf_dir, "documents"), []
     if beside is not None:
         docs, more = docs.join(beside, "doc_id"), [c for c in beside.columns if c != "doc_id"]
-    whole = docs.select("doc_id", "lang", *more, letters(F.col("text")).cast("binary").alias("seq"))  # letters are bytes, and a place in bytes is found at once
+    whole = docs.select("doc_id", "lang", *more, letter_bytes(F.col("text")).alias("seq"))  # letters are bytes, and a place in bytes is found at once
     last = F.floor((F.length("seq") - 1) / WINDOW)
     # an outer explode keeps Spark from making the letters once more for a filter on their number
     cut = whole.select("doc_id", "lang", *more, "seq", F.explode_outer(F.when(F.length("seq") > 0, F.sequence(F.lit(0).cast("bigint"), last))).alias("k")).where("k is not null")

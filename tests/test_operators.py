@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe import views
 from helixframe.functions import dna, keyed
 from helixframe.operators import cohorts, comparison, diagnostics, discovery, evaluation, extensions, intervals, ladders, ranking, regression, sampling, sequences, splits
 from helixframe.plans.materialise import checkpointed
@@ -502,6 +503,32 @@ def test_discovery_takes_all_sequences(spark):
         discovery.discovered(df.where("task = 'b'"), 21)
 
 
+def test_discovery_reads_blocks(spark, monkeypatch):
+    """Rounds read a few blocks of many sequences, with long and empty ones and whatever the blocks the same result; letters of texts are alike in both ways."""
+    rng = np.random.default_rng(5)
+    rows = [(t, i, "".join(rng.choice(list("ACGTN"), int(n)))) for t in ("a", None) for i, n in enumerate([5000, 0, 7, *rng.integers(0, 60, 900)])]
+    df = spark.createDataFrame(rows, "task string, doc_id long, seq string").coalesce(1)
+    seen, over = [], discovery._over_sets
+    monkeypatch.setattr(discovery, "_over_sets", lambda held, *more: (seen.append(held.count()), over(held, *more))[1])
+    found = {r.task: r for r in discovery.discovered(df, 10).collect()}
+    assert set(seen) == {2}
+    monkeypatch.setattr(discovery, "BLOCK", 100)
+    again = {r.task: r for r in discovery.discovered(df.repartition(3), 10).collect()}
+    assert max(seen) > 200 and found.keys() == again.keys() == {"a", None}
+    for task, r in found.items():
+        assert r.n == again[task].n == 903 and np.allclose(r.pwm, again[task].pwm) and r.sites == pytest.approx(again[task].sites) and r.log10_evalue == pytest.approx(again[task].log10_evalue)
+    codes = np.array([0, 1, 2, 3] * 700_000, np.int8)  # in parts that share letters: every window once
+    parts = list(discovery._pieces(np.append(codes, np.int8(4)), np.array([len(codes)]), 9))
+    assert len(parts) == 3 and sum(int(sequences._known(x, 10).sum()) for _, _, x in parts) == len(codes) - 9
+
+
+def test_letters_are_alike_in_both_ways(spark):
+    odd = ["Abc\t z\x0b!", "\u0130stanbul", "Kelvin \u212a", "\u0391\u03a3 \u03a3", "stra\u00dfe \u1e9e", "\U0001f600a b", "x\x1c\x85\u00a0\u2003z", "\ufb01 \u01c4 \u0149", "", None, "\x00aZ09"]
+    df = spark.createDataFrame([(x,) for x in odd], "text string")
+    for r in df.select("text", views.letters(F.col("text")).alias("sql"), views.letter_bytes(F.col("text")).cast("string").alias("bytes")).collect():
+        assert r.sql == r.bytes, r.text
+
+
 def test_weak_motifs_are_told_from_chance(spark):
     """A degenerate motif in one sequence of three is found and sure; sequences of single letters drawn alike hold none that is."""
     rng = np.random.default_rng(11)
