@@ -133,28 +133,73 @@ def _in_tile(n: int, tiles: int, tile: int, key: list[int], replicates: int) ->
     return left
 
 
+def _drawn_sums(d: np.ndarray, times: np.ndarray, key: list[int]) -> np.ndarray:
+    """For each replicate the sum of times members of d drawn with replacement, as Generator.integers draws them.
+
+    In a tile whose size is a power of two a draw is the leading bits of a 32-bit word, so words are taken as they come."""
+    philox = np.random.Philox(np.random.SeedSequence(key))
+    if len(d) < 2 or len(d) & (len(d) - 1):
+        rng = np.random.Generator(philox)
+        return np.array([d[rng.integers(0, len(d), t)].sum() for t in times])
+    shift, left, sums = 33 - len(d).bit_length(), np.zeros(0, "<u4"), []
+    step = max(1, NUMBERS // len(d))
+    for lo in range(0, len(times), step):
+        ends = np.cumsum(times[lo : lo + step]).tolist()
+        words = philox.random_raw(max(0, ends[-1] - len(left) + 1) // 2).astype("<u8", copy=False).view("<u4")
+        at = np.concatenate([left, words])
+        left, at = at[ends[-1] :], at >> shift
+        sums += [d.take(at[first:end]).sum() for first, end in zip([0, *ends], ends)]  # noqa: B905
+    return np.array(sums)
+
+
 def tiled_bootstrap_mean(differences: DataFrame, by: list[str], seed: int, replicates: int = 2000, confidence: float = 0.95) -> DataFrame:
     """by, n_pairs, mean, lower and upper as bootstrap_mean has them, for groups of any size; its draws are others.
 
-    A group is cut into tiles of TILE pairs by k, its number from 0. A task tells how many of a replicate's
-    draws fall into its tile and draws that many pairs there; it passes on one sum a replicate, not
-    the pairs. Draws depend on seed, group and tile only. k must be 0 to n - 1 in each group."""
-    plain = broadcast_if_small(differences.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean"), F.max("k").alias("last_")))
+    A group is cut into tiles of TILE pairs by k, its number from 0. The pairs are read once and kept as a row a
+    tile. A task tells how many of a replicate's draws fall into its tile and draws that many pairs there; it passes
+    on one sum a replicate and group, not the pairs. Draws depend on seed, group and tile only. k must be 0 to n - 1 in each group."""
+    kinds = "".join(f"{c} {differences.schema[c].dataType.simpleString()}, " for c in by)
+
+    def pack(pairs: pa.Table) -> pa.Table:
+        k, d = pairs["k"].to_numpy(), pairs["d"].to_numpy()
+        told = pairs["d"].drop_null().to_numpy()
+        one = pairs.select([*by, "tile_"]).slice(0, 1)
+        for name, value in (("n", len(k)), ("last_", int(k.max())), ("told", len(told)), ("total", float(told.sum())), ("members", d[np.argsort(k, kind="stable")].astype(float).tobytes())):
+            one = one.append_column(name, pa.array([value]))
+        return one
+
+    pairs = differences.select(*by, F.col("k").cast("bigint").alias("k"), F.col("d").cast("double").alias("d"), F.floor(F.col("k") / TILE).alias("tile_"))
+    tiles = checkpointed(pairs.groupBy(*by, "tile_").applyInArrow(pack, f"{kinds}tile_ bigint, n bigint, last_ bigint, told bigint, total double, members binary"))
+    plain = broadcast_if_small(tiles.groupBy(*by).agg(F.sum("n").alias("n_pairs"), F.try_divide(F.sum("total"), F.sum("told")).alias("mean"), F.max("last_").alias("last_")))
     fine = plain.where(F.assert_true(F.col("last_") == F.col("n_pairs") - 1, F.lit("pairs must be numbered from 0")).isNull())
-    sized = differences.join(fine.select(*by, "n_pairs"), by).withColumn("tile_", F.floor(F.col("k") / TILE)).withColumn("key_", F.xxhash64(*by) if by else F.lit(0).cast("bigint"))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        n, tile, group = (int(rows[c].iloc[0]) for c in ("n_pairs", "tile_", "key_"))
-        key = [seed, group % (1 << 64)]
-        d = rows.sort_values("k")["d"].to_numpy(float)
-        times = _in_tile(n, -(-n // TILE), tile, key, replicates)
-        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([*key, tile])))
-        sums = np.array([d[rng.integers(0, len(d), t)].sum() for t in times])
-        first = {c: [rows[c].iloc[0]] * replicates for c in by}
-        return pd.DataFrame(first | {"replicate": np.arange(replicates), "sum": sums})
+    sized = tiles.join(fine.select(*by, "n_pairs"), by).withColumn("key_", F.xxhash64(*by) if by else F.lit(0).cast("bigint"))
+    most = max(1, NUMBERS // replicates)
 
-    kinds = "".join(f"{c} {differences.schema[c].dataType.simpleString()}, " for c in by)
-    sums = sized.select(*by, "k", "d", "n_pairs", "tile_", "key_").groupBy(*by, "tile_").applyInPandas(draw, f"{kinds}replicate int, sum double")
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+
+        def passed() -> pa.RecordBatch:
+            first = pa.concat_batches([one for one, _ in sums.values()]).take(pa.array(np.repeat(np.arange(len(sums)), replicates)))
+            more = [pa.array(np.tile(np.arange(replicates, dtype=np.int32), len(sums))), pa.array(np.concatenate([made for _, made in sums.values()]))]
+            sums.clear()
+            return pa.RecordBatch.from_arrays([*first.columns[: len(by)], *more], names=[*by, "replicate", "sum"])
+
+        for batch in batches:
+            n, tile, group, members = (batch.column(c).to_pylist() for c in ("n_pairs", "tile_", "key_", "members"))
+            for row, name in enumerate(zip(*(batch.column(c).to_pylist() for c in [*by, "key_"]), strict=True)):
+                key = [seed, group[row] % (1 << 64)]
+                times = _in_tile(n[row], -(-n[row] // TILE), tile[row], key, replicates)
+                made = _drawn_sums(np.frombuffer(members[row], float), times, [*key, tile[row]])
+                if name in sums:
+                    sums[name] = sums[name][0], sums[name][1] + made
+                    continue
+                if len(sums) == most:
+                    yield passed()
+                sums[name] = batch.select([*by, "key_"]).slice(row, 1), made
+        if sums:
+            yield passed()
+
+    sums = sized.select(*by, "n_pairs", "tile_", "key_", "members").mapInArrow(draw, f"{kinds}replicate int, sum double")
     means = sums.groupBy(*by, "replicate").agg(F.sum("sum").alias("sum")).join(fine.select(*by, "n_pairs"), by).withColumn("mean_", F.col("sum") / F.col("n_pairs"))
     tail = (1 - confidence) / 2
     ends = means.groupBy(*by).agg(F.percentile("mean_", F.lit(tail)).alias("lower"), F.percentile("mean_", F.lit(1 - tail)).alias("upper"))

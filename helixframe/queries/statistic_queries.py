@@ -64,7 +64,7 @@ def bootstrap_mean(spark, sf_dir):
 
 def bootstrap_mean_tiled(spark, sf_dir):
     """Price less fifty times quantity of lineitem, over all rows of a flag: groups as large as the table."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") - 50 * F.col("l_quantity")).alias("d"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("id"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") - 50 * F.col("l_quantity")).alias("d"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").cast("string")).alias("id"))
     keyed = rows.withColumn("tile", F.conv(F.substring(F.md5("id"), 1, 2), 16, 10).cast("int"))
     pairs = running(keyed, ["flag"], "tile", [F.col("id"), F.col("d")], sums={"k": F.lit(1)}).select("flag", "d", F.col("k").cast("bigint").alias("k"))
     found = rk.tiled_bootstrap_mean(pairs, ["flag"], seed=20260918, replicates=500)

@@ -588,6 +588,27 @@ def test_tiles_share_the_draws_of_a_group(spark, monkeypatch):
         ranking.tiled_bootstrap_mean(df.withColumn("k", F.col("k") + 1), ["g"], 4, 10).collect()
 
 
+def test_tiled_bootstrap_reads_its_pairs_once(spark):
+    """Pairs are computed once, draws are those of Generator.integers whatever the size of a tile, and null differences count as pairs only."""
+    for n in (1, 2, 7, 64, 4096):
+        d = np.random.default_rng(n).normal(size=n)
+        times = np.random.default_rng(1).integers(0, 2 * n, 1500)
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([3, 5])))
+        assert (ranking._drawn_sums(d, times, [3, 5]) == [d[rng.integers(0, n, t)].sum() for t in times]).all()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(9000, numPartitions=3).selectExpr("id as k", "cast(id % 10 as double) as d").mapInArrow(count, "k bigint, d double")
+    n, mean, lower, upper = ranking.tiled_bootstrap_mean(df.withColumn("g", F.lit("x")), ["g"], 4, 200).select("n_pairs", "mean", "lower", "upper").first()
+    assert (n, mean) == (9000, 4.5) and 4.3 < lower < 4.5 < upper < 4.7 and seen.value == 9000
+    holes = spark.createDataFrame([("a", 0, 2.0), ("a", 1, None), ("a", 2, 4.0), ("b", 0, None)], "g string, k bigint, d double")
+    assert {(r.g, r.n_pairs, r.mean) for r in ranking.tiled_bootstrap_mean(holes, ["g"], 4, 20).collect()} == {("a", 3, 3.0), ("b", 1, None)}
+
+
 def test_replicates_read_rows_once(spark):
     """Ten thousand replicates of average precision: as by a loop, with joins and kernels that see no more rows than there are."""
     rng = np.random.default_rng(3)
