@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from helixframe.operators.sequences import PIECE, _known, _letters_of, _words
-from helixframe.plans.materialise import checkpointed
+from helixframe.plans.materialise import checkpointed, small_batches
 
 #: Words that start matrices, rounds on word counts, rounds over sequences at most, and how many sets there may be.
 STARTS, SCREEN, ROUNDS, MOST_SETS = 8, 30, 8, 1000
@@ -314,6 +314,7 @@ def discovered(tasks: DataFrame, width: int, model: str = "zoops") -> DataFrame:
     marked as this to be expected by chance. A sequence of more than a million letters counts as several. Fails on a
     set without a sequence as long as the motif."""
     spark = tasks.sparkSession
+    small_batches(spark)
     # several rounds read the sequences: they are packed once, and the blocks dealt evenly over as many tasks as their size asks for
     rows = checkpointed(_packed(tasks.select("task", "doc_id", F.upper("seq").alias("seq")).where("seq is not null")).repartition("doc_id"))
     kind = rows.schema["task"].dataType.simpleString()

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows of a few numbers.
 BROADCAST_ROWS = 200_000
+#: Arrow batches of whole texts and blocks take about so much.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches to about BATCH bytes for the session: a batch is held by Spark and by a worker, beside what is made of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

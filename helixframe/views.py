@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.plans.materialise import small_batches
+
 #: The chromosome names of these views, and positions a day.
 CHROMS = ("AF", "AO", "NF", "NO", "RF", "RO")
 STEP = 400
@@ -62,6 +64,7 @@ def sequences(spark: SparkSession, sf_dir: str, overlap: int = 0, beside: DataFr
     """documents as DNA in windows that begin every 201 letters and reach overlap letters into the next one, the last one of a text shorter: doc_id, k, window_id, lang, seq.
 
     With beside (doc_id and others) only the documents there are cut, and windows have its other columns."""
+    small_batches(spark)
     docs, more = table(spark, sf_dir, "documents"), []
     if beside is not None:
         docs, more = docs.join(beside, "doc_id"), [c for c in beside.columns if c != "doc_id"]
