@@ -12,40 +12,41 @@ the waste of dealing out stays below a few per cent.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Collection, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import PIECE_BYTES, binary_values, checkpointed, small_batches
+from helixframe.llm.common import checkpointed, small_batches
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 SHARD_PIECES = 40_000
-#: The memo of token ids by word is thinned out beyond this many words, to bound a task's memory.
+#: The memo of token ids by word holds about this many words, to bound a task's memory: those met last.
 MEMO_WORDS = 400_000
+#: Texts are split into words in slices of about this many bytes.
+SLICE_BYTES = 1 << 22
 
 PIECES = "doc_row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 #: Bytes of UTF-8 as the tokenizer sees them: A-Z in lower case. bytes.split() then cuts at
 #: ASCII white space.
 _LOWER = bytes(b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
-_MARKS = b".,;:!?&%$*#|"
-
+_MARKS = ".,;:!?&%$*#|"
+#: Latin letters that are letters in lower case too (the dotted I falls apart there).
+_LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha())
+_PLAIN = re.compile(f"[{_LATIN}]+").fullmatch
+_MARKED = f"^(?P<stem>[{_LATIN}]+)(?P<tail>[{_MARKS}]+)$"
 
 #: What the tokenizer's control strings begin with; they are told by case, so texts with them are not put in lower case.
-_CONTROL = b"<|"
-
-
-def _latin(word: bytes) -> bool:
-    """Whether a word holds Latin letters only and does so in lower case too (the dotted I falls apart there)."""
-    text = word.decode()
-    return text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
+_CONTROL = "<|"
 
 
 class WordTokens:
@@ -64,25 +65,55 @@ class WordTokens:
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text in UTF-8 as little-endian unsigned 32-bit numbers."""
-        parts = [(text if _CONTROL in text else text.translate(_LOWER)).split() for text in texts]
-        seen = set(chain.from_iterable(parts))
-        if len(self.memo) > MEMO_WORDS:  # of the words, those of this group stay, among them all frequent ones
-            self.memo = {w: self.memo[w] for w in seen.intersection(self.memo)}
-        self._learn(seen.difference(self.memo))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    def _learn(self, new: set[bytes]) -> None:
+        control = _CONTROL.encode()
+        parts = [(text if control in text else text.translate(_LOWER)).split() for text in texts]
+        known = self._known(set(chain.from_iterable(parts)))
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def column_ids(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The ids of all texts of a column, one text after another, and the bounds of each in bytes.
+
+        Each word is looked up once, and so are its letters and the marks behind them."""
+        texts = pc.fill_null(texts, "")
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, _CONTROL), texts, pc.ascii_lower(texts)))
+        coded = words.values.dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, _MARKED)
+        stems = pc.coalesce(pc.struct_field(parts, "stem"), coded.dictionary)
+        tails = pc.fill_null(pc.struct_field(parts, "tail"), "")
+        names = pa.concat_arrays([stems, tails]).dictionary_encode()
+        spelled = names.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = self._known(spelled)
+        ids = pa.array(map(known.__getitem__, spelled), pa.large_binary()).take(names.indices)
+        ids = pc.binary_join_element_wise(ids[: len(stems)], ids[len(stems) :], pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        _, starts, data = ids.buffers()
+        bounds = np.frombuffer(starts, np.int64)[words.offsets.to_numpy()] if len(ids) else np.zeros(len(texts) + 1, np.int64)
+        return memoryview(data or b""), bounds
+
+    def _known(self, names: Collection[bytes]) -> dict[bytes, bytes]:
+        """The memo, with all of names in it. Whenever half of MEMO_WORDS are in it, a new one begins and the one before the last goes."""
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = [n for n in names if n not in memo]
+        if new:
+            memo.update((n, older[n]) for n in new if n in older)
+            self._learn([n for n in new if n not in memo])
+        return memo
+
+    def _learn(self, new: list[bytes]) -> None:
         memo, plain, marked, odd = self.memo, set(), [], set()
         for word in new:
-            stem = word.rstrip(_MARKS)
-            if not (stem.isalpha() or _latin(stem)):
+            text = word.decode()
+            letters = text.rstrip(_MARKS)
+            if not _PLAIN(letters):
                 odd.add(word)
                 continue
-            if len(stem) < len(word):
+            stem = letters.encode()
+            if len(letters) < len(text):
                 tail = word[len(stem) :]
                 marked.append((word, stem, tail))
                 if tail not in memo:
@@ -110,16 +141,15 @@ class WordTokens:
         self.memo.update((n, data[lo:hi]) for n, lo, hi in zip(names, cuts[:-1], cuts[1:], strict=True))
 
 
-def _groups(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
-    """Consecutive texts of about size bytes together."""
-    held, total = [], 0
-    for text in texts:
-        held.append(text)
-        total += len(text)
-        if total >= size:
-            yield held
-            held, total = [], 0
-    yield held
+def _slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of consecutive rows of about size bytes together; a long text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(texts):
+        until = (ends[row - 1] if row else 0) + size
+        end = max(row + 1, int(np.searchsorted(ends, until, "right")))
+        yield row, texts[row:end]
+        row = end
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -132,10 +162,11 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = SEQUENCE_TO
         tokens = WordTokens(tokenizer_file)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows, keys = [], zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True)
-            for texts in _groups(binary_values(batch.column(2)), PIECE_BYTES):
-                for data, (number, doc_id) in zip(tokens.ids(texts), keys, strict=False):
-                    data += end
+            rows, numbers, doc_ids = [], batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            for first, texts in _slices(batch.column(2), SLICE_BYTES):
+                ids, bounds = tokens.column_ids(texts)
+                for row, (lo, hi) in enumerate(pairwise(bounds.tolist()), first):
+                    data, number, doc_id = bytes(ids[lo:hi]) + end, numbers[row], doc_ids[row]
                     for k, at in enumerate(range(0, len(data), width)):
                         part = data[at : at + width]
                         rows.append((number, doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -111,6 +111,39 @@ def test_memo_on_random_strings():
     assert np.frombuffer(tokens.ids([b"a <|endoftext|> b"])[0], "<u4").tolist() == [320, 49407, 321]
 
 
+def test_ids_of_a_column_are_the_tokenizer_s(monkeypatch):
+    """Random texts, nulls and slices of columns, with a memo that forgets words all the time."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(8)
+    bits = [*"aBéÉİıǅßſΣЖ中ª²\u0301\u0307\u00a0\u3000\x1c\x85", "'s", *".,;:!?&%$*#|<>'", "7", " ", "  ", "\t", "\n", "\x0b", "\0", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "hello", "WORLD"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 20))) for _ in range(3000)]
+    texts[::50] = [None] * 60
+    want = [np.array(m.ids, "<u4").tobytes() for m in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for size in (60, packing.MEMO_WORDS):
+        monkeypatch.setattr(packing, "MEMO_WORDS", size)
+        tokens = packing.WordTokens(path)
+        for kind in (pa.string(), pa.large_string()):
+            column, got = pa.array([*texts, "left out"], kind)[:-1], []
+            for first, part in packing._slices(column, 300):
+                assert first == len(got)
+                data, bounds = tokens.column_ids(part)
+                got += [bytes(data[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            assert got == want
+    for column in (pa.array([], pa.string()), pa.array([None, "", " \n"], pa.string())):
+        assert tokens.column_ids(column)[1].tolist() == [0] * (len(column) + 1)
+
+
+def test_letters_are_spelled_once_whatever_marks_follow():
+    tokens, asked = packing.WordTokens(tokenizer_path("word_bpe_49k.json")), []
+    learn = tokens._learn
+    tokens._learn = lambda new: (asked.extend(new), learn(new))
+    for text in ("one two, One. TWO!! été", "ÉTÉ one,%%% été? two. three,"):
+        tokens.column_ids(pa.array([text, text]))
+    assert sorted(asked) == sorted(w.encode() for w in ["", "one", "two", ",", ".", "!!", "été", "ÉtÉ", ",%%%", "?", "three"])
+
+
 def test_suffix_automaton_holds_all_substrings_and_no_other():
     rng = random.Random(3)
     text = [rng.randint(1, 3) for _ in range(60)]
