@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import bisect
+import collections
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.dna import gc_fraction, n_fraction
+from helixframe.functions.dna import gc_fraction
 from helixframe.functions.keyed import keyed_start
-from helixframe.operators.intervals import contained, merged, overlap_pairs, overlapping
-from helixframe.plans.materialise import broadcast_if_small, checkpointed
+from helixframe.operators.intervals import _cuts, merged, overlap_pairs, overlapping
+from helixframe.plans.materialise import broadcast_if_small, checkpointed, small_batches
 
 CHUNK = 1000
-#: So many open proposals of a chromosome are a short table.
-FEW = 200_000
-#: More keys than this make so many attempts first, and then each time as many as bring a key to so many times what it made; fewer make all at once.
+#: Letters a tile of a counted genome, and tiles a partition.
+SPAN, TILES = 1 << 18, 128
+#: So many open proposals of a chromosome are passed in order by one task, as a stream.
+FEW = 50_000_000
+#: More keys than this make so many attempts in the first wave, and each wave brings those without a control to so many times what the one before did; fewer make all at once.
 WAVES, FIRST, GROWTH = 1000, 4, 4
 #: Controls for each positive by split.
 CONTRACT = {"train": 1, "test": 10}
+#: Bits of a letter in either case: 1 known, 2 strong.
+_CODES = bytes(3 if c in b"CGcg" else 1 if c in b"ATat" else 0 for c in range(256))
 
 
 def genome_store(genome: DataFrame, name: str, buckets: int = 200) -> DataFrame:
@@ -33,7 +42,11 @@ def genome_store(genome: DataFrame, name: str, buckets: int = 200) -> DataFrame:
 def region_sequences(regions: DataFrame, genome: DataFrame) -> DataFrame:
     """regions (chrom, start, end) with seq, from pieces of CHUNK letters; fails on a region that leaves the genome or meets a piece twice.
 
+    Of a genome that is counted, those that meet no shut letter, with the numbers of known and strong letters in place of seq.
+
     An equi-join on chromosome and piece; each piece is cut to the region's letters before it moves, and the cuts are put together in order."""
+    if "planes" in genome.columns:
+        return _region_counts(regions, genome)
     parts = regions.withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("end") - 1) / CHUNK))))
     keys = list(regions.columns)
     letters = genome.select("chrom", F.col("piece").cast("bigint").alias("piece"), F.col("seq").alias("part_"))
@@ -48,20 +61,193 @@ def region_sequences(regions: DataFrame, genome: DataFrame) -> DataFrame:
     return whole.where(once & fine).drop("parts_")
 
 
+def _covering(regions: DataFrame) -> DataFrame:
+    """Regions (chrom, start, end) that cover the same positions, at most one a start; those longer than a tile are disjoint, so that few of them meet a tile."""
+    plain = checkpointed(regions.groupBy("chrom", "start").agg(F.max("end").alias("end")))
+    long = F.col("end") - F.col("start") > SPAN
+    return plain if not plain.where(long).take(1) else plain.where(~long).unionByName(merged(plain.where(long)).drop("n_members"))
+
+
+def counted(genome: DataFrame, closed: DataFrame, allowed: DataFrame | None = None, reach: int = 0) -> DataFrame:
+    """chrom, tile, planes: a genome (chrom, piece, seq) as bits, three a letter, in tiles of SPAN letters and the reach letters behind them.
+
+    The planes of a tile follow each other: letters that are known (A, C, G, T), letters that are
+    strong (G, C), and letters that are shut, as they lie in closed or, where allowed is given,
+    outside it. A letter that is missing or there twice is strong and not known. Regions of up to
+    reach letters find all they need in the tile where they start (region_sequences)."""
+    small_batches(genome.sparkSession)
+    reach += -reach % 8
+    width = SPAN + reach
+    low = F.col("piece").cast("bigint") * CHUNK
+    letters = genome.select("chrom", low.alias("low"), (low + CHUNK).alias("high"), F.substring("seq", 1, CHUNK).cast("binary").alias("seq"), F.lit(0).alias("kind"))
+    of = lambda rows, kind: rows.select("chrom", F.col("start").alias("low"), F.col("end").alias("high"), F.lit(None).cast("binary").alias("seq"), F.lit(kind).alias("kind"))
+    rows = letters.unionByName(of(_covering(closed), 1))
+    rows = rows if allowed is None else rows.unionByName(of(_covering(allowed), 2))
+    first, last = F.greatest(F.floor((F.col("low") - reach) / SPAN), F.lit(0)), F.floor((F.col("high") - 1) / SPAN)
+    tiles = rows.where(last >= first).withColumn("tile", F.explode(F.sequence(first, last)))
+    ends = genome.groupBy("chrom").agg(F.floor((F.max("piece").cast("bigint") * CHUNK) / SPAN).alias("last"))
+    every = ends.select("chrom", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("tile"), F.lit(3).alias("kind"))
+    within = allowed is not None
+    parts = tiles.unionByName(every, allowMissingColumns=True).select("chrom", "tile", "kind", "low", "high", "seq")
+
+    def planes(tile: int, pieces: dict, twice: set, spans: dict) -> bytes:
+        codes = np.full(width, 2, np.uint8)
+        for at, seq in pieces.items():
+            begin = at - tile * SPAN
+            if at not in twice:
+                part = seq[max(0, -begin) : max(0, width - begin)]
+                codes[max(0, begin) : max(0, begin) + len(part)] = np.frombuffer(part, np.uint8)
+        covered = {}
+        for kind, ranges in spans.items():
+            steps = np.zeros(width + 1, np.int32)
+            for a, b in ranges:
+                np.add.at(steps, np.clip(a - tile * SPAN, 0, width), 1)
+                np.add.at(steps, np.clip(b - tile * SPAN, 0, width), -1)
+            covered[kind] = np.cumsum(steps[:-1]) > 0
+        shut = covered[1] | ~covered[2] if within else covered[1]
+        return np.packbits(np.concatenate([codes & 1, codes >> 1, shut.astype(np.uint8)])).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pieces, twice, spans = None, {}, set(), {1: [], 2: []}
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]], pa.int64()), pa.array([planes(held[1], pieces, twice, spans)], pa.binary())], names=["chrom", "tile", "planes"])
+        for batch in batches:
+            chrom, tile, kind, low, high, seq = (batch.column(k) for k in range(6))
+            kinds, lows, highs = kind.to_numpy(), low.fill_null(0).to_numpy(), high.fill_null(0).to_numpy()
+            cuts = _cuts([chrom, tile])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                row = (chrom[lo].as_py(), tile[lo].as_py())
+                if row != held:
+                    if held is not None:
+                        yield told()
+                    held, pieces, twice, spans = row, {}, set(), {1: [], 2: []}
+                for at in (np.flatnonzero(kinds[lo:hi] == 0) + lo).tolist():
+                    text = seq[at].as_py()
+                    if text is not None:
+                        text = text if text.isascii() else text.decode("utf-8", "replace").encode("ascii", "replace")
+                        (twice.add if lows[at] in pieces else lambda _: None)(lows[at])
+                        pieces[lows[at]] = text.translate(_CODES)
+                for k in spans:
+                    some = kinds[lo:hi] == k
+                    if some.any():
+                        spans[k].append((lows[lo:hi][some], highs[lo:hi][some]))
+        if held is not None:
+            yield told()
+
+    size = ends.agg(F.sum("last")).first()[0] or 0
+    many = max(genome.sparkSession.sparkContext.defaultParallelism, size // TILES)
+    sorted_ = parts.repartition(many, "chrom", "tile").sortWithinPartitions("chrom", "tile")
+    return sorted_.mapInArrow(run, "chrom string, tile bigint, planes binary")
+
+
+def _region_counts(regions: DataFrame, store: DataFrame) -> DataFrame:
+    """regions that meet no shut letter, with known and strong, the numbers of such letters, from the planes of counted.
+
+    A task reads the planes of a tile and then streams the regions that start there past them."""
+    small_batches(regions.sparkSession)
+    names = regions.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in regions.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, size = None, None, 0
+        for batch in batches:
+            chrom, tile, planes = batch.column("chrom"), batch.column("tile_"), batch.column("planes")
+            starts, ends = (batch.column(c).fill_null(0).to_numpy() for c in ("start", "end"))
+            keep, known, strong = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            cuts = _cuts([chrom, tile])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                row = (chrom[lo].as_py(), tile[lo].as_py())
+                if planes[lo].is_valid:
+                    bits = np.unpackbits(np.frombuffer(planes[lo].as_buffer(), np.uint8)).reshape(3, -1)
+                    held, size = row, bits.shape[1]
+                    sums = np.zeros((4, size + 1), np.int32)
+                    np.cumsum(np.concatenate([bits, (bits[1:2] & ~bits[:1])]), axis=1, out=sums[:, 1:])
+                    lo += 1
+                if lo == hi:
+                    continue
+                a, b = starts[lo:hi] - row[1] * SPAN, ends[lo:hi] - row[1] * SPAN
+                if row != held or (b > size).any():
+                    at = lo if row != held else lo + int(np.argmax(b > size))
+                    raise ValueError(f"a region leaves the genome: {row[0]} {starts[at]} {ends[at]}")
+                inside = sums[:, b] - sums[:, a]
+                free = inside[2] == 0
+                lost = free & (inside[3] > 0)
+                if lost.any():
+                    at = lo + int(np.argmax(lost))
+                    raise ValueError(f"a region leaves the genome or meets a piece twice: {row[0]} {starts[at]} {ends[at]}")
+                keep[lo:hi], known[lo:hi], strong[lo:hi] = free, inside[0], inside[1] - inside[3]
+            if keep.any():
+                whole = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(known), pa.array(strong)], names=[*names, "known", "strong"])
+                yield whole.filter(pa.array(keep))
+
+    both = regions.withColumn("tile_", F.floor(F.col("start") / SPAN)).unionByName(store.withColumnRenamed("tile", "tile_"), allowMissingColumns=True)
+    sorted_ = both.repartition(store.rdd.getNumPartitions(), "chrom", "tile_").sortWithinPartitions("chrom", "tile_", F.col("planes").isNull())
+    return sorted_.mapInArrow(run, f"{kinds}, known bigint, strong bigint")
+
+
 def _conflicts(proposals: DataFrame) -> DataFrame:
     """(first, second): overlapping proposals of different keys, the earlier in order first."""
-    pairs = overlap_pairs(proposals, proposals, ["spot"], ["spot"])
-    return pairs.where("spot < other_spot and (spot.record_id <> other_spot.record_id or spot.negative_index <> other_spot.negative_index)").select(F.col("spot").alias("first"), F.col("other_spot").alias("second"))
+    pairs = overlap_pairs(proposals, proposals, ["place", "key_"], ["place", "key_"])
+    return pairs.where("place < other_place and key_ <> other_key_").select(F.col("place").alias("first"), F.col("other_place").alias("second"))
+
+
+class _Taken:
+    """What a pass in order has taken of a chromosome: disjoint places, sorted, and the keys that they serve."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends, self.keys = (np.zeros(0, np.int64) for _ in range(3))
+
+    def passed(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the next proposals are taken. Keys must not fall: a key comes once a turn."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        fine = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if len(self.ends):
+            at = np.searchsorted(self.ends, starts, "right")
+            fine &= (at == len(self.ends)) | (self.starts[np.minimum(at, len(self.ends) - 1)] >= ends)
+        left, found = np.flatnonzero(fine), [np.zeros(0, np.int64)]
+        while len(left):
+            # a key's first proposal that overlaps none that is left is taken, whatever becomes of others
+            by, here, there = keys[left], starts[left], ends[left]
+            head = np.r_[True, by[1:] != by[:-1]]
+            order = np.argsort(here, kind="stable")
+            near, far, touched = here[order], there[order], np.zeros(len(left), bool)
+            touched[order[1:]] = near[1:] < np.maximum.accumulate(far)[:-1]
+            touched[order[:-1]] |= near[1:] < far[:-1]
+            now = head & ~touched
+            found.append(left[now])
+            rest = ~now[np.flatnonzero(head)][np.cumsum(head) - 1]
+            more, left = now.sum() * 8 > head.sum(), left[rest]
+            if not more:
+                break
+        found.append(self._one_by_one(keys, starts, ends, left))
+        taken = np.sort(np.concatenate(found))
+        order = taken[np.argsort(starts[taken], kind="stable")]
+        at = np.searchsorted(self.starts, starts[order])
+        self.starts, self.ends = np.insert(self.starts, at, starts[order]), np.insert(self.ends, at, ends[order])
+        self.keys = np.insert(self.keys, np.searchsorted(self.keys, keys[taken]), keys[taken])
+        return taken
+
+    @staticmethod
+    def _one_by_one(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.ndarray) -> np.ndarray:
+        held, found, served = [], [], None
+        for at, key, start, end in zip(left.tolist(), keys[left].tolist(), starts[left].tolist(), ends[left].tolist(), strict=True):
+            if key != served:
+                k = bisect.bisect_left(held, (start, end))
+                if (k == len(held) or held[k][0] >= end) and (k == 0 or held[k - 1][1] <= start):
+                    held.insert(k, (start, end))
+                    found.append(at)
+                    served = key
+        return np.array(found, np.int64)
 
 
 def first_fits(proposals: DataFrame, few: int = FEW) -> DataFrame:
-    """Of proposals (spot, chrom, start, end) those that a pass in order of spot = (round, record_id, negative_index, attempt) takes: each whose key is not served and that overlaps none taken.
+    """Of proposals (place, key_, chrom, start, end) those that a pass in order of place takes: each whose key is not served and that overlaps none taken. Places go by turns, and in a turn by keys.
 
-    A proposal with no open one before it in its key and none that overlaps it is taken, all of
-    these at once; what they exclude is closed, and so on until none is open. That is the
-    result of the pass in order. A key is of one chromosome, so chromosomes do not touch each
-    other: once none has more than few open, each is passed in order in a task of its own."""
-    open_ = checkpointed(proposals)
+    A key is of one chromosome, so chromosomes do not touch each other. Where none has more than
+    few open proposals, each is passed in order by a task of its own, as a stream of sorted rows:
+    the task holds the places that it took and no group. Beyond that a proposal with no open one
+    before it in its key and none before it that overlaps it is taken, all of these at once; what
+    they exclude is closed, and so on until few are open. That is the result of the pass in order."""
+    open_ = proposals
     taken = None
     edges = None
     while True:
@@ -69,32 +255,33 @@ def first_fits(proposals: DataFrame, few: int = FEW) -> DataFrame:
         if left <= few:
             break
         if edges is None:
+            open_ = checkpointed(open_)
             edges = checkpointed(_conflicts(open_))
-        key = [F.col("spot.record_id"), F.col("spot.negative_index")]
-        heads = open_.groupBy(*key).agg(F.min("spot").alias("spot")).select("spot")
-        live = edges.join(open_.select(F.col("spot").alias("first")), "first", "left_semi")
-        now = checkpointed(open_.join(heads, "spot", "left_semi").join(live.select(F.col("second").alias("spot")).distinct(), "spot", "left_anti"))
-        shut = edges.join(now.select(F.col("spot").alias("first")), "first", "left_semi").select(F.col("second").alias("spot")).distinct()
-        served = now.select(*[k.alias(f"k{i}") for i, k in enumerate(key)])
-        rest = open_.join(shut, "spot", "left_anti")
-        open_ = checkpointed(rest.join(served, (key[0] == F.col("k0")) & (key[1] == F.col("k1")), "left_anti"))
+        heads = open_.groupBy("key_").agg(F.min("place").alias("place")).select("place")
+        live = edges.join(open_.select(F.col("place").alias("first")), "first", "left_semi")
+        now = checkpointed(open_.join(heads, "place", "left_semi").join(live.select(F.col("second").alias("place")).distinct(), "place", "left_anti"))
+        shut = edges.join(now.select(F.col("place").alias("first")), "first", "left_semi").select(F.col("second").alias("place")).distinct()
+        open_ = checkpointed(open_.join(shut, "place", "left_anti").join(now.select("key_"), "key_", "left_anti").select(*proposals.columns))
         taken = now if taken is None else taken.unionByName(now)
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        spots = [(s["round"], s["record_id"], s["negative_index"], s["attempt"]) for s in rows["spot"]]
-        served, held, kept = set(), {}, []
-        for at in sorted(range(len(spots)), key=spots.__getitem__):
-            chrom, start, end = rows["chrom"].iat[at], rows["start"].iat[at], rows["end"].iat[at]
-            bins = [(chrom, k) for k in range(start // CHUNK, (end - 1) // CHUNK + 1)]
-            if spots[at][1:3] in served or any(a < end and start < b for k in bins for a, b in held.get(k, ())):
-                continue
-            served.add(spots[at][1:3])
-            kept.append(at)
-            for k in bins:
-                held.setdefault(k, []).append((start, end))
-        return rows.iloc[kept]
-
-    last = open_.groupBy("chrom").applyInPandas(take, open_.schema)
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = collections.defaultdict(_Taken)
+        for batch in batches:
+            names = batch.column("chrom").dictionary_encode()
+            keys, starts, ends = (batch.column(c).to_numpy() for c in ("key_", "start", "end"))
+            numbers, kept = names.indices.to_numpy(), []
+            for number, chrom in enumerate(names.dictionary.to_pylist()):
+                own = np.flatnonzero(numbers == number)
+                turns = [0, *(np.flatnonzero(np.diff(keys[own]) < 0) + 1).tolist(), len(own)]
+                for lo, hi in zip(turns[:-1], turns[1:], strict=True):
+                    rows = own[lo:hi]
+                    kept.append(rows[held[chrom].passed(keys[rows], starts[rows], ends[rows])])
+            if kept:
+                yield batch.take(pa.array(np.sort(np.concatenate(kept))))
+
+    # by ranges a large chromosome has a partition of its own; rows are sorted by one number
+    parts = 2 * open_.sparkSession.sparkContext.defaultParallelism
+    last = open_.repartitionByRange(parts, "chrom").sortWithinPartitions("place").mapInArrow(take, open_.schema)
     return last if taken is None else taken.unionByName(last)
 
 
@@ -108,52 +295,60 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
     pass over the attempts of all keys; a key's attempts behind the one that serves it change
     nothing, so they are made only for keys that the pass so far leaves without a control, until
     there is none or it has made all. A key that no round serves fails the job or, if
-    not strict, comes back without a place."""
+    not strict, comes back without a place.
+
+    Keys are numbered in order of record and index, and attempts move as numbers only: first to
+    the tile of the counted genome where they start, then those that fit to the pass."""
     ratios = ratios or CONTRACT
-    length = F.length("seq")
-    counted = F.coalesce(*[F.when(F.col("split") == s, F.lit(r)) for s, r in ratios.items()], F.lit(0))
+    every, most, total = list(ratios), max(1, *ratios.values()), rounds * tries
+    among = lambda of: F.coalesce(*[F.when(F.col("split") == s, F.lit(r)) for s, r in of.items()], F.lit(0))
     sizes = genome.groupBy("chrom").agg((F.max("piece") + 1).alias("pieces"))
-    wanted = positives.withColumn("wanted", counted).where("wanted > 0")
-    indexed = wanted.withColumn("negative_index", F.explode(F.sequence(F.lit(1), F.col("wanted"))))
-    keys = checkpointed(indexed.join(broadcast_if_small(sizes, 10_000), "chrom", "left").select("split", "record_id", "negative_index", "chrom", length.alias("length"), gc_fraction(F.col("seq")).alias("gc"), (F.coalesce("pieces", F.lit(0)) * CHUNK - length).alias("last")))
-    closed, open_to = checkpointed(merged(forbidden)), None if allowed is None else checkpointed(merged(allowed))
-    shown = ["split", "record_id", "negative_index", "chrom", "start", "end", "gc", "negative_gc", "attempt"]
-    own = ["record_id", "negative_index"]
-    total = rounds * tries
-    every = list(ratios)
-    turn = F.coalesce(*[F.when(F.col("split") == s, F.lit(k * rounds)) for k, s in enumerate(every)]) + F.floor(F.col("attempt") / tries).cast("int")
+    wanted = positives.withColumn("wanted", among(ratios)).where("wanted > 0").select("split", "record_id", "chrom", "wanted", F.length("seq").alias("length"), gc_fraction(F.col("seq")).alias("gc"))
+    ordered = checkpointed(wanted.select("record_id").distinct().sort("record_id").withColumn("record_", F.monotonically_increasing_id()))
+    sized = wanted.join(ordered, "record_id").join(broadcast_if_small(sizes, 10_000), "chrom", "left").withColumn("last", F.coalesce("pieces", F.lit(0)) * CHUNK - F.col("length"))
+    indexed = sized.withColumn("negative_index", F.explode(F.sequence(F.lit(1), F.col("wanted"))))
+    key, turn = F.col("record_") * most + F.col("negative_index") - 1, among({s: k * rounds for k, s in enumerate(every)})
+    keys = checkpointed(indexed.select(key.alias("key_"), "split", "record_id", "negative_index", "chrom", "length", "gc", "last", turn.alias("turn")))
+    reach, bound = keys.agg(F.max("length"), F.max("key_") + 1).first()
+    store = checkpointed(counted(genome, forbidden, allowed, reach or 0))
 
     def fitting(tried: DataFrame) -> DataFrame:
         """The proposals of keys with attempts that fit by themselves."""
         target = F.concat("record_id", F.lit("|negative="), F.col("negative_index").cast("string"))
-        proposals = tried.withColumn("start", keyed_start(seed, target, F.col("attempt"), F.col("last"))).withColumn("end", F.col("start") + F.col("length")).drop("last", "length")
-        free = overlapping(proposals, closed, keep=False, disjoint=True)
-        free = free if open_to is None else contained(free, open_to, disjoint=True)
-        read = region_sequences(free, genome)
-        fit = read.withColumn("negative_gc", gc_fraction(F.col("seq"))).where((n_fraction(F.col("seq")) <= most_unknown) & (F.abs(F.col("negative_gc") - F.col("gc")) <= tolerance + 1e-12))
-        return checkpointed(fit.drop("seq").withColumn("spot", F.struct(turn.alias("round"), "record_id", "negative_index", "attempt")))
+        proposals = tried.withColumn("start", keyed_start(seed, target, F.col("attempt"), F.col("last"))).withColumn("end", F.col("start") + F.col("length"))
+        read = region_sequences(proposals.select("chrom", "start", "end", "key_", "turn", "gc", "attempt"), store)
+        size, known = F.col("end") - F.col("start"), F.col("known")
+        negative_gc = F.when(known == 0, 0.0).otherwise(F.col("strong") / F.greatest(known, F.lit(1)))
+        unknown = F.when(size == 0, 1.0).otherwise((size - known) / F.greatest(size, F.lit(1)))
+        fit = read.withColumn("negative_gc", negative_gc).where((unknown <= most_unknown) & (F.abs(F.col("negative_gc") - F.col("gc")) <= tolerance + 1e-12))
+        place = ((F.col("turn") + F.floor(F.col("attempt") / tries)) * F.lit(bound).cast("bigint") + F.col("key_")) * tries + F.col("attempt") % tries
+        return checkpointed(fit.select(place.alias("place"), "key_", "chrom", "start", "end", "turn", "gc", "negative_gc", "attempt"))
 
     asked = keys.where(F.col("last") >= 0).withColumn("made_", F.lit(0))
-    first = FIRST if asked.count() > WAVES else total
+    upto = min(FIRST, total) if asked.count() > WAVES else total
     found = spots = None
     while True:
-        unserved = asked.where(F.col("made_") < total)
-        todo = checkpointed(unserved if spots is None else unserved.join(spots.select(*own), own, "left_anti"))
-        if not todo.take(1):
+        served = asked.withColumn("served_", F.lit(None).cast("boolean")) if spots is None else asked.join(spots.select("key_", F.lit(True).alias("served_")), "key_", "left")
+        more = F.when(F.col("served_").isNull(), F.greatest(F.lit(upto), F.col("made_"))).otherwise(F.col("made_"))
+        marked = checkpointed(served.withColumn("upto_", more).drop("served_"))
+        todo = marked.where("upto_ > made_")
+        if upto == total and not todo.take(1):
             break
         # few keys with many attempts would lie in one partition
-        spread = todo.repartition(4 * genome.sparkSession.sparkContext.defaultParallelism, *own)
-        more = spread.withColumn("upto_", F.least(F.lit(total), F.greatest(F.lit(first), F.col("made_") * GROWTH)))
-        made = fitting(more.withColumn("attempt", F.explode(F.sequence(F.col("made_"), F.col("upto_") - 1))).drop("made_", "upto_"))
+        spread = todo.repartition(store.rdd.getNumPartitions(), "key_")
+        made = fitting(spread.withColumn("attempt", F.explode(F.sequence(F.col("made_"), F.col("upto_") - 1))))
         found = made if found is None else found.unionByName(made)
-        rest = asked.join(todo.select(*own), own, "left_anti")
-        asked = checkpointed(rest.unionByName(more.withColumn("made_", F.col("upto_")).drop("upto_")))
+        asked = marked.drop("made_").withColumnRenamed("upto_", "made_")
         spots = checkpointed(first_fits(found, few))
+        upto = min(upto * GROWTH, total)
+    shown = ["split", "record_id", "negative_index", "chrom", "start", "end", "gc", "negative_gc", "attempt"]
     if spots is not None:
-        taken = spots.select(*shown)
+        split = F.element_at(F.array(*map(F.lit, every)), (F.col("turn") / rounds).cast("int") + 1)
+        taken = spots.withColumn("split", split).join(keys.select("key_", "record_id", "negative_index").distinct(), "key_")
     else:
-        taken = keys.limit(0).select("split", "record_id", "negative_index", "chrom", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end"), "gc", F.col("gc").alias("negative_gc"), F.lit(0).alias("attempt"))
-    missing = keys.join(taken, ["record_id", "negative_index"], "left_anti")
+        taken = keys.limit(0).withColumns({"start": F.lit(0).cast("bigint"), "end": F.lit(0).cast("bigint"), "negative_gc": F.col("gc"), "attempt": F.lit(0)})
+    missing = keys.join(taken.select("key_"), "key_", "left_anti")
+    taken = taken.select(*shown)
     if strict:
         lost = missing.count()
         if lost:

@@ -58,7 +58,7 @@ def _positives(spark, sf_dir):
     split = F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("split")
     rows = table(spark, sf_dir, "customer").select(F.format_string("cust%08d", "c_custkey").alias("record_id"), split, views.chromosome(F.col("c_custkey")).alias("chrom"), "c_custkey")
     placed = rows.join(sizes, "chrom").select("record_id", "split", "chrom", ((F.col("c_custkey") * 104729) % F.col("last")).alias("start"))
-    return genome, region_sequences(placed.withColumn("end", F.col("start") + WINDOW), genome)
+    return genome, checkpointed(region_sequences(placed.withColumn("end", F.col("start") + WINDOW), genome))
 
 
 def _controls(spark, sf_dir, strict=False):

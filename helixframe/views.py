@@ -81,11 +81,12 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.operators.sampling import CHUNK
     from helixframe.plans.running import running
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", chromosome(F.col("doc_id")).alias("chrom"), letters(F.coalesce("text", F.lit(""))).alias("whole"))
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", chromosome(F.col("doc_id")).alias("chrom"), letter_bytes(F.coalesce("text", F.lit(""))).alias("whole"))
     sized = docs.select("doc_id", "chrom", F.ceil(F.length("whole") / CHUNK).cast("bigint").alias("n"), F.floor(F.col("doc_id") / 4096).alias("tile"))
     first = running(sized, ["chrom"], "tile", [F.col("doc_id")], sums={"first": F.col("n")}).select("doc_id", "first", "n")
     cut = docs.join(first, "doc_id").where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    return cut.select("chrom", (F.col("first") + F.col("j")).alias("piece"), F.rpad(F.col("whole").substr((F.col("j") * CHUNK + 1).cast("int"), F.lit(CHUNK)), CHUNK, "N").alias("seq"))
+    return cut.select("chrom", (F.col("first") + F.col("j")).alias("piece"), F.rpad(F.col("whole").substr((F.col("j") * CHUNK + 1).cast("int"), F.lit(CHUNK)).cast("string"), CHUNK, "N").alias("seq"))
 
 
 def chromosome(number):

@@ -373,6 +373,62 @@ def test_controls_of_all_splits_and_rounds_share_their_reads(spark, monkeypatch)
     assert got.where("start is not null").count() == 9 and len(reads) <= 3
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_a_counted_genome_gives_what_its_letters_give(spark, monkeypatch, within):
+    """Tiles of 2048 letters: regions over their ends, closed regions longer than a tile, lower case, other letters, a short last piece."""
+    monkeypatch.setattr(sampling, "SPAN", 2048)
+    rng = random.Random(6)
+    text = {"a": "".join(rng.choice("ACGTacgtNx-") for _ in range(9500)), "b": "".join(rng.choice("ACGT") for _ in range(3000))}
+    pieces = [(c, k, s[k * 1000 : k * 1000 + 1000]) for c, s in text.items() for k in range(-(-len(s) // 1000))]
+    genome = spark.createDataFrame(pieces, "chrom string, piece bigint, seq string")
+    asked = [(c, a, a + n) for c, s in text.items() for n in (1, 60, 701) for a in [rng.randrange(len(s) - n) for _ in range(60)]]
+    closed = [("a", 100, 130), ("a", 110, 400), ("a", 2040, 2050), ("a", 3000, 5200), ("b", 0, 10)]
+    allowed = [("a", 0, 4000), ("a", 4000, 9100), ("a", 500, 600), ("b", 1000, 2900)]
+    free = {c: [not any(x == c and a <= k < b for x, a, b in closed) and (not within or any(x == c and a <= k < b for x, a, b in allowed)) for k in range(len(s))] for c, s in text.items()}
+    want = {(c, a, b, sum(x in "ACGT" for x in text[c][a:b].upper()), sum(x in "GC" for x in text[c][a:b].upper())) for c, a, b in asked if all(free[c][a:b])}
+    store = checkpointed(sampling.counted(genome, regions(spark, closed), regions(spark, allowed) if within else None, 701))
+    got = sampling.region_sequences(regions(spark, asked), store).collect()
+    assert {tuple(r) for r in got} == want and len(want) > 50
+    with pytest.raises(Exception, match="leaves the genome"):
+        sampling.region_sequences(regions(spark, [("b", 2950, 3001) if not within else ("c", 5, 9)]), store).collect()
+    again = sampling.counted(genome.unionByName(genome.where("chrom = 'b' and piece = 1")), regions(spark, []), None, 701)
+    assert sampling.region_sequences(regions(spark, [("b", 5, 900), ("b", 2000, 2700)]), again).count() == 2
+    with pytest.raises(Exception, match="twice"):
+        sampling.region_sequences(regions(spark, [("b", 990, 1001)]), again).collect()
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_pass_in_order_by_rounds_and_as_a_stream(spark, few):
+    rng = random.Random(8)
+    rows = [((turn * 40 + key) * 5 + k, key, "ab"[key % 2], at := rng.randrange(400), at + rng.choice([5, 20, 60])) for turn in range(3) for key in range(40) for k in range(5)]
+    held, served = [], set()
+    for place, key, chrom, start, end in rows:
+        if key not in served and not any(c == chrom and a < end and start < b for _, c, a, b in held):
+            served.add(key)
+            held.append((place, chrom, start, end))
+    rng.shuffle(rows)
+    proposals = spark.createDataFrame(rows, "place bigint, key_ bigint, chrom string, start bigint, end bigint").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sampling.first_fits(checkpointed(proposals), few).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.place, r.chrom, r.start, r.end) for r in got) == held and 15 < len(held) < 40
+
+
+def test_many_proposals_of_a_chromosome_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "_conflicts", None)
+    n = 210_000
+    rows = checkpointed(spark.range(n).selectExpr("id as place", "id div 3 as key_", "'a' as chrom", "(id * 7919 * 104729) % 4000000 as start", "(id * 7919 * 104729) % 4000000 + 9 as end"))
+    free, served, want = bytearray(4_000_010), -1, []
+    for place in range(n):
+        at = place * 7919 * 104729 % 4_000_000
+        if place // 3 != served and not any(free[at : at + 9]):
+            free[at : at + 9], served = b"x" * 9, place // 3
+            want.append(place)
+    assert sorted(r.place for r in sampling.first_fits(rows).select("place").collect()) == want
+
+
 def test_reads_fail_outside_the_genome_and_on_repeated_pieces(spark):
     genome = spark.createDataFrame([("a", 0, "A" * sampling.CHUNK), ("a", 1, "C" * 500)], "chrom string, piece int, seq string")
     ask = lambda rows, store=genome: sampling.region_sequences(regions(spark, rows), store).collect()
