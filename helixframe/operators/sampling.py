@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.dna import gc_fraction
 from helixframe.functions.keyed import keyed_start
 from helixframe.operators.intervals import _cuts, merged, overlap_pairs, overlapping
-from helixframe.plans.materialise import broadcast_if_small, checkpointed, small_batches
+from helixframe.plans.materialise import broadcast_if_small, checkpointed, row_batches
 
 CHUNK = 1000
 #: Letters a tile of a counted genome, and tiles a partition.
@@ -75,8 +76,7 @@ def counted(genome: DataFrame, closed: DataFrame, allowed: DataFrame | None = No
     strong (G, C), and letters that are shut, as they lie in closed or, where allowed is given,
     outside it. A letter that is missing or there twice is strong and not known. Regions of up to
     reach letters find all they need in the tile where they start (region_sequences)."""
-    small_batches(genome.sparkSession)
-    reach += -reach % 8
+    reach += -reach % 64
     width = SPAN + reach
     low = F.col("piece").cast("bigint") * CHUNK
     letters = genome.select("chrom", low.alias("low"), (low + CHUNK).alias("high"), F.substring("seq", 1, CHUNK).cast("binary").alias("seq"), F.lit(0).alias("kind"))
@@ -142,45 +142,57 @@ def counted(genome: DataFrame, closed: DataFrame, allowed: DataFrame | None = No
 def _region_counts(regions: DataFrame, store: DataFrame) -> DataFrame:
     """regions that meet no shut letter, with known and strong, the numbers of such letters, from the planes of counted.
 
-    A task reads the planes of a tile and then streams the regions that start there past them."""
-    small_batches(regions.sparkSession)
+    A task reads the planes of a tile and then streams the regions that start there past them. Rows are
+    sorted by one number, a digest of the tile; tiles that share it are held together."""
     names = regions.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in regions.schema.fields)
 
+    def words(planes: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+        """The planes and a fourth of missing letters as words of 64 letters, the first in the highest bit, and the bits before each word."""
+        bits = np.zeros((4, len(planes.as_buffer()) // 24 + 1), np.uint64)
+        bits[:3, :-1] = np.frombuffer(planes.as_buffer(), ">u8").reshape(3, -1)
+        bits[3] = bits[1] & ~bits[0]
+        before = np.zeros(bits.shape, np.int32)
+        np.cumsum(np.bitwise_count(bits[:, :-1]), axis=1, out=before[:, 1:])
+        return bits, before
+
+    def told(bits: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Set bits of each plane before letters."""
+        word, rest = at >> 6, (63 - (at & 63)).astype(np.uint64)
+        return before[:, word] + np.bitwise_count((bits[:, word] >> np.uint64(1)) >> rest).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sums, size = None, None, 0
+        tiles, of = {}, None
         for batch in batches:
-            chrom, tile, planes = batch.column("chrom"), batch.column("tile_"), batch.column("planes")
+            chrom, codes, planes = batch.column("chrom"), batch.column("code_").to_numpy(), batch.column("planes")
             starts, ends = (batch.column(c).fill_null(0).to_numpy() for c in ("start", "end"))
             keep, known, strong = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            cuts = _cuts([chrom, tile])
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                row = (chrom[lo].as_py(), tile[lo].as_py())
-                if planes[lo].is_valid:
-                    bits = np.unpackbits(np.frombuffer(planes[lo].as_buffer(), np.uint8)).reshape(3, -1)
-                    held, size = row, bits.shape[1]
-                    sums = np.zeros((4, size + 1), np.int32)
-                    np.cumsum(np.concatenate([bits, (bits[1:2] & ~bits[:1])]), axis=1, out=sums[:, 1:])
-                    lo += 1
-                if lo == hi:
+                if codes[lo] >> 1 != of:
+                    tiles, of = {}, codes[lo] >> 1
+                if not codes[lo] & 1:
+                    tiles |= {(chrom[at].as_py(), starts[at]): words(planes[at]) for at in range(lo, hi)}
                     continue
-                a, b = starts[lo:hi] - row[1] * SPAN, ends[lo:hi] - row[1] * SPAN
-                if row != held or (b > size).any():
-                    at = lo if row != held else lo + int(np.argmax(b > size))
-                    raise ValueError(f"a region leaves the genome: {row[0]} {starts[at]} {ends[at]}")
-                inside = sums[:, b] - sums[:, a]
-                free = inside[2] == 0
-                lost = free & (inside[3] > 0)
+                lost = np.ones(hi - lo, bool)
+                for (name, base), (bits, before) in tiles.items():
+                    own = pc.equal(chrom.slice(lo, hi - lo), name).to_numpy(zero_copy_only=False)
+                    own &= (starts[lo:hi] >= base) & (starts[lo:hi] < base + SPAN) & (ends[lo:hi] - base < bits.shape[1] * 64 - 63)
+                    rows = np.flatnonzero(own) + lo
+                    inside = told(bits, before, ends[rows] - base) - told(bits, before, starts[rows] - base)
+                    lost[rows - lo] = (inside[2] == 0) & (inside[3] > 0)
+                    keep[rows], known[rows], strong[rows] = inside[2] == 0, inside[0], inside[1] - inside[3]
                 if lost.any():
                     at = lo + int(np.argmax(lost))
-                    raise ValueError(f"a region leaves the genome or meets a piece twice: {row[0]} {starts[at]} {ends[at]}")
-                keep[lo:hi], known[lo:hi], strong[lo:hi] = free, inside[0], inside[1] - inside[3]
+                    raise ValueError(f"a region leaves the genome or meets a piece twice: {chrom[at]} {starts[at]} {ends[at]}")
             if keep.any():
                 whole = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(known), pa.array(strong)], names=[*names, "known", "strong"])
                 yield whole.filter(pa.array(keep))
 
-    both = regions.withColumn("tile_", F.floor(F.col("start") / SPAN)).unionByName(store.withColumnRenamed("tile", "tile_"), allowMissingColumns=True)
-    sorted_ = both.repartition(store.rdd.getNumPartitions(), "chrom", "tile_").sortWithinPartitions("chrom", "tile_", F.col("planes").isNull())
+    both = regions.unionByName(store.select("chrom", (F.col("tile") * SPAN).alias("start"), "planes"), allowMissingColumns=True)
+    tile = F.floor(F.col("start") / SPAN)
+    coded = both.withColumn("code_", F.xxhash64("chrom", tile).bitwiseAND(F.lit(-2)) + F.col("planes").isNull().cast("bigint"))
+    sorted_ = coded.repartition(store.rdd.getNumPartitions(), "chrom", tile).sortWithinPartitions("code_")
     return sorted_.mapInArrow(run, f"{kinds}, known bigint, strong bigint")
 
 
@@ -298,7 +310,8 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
     not strict, comes back without a place.
 
     Keys are numbered in order of record and index, and attempts move as numbers only: first to
-    the tile of the counted genome where they start, then those that fit to the pass."""
+    the tile of the counted genome where they start, then those that fit to the pass. A place in
+    the pass is turn, key and attempt in one number."""
     ratios = ratios or CONTRACT
     every, most, total = list(ratios), max(1, *ratios.values()), rounds * tries
     among = lambda of: F.coalesce(*[F.when(F.col("split") == s, F.lit(r)) for s, r in of.items()], F.lit(0))
@@ -310,19 +323,22 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
     key, turn = F.col("record_") * most + F.col("negative_index") - 1, among({s: k * rounds for k, s in enumerate(every)})
     keys = checkpointed(indexed.select(key.alias("key_"), "split", "record_id", "negative_index", "chrom", "length", "gc", "last", turn.alias("turn")))
     reach, bound = keys.agg(F.max("length"), F.max("key_") + 1).first()
-    store = checkpointed(counted(genome, forbidden, allowed, reach or 0))
+    cores = genome.sparkSession.sparkContext.defaultParallelism
+    with row_batches(genome.sparkSession):
+        store = checkpointed(counted(genome, forbidden, allowed, reach or 0))
+    attempt = F.expr(f"cast(place div {tries} div {bound or 1} % {rounds} * {tries} + place % {tries} as int)")
 
     def fitting(tried: DataFrame) -> DataFrame:
         """The proposals of keys with attempts that fit by themselves."""
         target = F.concat("record_id", F.lit("|negative="), F.col("negative_index").cast("string"))
         proposals = tried.withColumn("start", keyed_start(seed, target, F.col("attempt"), F.col("last"))).withColumn("end", F.col("start") + F.col("length"))
-        read = region_sequences(proposals.select("chrom", "start", "end", "key_", "turn", "gc", "attempt"), store)
+        place = ((F.col("turn") + F.floor(F.col("attempt") / tries)) * F.lit(bound).cast("bigint") + F.col("key_")) * tries + F.col("attempt") % tries
+        read = region_sequences(proposals.select("chrom", "start", "end", place.alias("place"), "gc"), store)
         size, known = F.col("end") - F.col("start"), F.col("known")
         negative_gc = F.when(known == 0, 0.0).otherwise(F.col("strong") / F.greatest(known, F.lit(1)))
         unknown = F.when(size == 0, 1.0).otherwise((size - known) / F.greatest(size, F.lit(1)))
         fit = read.withColumn("negative_gc", negative_gc).where((unknown <= most_unknown) & (F.abs(F.col("negative_gc") - F.col("gc")) <= tolerance + 1e-12))
-        place = ((F.col("turn") + F.floor(F.col("attempt") / tries)) * F.lit(bound).cast("bigint") + F.col("key_")) * tries + F.col("attempt") % tries
-        return checkpointed(fit.select(place.alias("place"), "key_", "chrom", "start", "end", "turn", "gc", "negative_gc", "attempt"))
+        return checkpointed(fit.select("place", F.expr(f"place div {tries} % {bound}").alias("key_"), "chrom", "start", "end", "gc", "negative_gc").repartition(cores, "key_"))
 
     asked = keys.where(F.col("last") >= 0).withColumn("made_", F.lit(0))
     upto = min(FIRST, total) if asked.count() > WAVES else total
@@ -336,15 +352,16 @@ def matched_controls(positives: DataFrame, genome: DataFrame, forbidden: DataFra
             break
         # few keys with many attempts would lie in one partition
         spread = todo.repartition(store.rdd.getNumPartitions(), "key_")
-        made = fitting(spread.withColumn("attempt", F.explode(F.sequence(F.col("made_"), F.col("upto_") - 1))))
-        found = made if found is None else found.unionByName(made)
+        with row_batches(genome.sparkSession):
+            made = fitting(spread.withColumn("attempt", F.explode(F.sequence(F.col("made_"), F.col("upto_") - 1))))
+            found = made if found is None else found.unionByName(made)
+            spots = checkpointed(first_fits(found, few))
         asked = marked.drop("made_").withColumnRenamed("upto_", "made_")
-        spots = checkpointed(first_fits(found, few))
         upto = min(upto * GROWTH, total)
     shown = ["split", "record_id", "negative_index", "chrom", "start", "end", "gc", "negative_gc", "attempt"]
     if spots is not None:
-        split = F.element_at(F.array(*map(F.lit, every)), (F.col("turn") / rounds).cast("int") + 1)
-        taken = spots.withColumn("split", split).join(keys.select("key_", "record_id", "negative_index").distinct(), "key_")
+        split = F.element_at(F.array(*map(F.lit, every)), F.expr(f"cast(place div {tries} div {bound} div {rounds} as int) + 1"))
+        taken = spots.withColumns({"split": split, "attempt": attempt}).join(keys.select("key_", "record_id", "negative_index").distinct(), "key_")
     else:
         taken = keys.limit(0).withColumns({"start": F.lit(0).cast("bigint"), "end": F.lit(0).cast("bigint"), "negative_gc": F.col("gc"), "attempt": F.lit(0)})
     missing = keys.join(taken.select("key_"), "key_", "left_anti")
